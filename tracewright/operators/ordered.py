@@ -119,11 +119,11 @@ class Series:
         local = df.select(
             "*",
             *[_local(n, s, w, back).alias(f"__l_{n}") for n, s in steps.items()],
-            F.row_number().over(w).alias("__rn"),
-            F.lead(F.lit(1)).over(w).isNull().alias("__last"),
+            (F.row_number().over(w) == 1).alias("__head_row"),
+            F.lead(F.lit(1)).over(w).isNull().alias("__tail_row"),
         )
         summary = df.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("__n"),
+            F.count(F.lit(1)).alias("__chunk_n"),
             *[_summary(n, s, self.idx).alias(f"__s_{n}") for n, s in steps.items() if s.kind != "position"],
         )
         wk = Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -217,7 +217,7 @@ def _summary(name: str, step: Running, idx: str) -> Column:
 def _carry(name: str, step: Running, wk, wk_back) -> Column:
     prior = wk.rowsBetween(Window.unboundedPreceding, -1)
     if step.kind == "position":
-        return F.sum("__n").over(prior)
+        return F.sum("__chunk_n").over(prior)
     s = F.col(f"__s_{name}")
     if step.kind == "total":
         return F.sum(s).over(prior)
@@ -241,9 +241,9 @@ def _combine(name: str, step: Running) -> Column:
     if step.kind == "highest":
         return F.greatest(local, carry)
     if step.kind == "before":
-        return F.when(F.col("__rn") == 1, carry).otherwise(local)
+        return F.when(F.col("__head_row"), carry).otherwise(local)
     if step.kind == "after":
-        return F.when(F.col("__last"), carry).otherwise(local)
+        return F.when(F.col("__tail_row"), carry).otherwise(local)
     return F.coalesce(local, carry)
 
 

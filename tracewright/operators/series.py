@@ -269,7 +269,7 @@ def _stack_solver(keys: list[str], strict: bool):
             if t == t:
                 low, i = b, len(sv) - 1
                 while i >= 0 and not (sv[i] > t if strict else sv[i] >= t):
-                    low = min(low, sv[i], sg[i])
+                    low = min(low, sg[i], sv[i] if sv[i] > -inf else inf)
                     i -= 1
                 if i >= 0:
                     queries.append((pos, t, min(low, sg[i]), 1, sp[i]))
@@ -279,7 +279,8 @@ def _stack_solver(keys: list[str], strict: bool):
                 continue
             low = inf
             while sv and (sv[-1] <= v):
-                low = min(low, sv.pop(), sg.pop())
+                top = sv.pop()
+                low = min(low, sg.pop(), top if top > -inf else inf)
                 sp.pop()
             if sv:
                 sg[-1] = min(sg[-1], low)
@@ -289,7 +290,7 @@ def _stack_solver(keys: list[str], strict: bool):
             sg.append(g)
             sp.append(pos)
         n = len(sv)
-        # what lies before the first entry is passed by every query that goes further
+        # what lies before the first entry is passed by every query that goes further: it stands behind an entry below all values
         entries = pd.DataFrame({
             "o": range(n + 1), "pos": [-1, *sp], "v": [-inf, *sv], "g": [head, *sg], "t": np.nan, "b": inf, "kind": 0,
         })
@@ -372,11 +373,11 @@ def decay_exponents(series: Series, y: str, peaks: DataFrame, span: tuple[float,
     mid = F.expr("(__a.p + __b.p) div 2")
     own_a = F.col("__a").isNotNull() & (F.col("__b").isNull() | (here <= mid)) & F.col("__pk").isNull()
     own_b = F.col("__b").isNotNull() & (F.col("__a").isNull() | (here >= mid)) & F.col("__pk").isNull()
-    fits = near.select(*keys, idx, y, step, F.explode(F.array_compact(F.array(F.when(own_a, F.col("__a")), F.when(own_b, F.col("__b"))))).alias("k"))
-    d = F.abs(F.col(idx) - F.col("k.p"))
-    fits = fits.filter(d.between(F.col("k.lo"), F.col("k.hi")) & (F.col(y) > 0))
+    fits = near.select(*keys, idx, y, step, F.explode(F.array_compact(F.array(F.when(own_a, F.col("__a")), F.when(own_b, F.col("__b"))))).alias("__own"))
+    d = F.abs(F.col(idx) - F.col("__own.p"))
+    fits = fits.filter(d.between(F.col("__own.lo"), F.col("__own.hi")) & (F.col(y) > 0))
     ln_d, ln_y = F.ln(d * F.col(step)), F.ln(F.when(F.col(y) > 0, F.col(y)))
-    got = fits.select(*keys, F.col("k.p").alias(idx), ln_d.alias("__ld"), ln_y.alias("__ly")).groupBy(*keys, idx).agg(
+    got = fits.select(*keys, F.col("__own.p").alias(idx), ln_d.alias("__ld"), ln_y.alias("__ly")).groupBy(*keys, idx).agg(
         F.regr_slope("__ly", "__ld").alias("s"), F.count(F.lit(1)).alias("n")
     )
     return peaks.join(got.select(*keys, idx, F.when(F.col("n") >= 4, F.col("s")).alias("decay_exponent")), [*keys, idx], "left")
