@@ -40,16 +40,21 @@ def content_hashes(df: DataFrame, survey: str, columns: Sequence[str]) -> DataFr
     ordered = sorted(c for c in columns if c != survey)
     base = canonical(df.select(survey, *ordered), [survey, *ordered])
     row = base.select(survey, F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256).alias("__h"))
-    pieces = [F.conv(F.substring("__h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = row.groupBy(survey).agg(
+    return multiset_hash(row, [survey], "__h", "content_sha256")
+
+
+def multiset_hash(hashes: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
+    """One hash per key over its members' sha256 values, whatever their order."""
+    pieces = [F.conv(F.substring(column, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = hashes.groupBy(*keys).agg(
         *[F.sum(p).cast("string").alias(f"__s{i}") for i, p in enumerate(pieces)], F.count(F.lit(1)).cast("string").alias("__n")
     )
-    return sums.select(survey, F.sha2(F.concat_ws("|", *[f"__s{i}" for i in range(4)], "__n"), 256).alias("content_sha256"))
+    return sums.select(*keys, F.sha2(F.concat_ws("|", *[f"__s{i}" for i in range(4)], "__n"), 256).alias(out))
 
 
 def corpus_hash(hashes: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
-    """sha256 over the sorted member hashes; members are surveys, not rows."""
-    return hashes.groupBy(*group).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(column))), 256).alias("data_sha256"))
+    """Hash of a set of member hashes: the order does not matter, a changed, added or lost member does."""
+    return multiset_hash(hashes, group, column, "data_sha256")
 
 
 def register(batch: DataFrame, registry: DataFrame, keys: Sequence[str] = ("line_id", "run_id"), content: str = "content_sha256") -> DataFrame:

@@ -256,7 +256,7 @@ def loo_z(medians: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     # sums of the others around the line mean: -d and ss - d^2
     mean_others = safe_div(-d, m)
     var_others = safe_div(F.col("__ss") - d * d - safe_div(d * d, m), m - 1)
-    std = F.sqrt(F.when(var_others > F.abs(F.col("__c")) * 1e-24, var_others))
+    std = F.sqrt(F.when(var_others > 1e-13 * F.col("__ss"), var_others))
     z = F.when(m >= 2, F.abs(d - mean_others) / std)
     return medians.join(centre, list(group)).withColumn("z", z).drop("__c", "__n", "__ss")
 
