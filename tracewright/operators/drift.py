@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from ..session import cut
 from .islands import top_per_key
 from .ordered import cumulate
 from .quantiles import quantile_edges
@@ -32,7 +33,8 @@ def feature_summary(long: DataFrame, bins: int = 10, keys: Sequence[str] = ("fea
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n")
     )
     edges = quantile_edges(long, keys, "x", bins, longest).drop("n").withColumnRenamed("edges", "bin_edges")
-    return stats.join(edges, list(keys))
+    # the reference is read by every later comparison
+    return cut(stats.join(edges, list(keys)))
 
 
 def reference_sample(long: DataFrame, keys: Sequence[str], row_id: Column, size: int, seed: int) -> DataFrame:

@@ -41,8 +41,8 @@ def mad_scores(df: DataFrame, keys: Sequence[str], x: str, out: str = "score_mad
 
 def out_of_fold_mad(df: DataFrame, fold: str, folds: int, x: str, out: str = "score_mad", longest: int | None = None) -> DataFrame:
     """Robust z of each row against the rows of all other folds, all folds in one pass."""
-    held = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col(fold).cast("int")))
-    stats = median_mad(df.select(F.col(x), held.cast("long").alias("__f")), ["__f"], x, longest).drop("n")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")), lambda k: k != F.col(fold).cast("long"))
+    stats = median_mad(df.select(F.col(x), F.explode(others).alias("__f")), ["__f"], x, longest).drop("n")
     joined = df.withColumn("__f", F.col(fold).cast("long")).join(stats, "__f")
     return joined.withColumn(out, robust_score(F.col(x), F.col("med"), F.col("mad"))).drop("__f", "med", "mad")
 
@@ -83,8 +83,12 @@ class IsolationForest:
     seed: int = 42
     emphasised: tuple[str, ...] = ()
     repeats: int = 5
+    array: str | None = None
 
     def _matrix(self, df: DataFrame) -> Column:
+        if self.array:
+            # an array column holds the values of ``columns`` in order
+            return F.transform(self.array, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)))
         return F.array(*[F.coalesce(F.when(~F.isnan(c), F.col(c).cast("double")), F.lit(0.0)) for c in self.columns])
 
     def fit(self, df: DataFrame, row_id: str) -> IsolationForestModel:
@@ -196,25 +200,18 @@ def out_of_fold_forest(df: DataFrame, fold: str, folds: int, row_id: str, forest
 def conformal_margin(scores: DataFrame, score: str, alpha: float, keys: Sequence[str] = (), longest: int | None = None) -> DataFrame:
     """Quantile of the scores at ``min(1, ceil((n+1)(1-alpha))/n)`` per key.
 
-    The level depends on the group size, so ranks are read around it: position
-    ``(n-1)*level`` between the order statistics of the top share.
+    The level depends on the group size, so the scores are numbered and the two
+    ranks around ``(n-1)*level`` read off.
     """
     keys = list(keys)
-    n = scores.groupBy(*keys).agg(F.count(score).alias("n"))
-    sizes = [r["n"] for r in n.select("n").distinct().limit(33).collect()]
-    if len(sizes) <= 32:
-        parts = None
-        for size in sizes:
-            level = min(1.0, math.ceil((size + 1) * (1 - alpha)) / size) if size else 1.0
-            mine = scores.join(n.filter(F.col("n") == size), keys, "left_semi") if keys else scores
-            q = quantiles(mine, keys, score, {"margin": level}, longest)
-            parts = q if parts is None else parts.unionByName(q)
-        return parts if parts is not None else n.withColumn("margin", F.lit(0.0)).select(*keys, "margin", "n")
-    ranked = order_rows(scores.filter(F.col(score).isNotNull()), keys, [score], idx="__i").df.join(n, keys)
+    base = scores if keys else scores.withColumn("__one", F.lit(1))
+    by = keys or ["__one"]
+    n = base.groupBy(*by).agg(F.count(score).alias("n"))
+    ranked = order_rows(base.filter(F.col(score).isNotNull()), by, [score], idx="__i", longest=longest).df.join(n, by)
     level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"))
     h = (F.col("n") - 1) * level
     at = lambda r: F.max(F.when(F.col("__i") == r, F.col(score)))
-    got = ranked.groupBy(*keys, "n").agg(at(F.floor(h)).alias("a"), at(F.ceil(h)).alias("b"))
+    got = ranked.groupBy(*by, "n").agg(at(F.floor(h)).alias("a"), at(F.ceil(h)).alias("b"))
     return got.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (h - F.floor(h))).alias("margin"), "n")
 
 

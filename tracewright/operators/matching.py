@@ -148,9 +148,10 @@ def greedy_match(
         assigned = _arenas(choice, keys)
         # rows keep their place in the original order; their rank at a position follows from it
         alive = rest.join(choice.select(*keys, "__x", "__kind", "__first"), [*keys, "__x", "__kind"])
-        seated = cut(alive.join(assigned, [*keys, "__first"]).withColumn("__k", F.col("__i") - F.col("__first")))
-        mixed = seated.filter("__mixed")
-        if not mixed.isEmpty():
+        seated = alive.join(assigned, [*keys, "__first"]).withColumn("__k", F.col("__i") - F.col("__first"))
+        if not assigned.filter("__mixed").isEmpty():
+            seated = cut(seated)
+            mixed = seated.filter("__mixed")
             by_id = [F.col(f"__id0.{left_id}"), F.col(f"__id1.{right_id}")]
             ranked = order_rows(mixed.drop("__k"), [*keys, "__arena", "__kind"], by_id, idx="__k").df
             seated = seated.filter("not __mixed").unionByName(ranked)

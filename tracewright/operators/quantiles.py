@@ -61,22 +61,25 @@ def quantiles(
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__lo").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("__end", F.sum("__c").over(w) - 1).withColumn("__start", F.col("__end") - F.col("__c") + 1)
 
-    def at(rank: Column) -> Column:
-        here = rank.between(F.col("__start"), F.col("__end"))
-        known = F.when((F.col("__lo") == F.col("__hi")) | (rank == F.col("__start")), F.col("__lo")).when(
-            rank == F.col("__end"), F.col("__hi")
-        )
-        return F.max(F.when(here, F.coalesce(known, F.raise_error(F.lit("rank outside its bracket")).cast("double"))))
+    def rank_of(p: float) -> Column:
+        return (F.col("n") - 1) * F.lit(p)
 
-    picks = []
-    for name, p in zip(names, wanted):
-        h = (F.col("n") - 1) * F.lit(p)
-        picks += [at(F.floor(h)).alias(f"__a_{name}"), at(F.ceil(h)).alias(f"__b_{name}")]
-    got = ranked.groupBy(*keys, "n").agg(*picks)
+    # the two ranks around each quantile, in order; a cell answers the ranks it covers
+    ranks = F.array(*[r.cast("long") for p in wanted for r in (F.floor(rank_of(p)), F.ceil(rank_of(p)))])
+    known = lambda r: F.when(r == F.col("__start"), F.col("__lo")).when((r == F.col("__end")) | (F.col("__lo") == F.col("__hi")), F.col("__hi"))
+    asked = F.filter(
+        F.transform(ranks, lambda r, i: F.struct(i.alias("i"), r.alias("r"), known(r).alias("v"))),
+        lambda a: a["r"].between(F.col("__start"), F.col("__end")),
+    )
+    got = ranked.select(*keys, "n", F.explode(asked).alias("__a")).filter("__a.v is not null").groupBy(*keys, "n").agg(
+        F.array_sort(F.collect_list(F.struct("__a.i", "__a.v"))).alias("__a")
+    )
+    missing = F.raise_error(F.lit("a rank lies outside its bracket"))
+    got = got.withColumn("__a", F.when(F.size("__a") == 2 * len(wanted), F.transform("__a", lambda s: s["v"])).otherwise(missing))
     out = []
-    for name, p in zip(names, wanted):
-        h = (F.col("n") - 1) * F.lit(p)
-        a, b = F.col(f"__a_{name}"), F.col(f"__b_{name}")
+    for k, (name, p) in enumerate(zip(names, wanted)):
+        h = rank_of(p)
+        a, b = F.col("__a")[2 * k], F.col("__a")[2 * k + 1]
         out.append(F.when(a == b, a).otherwise(a + (b - a) * (h - F.floor(h))).alias(name))
     return got.select(*keys, *out, "n")
 

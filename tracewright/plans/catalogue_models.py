@@ -42,9 +42,8 @@ def oof_mad_scores(spark, sf):
 @query()
 def isolation_scores(spark, sf):
     e = v.table(spark, sf, "embeddings")
-    wide = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    forest = learn.IsolationForest(tuple(f"e{i}" for i in range(64)), trees=100, emphasised=("e0",))
-    return forest.fit(wide, "vec_id").score(wide).select("vec_id", "label", "score_if")
+    forest = learn.IsolationForest(tuple(f"e{i}" for i in range(64)), trees=100, emphasised=("e0",), array="embedding")
+    return forest.fit(e, "vec_id").score(e).select("vec_id", "label", "score_if")
 
 
 @query()

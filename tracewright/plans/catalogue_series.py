@@ -65,11 +65,13 @@ def metre_frames(spark, sf):
     return got.select("survey_id", "sample_idx", rnd("mean").alias("mean"), "n")
 
 
-@query(q(L, """
-, z AS (SELECT l_suppkey, sample_idx, y, x - lag(x) OVER w AS hs, lead(x) OVER w - x AS hd, lag(y) OVER w AS y0, lead(y) OVER w AS y1 FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY sample_idx))
-SELECT l_suppkey, sample_idx, round(CASE WHEN hs IS NULL THEN (y1 - y) / hd WHEN hd IS NULL THEN (y - y0) / hs ELSE (hs * hs * y1 + (hd * hd - hs * hs) * y - hd * hd * y0) / (hs * hd * (hd + hs)) END, 3) + 0.0 AS slope FROM z"""))
+@query(q(L + ", l7 AS (SELECT l_suppkey, sample_idx, x, y / 7.0 AS y FROM l)", """
+, z AS (SELECT l_suppkey, sample_idx, y, x - lag(x) OVER w AS hs, lead(x) OVER w - x AS hd, lag(y) OVER w AS y0, lead(y) OVER w AS y1 FROM l7 WINDOW w AS (PARTITION BY l_suppkey ORDER BY sample_idx))
+SELECT l_suppkey, sample_idx, round(CASE WHEN hs IS NULL THEN (y1 - y) / hd WHEN hd IS NULL THEN (y - y0) / hs ELSE (hs * hs * y1 + (hd * hd - hs * hs) * y - hd * hd * y0) / (hs * hd * (hd + hs)) END, 2) + 0.0 AS slope FROM z"""))
 def irregular_gradient(spark, sf):
-    return ts.gradient(v.items(spark, sf), "y", "x", "slope").df.select("l_suppkey", "sample_idx", rnd("slope", 3).alias("slope"))
+    s = v.items(spark, sf)
+    s = s.with_df(s.df.withColumn("y", F.col("y") / 7.0))
+    return ts.gradient(s, "y", "x", "slope").df.select("l_suppkey", "sample_idx", rnd("slope", 2).alias("slope"))
 
 
 @query(q(L, f"SELECT l_suppkey, sample_idx, {r6('max(y) OVER (PARTITION BY l_suppkey ORDER BY sample_idx)')} AS top FROM l"))
