@@ -16,6 +16,8 @@ from .quantiles import median_mad
 from .series import mean_step, odd_window, rolling_median, smooth_polynomial
 
 EPS = float(np.finfo(np.float64).eps)
+SINGLE_FIT_ROWS = 1_000_000
+MAD_SIGMA = 1.4826
 
 
 def scaled_axis(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame:
@@ -63,16 +65,19 @@ def robust_polynomial(
 ) -> DataFrame:
     """Coefficients per key of a polynomial fitted with Tukey biweights.
 
-    Each round is one aggregate of power sums over all keys, so a survey of any
-    size is summed map-side. A key keeps its fit once the residuals vanish or too
-    few rows keep weight. The few coefficients are cut from the plan every round.
+    A key keeps its fit once the residuals vanish or too few rows keep weight.
+    Keys known to be small (``longest``) are fitted one per task group. Otherwise
+    each round is one aggregate of power sums over all keys, so a survey of any
+    size is summed map-side, and the few coefficients are cut from the plan.
     """
     keys = list(keys)
+    if longest is not None and longest <= SINGLE_FIT_ROWS:
+        return _fit_small(df.select(*keys, axis, F.col(y).cast("double").alias("__y")), keys, axis, degree, rounds, tukey)
     rows = scaled_axis(df.select(*keys, axis, F.col(y).cast("double").alias("__y")), keys, axis).drop(axis)
     fit = cut(_solve(_moments(rows, keys, degree, F.lit(1.0)), keys, degree))
     for _ in range(rounds):
         resid = rows.join(fit.drop("wsum"), keys).withColumn("__r", F.col("__y") - polynomial(F.col("coef"), F.col("__x")))
-        stats = median_mad(resid, keys, "__r", longest).select(*keys, (F.lit(1.4826) * F.col("mad")).alias("__scale"))
+        stats = median_mad(resid, keys, "__r", longest).select(*keys, (F.lit(MAD_SIGMA) * F.col("mad")).alias("__scale"))
         live = resid.join(stats, keys).filter(F.col("__scale") > EPS * F.greatest(F.lit(1.0), F.col("ymax")))
         u = F.col("__r") / (tukey * F.col("__scale"))
         w = F.when(F.abs(u) < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0)
@@ -84,6 +89,30 @@ def robust_polynomial(
     return fit.select(*keys, "coef")
 
 
+def _fit_small(rows: DataFrame, keys: list[str], axis: str, degree: int, rounds: int, tukey: float) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", coef array<double>"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, y = pdf[axis].to_numpy(dtype=float), pdf["__y"].to_numpy(dtype=float)
+        span = pos.max() - pos.min()
+        powers = np.vander(2 * (pos - pos.min()) / span - 1 if span > 0 else np.zeros(len(pos)), degree + 1, increasing=True)
+        weighted = lambda w: np.linalg.lstsq((powers * w[:, None]).T @ powers, powers.T @ (w * y), rcond=None)[0]
+        coef = weighted(np.ones(len(y)))
+        for _ in range(rounds):
+            left = y - powers @ coef
+            sigma = MAD_SIGMA * np.median(np.abs(left - np.median(left)))
+            if sigma <= EPS * max(1.0, np.abs(y).max()):
+                break
+            w = np.clip(1 - (left / (tukey * sigma)) ** 2, 0, None) ** 2
+            if w.sum() <= degree + 1:
+                break
+            coef = weighted(w)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "coef": [coef.tolist()]})
+
+    return cut(rows.groupBy(*keys).applyInPandas(fit, schema))
+
+
 def remove_polynomial(df: DataFrame, keys: Sequence[str], axis: str, y: str, coefs: DataFrame, out: str) -> DataFrame:
     rows = scaled_axis(df, keys, axis).join(coefs, list(keys))
     return rows.withColumn(out, F.col(y) - polynomial(F.col("coef"), F.col("__x"))).drop("__x", "coef")

@@ -209,101 +209,135 @@ def local_maxima(series: Series, y: str) -> DataFrame:
     return tops.select(*keys, F.expr("(__first + __last) div 2").alias(series.idx), "value")
 
 
-def reach_back(series: Series, y: Column, threshold: Column, strict: bool, forward: bool = False) -> DataFrame:
-    """For rows with a ``threshold``: the nearest earlier row beyond it, and the minimum in between.
+def reach(
+    series: Series, y: Column, threshold: Column, strict: bool, row_before: Column | None = None, row_after: Column | None = None
+) -> DataFrame:
+    """For rows with a ``threshold``: the nearest row beyond it on each side, and the minimum in between.
 
-    Beyond is ``y > threshold`` if ``strict`` else ``y >= threshold``; ``forward``
-    looks at later rows instead. Result per query row: ``stop_idx`` (NULL if the
-    series ends first) and ``between_min`` (NULL if nothing lies between).
+    Beyond is ``y > threshold`` if ``strict`` else ``y >= threshold``. Result per
+    query row and ``side``: ``stop_idx`` and ``stop_value`` (NULL if the series
+    ends first), ``stop_next`` (of the row next to the stop toward the query, from
+    ``row_before``/``row_after``) and ``between_min`` (NULL if nothing lies between).
 
     A chunk keeps a falling stack of the values that can still stop somebody.
     Queries that leave their chunk meet only the stacks of the chunks before it,
-    chunk by chunk group, so each level is a small fraction of the one below and
-    no task sees a whole series.
+    chunk group by chunk group, so each level is a small fraction of the one below
+    and no task sees a whole series.
     """
-    keys, sign = list(series.keys), -1 if forward else 1
+    keys, null = list(series.keys), F.lit(None)
     items = series.df.select(
-        *keys, F.expr(f"`{series.idx}` div {series.chunk_rows}L").alias("c"), (F.col(series.idx) * sign).alias("o"),
-        F.col(series.idx).cast("long").alias("pos"), y.cast("double").alias("v"), F.lit(float("inf")).alias("g"),
-        threshold.cast("double").alias("t"), F.lit(float("inf")).alias("b"),
+        *keys, F.expr(f"`{series.idx}` div {series.chunk_rows}L").alias("__c"), F.col(series.idx).cast("long").alias("__pos"),
+        y.cast("double").alias("__v"), threshold.cast("double").alias("__t"),
+        (null if row_after is None else row_after).cast("double").alias("__a0"), (null if row_before is None else row_before).cast("double").alias("__a1"),
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*keys).schema.fields)
-    schema = f"{fields}, c long, o long, pos long, v double, g double, t double, b double, kind int, stop long"
-    first_level = True
+    schema = f"{fields}, " + ", ".join(f"{c} {t}" for c, t in _REACH_FIELDS)
+    whole = series.one_chunk
+    got = items.groupBy(*keys, "__c").applyInPandas(_first_level(keys, strict, whole), schema)
     done: list[DataFrame] = []
-    while True:
-        solve = _stack_solver(keys, strict)
-        got = items.groupBy(*keys, "c").applyInPandas(solve, schema)
-        single = (series.one_chunk and first_level)
-        if not single:
-            got = cut(got)
-            groups = got.groupBy(*keys).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
-            single = not groups
-        done.append(got.filter("kind = 1" if not single else "kind in (1, 2)"))
-        if single:
+    while not whole:
+        got = cut(got)
+        spread = got.groupBy(*keys).agg((F.max("__c") - F.min("__c")).alias("d")).agg(F.max("d")).first()[0]
+        if not spread:
             break
-        # waiting queries come before the stack of their own chunk
-        items = got.filter("kind in (0, 2)").select(
-            *keys, F.expr(f"c div {LEVEL_FANOUT}").alias("c"),
-            (F.col("c") * sign * (1 << 32) + F.when(F.col("kind") == 2, F.lit(0)).otherwise(F.col("o") + 1)).alias("o"),
-            "pos", "v", "g", "t", "b",
-        )
-        first_level = False
+        done.append(got.filter("__kind = 1"))
+        # waiting queries come before the stack of their own chunk; the right side runs backwards
+        sign = F.when(F.col("__side") == 0, 1).otherwise(-1)
+        place = F.col("__c") * sign * F.lit(1 << 32) + F.when(F.col("__kind") == 2, F.lit(0)).otherwise(F.col("__o") + 1)
+        items = got.filter("__kind in (0, 2)").withColumn("__o", place).withColumn("__c", F.expr(f"__c div {LEVEL_FANOUT}"))
+        got = items.groupBy(*keys, "__side", "__c").applyInPandas(_next_level(keys, strict), schema)
+    done.append(got.filter("__kind in (1, 2)"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*keys, F.col("pos").alias(series.idx), F.col("stop").alias("stop_idx"), F.when(F.col("b") != float("inf"), F.col("b")).alias("between_min"))
+    return out.select(
+        *keys, F.col("__pos").alias(series.idx), F.when(F.col("__side") == 0, "left").otherwise("right").alias("side"),
+        F.col("__stop").alias("stop_idx"), F.when(F.col("__kind") == 1, F.col("__v")).alias("stop_value"),
+        F.when(F.col("__kind") == 1, F.col("__a")).alias("stop_next"), F.when(F.col("__b") < float("inf"), F.col("__b")).alias("between_min"),
+    )
 
 
-def _stack_solver(keys: list[str], strict: bool):
-    """One chunk in order. Output kinds: 0 stack entry, 1 answered query, 2 query that left the chunk."""
+_REACH_FIELDS = [
+    ("__side", "int"), ("__c", "long"), ("__o", "long"), ("__pos", "long"), ("__v", "double"), ("__g", "double"), ("__t", "double"),
+    ("__b", "double"), ("__a", "double"), ("__kind", "int"), ("__stop", "long"),
+]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        key, chunk = [pdf[k].iloc[0] for k in keys], int(pdf["c"].iloc[0])
-        inf = float("inf")
-        # entry values, minimum hidden behind each entry, entry positions
-        sv, sg, sp, head = [], [], [], inf
-        queries = []
-        for pos, v, g, t, b in zip(pdf["pos"], pdf["v"], pdf["g"], pdf["t"], pdf["b"]):
-            if t == t:
-                low, i = b, len(sv) - 1
-                while i >= 0 and not (sv[i] > t if strict else sv[i] >= t):
-                    low = min(low, sg[i], sv[i] if sv[i] > -inf else inf)
-                    i -= 1
-                if i >= 0:
-                    queries.append((pos, t, min(low, sg[i]), 1, sp[i]))
-                else:
-                    queries.append((pos, t, min(low, head), 2, None))
-            if v != v:
-                continue
-            low = inf
-            while sv and (sv[-1] <= v):
-                top = sv.pop()
-                low = min(low, sg.pop(), top if top > -inf else inf)
-                sp.pop()
-            if sv:
-                sg[-1] = min(sg[-1], low)
+
+def _walk(pos, v, g, t, b, a, strict: bool):
+    """One pass over rows in order: (stack entries, queries).
+
+    ``g`` is the minimum hidden behind an entry, ``b`` what a query has passed so
+    far. A query is (pos, threshold, passed minimum, stop position, stop value,
+    stop neighbour), the last three None if nothing in here stops it.
+    """
+    inf = float("inf")
+    sv, sg, sp, sa, head, queries = [], [], [], [], inf, []
+    for p, x, hidden, limit, passed, near in zip(pos, v, g, t, b, a):
+        if limit == limit:
+            low, i = passed, len(sv) - 1
+            while i >= 0 and not (sv[i] > limit if strict else sv[i] >= limit):
+                low = min(low, sg[i], sv[i] if sv[i] > -inf else inf)
+                i -= 1
+            if i >= 0:
+                queries.append((p, limit, min(low, sg[i]), sp[i], sv[i], sa[i]))
             else:
-                head = min(head, low)
-            sv.append(v)
-            sg.append(g)
-            sp.append(pos)
-        n = len(sv)
-        # what lies before the first entry is passed by every query that goes further: it stands behind an entry below all values
-        entries = pd.DataFrame({
-            "o": range(n + 1), "pos": [-1, *sp], "v": [-inf, *sv], "g": [head, *sg], "t": np.nan, "b": inf, "kind": 0,
-        })
-        asked = pd.DataFrame(
-            {"o": 0, "pos": [q[0] for q in queries], "v": np.nan, "g": inf, "t": [q[1] for q in queries],
-             "b": [q[2] for q in queries], "kind": [q[3] for q in queries], "stop": pd.array([q[4] for q in queries], dtype="Int64")}
-        )
-        entries["stop"] = pd.array([None] * len(entries), dtype="Int64")
-        out = pd.concat([entries, asked], ignore_index=True) if queries else entries
-        for name, val in zip(keys, key):
-            out[name] = val
-        out["c"] = chunk
-        return out[[*keys, "c", "o", "pos", "v", "g", "t", "b", "kind", "stop"]]
+                queries.append((p, limit, min(low, head), None, None, None))
+        if x != x:
+            continue
+        low = inf
+        while sv and sv[-1] <= x:
+            top = sv.pop()
+            low = min(low, sg.pop(), top if top > -inf else inf)
+            sp.pop()
+            sa.pop()
+        if sv:
+            sg[-1] = min(sg[-1], low)
+        else:
+            head = min(head, low)
+        sv.append(x)
+        sg.append(hidden)
+        sp.append(p)
+        sa.append(near)
+    # rows before the first entry stand behind an entry below all values
+    return (list(zip([-1, *sp], [-inf, *sv], [head, *sg], [np.nan, *sa])), queries)
+
+
+def _reach_frame(pdf: pd.DataFrame, keys: list[str], parts: list) -> pd.DataFrame:
+    """Rows of one group; kind 0 is a stack entry, 1 an answered query, 2 one that left the chunk."""
+    rows, chunk, inf = [], int(pdf["__c"].iloc[0]), float("inf")
+    for side, entries, queries in parts:
+        rows += [(side, chunk, o, p, v, g, np.nan, inf, a, 0, None) for o, (p, v, g, a) in enumerate(entries)]
+        for p, t, low, stop, at, near in queries:
+            kind = 2 if stop is None else 1
+            rows.append((side, chunk, 0, p, np.nan if at is None else at, inf, t, low, np.nan if near is None else near, kind, stop))
+    out = pd.DataFrame(rows, columns=[c for c, _ in _REACH_FIELDS])
+    out["__stop"] = out["__stop"].astype("Int64")
+    for i, k in enumerate(keys):
+        out.insert(i, k, pdf[k].iloc[0])
+    return out
+
+
+def _first_level(keys: list[str], strict: bool, whole: bool):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__pos")
+        inf, parts = [float("inf")] * len(pdf), []
+        cols = {c: pdf[c].tolist() for c in ("__pos", "__v", "__t", "__a0", "__a1")}
+        for side in (0, 1):
+            turn = slice(None, None, -1 if side else 1)
+            entries, queries = _walk(
+                cols["__pos"][turn], cols["__v"][turn], inf, cols["__t"][turn], inf, cols[f"__a{side}"][turn], strict
+            )
+            parts.append((side, [] if whole else entries, queries))
+        return _reach_frame(pdf, keys, parts)
+
+    return solve
+
+
+def _next_level(keys: list[str], strict: bool):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__o", kind="stable")
+        entries, queries = _walk(*[pdf[c].tolist() for c in ("__pos", "__v", "__g", "__t", "__b", "__a")], strict)
+        return _reach_frame(pdf, keys, [(int(pdf["__side"].iloc[0]), entries, queries)])
 
     return solve
 
@@ -311,32 +345,31 @@ def _stack_solver(keys: list[str], strict: bool):
 def prominences(series: Series, y: str, peaks: DataFrame) -> DataFrame:
     """Height of each peak over the higher of its two bases; a base lies between the peak and the next higher row."""
     keys, idx = list(series.keys), series.idx
-    marked = series.with_df(series.df.select(*keys, idx, y).join(peaks.select(*keys, idx, F.lit(1).alias("__q")), [*keys, idx], "left"))
-    ask = F.when(F.col("__q") == 1, F.col(y))
-    left = reach_back(marked, F.col(y), ask, strict=True).select(*keys, idx, F.col("between_min").alias("__lb"))
-    right = reach_back(marked, F.col(y), ask, strict=True, forward=True).select(*keys, idx, F.col("between_min").alias("__rb"))
-    got = peaks.select(*keys, idx, "value").join(left, [*keys, idx]).join(right, [*keys, idx])
-    base = F.greatest(F.coalesce("__lb", "value"), F.coalesce("__rb", "value"))
-    return got.select(*keys, idx, "value", (F.col("value") - base).alias("prominence"))
+    marks = peaks.select(*keys, idx, F.col("value").alias("__top"))
+    marked = series.with_df(series.df.select(*keys, idx, y).join(marks, [*keys, idx], "left"))
+    bases = reach(marked, F.col(y), F.col("__top"), strict=True).select(*keys, idx, "between_min")
+    low = bases.join(marks, [*keys, idx]).groupBy(*keys, idx).agg(
+        F.first("__top").alias("value"), F.max(F.coalesce("between_min", "__top")).alias("__base")
+    )
+    return low.select(*keys, idx, "value", (F.col("value") - F.col("__base")).alias("prominence"))
 
 
 def half_widths(series: Series, y: str, peaks: DataFrame) -> DataFrame:
     """Crossings of half prominence on both sides of each peak, interpolated between rows."""
     keys, idx = list(series.keys), series.idx
-    rows = series.df.select(*keys, idx, y)
-    level = F.col("value") - F.col("prominence") * 0.5
-    asked = series.with_df(rows.join(peaks.select(*keys, idx, level.alias("__lev")), [*keys, idx], "left"))
-    ends = {}
-    for side, fwd in (("left", False), ("right", True)):
-        hit = reach_back(asked, -F.col(y), -F.col("__lev"), strict=False, forward=fwd).select(*keys, idx, F.col("stop_idx").alias("__s"))
-        toward = 1 if not fwd else -1
-        at = rows.select(*keys, F.col(idx).alias("__s"), F.col(y).alias("__ys"))
-        nxt = rows.select(*keys, (F.col(idx) - toward).alias("__s"), F.col(y).alias("__yn"))
-        hit = hit.join(at, [*keys, "__s"]).join(nxt, [*keys, "__s"])
-        lev = peaks.select(*keys, idx, level.alias("__lev"))
-        frac = F.when(F.col("__ys") < F.col("__lev"), safe_div(F.col("__lev") - F.col("__ys"), F.col("__yn") - F.col("__ys"))).otherwise(0.0)
-        ends[side] = hit.join(lev, [*keys, idx]).select(*keys, idx, (F.col("__s") + toward * frac).alias(f"{side}_x"))
-    return peaks.join(ends["left"], [*keys, idx]).join(ends["right"], [*keys, idx])
+    rows = series.with_df(series.df.select(*keys, idx, y)).running(__prev=before(F.col(y)), __next=after(F.col(y)))
+    level = peaks.select(*keys, idx, (F.col("value") - F.col("prominence") * 0.5).alias("__lev"))
+    asked = rows.with_df(rows.df.join(level, [*keys, idx], "left"))
+    # looking for the first row at or below the level
+    hits = reach(asked, -F.col(y), -F.col("__lev"), strict=False, row_before=F.col("__prev"), row_after=F.col("__next"))
+    at, near, lev = -F.col("stop_value"), F.col("stop_next"), F.col("__lev")
+    toward = F.when(F.col("side") == "left", 1).otherwise(-1)
+    frac = F.when(at < lev, safe_div(lev - at, near - at)).otherwise(0.0)
+    hits = hits.join(level, [*keys, idx]).select(*keys, idx, "side", (F.col("stop_idx") + toward * frac).alias("__x"))
+    ends = hits.groupBy(*keys, idx).agg(
+        F.max(F.when(F.col("side") == "left", F.col("__x"))).alias("left_x"), F.max(F.when(F.col("side") == "right", F.col("__x"))).alias("right_x")
+    )
+    return peaks.join(ends, [*keys, idx])
 
 
 def peak_shapes(series: Series, y: str, min_sigmas: float) -> DataFrame:
