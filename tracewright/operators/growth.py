@@ -17,15 +17,19 @@ def log_slopes(obs: DataFrame, obj: str, x: str, y: str) -> DataFrame:
     """
     ly = F.ln(F.when(F.col(y) > 0, F.col(y)))
     rows = obs.select(obj, F.col(x).cast("double").alias("__x"), ly.alias("__y"))
-    g = rows.groupBy(obj).agg(
-        F.count(F.lit(1)).alias("n_obs"), F.count("__y").alias("__ok"),
-        F.regr_sxx("__y", "__x").alias("sxx"), F.regr_syy("__y", "__x").alias("syy"), F.regr_sxy("__y", "__x").alias("sxy"),
+    means = rows.groupBy(obj).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.count("__y").alias("__ok"), F.avg("__x").alias("__mx"), F.avg("__y").alias("__my")
     )
+    dx, dy = F.col("__x") - F.col("__mx"), F.col("__y") - F.col("__my")
+    centred = rows.join(means, obj)
+    fit = centred.groupBy(obj, "n_obs", "__ok", "__mx", "__my").agg(F.sum(dx * dx).alias("sxx"), F.sum(dx * dy).alias("sxy"))
     usable = (F.col("sxx") > 0) & (F.col("__ok") == F.col("n_obs"))
-    slope = F.when(usable, safe_div(F.col("sxy"), F.col("sxx")))
-    sse = F.greatest(F.lit(0.0), F.col("syy") - safe_div(F.col("sxy") * F.col("sxy"), F.col("sxx")))
-    var = F.when(usable & (F.col("n_obs") > 2), safe_div(safe_div(sse, F.col("n_obs") - 2), F.col("sxx")))
-    return g.select(obj, "n_obs", slope.alias("slope"), var.alias("slope_var"))
+    fit = fit.withColumn("slope", F.when(usable, safe_div(F.col("sxy"), F.col("sxx"))))
+    # residuals are summed row by row: the difference of sums would lose a nearly exact fit
+    e = dy - F.col("slope") * dx
+    sse = rows.join(fit.select(obj, "__mx", "__my", "slope"), obj).groupBy(obj).agg(F.sum(e * e).alias("sse"))
+    var = F.when(F.col("slope").isNotNull() & (F.col("n_obs") > 2), safe_div(safe_div(F.col("sse"), F.col("n_obs") - 2), F.col("sxx")))
+    return fit.join(sse, obj).select(obj, "n_obs", "slope", var.alias("slope_var"))
 
 
 def pooled_rate(slopes: DataFrame) -> DataFrame:
