@@ -5,7 +5,7 @@ from tracewright.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[4]", shuffle_partitions=4)
+    session = build_session("tests", master="local[8]", shuffle_partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -15,19 +15,20 @@ def naive(left, right, tol):
     return out
 
 
-def run(spark, left, right, tol):
+def run(spark, left, right, tol, small=0):
     l = spark.createDataFrame([("s", i, float(x)) for i, x in left] or [("s", -1, None)], "k string, i long, x double")
     r = spark.createDataFrame([("s", j, float(y)) for j, y in right] or [("s", -1, None)], "k string, j long, y double")
-    return {(g.i, g.j) for g in m.greedy_match(l, r, ["k"], "x", "y", "i", "j", tol).collect()}
+    return {(g.i, g.j) for g in m.greedy_match(l, r, ["k"], "x", "y", "i", "j", tol, small_rows=small).collect()}
 
 
-def test_greedy_equals_the_sequential_walk(spark):
+@pytest.mark.parametrize("small", [0, 9, 2000])
+def test_greedy_equals_the_sequential_walk(spark, small):
     """Many small integer cases, full of ties, matched together as separate keys."""
     rng = np.random.default_rng(11)
     cases = [(rng.integers(0, 30, rng.integers(0, 10)), rng.integers(0, 30, rng.integers(0, 10))) for _ in range(150)]
     l = spark.createDataFrame([(k, i, float(x)) for k, (xs, _) in enumerate(cases) for i, x in enumerate(xs)], "k long, i long, x double")
     r = spark.createDataFrame([(k, j, float(y)) for k, (_, ys) in enumerate(cases) for j, y in enumerate(ys)], "k long, j long, y double")
-    got = {(g.k, g.i, g.j) for g in m.greedy_match(l, r, ["k"], "x", "y", "i", "j", 5.0).collect()}
+    got = {(g.k, g.i, g.j) for g in m.greedy_match(l, r, ["k"], "x", "y", "i", "j", 5.0, small_rows=small).collect()}
     want = {(k, i, j) for k, (xs, ys) in enumerate(cases) for i, j in naive(list(enumerate(xs)), list(enumerate(ys)), 5)}
     bad = sorted({k for k, _, _ in got ^ want})
     assert not bad, [(cases[k], sorted(p[1:] for p in got if p[0] == k), sorted(p[1:] for p in want if p[0] == k)) for k in bad[:2]]

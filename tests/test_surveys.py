@@ -204,11 +204,11 @@ def test_content_hash_invariants(spark):
 def test_stream_resumes_and_repeats_nothing(spark, tmp_path):
     root, store, ck = (str(tmp_path / n) for n in ("raw", "store", "ck"))
     cfg = ft.FeatureConfig(windows_m=(2.0, 5.0), detrend_window_m=10.0)
-    write(root, walk(80, 0, "L1", n=900))
+    write(root, walk(80, 0, "007", n=900))
     arrivals.run(spark, root, store, ck, CFG, cfg)
     first = spark.read.parquet(f"{store}/features").count()
     assert first == 900
-    write(root, walk(81, 1, "L1", n=900))
+    write(root, walk(81, 1, "007", n=900))
     arrivals.run(spark, root, store, ck, CFG, cfg)
     arrivals.run(spark, root, store, ck, CFG, cfg)
     feats = spark.read.parquet(f"{store}/features")
@@ -219,5 +219,5 @@ def test_stream_resumes_and_repeats_nothing(spark, tmp_path):
     again = jobs.full_run(spark, root, store, CFG, cfg)
     assert {r.outcome for r in again.collect()} == {"noop"}
     reg_rows = spark.read.parquet(f"{store}/registry")
-    corpus = io.read_features(spark, store, 3, reg_rows.select("survey_id", "surveyed_at"), reg_rows.agg(F.max("surveyed_at")).first()[0], ["L1"])
+    corpus = io.read_features(spark, store, 3, reg_rows.select("survey_id", "surveyed_at"), reg_rows.agg(F.max("surveyed_at")).first()[0], ["007"])
     assert corpus.count() == 1800

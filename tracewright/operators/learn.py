@@ -137,7 +137,8 @@ class IsolationForest:
         # at most trees * 2 * sample nodes of four numbers
         forest = [np.array(r["nodes"]).reshape(-1, 4) for r in grown.orderBy("tree").collect()]
         model = IsolationForestModel(self, forest, _mean_path(min(self.sample, n)), 0.0)
-        offset = contamination_threshold(model.score(df, "__s"), "__s", self.contamination).first()["threshold"]
+        scores = cut(model.score(df, "__s").select("__s"))  # read twice below
+        offset = contamination_threshold(scores, "__s", self.contamination).first()["threshold"]
         return IsolationForestModel(self, forest, model.norm, offset)
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .ordered import Series, earlier, following, later, latest, order_rows
 
+SMALL_KEY_ROWS = 2_000
+
 
 def nearest(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_x: str, right_x: str, right_id: str, payload: Sequence[str] = ()
@@ -98,6 +102,7 @@ def greedy_match(
     right_id: str,
     tolerance: float,
     payload: Sequence[str] = (),
+    small_rows: int = SMALL_KEY_ROWS,
 ) -> DataFrame:
     """Closest pairs first, every left and right row used at most once.
 
@@ -106,6 +111,9 @@ def greedy_match(
     neighbouring positions that are each other's nearest, so each round takes all
     such pairs at once and drops rows that can no longer reach a partner; no pair
     list is built. Rows at one position act together and pair off in id order.
+
+    Keys with at most ``small_rows`` rows are walked in their own group instead,
+    which saves the rounds; larger keys share the rounds.
     """
     keys, payload = list(keys), list(payload)
     l = left.select(*keys, F.col(left_x).cast("double").alias("__x"), F.lit(0).alias("__kind"), F.struct(F.col(left_id)).alias("__id0"))
@@ -117,9 +125,13 @@ def greedy_match(
     series = order_rows(
         both, keys, [F.col("__x"), F.col("__kind"), F.col(f"__id0.{left_id}"), F.col(f"__id1.{right_id}")], idx="__i"
     )
-    rest = cut(series.df)
-    taken: list[DataFrame] = []
-    while True:
+    rest, taken = cut(series.df), []
+    if small_rows:
+        sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        few = rest.join(sizes.filter(F.col("__n") <= small_rows), keys, "left_semi")
+        taken.append(cut(_match_small(few, keys, left_id, right_id, tolerance)))
+        rest = rest.join(sizes.filter(F.col("__n") > small_rows), keys, "left_semi")
+    while series.longest is None or series.longest > small_rows:
         heads = rest.groupBy(*keys, "__x", "__kind").agg(
             F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__m"),
             F.min(F.col(f"__id0.{left_id}")).alias("__h0"), F.min(F.col(f"__id1.{right_id}")).alias("__h1"),
@@ -165,7 +177,7 @@ def greedy_match(
         taken.append(pairs)
         used = pairs.select(*keys, F.col("__ia").alias("__i")).unionByName(pairs.select(*keys, F.col("__ib").alias("__i")))
         rest = cut(alive.select(*rest.columns).join(used, [*keys, "__i"], "left_anti"))
-    matched = reduce(DataFrame.unionByName, taken) if taken else pairs
+    matched = reduce(DataFrame.unionByName, [t.select(*keys, "__id0", "__id1", "__d") for t in taken] or [pairs])
     return matched.select(
         *keys,
         F.col(f"__id0.{left_id}").alias(left_id),
@@ -175,6 +187,34 @@ def greedy_match(
     )
 
 
+def _match_small(rows: DataFrame, keys: list[str], left_id: str, right_id: str, tolerance: float) -> DataFrame:
+    """Greedy pairs of keys with few rows, one group per key."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    flat = rows.select(*keys, "__i", "__kind", "__x", F.col(f"__id0.{left_id}").alias("__l"), F.col(f"__id1.{right_id}").alias("__r"))
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __ia long, __ib long, __d double"
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["__kind"] == 0].sort_values("__l"), pdf[pdf["__kind"] == 1].sort_values("__r")
+        at = right["__x"].to_numpy()
+        gaps = np.abs(left["__x"].to_numpy()[:, None] - at[None, :])
+        i, j = np.nonzero(gaps <= tolerance)
+        d = gaps[i, j]
+        free_l, free_r, out = np.ones(len(left), bool), np.ones(len(right), bool), []
+        for n in np.lexsort((j, i, d)):
+            if free_l[i[n]] and free_r[j[n]]:
+                free_l[i[n]] = free_r[j[n]] = False
+                out.append((left["__i"].iloc[i[n]], right["__i"].iloc[j[n]], d[n]))
+        got = pd.DataFrame(out, columns=["__ia", "__ib", "__d"])
+        for k in reversed(keys):
+            got.insert(0, k, pdf[k].iloc[0])
+        return got
+
+    pairs = flat.groupBy(*keys).applyInPandas(walk, schema)
+    a = rows.filter("__kind = 0").select(*keys, F.col("__i").alias("__ia"), "__id0")
+    b = rows.filter("__kind = 1").select(*keys, F.col("__i").alias("__ib"), "__id1")
+    return pairs.join(a, [*keys, "__ia"]).join(b, [*keys, "__ib"]).select(*keys, "__id0", "__id1", "__d")
+
+
 def _arenas(choice: DataFrame, keys: list[str]) -> DataFrame:
     """Which positions pair off together in this round, and how many rows each may give.
 

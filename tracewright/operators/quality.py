@@ -164,14 +164,21 @@ def overlap_pairs(extents: DataFrame, line: str, survey: str) -> DataFrame:
 
 
 def overlap_correlation(
-    rows: DataFrame, extents: DataFrame, line: str, survey: str, idx: str, signal: str, min_rows: int = 10
+    rows: DataFrame, extents: DataFrame, line: str, survey: str, idx: str, signal: str, min_rows: int = 10, fresh: DataFrame | None = None
 ) -> DataFrame:
     """Pearson r of the signal over the common index window of every overlapping pair.
 
+    With ``fresh`` only pairs with at least one of those surveys are looked at.
+
     Rows of the two surveys meet on ``(line, idx)``; the sums behind r are built
     map-side, so a pair needs one small record per task.
     """
     pairs = overlap_pairs(extents, line, survey)
+    if fresh is not None:
+        new = fresh.select(F.col(survey).alias("__s")).distinct().withColumn("__new", F.lit(True))
+        for side in ("a", "b"):
+            pairs = pairs.join(new.select(F.col("__s").alias(side), F.col("__new").alias(f"__{side}")), side, "left")
+        pairs = pairs.filter("__a or __b").drop("__a", "__b")
     left = rows.select(line, F.col(survey).alias("a"), F.col(idx).alias("__i"), F.col(signal).alias("x"))
     right = rows.select(line, F.col(survey).alias("b"), F.col(idx).alias("__i"), F.col(signal).alias("y"))
     window = (F.col("__i") >= F.expr("cast(lo / step_a as long)")) & (F.col("__i") <= F.expr("cast(hi / step_a as long)"))

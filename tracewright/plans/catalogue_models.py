@@ -9,6 +9,7 @@ from ..operators import learn, metrics
 from ..operators.islands import cluster_indications
 from ..operators.ordered import indexed
 from ..session import cut
+from . import evaluation as ev
 from . import views as v
 from .catalogue import query
 from .jobs import forecast, match_surveys
@@ -153,3 +154,48 @@ def growth_forecast(spark, sf):
     shown = matched.filter("matched_kind = 'defect'").withColumn("sev_pred", F.col("anomaly_score")).withColumn("sev_lo", F.col("anomaly_score") * 0.9).withColumn("sev_hi", F.col("anomaly_score") * 1.1)
     got = forecast(cut(matched.drop("run_id")), rows, rows.select("survey_id", "run_id"), shown, 500.0)
     return got.select("matched_source_id", "n_obs", "shrunk_rate", "life_lo", "life_med", "life_hi")
+
+
+def _evaluated(spark, sf):
+    series = v.readings(spark, sf)
+    rows = cut(v.heads(series.df).withColumn("score_value", F.col("value") - v.THRESHOLD).withColumn("score_spread", F.abs(F.col("b_hi") - F.col("b_lo")) - 40.0))
+    return rows, cut(v.sources(spark, sf))
+
+
+VALUE, SPREAD = ev.Scoring("value", "score_value", 0.0), ev.Scoring("spread", "score_spread", 0.0)
+
+
+@query()
+def detection_report(spark, sf):
+    rows, registry = _evaluated(spark, sf)
+    return ev.detection_report(rows, [VALUE, SPREAD], registry, 20.0, v.TOLERANCE)
+
+
+@query()
+def recall_gap(spark, sf):
+    rows, registry = _evaluated(spark, sf)
+    return ev.recall_gap(rows, VALUE, SPREAD, registry, 20.0, v.TOLERANCE)
+
+
+@query()
+def whole_line_cv(spark, sf):
+    rows, registry = _evaluated(spark, sf)
+    forest = learn.IsolationForest(("b_lo", "b_mid", "b_hi"), trees=40, contamination=0.1)
+    scored = cut(ev.held_out_scores(ev.line_folds(rows, 3), 3, "event_id", forest))
+    return ev.detection_report(scored, [ev.Scoring("forest", "score", 0.0)], registry, 20.0, v.TOLERANCE)
+
+
+@query()
+def ablation_recall(spark, sf):
+    rows, registry = _evaluated(spark, sf)
+    arms = {"one": ["b_lo"], "three": ["b_lo", "b_mid", "b_hi"]}
+    make = lambda columns: learn.IsolationForest(tuple(columns), trees=30, contamination=0.1)
+    return ev.ablation(ev.block_folds(rows, 24.0, 3), arms, 3, "event_id", make, registry, 20.0, v.TOLERANCE)
+
+
+@query()
+def transfer_matrix(spark, sf):
+    d = document_features(spark, sf).withColumn("y", F.col("n_words") / F.greatest(F.lit(1.0), F.col("line_count")))
+    d = cut(d.withColumn("half", F.when(F.col("fold") < 2, "train").otherwise("test")))
+    model = learn.SeverityModel(["n_chars", "digit_share", "upper_share", "line_count"], trees=20)
+    return ev.transfer(d, "lang", "half", "source", "y", "doc_id", model, ["en", "de"])

@@ -34,14 +34,30 @@ class QualityLimits:
     min_coverage: float = 0.95
 
 
-def quality_checks(rows: DataFrame, meta: DataFrame, hashes: DataFrame, limits: QualityLimits = QualityLimits(), expected: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All fourteen checks over a batch of raw surveys; positions in the file give the file order."""
+def quality_checks(
+    rows: DataFrame, meta: DataFrame, hashes: DataFrame, limits: QualityLimits = QualityLimits(), expected: DataFrame | None = None,
+    history: DataFrame | None = None, history_meta: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """All fourteen checks over a batch of raw surveys; positions in the file give the file order.
+
+    ``history`` holds readings of surveys accepted earlier and ``history_meta``
+    their registry rows. The batch is compared with them and with itself; two
+    surveys of the history are not compared again.
+    """
     heads, survey = list(quality.HEADS), "survey_id"
     longest = int(meta.agg(F.max("n_samples")).first()[0] or 0)
     # a survey is one or more files, and a row has its own place in its file
     in_file = indexed(rows, [survey, "source_uri"], "file_pos", longest)
     by_idx = indexed(rows, [survey], "sample_idx")
-    corr = quality.overlap_correlation(rows, meta, "line_id", survey, "sample_idx", "b_mid_nt")
+    batch, sizes = meta.select(survey), ["line_id", survey, "start_m", "end_m", "step_m"]
+    signals = ["line_id", survey, "sample_idx", *heads]
+    around, spans, known = rows.select(*signals), meta.select(*sizes), hashes.select(survey, "content_sha256")
+    if history is not None:
+        around = around.unionByName(history.select(*signals))
+        spans = spans.unionByName(history_meta.select(*sizes))
+        known = known.unionByName(history_meta.select(survey, "content_sha256"))
+    new_only = lambda df: df.join(batch, survey, "left_semi")
+    corr = quality.overlap_correlation(around, spans, "line_id", survey, "sample_idx", "b_mid_nt", fresh=batch)
     expected = expected if expected is not None else meta.select(survey, F.lit(None).cast("double").alias("expected_length_m"))
     return {
         "schema": quality.contract(rows, survey, quality.reading_rules()),
@@ -50,12 +66,12 @@ def quality_checks(rows: DataFrame, meta: DataFrame, hashes: DataFrame, limits:
         "sample_idx_monotonic": quality.monotonic(in_file, survey, "sample_idx"),
         "sample_idx_gap": quality.index_gaps(by_idx, survey, limits.step_m, limits.max_gap_m),
         "duplicate_sample_idx": quality.duplicate_index(rows, survey, ["sample_idx"]),
-        "duplicate_content": quality.duplicate_content(hashes, survey, "content_sha256"),
+        "duplicate_content": new_only(quality.duplicate_content(known, survey, "content_sha256")),
         "survey_overlap": quality.overlap_check(corr, meta, survey, limits.overlap_r),
         "gps_jump": quality.jump_distance(in_file, survey, "lat", "lon", limits.max_jump_m),
         "gps_chainage_consistency": quality.path_vs_span(in_file, survey, "lat", "lon", "chainage_true_m"),
         "noise_floor": quality.noise_floor(in_file, survey, heads, *limits.noise),
-        "background_regime": quality.regime_shift(rows, "line_id", survey, heads, longest=longest),
+        "background_regime": new_only(quality.regime_shift(around, "line_id", survey, heads)),
         "interference_density": quality.outlier_density(rows, survey, "b_mid_nt", longest=longest),
         "coverage": quality.coverage(rows, expected, survey, "chainage_true_m", limits.min_coverage),
     }
@@ -73,15 +89,20 @@ def hash_columns() -> list[str]:
     return [f.name for f in quality.READING_SCHEMA.fields if f.name not in ("line_id", "run_id")]
 
 
-def ingest(rows: DataFrame, registry: DataFrame | None = None, limits: QualityLimits = QualityLimits()) -> Ingested:
-    """Hash, register and check a batch; conflicts and failed surveys get a status, the batch goes on."""
+def ingest(rows: DataFrame, registry: DataFrame | None = None, limits: QualityLimits = QualityLimits(), history: DataFrame | None = None) -> Ingested:
+    """Hash, register and check a batch; conflicts and failed surveys get a status, the batch goes on.
+
+    ``history``: readings of accepted surveys of the registry.
+    """
     hashes = cut(content_hashes(rows, "survey_id", hash_columns()))
     meta = cut(io.survey_metadata(rows).join(hashes, "survey_id"))
     outcome = meta.withColumn("outcome", F.lit("accepted")) if registry is None else register(meta, registry)
     outcome = cut(outcome)
     # nothing registered before is checked or loaded again
     fresh = rows.join(outcome.filter("outcome = 'accepted'").select("survey_id"), "survey_id", "left_semi")
-    dq = cut(quality.report(quality_checks(fresh, meta, hashes, limits), "survey_id"))
+    checked = cut(outcome.filter("outcome = 'accepted'").drop("outcome"))
+    old = None if history is None else registry.filter("status = 'accepted'")
+    dq = cut(quality.report(quality_checks(fresh, checked, checked, limits, None, history, old), "survey_id"))
     verdicts = quality.gate(dq, "survey_id")
     status = F.when(F.col("outcome") != "accepted", F.col("outcome")).otherwise(F.coalesce("verdict", F.lit("accepted")))
     out = outcome.join(verdicts.select("survey_id", "verdict"), "survey_id", "left").withColumn("status", status).drop("verdict")
@@ -101,7 +122,11 @@ def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationCo
     """Raw files to feature store: register, check, quarantine, compute what is missing, write. Returns the registry rows."""
     rows = io.read_surveys(spark, root) if rows is None else rows
     known = _read_or_none(spark, f"{store}/registry")
-    done = ingest(rows, known, limits)
+    loaded = None if known is None else _read_or_none(spark, f"{store}/readings")
+    if loaded is not None:
+        lines = rows.select("line_id").distinct()
+        loaded = loaded.join(lines, "line_id", "left_semi")
+    done = ingest(rows, known, limits, loaded)
     io.quarantine(rows, done.dq, done.verdicts, f"{store}/quarantine")
     new = done.registry.filter(F.col("outcome") == "accepted")
     todo = io.pending(
@@ -112,6 +137,7 @@ def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationCo
         chosen = rows.join(todo.select("survey_id"), "survey_id", "left_semi")
         frame, _ = build_features(chosen, reg_cfg, cfg)
         io.write_features(frame, todo, store)
+    io.load_readings(rows, new, f"{store}/readings")
     # the registry is written last: a run that is killed before repeats the same work
     new.write.mode("append").parquet(f"{store}/registry")
     done.dq.write.mode("append").parquet(f"{store}/dq_report")
@@ -120,7 +146,7 @@ def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationCo
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return io.read_keyed(spark, path)
     except Exception as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise

@@ -64,7 +64,7 @@ m AS (
 
 L = """
 l0 AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS sample_idx FROM lineitem),
-l AS (SELECT *, date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) + sample_idx * 0.001 AS x, l_extendedprice / 1000.0 AS y FROM l0)"""
+l AS (SELECT *, date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) + sample_idx * CAST(0.001 AS DOUBLE) AS x, l_extendedprice / 1000.0 AS y FROM l0)"""
 
 DOC = """
 d AS (SELECT labels.doc_id, quality, toxic, n_chars, lang, source, n_chars / (n_chars + 2000.0) AS score FROM labels JOIN documents USING (doc_id))"""

@@ -14,6 +14,7 @@ def build_session(app: str = "tracewright", master: str | None = None, shuffle_p
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.compress", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

@@ -33,6 +33,13 @@ def read_surveys(spark: SparkSession, root: str, schema: T.StructType = READING_
     return nan_to_null(df).withColumn("survey_id", survey_id(F.col("line_id"), F.col("run_id")))
 
 
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by line and run, with the keys in their own types: line ids that look like numbers stay strings."""
+    own = {"line_id": T.StringType(), "survey_id": T.StringType(), "run_id": T.LongType(), "fv": T.LongType()}
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, own.get(f.name, f.dataType)) for f in found.fields])).parquet(path)
+
+
 def survey_metadata(rows: DataFrame, chainage: str = "chainage_true_m", time: str = "file_time") -> DataFrame:
     """One registry row per survey: size, extent, mean step and time."""
     n = F.count(F.lit(1))
@@ -58,8 +65,9 @@ def accepted(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def load_readings(rows: DataFrame, registry: DataFrame, path: str) -> None:
-    """Append the readings of accepted surveys."""
-    accepted(rows, registry).repartition("line_id", "run_id", F.expr("sample_idx div 1000000")).write.mode("append").partitionBy("line_id", "run_id").parquet(path)
+    """Readings of accepted surveys, one folder per survey: loading one again replaces it."""
+    parts = accepted(rows, registry).repartition("line_id", "run_id", F.expr("sample_idx div 1000000"))
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("line_id", "run_id").parquet(path)
 
 
 def write_features(features: DataFrame, meta: DataFrame, root: str, rows_per_file: int = 1_000_000) -> None:
@@ -92,7 +100,7 @@ def read_features(
     Version and lines are partition columns, so other directories are not opened.
     """
     known = surveys.filter(F.col(time) <= F.lit(as_of)).select("survey_id", time)
-    df = spark.read.parquet(f"{root}/features").filter(F.col("fv") == version).drop("fv")
+    df = read_keyed(spark, f"{root}/features").filter(F.col("fv") == version).drop("fv")
     if lines is not None:
         df = df.filter(F.col("line_id").isin(list(lines)))
     out = df.join(known, "survey_id")
