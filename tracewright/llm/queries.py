@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, url_filter
-from .common import read
+from . import arrow_tokens, bpe_words, license_scan, line_dedup, ngram_join, packing, url_filter
+from .common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,11 +17,24 @@ SQL: dict[str, str] = {}
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set sizes and components of documents that share at least 80 % of five-word shingles."""
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their cleaned text, the number of lines and of dropped lines."""
@@ -29,6 +42,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it."""
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict and how it came about."""
@@ -48,6 +67,22 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of every text's ids and of what they decode to."""
+    return bpe_words.word_round_trip(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op10_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read from the written files."""
+    docs = read(spark, sf_dir, "documents")
+    manifest = arrow_tokens.write_tokens(docs, shared_folder(spark), vocabulary("word_bpe_49k.json"), end_id=1)
+    found = arrow_tokens.read_documents(spark, manifest).select("part", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    before = arrow_tokens.part_starts(manifest)
+    return found.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
 SQL["op2_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, source, text FROM documents),
 p AS (SELECT DISTINCT source, text, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
