@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,20 +33,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def grams(k: int) -> Column:
-    """(k, pos, hash, gram) of all k words in a row of the column `words`."""
-    count = F.size("words")
-    cut = lambda i: F.slice("words", i, k)
-    rolled = F.transform(F.sequence(F.lit(1), count - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), (i - 1).alias("pos"), F.xxhash64(cut(i)).alias("hash"), cut(i).alias("gram")))
-    return F.when(count >= k, rolled).otherwise(F.slice(F.transform("words", lambda w: F.struct(F.lit(k).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.array(w).alias("gram"))), 1, 0))
+def grams() -> Column:
+    """At each position of the column `words` the next TEXT_GRAM words, fewer at the end; behind the last an empty gram."""
+    return F.concat(F.transform("words", lambda _, i: F.slice("words", i + 1, TEXT_GRAM)), F.array(F.array().cast("array<string>")))
+
+
+def gram_hash(gram: str) -> Column:
+    """Of the first PHRASE_GRAM words: the join key of both kinds of template, whose whole grams are compared after it."""
+    return F.xxhash64(*[F.get(F.col(gram), F.lit(i)) for i in range(PHRASE_GRAM)])
 
 
 def templates(spark: SparkSession, phrases: list[tuple[str, str]], texts: list[tuple[str, str]]) -> DataFrame:
     """Positions of all template grams; its size is fixed by the arguments."""
     rows = [(i, label, kind, k, len(words.split()), words) for i, (label, words, kind, k) in enumerate([(*p, "phrase", PHRASE_GRAM) for p in phrases] + [(*t, "text", TEXT_GRAM) for t in texts])]
     table = rows_of(spark, rows, "template int, label string, kind string, gram int, length int, text string").withColumn("words", words_of(F.col("text")))
-    found = [table.where(F.col("gram") == k).select("template", "label", "kind", (F.col("length") - (k - 1)).alias("t_grams"), F.explode(grams(k)).alias("g")) for k in sorted({PHRASE_GRAM, TEXT_GRAM})]
-    return reduce(DataFrame.unionByName, found).select("template", "label", "kind", "t_grams", F.col("g.pos").alias("t_pos"), F.col("g.hash").alias("hash"), F.col("g.gram").alias("t_gram"))
+    found = table.select("template", "label", "kind", "gram", (F.col("length") - (F.col("gram") - 1)).alias("t_grams"), F.posexplode(grams()).alias("t_pos", "t_gram"))
+    found = found.withColumn("t_gram", F.slice("t_gram", 1, F.col("gram"))).where(F.size("t_gram") == F.col("gram"))
+    # a document's empty gram meets template -1: it carries the word count and keeps documents without a match
+    none = rows_of(spark, [(-1, "", "count", 0, 1, 0)], "template int, label string, kind string, gram int, t_grams int, t_pos int").withColumn("t_gram", F.array().cast("array<string>"))
+    return found.unionByName(none).withColumn("t_hash", gram_hash("t_gram"))
 
 
 def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, texts: list[tuple[str, str]] = TEXTS, min_cover: float = 0.6, max_shift: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,22 +63,19 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tex
     apart in turn, so words may be added or missing. first and last are word
     positions from 0, cover the share of the template's grams that were found.
 
-    All grams of all documents join the template positions by hash, and the words
-    themselves are compared at once. Only matches are shuffled.
+    The grams at all positions of all documents join the template positions by hash,
+    and the words themselves are compared at once. Only matches are shuffled.
 
     Null or empty text has 0 words and no spans. Repeated rows are scanned one by
     one, also those with the same or a null doc_id.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text)).alias("words"))
-    # each row also casts one vote for template -1, which carries its word count and keeps rows without a match
-    count = F.transform(F.array(F.size("words")), lambda n: F.struct(F.lit(0).alias("k"), n.alias("pos"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<string>").alias("gram")))
-    votes = base.select("doc_id", "row", F.explode(F.concat(grams(PHRASE_GRAM), grams(TEXT_GRAM), count)).alias("g"))
-    known = templates(docs.sparkSession, phrases, texts).withColumn("k", F.size("t_gram"))
-    none = rows_of(docs.sparkSession, [(-1, "", "count", 1, 0, 0, 0)], "template int, label string, kind string, t_grams int, t_pos int, hash long, k int").withColumn("t_gram", F.array().cast("array<string>"))
-    known = F.broadcast(known.unionByName(none))
-    hits = votes.select("doc_id", "row", "g.pos", F.col("g.hash").alias("h"), F.col("g.k").alias("gk"), F.col("g.gram").alias("gram")).join(known, F.col("h") == F.col("hash")).where((F.col("gk") == F.col("k")) & (F.col("gram") == F.col("t_gram")))
-
-    diagonals = hits.select("doc_id", "row", "template", "label", "kind", "t_grams", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"), F.size("gram").alias("size"))
+    votes = base.select("doc_id", "row", F.posexplode(grams()).alias("pos", "words"))
+    known = F.broadcast(templates(docs.sparkSession, phrases, texts))
+    hits = votes.join(known, gram_hash("words") == F.col("t_hash")).where(F.slice("words", 1, F.col("gram")) == F.col("t_gram"))
+    hits = hits.where((F.col("gram") > 0) | (F.size("words") == 0))
+
+    diagonals = hits.select("doc_id", "row", "template", "label", "kind", "t_grams", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"), F.col("gram").alias("size"))
     diagonals = diagonals.groupBy("row", "doc_id", "template", "label", "kind", "t_grams", "diagonal").agg(F.collect_set("t_pos").alias("t_set"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("size") - 1).alias("last"))
     # one shuffle by row serves the windows and both later groupings
     turn = Window.partitionBy("row").orderBy("template", "diagonal")
