@@ -10,8 +10,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Entries kept per worker, some 150 bytes each; beyond it the table starts anew.
-TABLE_LIMIT = 500_000
+#: Entries kept per worker, some 200 bytes each. Frequent pieces come early; those that find the table full are encoded
+#: once per block of texts.
+TABLE_LIMIT = 120_000
 
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -61,10 +62,10 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Joined pieces cost the library far less than as many texts of one piece."""
         alone = [p for p in new if self.alone.fullmatch(p)]
-        self.table.update(zip(alone, self._ids(alone)))
+        learnt = dict(zip(alone, self._ids(alone)))
         rest, mark, wide = [p for p in new if not self.alone.fullmatch(p)], np.frombuffer(self.mark, self.dtype)[0], self.dtype.itemsize
         for i in range(0, len(rest), 1000):
             part = rest[i : i + 1000]
@@ -74,7 +75,8 @@ class PieceEncoder:
                 raise ValueError("a piece holds the separator's token")
             starts = [0, *((ends + 1) * wide).tolist()]
             stops = [*(ends * wide).tolist(), len(buffer)]
-            self.table.update(zip(part, [buffer[a:b] for a, b in zip(starts, stops)]))
+            learnt.update(zip(part, [buffer[a:b] for a, b in zip(starts, stops)]))
+        return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
@@ -87,12 +89,12 @@ class PieceEncoder:
             split.append(pieces)
             if plain:
                 wanted.update(pieces)
-        if len(self.table) + len(wanted) > self.limit:
-            self.table.clear()
-        new = [p for p in wanted if p not in self.table]
-        if new:
-            self._learn(new)
-        get = self.table.__getitem__
+        table, learnt = self.table, self._learn([p for p in wanted if p not in self.table])
+        if len(table) + len(learnt) <= self.limit:
+            table.update(learnt)
+        else:
+            table = table | learnt
+        get = table.__getitem__
         return [self._ids([text])[0] if pieces is None else b"".join(map(get, pieces)) for text, pieces in zip(texts, split)]
 
 
