@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_tokens, bpe_words, license_scan, line_dedup, ngram_join, packing, toxicity, url_filter
+from . import arrow_tokens, bpe_words, flac, license_scan, line_dedup, ngram_join, packing, pq_dedup, toxicity, url_filter
 from .common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+@query
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's samples, read back from its FLAC stream, and of the stream."""
+    found = flac.decode_media(flac.encode_media(read(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision of every document, learned from the labels that aren't held out."""
@@ -73,6 +83,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with a cosine of at least 0.95."""
+    return pq_dedup.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 @query
 def op9_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of every text's ids and of what they decode to."""
