@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.stages import line_dedup_stage
 from tracewright.llm.common import read, scratch
+from tracewright.llm.stages import line_dedup_stage, near_dup_stage, packing_stage, toxicity_stage
 
-STAGES = [("line_dedup", line_dedup_stage)]
+STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_dup", near_dup_stage), ("packing", packing_stage)]
 #: A trained score decides, which SQL cannot express; tests compare the run with a brute-force version.
 ORACLE_SQL = None
 

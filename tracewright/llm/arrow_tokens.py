@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from tracewright.session import cut
+
 from .pieces import encoder, in_blocks
 
 MANIFEST = "part int, tokens_file string, docs_file string, n_docs long, n_tokens long, n_sequences long"

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import _ensure_checkpoint_dir, cut
+from tracewright.session import _ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["ascii_lower", "cut", "scratch", "shared_folder", "read", "rows_of"]
-
 
 def ascii_lower(text: Column) -> Column:
     """Only A-Z change, so no other character turns into another word."""
@@ -51,5 +48,8 @@ def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*parts)))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrow_tokens, bpe_words, flac, license_scan, line_dedup, ngram_join, packing, pq_dedup, toxicity, url_filter
-from .common import read, shared_folder
+from .common import read, shared_folder, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,13 +17,6 @@ SQL: dict[str, str] = {}
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
-def vocabulary(name: str) -> str:
-    """The place of a public tokenizer's file on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,26 +191,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     return train([r[1] for r in rows], np.array([r[2] for r in rows]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for every row of `docs`, from its whole text alone.
+def score(text: Column, model: tuple[np.ndarray, np.ndarray, float]) -> Column:
+    """The score of a whole text; nothing else of the row is looked at.
 
     The model that goes to the tasks has one number for each subword that was
     chosen, at most BUCKETS. A text without words, empty or null, has the score of
-    the bias. Rows with equal text have equal scores.
+    the bias. Equal texts have equal scores.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*model)
         for batch in batches:
-            at = 0
-            for block in in_blocks(t.as_py() for t in batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array(scorer.scores(block), pa.float64())], names=["doc_id", "score"])
-                at += len(block)
+            yield pd.Series([s for block in in_blocks(batch) for s in scorer.scores(block)], dtype="float64")
 
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return base.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
+    return run(F.coalesce(text, F.lit("")))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    return score(docs, fit(docs, labels)).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score(F.col("text"), fit(docs, labels)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
