@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import scratch
 
 #: Boilerplate rows up to which the table goes to every executor: 16 bytes of key and the site's name each.
 BROADCAST_ROWS = 100_000
@@ -46,7 +46,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     own columns named _lines or _dropped are replaced.
     """
     bad = boilerplate(docs, site, text, max_ratio, min_pages)
-    per_site = cut(bad.groupBy("site").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("site", "_site"))
+    per_site = scratch(bad.groupBy("site").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("site", "_site"))
     size = per_site.agg(F.sum(F.size("_bad"))).first()[0] or 0
     side = F.broadcast(per_site) if size <= broadcast_rows else per_site
     names = [c for c in docs.columns if c not in ("_lines", "_dropped")]

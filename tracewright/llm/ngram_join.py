@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, scratch
+from .common import scratch
 from .components import components
 from .pieces import in_blocks
 from .shingles import set_id, shingle_sets
@@ -23,7 +23,7 @@ SLAB = 1 << 16
 SALT_ROWS = 50_000
 #: Lists up to this length are compared all with all, longer ones with one central member a round.
 LIST_ROWS = 32
-ROUNDS = 6
+ROUNDS = 3
 #: Classes by hash whose counts the suffix filter compares.
 CLASSES = 32
 #: Keys of documents to verify up to which the list goes to every executor (8 bytes each).
@@ -164,7 +164,7 @@ def _candidates(lists: DataFrame, percent: int, last: bool) -> tuple[DataFrame,
     stats = lists.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     open_ = lists.join(stats.where("low <> high"), "token").where((room >= F.col("least")) & (room >= F.ceil(F.lit(percent) * F.col("n") / 100))).select(*lists.columns)
     stats = open_.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(centre).alias("c")).where("low <> high")
-    marked = cut(open_.join(stats.select("token", "rows", "c"), "token"))
+    marked = scratch(open_.join(stats.select("token", "rows", "c"), "token"))
     long = marked.where((F.col("rows") > LIST_ROWS) if not last else F.lit(False))
     at = long.select("set_id", "comp", "n", "pos", F.col("c.set_id").alias("o_set_id"), F.col("c.comp").alias("o_comp"), F.col("c.n").alias("o_n"), F.col("c.pos").alias("o_pos"))
     star = at.where((F.col("comp") != F.col("o_comp")) & _fits("", "o_", percent)).select(F.least("set_id", "o_set_id").alias("x"), F.greatest("set_id", "o_set_id").alias("y"))
@@ -172,7 +172,7 @@ def _candidates(lists: DataFrame, percent: int, last: bool) -> tuple[DataFrame,
     other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in ("set_id", "comp", "n", "pos")])
     pairs = short.join(other, "token").where((F.col("set_id") < F.col("o_set_id")) & (F.col("comp") != F.col("o_comp")) & _fits("", "o_", percent)).select(F.col("set_id").alias("x"), F.col("o_set_id").alias("y"))
     rest = long.where(F.col("set_id") != F.col("c.set_id")).select("token", "set_id", "pos", "n")
-    return cut(star.unionByName(pairs).distinct()), rest
+    return scratch(star.unionByName(pairs).distinct()), rest
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -183,9 +183,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perc
     """
     one = lambda name: sets.select(F.col("set_id").alias(name), F.col("n").alias(f"{name}n"), F.col("classes").alias(f"{name}c"))
     most = F.aggregate(F.zip_with("xc", "yc", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-    passed = cut(pairs.join(one("x"), "x").join(one("y"), "y").withColumn("need", _needed(F.col("xn"), F.col("yn"), percent)).where(most >= F.col("need")).select("x", "y", "need"))
+    passed = scratch(pairs.join(one("x"), "x").join(one("y"), "y").withColumn("need", _needed(F.col("xn"), F.col("yn"), percent)).where(most >= F.col("need")).select("x", "y", "need"))
     wanted = passed.select(F.col("x").alias("set_id")).unionByName(passed.select(F.col("y").alias("set_id"))).distinct()
-    wanted = cut(wanted.join(sets.select("set_id", "key"), "set_id"))
+    wanted = scratch(wanted.join(sets.select("set_id", "key"), "set_id"))
     keys = wanted.select("key").distinct()
     keys = F.broadcast(keys) if wanted.count() <= BROADCAST_KEYS else keys
 
@@ -200,7 +200,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perc
     made = _texts(docs, doc_id, text).join(keys, _key("doc_id") == F.col("key"), "left_semi").mapInArrow(run, "set_id long, tokens array<long>")
     arrays = scratch(made.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
     x, y = (arrays.select(F.col("set_id").alias(c), F.col("tokens").alias(f"{c}t")) for c in "xy")
-    return cut(passed.join(x, "x").join(y, "y").where(F.size(F.array_intersect("xt", "yt")) >= F.col("need")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return scratch(passed.join(x, "x").join(y, "y").where(F.size(F.array_intersect("xt", "yt")) >= F.col("need")).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,11 +230,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         round_ += 1
         known = lists.withColumn("comp", F.col("set_id")) if labels is None else lists.join(labels, "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
         pairs, lists = _candidates(known, percent, last=round_ >= ROUNDS)
-        if pairs.isEmpty() and (round_ >= ROUNDS or lists.isEmpty()):
-            break
-        new = _verify(docs, pairs, sets, words, percent, doc_id, text)
-        edges = new if edges is None else cut(edges.unionByName(new))
-        labels = cut(components(edges).withColumnRenamed("node", "set_id"))
+        if not pairs.isEmpty():
+            new = _verify(docs, pairs, sets, words, percent, doc_id, text)
+            edges = new if edges is None else scratch(edges.unionByName(new))
+            labels = scratch(components(edges).withColumnRenamed("node", "set_id"))
         if round_ >= ROUNDS or lists.isEmpty():
             break
     classed = per_doc.select("doc_id", "set_id", "n")
