@@ -50,16 +50,17 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     size = per_site.agg(F.sum(F.size("_bad"))).first()[0] or 0
     side = F.broadcast(per_site) if size <= broadcast_rows else per_site
     names = [c for c in docs.columns if c not in ("_lines", "_dropped")]
-    joined = docs.select(*names).join(side, F.col(f"`{site}`").eqNullSafe(side["_site"]), "left")
-    lines = F.split(F.col(text), "\n")
+    # the document's columns stay in a struct meanwhile, so that none clashes with those made here
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")).withColumn("text", F.col(f"doc.`{text}`"))
+    joined = joined.join(side, F.col(f"doc.`{site}`").eqNullSafe(F.col("_site")), "left")
+    lines = F.split("text", "\n")
     is_bad = lambda x: (F.trim(x, F.lit(" \t\r")) != "") & F.array_contains("_bad", line_key(x))
-    hit = joined.withColumn("_cut", F.when(F.col("_bad").isNotNull() & F.col(text).isNotNull(), F.filter(lines, is_bad)))
-    chars = F.aggregate("_cut", F.lit(0), lambda n, x: n + F.length(x))
-    cuts = F.coalesce(F.size("_cut") > 0, F.lit(False)) & F.coalesce(chars <= F.lit(max_share) * F.length(text), F.lit(False))
-    hit = hit.withColumn("_cuts", cuts)
+    hit = joined.withColumn("cut", F.when(F.col("_bad").isNotNull() & F.col("text").isNotNull(), F.filter(lines, is_bad)))
+    chars = F.aggregate("cut", F.lit(0), lambda n, x: n + F.length(x))
+    hit = hit.withColumn("cuts", F.coalesce(F.size("cut") > 0, F.lit(False)) & F.coalesce(chars <= F.lit(max_share) * F.length("text"), F.lit(False)))
     kept = F.array_join(F.filter(lines, lambda x: ~is_bad(x)), "\n")
-    out = [F.when(F.col("_cuts"), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in names]
+    out = [F.when(F.col("cuts"), kept).otherwise(F.col("text")).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in names]
     return hit.select(
-        *out, F.coalesce(F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long").alias("_lines"),
-        F.when(F.col("_cuts"), F.size("_cut")).otherwise(0).cast("long").alias("_dropped"),
+        *out, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"),
+        F.when(F.col("cuts"), F.size("cut")).otherwise(0).cast("long").alias("_dropped"),
     )
