@@ -14,11 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import NOT_PLAIN, encoder, in_blocks
 
 #: Blocks whose entries of one word are gathered in one row.
 BLOCKS_PER_GROUP = 4096
 
+#: Numbers of blocks that an input partition has for itself; block and place of a word go in one long.
+BLOCKS_OF_PART = 1024
+
 #: White space of every definition; what else a tokenizer takes for space stays inside a word.
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
@@ -38,7 +42,7 @@ def _split(texts: list[str], enc) -> list[list[str]]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], enc, max_words: int) -> Iterator[tuple[int, list, list[list[int]], list[str]]]:
     """(block, doc ids, positions in the block's words, words): the same for the same input partition, so both passes agree."""
-    number, known, ids, places = TaskContext.get().partitionId() << 32, {}, [], []
+    number, known, ids, places = TaskContext.get().partitionId() * BLOCKS_OF_PART, {}, [], []
     size = 0
     for batch in batches:
         at = 0
@@ -70,6 +74,7 @@ def word_round_trip(docs: DataFrame, tokenizer: str, max_words: int = 8_000_000,
     one by one. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -77,7 +82,7 @@ def word_round_trip(docs: DataFrame, tokenizer: str, max_words: int = 8_000_000,
         for number, _, _, words in _blocks(batches, encoder(tokenizer), max_words):
             for i in range(0, len(words), 1 << 16):
                 part = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], names=["block", "place", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)) + (number << 32)), pa.array(part)], names=["at", "word"])
 
     def emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, places, _ in _blocks(batches, encoder(tokenizer), max_words):
@@ -90,7 +95,7 @@ def word_round_trip(docs: DataFrame, tokenizer: str, max_words: int = 8_000_000,
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids[i : i + 256]], pa.list_(docs_type)), sizes, pa.array([packed], pa.binary())], names=["block", "doc_ids", "sizes", "packed"])
 
     docs_type = _arrow_type(spark, kind)
-    words = base.mapInArrow(emit_words, "block long, place int, word string")
+    words = base.mapInArrow(emit_words, "at long, word string")
     places = base.mapInArrow(emit_places, f"block long, doc_ids array<{kind}>, sizes array<int>, packed binary")
 
     @F.pandas_udf("array<int>")
@@ -98,18 +103,29 @@ def word_round_trip(docs: DataFrame, tokenizer: str, max_words: int = 8_000_000,
         enc = encoder(tokenizer)
         return pd.Series([np.frombuffer(b, enc.dtype).astype("<i4") for b in enc._ids(word.tolist())])
 
-    # block numbers are partition << 32 + n, so the group is a function of the partition
-    group = F.shiftright(F.col("block"), 32) / F.lit(BLOCKS_PER_GROUP)
-    table = words.groupBy("word", F.floor(group).alias("group")).agg(F.collect_list(F.struct("block", "place")).alias("at"))
-    coded = table.withColumn("ids", encode("word"))
-    # the rows of a word stay where the grouping has put them: the join is with the small table of pieces
-    exploded = coded.select("word", "group", "at", "ids", F.posexplode_outer("ids").alias("n", "id"))
-    named = exploded.join(F.broadcast(piece_table(spark, tokenizer)), "id", "left")
-    decoded = named.groupBy("word", "group").agg(F.first("at").alias("at"), F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("n", "piece"))).alias("pieces"))
-    texts = decoded.select(
-        F.explode("at").alias("a"), F.size("ids").alias("n"), F.array_join("ids", " ").alias("ids"),
-        F.array_join(F.transform("pieces", lambda p: p["piece"]), " ").alias("decoded"),
-    ).select("a.block", "a.place", "n", "ids", "decoded")
+    def whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a word follow one another, as nothing since the explode has moved them."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            starts = np.flatnonzero(table.column("n").fill_null(0).to_numpy() == 0)
+            if not len(starts):
+                rest = table
+                continue
+            rest = table.slice(int(starts[-1])).combine_chunks()
+            yield from _joined(table, starts)
+        if rest is not None and rest.num_rows:
+            yield from _joined(rest, np.array([0, rest.num_rows]))
+
+    group = F.floor(F.shiftright("at", 32) / F.lit(BLOCKS_PER_GROUP))
+    table = words.groupBy("word", group.alias("group")).agg(F.collect_list("at").alias("at"))
+    coded = table.select("at", encode("word").alias("ids"))
+    # only the first row of a word carries its places
+    exploded = coded.select("at", F.posexplode_outer("ids").alias("n", "id")).select(F.when(F.coalesce("n", F.lit(0)) == 0, F.col("at")).alias("at"), "n", "id")
+    named = exploded.join(F.broadcast(piece_table(spark, tokenizer)), "id", "left").select("at", "n", "id", "piece")
+    decoded = named.mapInArrow(whole_words, "at array<long>, n int, ids string, decoded string")
+    texts = decoded.select(F.explode("at").alias("a"), "n", "ids", "decoded").select(F.shiftright("a", 32).alias("block"), F.col("a").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "n", "ids", "decoded")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("place").to_numpy())
@@ -136,6 +152,18 @@ def word_round_trip(docs: DataFrame, tokenizer: str, max_words: int = 8_000_000,
     return places.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _joined(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each word that begins at `starts`, but for the last, whose end isn't known."""
+    if len(starts) < 2:
+        return
+    ids, pieces = (table.column(c).to_pylist() for c in ("id", "piece"))
+    spans = [(a, b) if ids[a] is not None else (a, a) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+    yield pa.RecordBatch.from_arrays(
+        [table.column("at").take(pa.array(starts[:-1])).combine_chunks(), pa.array([b - a for a, b in spans], pa.int32()), pa.array([" ".join(map(str, ids[a:b])) for a, b in spans], pa.string()), pa.array([" ".join(pieces[a:b]) for a, b in spans], pa.string())],
+        names=["at", "n", "ids", "decoded"],
+    )
+
+
 def _arrow_type(spark: SparkSession, kind: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

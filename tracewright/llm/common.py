@@ -48,6 +48,16 @@ def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*parts)))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Whole texts go to Python at most `rows` at once; the session's setting is lowered where it is higher.
+
+    A batch is held several times, in the JVM's own memory and in the worker.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file on every machine."""
     import public_tokenizers
