@@ -117,7 +117,7 @@ def test_feature_frame_contract(spark, placed):
     rows, _ = placed
     cfg = ft.FeatureConfig()
     frame = ft.feature_frame(indexed(rows.filter("run_id < 2"), ["survey_id"], "sample_idx", 4200), cfg).persist()
-    assert frame.columns[-45:] == ft.feature_columns(cfg) and len(ft.feature_columns(cfg)) == 45
+    assert frame.columns[-45:] == ft.pinned_columns(cfg) and len(ft.pinned_columns(cfg)) == 45
     assert {t for _, t in frame.dtypes[-45:]} == {"float"}
     c = dq.feature_contract(frame, ["survey_id", "sample_idx"], ["r_lo_nt", "r_mid_nt", "r_hi_nt"]).collect()
     assert all(r.n_holes == 0 and r.n_flags == 0 and r.n_repeats == 0 for r in c)

@@ -65,15 +65,19 @@ def robust_polynomial(
 ) -> DataFrame:
     """Coefficients per key of a polynomial fitted with Tukey biweights.
 
-    A key keeps its fit once the residuals vanish or too few rows keep weight.
+    Rows without a position or value take no part, and a key without any other
+    rows has no coefficients. A key keeps its fit once the residuals vanish or too few rows keep weight.
     Keys known to be small (``longest``) are fitted one per task group. Otherwise
     each round is one aggregate of power sums over all keys, so a survey of any
     size is summed map-side, and the few coefficients are cut from the plan.
     """
     keys = list(keys)
+    known = df.select(*keys, axis, F.col(y).cast("double").alias("__y"))
+    for c in (axis, "__y"):
+        known = known.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     if longest is not None and longest <= SINGLE_FIT_ROWS:
-        return _fit_small(df.select(*keys, axis, F.col(y).cast("double").alias("__y")), keys, axis, degree, rounds, tukey)
-    rows = scaled_axis(df.select(*keys, axis, F.col(y).cast("double").alias("__y")), keys, axis).drop(axis)
+        return _fit_small(known, keys, axis, degree, rounds, tukey)
+    rows = scaled_axis(known, keys, axis).drop(axis)
     fit = cut(_solve(_moments(rows, keys, degree, F.lit(1.0)), keys, degree))
     for _ in range(rounds):
         resid = rows.join(fit.drop("wsum"), keys).withColumn("__r", F.col("__y") - polynomial(F.col("coef"), F.col("__x")))

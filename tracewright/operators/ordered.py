@@ -81,13 +81,17 @@ def after(value: Column) -> Running:
 
 @dataclass(frozen=True)
 class Series:
-    """Rows identified by ``keys`` and ordered by the integer ``idx`` within a key."""
+    """Rows identified by ``keys`` and ordered by the integer ``idx`` within a key.
+
+    ``dense``: ``idx`` is known to count 0, 1, 2, … without holes.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     idx: str
     longest: int | None = None
     chunk_rows: int = CHUNK_ROWS
+    dense: bool = False
 
     @property
     def one_chunk(self) -> bool:
@@ -138,23 +142,16 @@ class Series:
     def halo(self, before_rows: int, after_rows: int) -> DataFrame:
         """Rows tagged with a chunk, plus copies of border rows (``__core`` false).
 
-        Needs a dense ``idx``; reaches must not exceed the chunk size.
+        Reaches count rows, so chunks are cut by row position, whatever holes
+        ``idx`` has. A row goes to every chunk that a frame with it may start in.
         """
-        if max(before_rows, after_rows) > self.chunk_rows:
-            raise ValueError("frame reach exceeds the chunk size; raise chunk_rows")
         if self.one_chunk:
             return self.df.select("*", F.lit(0).cast("long").alias(_CHUNK), F.lit(True).alias("__core"))
-        home = self._chunk()
-        offset = F.pmod(F.col(self.idx), F.lit(self.chunk_rows))
-        targets = F.array_compact(
-            F.array(
-                home,
-                F.when(offset < after_rows, home - 1),
-                F.when(offset >= self.chunk_rows - before_rows, home + 1),
-            )
-        )
-        tagged = self.df.withColumn(_CHUNK, F.explode(targets))
-        return tagged.withColumn("__core", F.col(_CHUNK) == home)
+        df = self.df.withColumn("__at", F.col(self.idx)) if self.dense else self.running(__at=position()).df
+        chunk_of = lambda row: F.floor(row / F.lit(self.chunk_rows)).cast("long")
+        first = chunk_of(F.greatest(F.col("__at") - after_rows, F.lit(0)))
+        tagged = df.withColumn(_CHUNK, F.explode(F.sequence(first, chunk_of(F.col("__at") + before_rows))))
+        return tagged.withColumn("__core", F.col(_CHUNK) == chunk_of(F.col("__at"))).drop("__at")
 
     def chunk_keys(self) -> list[str]:
         return [*self.keys, _CHUNK]
@@ -168,6 +165,14 @@ class Series:
         return self.with_df(out.filter("__core").select(*kept, *aggregates))
 
 
+def by_position(series: Series, label: str) -> Series:
+    """The same rows with their 0-based row position as ``idx`` and the old ``idx`` as ``label``."""
+    if series.dense:
+        return series.with_df(series.df.withColumn(label, F.col(series.idx)))
+    placed = series.running(__at=position()).df
+    return replace(series, df=placed.withColumnRenamed(series.idx, label).withColumnRenamed("__at", series.idx), dense=True)
+
+
 def _any_not_null(steps) -> Column:
     cond = F.lit(False)
     for n in steps:
@@ -278,7 +283,7 @@ def order_rows(
     if longest <= single_task_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
         out = df.withColumn(idx, (F.row_number().over(w) - 1).cast("long"))
-        return Series(out, tuple(keys), idx, longest, chunk_rows)
+        return Series(out, tuple(keys), idx, longest, chunk_rows, dense=True)
 
     rows = rows if rows is not None else df.count()
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // single_task_rows))
@@ -292,7 +297,7 @@ def order_rows(
     w = Window.partitionBy(*keys, "__part").orderBy(*order)
     numbered = spread.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(offsets), [*keys, "__part"], "left")
     out = numbered.select(*df.columns, (F.col("__rn") - 1 + F.coalesce("__off", F.lit(0))).cast("long").alias(idx))
-    return Series(out, tuple(keys), idx, longest, chunk_rows)
+    return Series(out, tuple(keys), idx, longest, chunk_rows, dense=True)
 
 
 def cumulate(

@@ -170,7 +170,8 @@ def overlap_correlation(
 
     With ``fresh`` only pairs with at least one of those surveys are looked at.
 
-    Rows of the two surveys meet on ``(line, idx)``; the sums behind r are built
+    An index that a survey repeats counts once, with the mean. Rows of the two
+    surveys meet on ``(line, idx)``; the sums behind r are built
     map-side, so a pair needs one small record per task.
     """
     pairs = overlap_pairs(extents, line, survey)
@@ -179,8 +180,10 @@ def overlap_correlation(
         for side in ("a", "b"):
             pairs = pairs.join(new.select(F.col("__s").alias(side), F.col("__new").alias(f"__{side}")), side, "left")
         pairs = pairs.filter("__a or __b").drop("__a", "__b")
-    left = rows.select(line, F.col(survey).alias("a"), F.col(idx).alias("__i"), F.col(signal).alias("x"))
-    right = rows.select(line, F.col(survey).alias("b"), F.col(idx).alias("__i"), F.col(signal).alias("y"))
+    # one row per index, so that a file that repeats an index meets another one row by row, not all by all
+    single = rows.groupBy(line, survey, idx).agg(F.avg(signal).alias("__v"))
+    left = single.select(line, F.col(survey).alias("a"), F.col(idx).alias("__i"), F.col("__v").alias("x"))
+    right = single.select(line, F.col(survey).alias("b"), F.col(idx).alias("__i"), F.col("__v").alias("y"))
     window = (F.col("__i") >= F.expr("cast(lo / step_a as long)")) & (F.col("__i") <= F.expr("cast(hi / step_a as long)"))
     joined = left.join(pairs, [line, "a"]).filter(window).join(right, [line, "b", "__i"])
     return joined.groupBy(line, "a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)

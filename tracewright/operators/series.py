@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import safe_div
 from ..session import cut
-from .ordered import Series, after, before, earlier, following, highest, later, latest, order_rows, total
+from .ordered import Series, after, before, by_position, earlier, following, highest, later, latest, order_rows, total
 from .quantiles import median_mad
 
 ROLLING = ("mean", "std", "max", "ptp", "kurt", "zcr", "energy")
@@ -375,6 +375,9 @@ def half_widths(series: Series, y: str, peaks: DataFrame) -> DataFrame:
 def peak_shapes(series: Series, y: str, min_sigmas: float) -> DataFrame:
     """Maxima of ``y`` standing out by ``min_sigmas`` robust deviations, with width and asymmetry in rows."""
     keys, idx = list(series.keys), series.idx
+    if not series.dense:
+        at = by_position(series, _LABEL)
+        return _labelled(peak_shapes(at, y, min_sigmas), at)
     stats = median_mad(series.df, keys, y, series.longest)
     sigma = F.lit(1.4826) * F.col("mad")
     tops = local_maxima(series, y).join(stats.filter((sigma > 0) & (F.col("n") >= 8)).select(*keys, sigma.alias("__s")), keys)
@@ -397,6 +400,9 @@ def decay_exponents(series: Series, y: str, peaks: DataFrame, span: tuple[float,
     Each row looks at the peak before and after it, so flanks need no pair join.
     """
     keys, idx = list(series.keys), series.idx
+    if not series.dense:
+        at = by_position(series, _LABEL)
+        return _labelled(decay_exponents(at, y, _placed(peaks, at), span, step), at)
     lo = F.greatest(F.lit(1), F.floor(F.lit(span[0]) * F.col("width")).cast("long"))
     hi = F.greatest(lo + 2, F.floor(F.lit(span[1]) * F.col("width")).cast("long"))
     marks = peaks.select(*keys, idx, F.struct(F.col(idx).alias("p"), lo.alias("lo"), hi.alias("hi")).alias("__pk"))
@@ -420,6 +426,10 @@ def assign_to_peaks(series: Series, peaks: DataFrame, columns: Sequence[str], ra
     """Values of the nearest peak on rows within ``radius`` widths of it, NULL elsewhere; ties take the earlier peak."""
     keys, idx = list(series.keys), series.idx
     cols = series.df.columns
+    if not series.dense:
+        at = by_position(series, _LABEL)
+        done = assign_to_peaks(at, _placed(peaks, at), columns, radius, distance).df
+        return series.with_df(done.drop(idx).withColumnRenamed(_LABEL, idx).select(*cols, *columns, distance))
     marks = peaks.select(*keys, idx, F.struct(F.col(idx).alias("p"), "width", *columns).alias("__pk"))
     near = series.with_df(series.df.join(marks, [*keys, idx], "left")).running(__a=latest(F.col("__pk")), __b=following(F.col("__pk"))).df
     da, db = F.col(idx) - F.col("__a.p"), F.col("__b.p") - F.col(idx)
@@ -429,5 +439,20 @@ def assign_to_peaks(series: Series, peaks: DataFrame, columns: Sequence[str], ra
     return series.with_df(out.select(*cols, *[F.when(within, F.col(f"__k.{c}")).alias(c) for c in columns], F.when(within, F.col("__d")).alias(distance)))
 
 
+_LABEL = "__label"
+
+
+def _labelled(peaks: DataFrame, at: Series) -> DataFrame:
+    """Peaks by row position, under the index that the rows came with."""
+    names = at.df.select(*at.keys, at.idx, _LABEL)
+    return peaks.join(names, [*at.keys, at.idx]).drop(at.idx).withColumnRenamed(_LABEL, at.idx).select(*peaks.columns)
+
+
+def _placed(peaks: DataFrame, at: Series) -> DataFrame:
+    """Peaks by the rows' own index, under their row position."""
+    places = at.df.select(*at.keys, F.col(_LABEL).alias(at.idx), F.col(at.idx).alias("__place"))
+    return peaks.join(places, [*at.keys, at.idx]).drop(at.idx).withColumnRenamed("__place", at.idx).select(*peaks.columns)
+
+
 def _no_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in set(columns) else F.col(c) for c in df.columns])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import baseline, features, registration, series as ts
 from ..operators.matching import nearest_distance
-from ..operators.ordered import Series, highest, indexed
+from ..operators.ordered import Series, by_position, highest, indexed
 from ..session import cut
 from . import views as v
-from .catalogue import query
+from .catalogue import SQL, query
 from .sql_views import FIX, L, R, q, r6
 from .views import r6 as rnd
 
@@ -39,6 +41,22 @@ def rolling_stats(spark, sf):
     return got.select("l_suppkey", "sample_idx", *[rnd(f"w_{c}", 5).alias(c) for c in ("mean", "std", "max", "ptp")], rnd("w_kurt", 4).alias("kurt"))
 
 
+def _stretched(s: Series, rows: int) -> Series:
+    """The same rows under an index with holes, in chunks far smaller than a key."""
+    return replace(s, df=s.df.withColumn(s.idx, F.col(s.idx) * 3 + F.col(s.idx) % 2), longest=None, chunk_rows=rows, dense=False)
+
+
+def _restored(sql: str, columns: str) -> str:
+    return f"SELECT {columns.replace('sample_idx', 'sample_idx * 3 + sample_idx % 2 AS sample_idx')} FROM ({sql}) AS dense_rows"
+
+
+@query(_restored(SQL["rolling_stats"], "l_suppkey, sample_idx, mean, std, max, ptp, kurt"))
+def rolling_stats_gapped(spark, sf):
+    s, reach = _sized(spark, sf, 60.0)
+    got = ts.rolling_stats(_stretched(s, 128), "y", {"w": "win"}, reach).df
+    return got.select("l_suppkey", "sample_idx", *[rnd(f"w_{c}", 5).alias(c) for c in ("mean", "std", "max", "ptp")], rnd("w_kurt", 4).alias("kurt"))
+
+
 @query(q(_WIN.format(m=60.0), """
 , z AS (SELECT l_suppkey, sample_idx, win, count(*) OVER f AS c, avg(zc) OVER f AS zcr, sum((y - 40) * (y - 40)) OVER f AS energy FROM lw
   WINDOW f AS (PARTITION BY l_suppkey ORDER BY sample_idx ROWS BETWEEN h PRECEDING AND h FOLLOWING))
@@ -132,6 +150,15 @@ def peak_prominence(spark, sf):
     return ts.prominences(s, "value", ts.local_maxima(s, "value")).select("survey_id", "sample_idx", "value", rnd("prominence").alias("prominence"))
 
 
+@query(_restored(SQL["peak_prominence"], "survey_id, sample_idx, value, prominence"))
+def peak_prominence_gapped(spark, sf):
+    placed = by_position(_stretched(v.readings(spark, sf), 64), "label")
+    placed = placed.with_df(cut(placed.df))
+    found = ts.prominences(placed, "value", ts.local_maxima(placed, "value"))
+    labels = placed.df.select("survey_id", "sample_idx", "label")
+    return found.join(labels, ["survey_id", "sample_idx"]).select("survey_id", F.col("label").alias("sample_idx"), "value", rnd("prominence").alias("prominence"))
+
+
 @query()
 def peak_shapes(spark, sf):
     s = v.items(spark, sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators.identity import content_hashes, register
 from ..operators.islands import cluster_indications
 from ..operators.learn import ClassModel, IsolationForestModel, SeverityModel, isotonic_value, risk
 from ..operators.matching import attach_peak_rows, match_all, per_survey_sources
-from ..operators.ordered import indexed
+from ..operators.ordered import indexed, order_rows
 from ..operators.registration import RegistrationConfig, register as register_positions
 from ..session import cut
 from ..sources import surveys as io
@@ -112,9 +112,10 @@ def ingest(rows: DataFrame, registry: DataFrame | None = None, limits: QualityLi
 def build_features(rows: DataFrame, reg_cfg: RegistrationConfig = RegistrationConfig(), cfg: FeatureConfig = FeatureConfig()) -> tuple[DataFrame, DataFrame]:
     """Registered positions and features of accepted surveys; also the registration quality."""
     longest = int(rows.groupBy("survey_id").count().agg(F.max("count")).first()[0] or 0)
-    series = indexed(rows, ["survey_id"], "sample_idx", longest)
+    # windows and peaks count rows; an index with holes stays as the rows' label
+    series = order_rows(rows.withColumnRenamed("sample_idx", "__label"), ["survey_id"], ["__label"], "sample_idx", longest)
     placed, info = register_positions(series, reg_cfg)
-    frame = feature_frame(indexed(cut(placed), ["survey_id"], "sample_idx", longest), cfg)
+    frame = feature_frame(replace(series, df=cut(placed)), cfg, label="__label")
     return frame, info
 
 
@@ -138,9 +139,13 @@ def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationCo
         frame, _ = build_features(chosen, reg_cfg, cfg)
         io.write_features(frame, todo, store)
     io.load_readings(rows, new, f"{store}/readings")
+    # the report has a partition of its own for the batch, which a repeated run replaces
+    batch = new.agg(F.sum(F.xxhash64("survey_id", "content_sha256").cast("decimal(38,0)"))).first()[0]
+    if batch is not None:
+        report = done.dq.withColumn("batch", F.lit(str(batch)))
+        report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/dq_report")
     # the registry is written last: a run that is killed before repeats the same work
     new.write.mode("append").parquet(f"{store}/registry")
-    done.dq.write.mode("append").parquet(f"{store}/dq_report")
     return done.registry
 
 

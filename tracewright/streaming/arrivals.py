@@ -10,7 +10,8 @@ from ..operators.features import FeatureConfig
 from ..operators.quality import READING_SCHEMA
 from ..operators.registration import RegistrationConfig
 from ..plans.jobs import QualityLimits, full_run
-from ..sources.surveys import survey_id
+from ..session import cut
+from ..sources.surveys import read_surveys, survey_id
 
 
 def arriving(spark: SparkSession, root: str, files_per_batch: int = 64) -> DataFrame:
@@ -28,12 +29,20 @@ def run(
 ):
     """Process everything that has arrived, then stop; the checkpoint lets the next call go on from there.
 
+    A survey is one or more files, which a batch may split. So a batch only names
+    surveys: all their files that have arrived are read together, whichever batch
+    they are in, and a later batch with the rest finds the same content registered.
+
     A batch that was cut short is repeated: registration skips surveys that were
     registered with the same content, and features overwrite their own partition.
     """
 
     def one_batch(batch: DataFrame, _: int) -> None:
-        full_run(batch.sparkSession, root, store, reg_cfg, cfg, limits, rows=batch)
+        named = cut(batch.select("survey_id", "line_id").distinct())
+        # at most one line for each file of the batch
+        lines = [r["line_id"] for r in named.select("line_id").distinct().collect()]
+        rows = read_surveys(batch.sparkSession, root).filter(F.col("line_id").isin(lines)).join(named.select("survey_id"), "survey_id", "left_semi")
+        full_run(batch.sparkSession, root, store, reg_cfg, cfg, limits, rows=rows)
 
     stream = arriving(spark, root, files_per_batch)
     query = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
