@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import Series, earlier, following, later, latest, order_rows
+from .ordered import Series, before, earlier, following, later, latest, order_rows, total
 
 SMALL_KEY_ROWS = 2_000
+#: rows of the stretches that are walked in one group, on average
+WALK_ROWS = 10_000
 
 
 def nearest(
@@ -112,8 +114,9 @@ def greedy_match(
     such pairs at once and drops rows that can no longer reach a partner; no pair
     list is built. Rows at one position act together and pair off in id order.
 
-    Keys with at most ``small_rows`` rows are walked in their own group instead,
-    which saves the rounds; larger keys share the rounds.
+    A key falls into stretches, which a gap wider than the tolerance ends. Those of
+    at most ``small_rows`` rows are walked instead, many in a group, which saves the
+    rounds; crowded stretches share the rounds.
     """
     keys, payload = list(keys), list(payload)
     l = left.select(*keys, F.col(left_x).cast("double").alias("__x"), F.lit(0).alias("__kind"), F.struct(F.col(left_id)).alias("__id0"))
@@ -125,13 +128,21 @@ def greedy_match(
     series = order_rows(
         both, keys, [F.col("__x"), F.col("__kind"), F.col(f"__id0.{left_id}"), F.col(f"__id1.{right_id}")], idx="__i"
     )
-    rest, taken = cut(series.df), []
+    # a gap wider than the tolerance ends a stretch: no pair crosses it, so stretches are matched each by itself
+    near = series.running(__px=before(F.col("__x")))
+    apart = (F.col("__x") - F.col("__px") > tolerance).cast("long")
+    rest, taken = cut(near.running(__st=total(F.coalesce(apart, F.lit(0)))).df.drop("__px")), []
+    own, keys = list(keys), [*keys, "__st"]
+    sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__kind").alias("__k0"), F.max("__kind").alias("__k1")).filter("__k0 <> __k1")
+    sizes = cut(sizes.select(*keys, "__n"))
     if small_rows:
-        sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        few = rest.join(sizes.filter(F.col("__n") <= small_rows), keys, "left_semi")
-        taken.append(cut(_match_small(few, keys, left_id, right_id, tolerance)))
-        rest = rest.join(sizes.filter(F.col("__n") > small_rows), keys, "left_semi")
-    while series.longest is None or series.longest > small_rows:
+        small = sizes.filter(F.col("__n") <= small_rows)
+        groups = 1 + int(small.agg(F.sum("__n")).first()[0] or 0) // WALK_ROWS
+        few = rest.join(small.select(*keys), keys, "left_semi")
+        taken.append(cut(_match_small(few, keys, left_id, right_id, tolerance, groups)))
+    rest = rest.join(sizes.filter(F.col("__n") > small_rows), keys, "left_semi")
+    crowded = not rest.isEmpty()
+    while crowded:
         heads = rest.groupBy(*keys, "__x", "__kind").agg(
             F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__m"),
             F.min(F.col(f"__id0.{left_id}")).alias("__h0"), F.min(F.col(f"__id1.{right_id}")).alias("__h1"),
@@ -177,9 +188,10 @@ def greedy_match(
         taken.append(pairs)
         used = pairs.select(*keys, F.col("__ia").alias("__i")).unionByName(pairs.select(*keys, F.col("__ib").alias("__i")))
         rest = cut(alive.select(*rest.columns).join(used, [*keys, "__i"], "left_anti"))
-    matched = reduce(DataFrame.unionByName, [t.select(*keys, "__id0", "__id1", "__d") for t in taken] or [pairs])
+    taken = taken or [pairs]
+    matched = reduce(DataFrame.unionByName, [t.select(*own, "__id0", "__id1", "__d") for t in taken])
     return matched.select(
-        *keys,
+        *own,
         F.col(f"__id0.{left_id}").alias(left_id),
         F.col(f"__id1.{right_id}").alias(right_id),
         *[F.col(f"__id1.{c}").alias(c) for c in payload],
@@ -187,29 +199,33 @@ def greedy_match(
     )
 
 
-def _match_small(rows: DataFrame, keys: list[str], left_id: str, right_id: str, tolerance: float) -> DataFrame:
-    """Greedy pairs of keys with few rows, one group per key."""
+def _match_small(rows: DataFrame, keys: list[str], left_id: str, right_id: str, tolerance: float, groups: int) -> DataFrame:
+    """Greedy pairs of stretches with few rows; a group has many stretches, all of whose rows come together."""
+    flat = rows.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("__g"), "__i", "__kind", "__x", F.col(f"__id0.{left_id}").alias("__l"), F.col(f"__id1.{right_id}").alias("__r"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    flat = rows.select(*keys, "__i", "__kind", "__x", F.col(f"__id0.{left_id}").alias("__l"), F.col(f"__id1.{right_id}").alias("__r"))
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __ia long, __ib long, __d double"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["__kind"] == 0].sort_values("__l"), pdf[pdf["__kind"] == 1].sort_values("__r")
-        at = right["__x"].to_numpy()
-        gaps = np.abs(left["__x"].to_numpy()[:, None] - at[None, :])
-        i, j = np.nonzero(gaps <= tolerance)
-        d = gaps[i, j]
-        free_l, free_r, out = np.ones(len(left), bool), np.ones(len(right), bool), []
-        for n in np.lexsort((j, i, d)):
-            if free_l[i[n]] and free_r[j[n]]:
-                free_l[i[n]] = free_r[j[n]] = False
-                out.append((left["__i"].iloc[i[n]], right["__i"].iloc[j[n]], d[n]))
-        got = pd.DataFrame(out, columns=["__ia", "__ib", "__d"])
-        for k in reversed(keys):
-            got.insert(0, k, pdf[k].iloc[0])
-        return got
-
-    pairs = flat.groupBy(*keys).applyInPandas(walk, schema)
+        pdf["__s"] = pdf.groupby(keys, dropna=False, sort=False).ngroup()
+        left, right = pdf[pdf["__kind"] == 0].sort_values(["__s", "__l"]), pdf[pdf["__kind"] == 1].sort_values(["__s", "__r"])
+        ends = np.arange(pdf["__s"].max() + 2)
+        cut_l, cut_r = np.searchsorted(left["__s"], ends), np.searchsorted(right["__s"], ends)
+        at_l, at_r = left["__x"].to_numpy(), right["__x"].to_numpy()
+        got_l, got_r, got_d = [], [], []
+        for l0, l1, r0, r1 in zip(cut_l, cut_l[1:], cut_r, cut_r[1:]):
+            gaps = np.abs(at_l[l0:l1, None] - at_r[None, r0:r1])
+            i, j = np.nonzero(gaps <= tolerance)
+            d = gaps[i, j]
+            free_l, free_r = np.ones(l1 - l0, bool), np.ones(r1 - r0, bool)
+            for n in np.lexsort((j, i, d)):
+                if free_l[i[n]] and free_r[j[n]]:
+                    free_l[i[n]] = free_r[j[n]] = False
+                    got_l.append(l0 + i[n]), got_r.append(r0 + j[n]), got_d.append(d[n])
+        out = left.iloc[got_l][[*keys, "__i"]].rename(columns={"__i": "__ia"}).reset_index(drop=True)
+        out["__ib"], out["__d"] = right["__i"].to_numpy()[got_r], np.asarray(got_d, float)
+        return out
+
+    pairs = flat.groupBy("__g").applyInPandas(walk, schema)
     a = rows.filter("__kind = 0").select(*keys, F.col("__i").alias("__ia"), "__id0")
     b = rows.filter("__kind = 1").select(*keys, F.col("__i").alias("__ib"), "__id1")
     return pairs.join(a, [*keys, "__ia"]).join(b, [*keys, "__ib"]).select(*keys, "__id0", "__id1", "__d")
