@@ -224,9 +224,8 @@ def examples_per_class(df: DataFrame, klass: str, order: str) -> DataFrame:
 
 def classes_covered(train: DataFrame, calibration: DataFrame, klass: str) -> DataFrame:
     """Whether every class seen in training also occurs in calibration."""
-    a = train.agg(F.collect_set(klass).alias("a"))
-    b = calibration.agg(F.collect_set(klass).alias("b"))
-    return a.crossJoin(b).select((F.size(F.array_except("a", "b")) == 0).alias("covered"))
+    missing = train.select(klass).distinct().join(calibration.select(klass).distinct(), klass, "left_anti")
+    return missing.filter(F.col(klass).isNotNull()).agg((F.count(F.lit(1)) == 0).alias("covered"))
 
 
 def gate_lower_bound(ci: DataFrame, lo: str, minimum: float) -> DataFrame:

@@ -46,17 +46,19 @@ def bootstrap_ci(spark, sf):
 @query()
 def paired_bootstrap(spark, sf):
     units = v.reading_rows(spark, sf).groupBy("line_id").agg(
-        F.avg(F.when(F.col("run_id") == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("run_id") == 2, F.col("value"))).alias("b")
+        F.avg(F.when(F.col("run_id") == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("run_id") > 0, F.col("value"))).alias("b")
     )
     return metrics.paired_bootstrap(units.dropna(), [], "line_id", "a", "b", 500, 0.95, 42)
 
 
 @query(q(R, f"""
-, a AS (SELECT line_id, avg(value) AS a FROM r WHERE run_id = 0 GROUP BY 1), b AS (SELECT line_id, avg(value) AS b FROM r WHERE run_id = 0 AND sample_idx >= 0 GROUP BY 1)
-SELECT line_id, {r6('a')} AS a, {r6('b + 1')} AS b FROM a JOIN b USING (line_id)"""))
+, a AS (SELECT line_id, avg(value) AS a FROM r WHERE run_id = 0 GROUP BY 1), b AS (SELECT line_id, avg(value) AS b FROM r WHERE run_id > 0 GROUP BY 1)
+SELECT line_id, {r6('a')} AS a, {r6('b')} AS b FROM a JOIN b USING (line_id)"""))
 def paired_values(spark, sf):
-    r = v.reading_rows(spark, sf).filter("run_id = 0").groupBy("line_id").agg(F.avg("value").alias("value"))
-    got = matching.pair_values(r, r.withColumn("value", F.col("value") + 1), "line_id")
+    """The first run of each line beside all later ones."""
+    r = v.reading_rows(spark, sf)
+    mean = lambda rows: rows.groupBy("line_id").agg(F.avg("value").alias("value"))
+    got = matching.pair_values(mean(r.filter("run_id = 0")), mean(r.filter("run_id > 0")), "line_id")
     return got.select("line_id", rnd("a").alias("a"), rnd("b").alias("b"))
 
 
@@ -203,19 +205,22 @@ def drift_report(spark, sf):
 , e AS (SELECT line_id, run_id, max(chainage_m) - min(chainage_m) AS len FROM r GROUP BY 1, 2),
 n AS (SELECT line_id, run_id, count(*) AS n FROM ind GROUP BY 1, 2),
 k AS (SELECT e.line_id, e.run_id, coalesce(n, 0) * 1000.0 / len AS rate FROM e LEFT JOIN n USING (line_id, run_id)),
-st AS (SELECT line_id, anomaly_score AS x, sum(CAST(run_id = 0 AS INT)) AS r, sum(CAST(run_id = 2 AS INT)) AS c FROM ind WHERE run_id IN (0, 2) GROUP BY 1, 2),
-cu AS (SELECT line_id, sum(r) OVER w / nullif(sum(r) OVER (PARTITION BY line_id), 0) AS fr, sum(c) OVER w / nullif(sum(c) OVER (PARTITION BY line_id), 0) AS fc FROM st WINDOW w AS (PARTITION BY line_id ORDER BY x)),
-ks AS (SELECT line_id, max(abs(fr - fc)) AS ks_stat FROM cu GROUP BY 1),
-j AS (SELECT c.line_id, c.rate AS rc, p.rate AS rr, CASE WHEN p.rate > 0 THEN c.rate / p.rate END AS ratio FROM k c JOIN k p ON c.line_id = p.line_id AND c.run_id = 2 AND p.run_id = 0)
-SELECT j.line_id, {r6('rc')} AS rate_current, {r6('rr')} AS rate_reference, {r6('ratio')} AS ratio, {r6('ks_stat')} AS ks_stat,
-       coalesce(NOT (ratio BETWEEN 1.0 / 3 AND 3), false) AS flagged FROM j LEFT JOIN ks USING (line_id)"""))
+st AS (SELECT e.line_id, e.run_id, anomaly_score AS x, sum(CAST(ind.run_id = 0 AS INT)) AS r, sum(CAST(ind.run_id > 0 AS INT)) AS c FROM e JOIN ind ON ind.line_id = e.line_id AND ind.run_id IN (0, e.run_id) WHERE e.run_id > 0 GROUP BY 1, 2, 3),
+cu AS (SELECT line_id, run_id, sum(r) OVER w / nullif(sum(r) OVER (PARTITION BY line_id, run_id), 0) AS fr, sum(c) OVER w / nullif(sum(c) OVER (PARTITION BY line_id, run_id), 0) AS fc FROM st WINDOW w AS (PARTITION BY line_id, run_id ORDER BY x)),
+ks AS (SELECT line_id, run_id, max(abs(fr - fc)) AS ks_stat FROM cu GROUP BY 1, 2),
+j AS (SELECT c.line_id, c.run_id, c.rate AS rc, p.rate AS rr, CASE WHEN p.rate > 0 THEN c.rate / p.rate END AS ratio FROM k c JOIN k p ON c.line_id = p.line_id AND c.run_id > 0 AND p.run_id = 0)
+SELECT j.line_id, j.run_id, {r6('rc')} AS rate_current, {r6('rr')} AS rate_reference, {r6('ratio')} AS ratio, {r6('ks_stat')} AS ks_stat,
+       coalesce(NOT (ratio BETWEEN 1.0 / 3 AND 3), false) AS flagged FROM j LEFT JOIN ks USING (line_id, run_id)"""))
 def prediction_drift(spark, sf):
     ind = v.found(spark, sf).select("survey_id", "line_id", "run_id", F.col("anomaly_score").alias("x"))
     ext = v.survey_extents(spark, sf)
-    rates = drift.indications_per_km(ind, ext, "survey_id").join(v.reading_rows(spark, sf).select("survey_id", "line_id", "run_id").distinct(), "survey_id")
-    side = lambda r: rates.filter(F.col("run_id") == r).select("line_id", "rate")
-    got = drift.prediction_drift(ind.filter("run_id = 0"), ind.filter("run_id = 2"), side(0), side(2), 3.0, ["line_id"])
-    return got.select("line_id", *[rnd(c).alias(c) for c in ("rate_current", "rate_reference", "ratio", "ks_stat")], "flagged")
+    walked = v.reading_rows(spark, sf).select("survey_id", "line_id", "run_id").distinct()
+    rates = drift.indications_per_km(ind, ext, "survey_id").join(walked, "survey_id").select("line_id", "run_id", "rate")
+    # every later run of a line beside its first
+    later = walked.filter("run_id > 0").select("line_id", "run_id")
+    first = lambda rows: rows.filter("run_id = 0").drop("run_id", "survey_id").join(later, "line_id")
+    got = drift.prediction_drift(first(ind), ind.filter("run_id > 0"), first(rates), rates.filter("run_id > 0"), 3.0, ["line_id", "run_id"])
+    return got.select("line_id", "run_id", *[rnd(c).alias(c) for c in ("rate_current", "rate_reference", "ratio", "ks_stat")], "flagged")
 
 
 @query(q(IND, f"""
@@ -307,6 +312,13 @@ def corr_pairs(spark, sf):
     return got.select("feature_a", "feature_b", rnd("r").alias("r"))
 
 
+@query("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]) + ") AS pairs WHERE abs(r) >= 0.001")
+def redundant_columns(spark, sf):
+    got = profile.redundant_pairs(profile.correlation_pairs(v.table(spark, sf, "lineitem"), FEATURES), 0.001)
+    return got.select("feature_a", "feature_b", rnd("r").alias("r"))
+
+
 @query(q(R, f"""
 SELECT survey_id, {r6("median(abs(value - 50)) FILTER (WHERE event_type = 'error')")} AS median_in, {r6("median(abs(value - 50)) FILTER (WHERE event_type <> 'error')")} AS median_out, {r6('max(abs(value - 50))')} AS max_abs,
   {r6("median(abs(value - 50)) FILTER (WHERE event_type = 'error') / nullif(median(abs(value - 50)) FILTER (WHERE event_type <> 'error'), 0)")} AS contrast FROM r GROUP BY 1"""))
@@ -381,12 +393,12 @@ def growth_shrunk(spark, sf):
     return got.select("l_suppkey", "n_obs", *[rnd(c).alias(c) for c in ("own_rate", "shrunk_rate", "shrinkage_weight")])
 
 
-@query(q(_SLOPE.format(where="WHERE run_id <= 4"), """
-, last AS (SELECT l_suppkey, max(run_id) AS r0, max_by(y_true, run_id) AS y0 FROM g WHERE run_id <= 4 GROUP BY 1)
+@query(q(_SLOPE.format(where="WHERE run_id <= 5"), """
+, last AS (SELECT l_suppkey, max(run_id) AS r0, max_by(y_true, run_id) AS y0 FROM g WHERE run_id <= 5 GROUP BY 1)
 SELECT t.l_suppkey, round(abs(y0 * exp(rate * (t.run_id - r0)) - t.y_true), 2) + 0.0 AS model_error, round(abs(y0 - t.y_true), 2) + 0.0 AS no_growth_error
-FROM g t JOIN last USING (l_suppkey) JOIN z USING (l_suppkey) WHERE t.run_id = 5"""))
+FROM g t JOIN last USING (l_suppkey) JOIN z USING (l_suppkey) WHERE t.run_id = 6"""))
 def growth_gate_errors(spark, sf):
-    got = growth.gate_errors(v.yearly_revenue(spark, sf), "l_suppkey", "run_id", "y_true", [0, 1, 2, 3, 4], 5, 2)
+    got = growth.gate_errors(v.yearly_revenue(spark, sf), "l_suppkey", "run_id", "y_true", [0, 1, 2, 3, 4, 5], 6, 2)
     return got.select("l_suppkey", rnd("model_error", 2).alias("model_error"), rnd("no_growth_error", 2).alias("no_growth_error"))
 
 

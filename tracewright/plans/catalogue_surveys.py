@@ -232,6 +232,15 @@ def peak_row_features(spark, sf):
     return got.select("indication_id", "peak_value", "peak_type", rnd("extent_m").alias("extent_m"))
 
 
+@query(q(IND, """
+, j AS (SELECT i.indication_id, CASE WHEN r.event_type <> 'view' THEN r.event_type END AS truth FROM ind i LEFT JOIN r ON r.survey_id = i.survey_id AND r.sample_idx = i.peak_sample_idx)
+SELECT truth, count(indication_id) AS n, (SELECT count(*) FROM j WHERE truth IS NULL) AS n_dropped FROM j WHERE truth IS NOT NULL GROUP BY 1"""))
+def truth_at_peaks(spark, sf):
+    rows = v.readings(spark, sf).df.select("survey_id", "sample_idx", F.when(F.col("event_type") != "view", F.col("event_type")).alias("truth"))
+    known, dropped = matching.attach_truth(v.found(spark, sf), rows, "truth")
+    return known.groupBy("truth").agg(F.count("indication_id").alias("n")).crossJoin(F.broadcast(dropped))
+
+
 @query(q(HEADS, f"""SELECT survey_id, sample_idx, value, {r6('b_mid')} AS b_mid FROM h"""))
 def one_to_one_join(spark, sf):
     series = v.readings(spark, sf)
