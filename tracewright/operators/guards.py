@@ -64,6 +64,13 @@ def assert_no_forbidden(columns: Sequence[str], forbidden: Sequence[str]) -> Non
         raise GuardError(f"columns that must not be features: {leaked}")
 
 
+def assert_columns(columns: Sequence[str], expected: Sequence[str]) -> None:
+    """The columns are the expected ones, in their order."""
+    off = column_differences(columns, expected)
+    if off["missing"] or off["extra"] or list(columns) != list(expected):
+        raise GuardError(f"columns out of contract: {off}, or their order")
+
+
 def column_differences(columns: Sequence[str], expected: Sequence[str]) -> dict[str, list[str]]:
     return {
         "missing": [c for c in expected if c not in set(columns)],

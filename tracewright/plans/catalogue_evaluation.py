@@ -8,6 +8,7 @@ from ..functions import scalars as s
 from ..operators import drift, growth, islands, learn, matching, metrics, profile
 from ..operators.guards import key_set_differences
 from ..operators.quantiles import median_mad
+from . import evaluation
 from . import views as v
 from .catalogue import query
 from .sql_views import DOC, HEADS, IND, L, R, REV, q, r6
@@ -122,6 +123,12 @@ def coverage_nominal(spark, sf):
     return got.select(rnd("empirical").alias("empirical"), "nominal", "n", "below_nominal")
 
 
+@query(_CUST + """ SELECT o_custkey, round(avg(CAST(y BETWEEN lo AND hi AS INT)), 6) + 0.0 AS empirical, avg(CAST(y BETWEEN lo AND hi AS INT)) BETWEEN 0.87 AND 0.93 AS passed FROM i GROUP BY 1""")
+def coverage_gate(spark, sf):
+    got = evaluation.severity_gate(metrics.coverage_vs_nominal(_customer_intervals(spark, sf), "y", "lo", "hi", 0.9, ["o_custkey"]))
+    return got.select("o_custkey", rnd("empirical").alias("empirical"), "passed")
+
+
 def _customer_intervals(spark, sf):
     o = v.table(spark, sf, "orders").select("o_custkey", F.col("o_totalprice").alias("y"))
     mean = o.groupBy("o_custkey").agg(F.avg("y").alias("p"))

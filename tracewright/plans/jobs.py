@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import consequence
 from ..operators import feedback, growth, quality
-from ..operators.features import FeatureConfig, feature_frame
+from ..operators.features import FeatureConfig, feature_frame, pinned_columns
+from ..operators.guards import assert_columns
 from ..operators.identity import content_hashes, register
 from ..operators.islands import cluster_indications
 from ..operators.learn import ClassModel, IsolationForestModel, SeverityModel, isotonic_value, risk
@@ -137,6 +138,7 @@ def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationCo
     if not todo.isEmpty():
         chosen = rows.join(todo.select("survey_id"), "survey_id", "left_semi")
         frame, _ = build_features(chosen, reg_cfg, cfg)
+        assert_columns(frame.columns[-len(pinned_columns(cfg)) :], pinned_columns(cfg))
         io.write_features(frame, todo, store)
     io.load_readings(rows, new, f"{store}/readings")
     # the report has a partition of its own for the batch, which a repeated run replaces
