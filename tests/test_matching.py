@@ -83,3 +83,28 @@ def test_interval_rows(spark):
     iv = spark.createDataFrame([("a", 1, 2.0, 9.5), ("a", 2, 9.0, 9.0)], "k string, j long, lo double, hi double")
     got = sorted((g.j, g.x) for g in m.interval_rows(rows, iv, ["k"], "x", "lo", "hi", 4.0).collect())
     assert got == [(1, float(x)) for x in range(2, 10)] + [(2, 9.0)]
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed", "holes"])
+def test_a_lattice_takes_few_rounds(spark, monkeypatch, order):
+    """Evenly spaced rows: every distance is a tie."""
+    rng = np.random.default_rng(6)
+    n = 400
+    ids = {"up": np.arange(n), "down": np.arange(n)[::-1], "mixed": rng.permutation(n), "holes": rng.permutation(n)}[order]
+    at = np.arange(2 * n) * 1.0
+    keep = rng.random(2 * n) < (0.9 if order == "holes" else 1.1)
+    l = [(f"{i:05d}", x) for i, x, k in zip(ids.tolist(), at[::2].tolist(), keep[::2].tolist()) if k]
+    r = [(f"{i:05d}", x) for i, x, k in zip(rng.permutation(n).tolist(), at[1::2].tolist(), keep[1::2].tolist()) if k]
+    rounds = []
+    own = m._arenas
+    monkeypatch.setattr(m, "_arenas", lambda *a: rounds.append(1) or own(*a))
+    left = spark.createDataFrame([("k", *x) for x in l], "k string, lid string, lx double")
+    right = spark.createDataFrame([("k", *x) for x in r], "k string, rid string, rx double")
+    got = m.greedy_match(left, right, ["k"], "lx", "rx", "lid", "rid", 3.0, small_rows=0)
+    pairs = sorted((abs(a - b), i, j) for i, a in l for j, b in r if abs(a - b) <= 3.0)
+    want, used_l, used_r = [], set(), set()
+    for d, i, j in pairs:
+        if i not in used_l and j not in used_r:
+            used_l.add(i), used_r.add(j), want.append((i, j, d))
+    assert sorted((x["lid"], x["rid"], x["distance_m"]) for x in got.collect()) == sorted(want)
+    assert len(rounds) <= 20

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import Series, before, earlier, following, later, latest, order_rows, total
+from .ordered import Series, after, before, earlier, following, later, latest, order_rows, total
 
 SMALL_KEY_ROWS = 2_000
 #: rows of the stretches that are walked in one group, on average
@@ -164,7 +164,7 @@ def greedy_match(
         reach = F.when(use_lo, d_lo).otherwise(d_hi)
         choice = cut(
             sides.select(
-                *keys, "__x", "__kind", "__first", "__m", tie.alias("__tie"), best["f"].alias("__best"), reach.alias("__d"),
+                *keys, "__x", "__kind", "__first", "__m", "__h0", "__h1", tie.alias("__tie"), best["f"].alias("__best"), reach.alias("__d"),
                 F.when(tie, F.array(F.col("__lo.f"), F.col("__hi.f"))).otherwise(F.array(best["f"])).alias("__all"),
             ).filter(F.col("__d") <= tolerance)
         )
@@ -237,15 +237,19 @@ def _arenas(choice: DataFrame, keys: list[str]) -> DataFrame:
     - Two positions that are each other's only nearest: all rows, in id order.
     - A position exactly halfway between two positions that both want it alone:
       the rows of the two sides are mixed by id against the middle.
-    - Longer chains of equal distances: the two smallest ids, one pair a round.
+    - Longer chains of equal distances between single rows: all pairs that the walk
+      would take, see ``_chains``.
+    - Other chains: the two smallest ids, one pair a round.
     """
     a = choice.filter("__kind = 0").select(
-        *keys, F.col("__first").alias("__fa"), F.explode("__all").alias("__fb"), F.col("__best").alias("__ba"), F.col("__tie").alias("__ta")
+        *keys, F.col("__first").alias("__fa"), F.explode("__all").alias("__fb"), F.col("__best").alias("__ba"), F.col("__tie").alias("__ta"),
+        F.col("__m").alias("__ma"), "__h0",
     )
     b = choice.filter("__kind = 1").select(
-        *keys, F.col("__first").alias("__fb"), F.explode("__all").alias("__fa"), F.col("__best").alias("__bb"), F.col("__tie").alias("__tb")
+        *keys, F.col("__first").alias("__fb"), F.explode("__all").alias("__fa"), F.col("__best").alias("__bb"), F.col("__tie").alias("__tb"),
+        F.col("__m").alias("__mb"), "__h1",
     )
-    edges = a.join(b, [*keys, "__fa", "__fb"])
+    edges = _chains(cut(a.join(b, [*keys, "__fa", "__fb"])), keys)
     # a position has at most two nearest positions, so these counts are 1 or 2
     leaf_a, leaf_b = ~F.col("__ta"), ~F.col("__tb")
     edges = edges.withColumn(
@@ -256,13 +260,43 @@ def _arenas(choice: DataFrame, keys: list[str]) -> DataFrame:
     star_a = F.col("__ta") & leaf_b & (F.col("__na") == 2)
     heads = (F.col("__ba") == F.col("__fb")) & (F.col("__bb") == F.col("__fa"))
     whole = F.lit(1 << 62)
-    edges = edges.withColumn("__take", F.when(plain | star_a | star_b, whole).when(heads, F.lit(1)).cast("long")).filter("__take is not null")
+    star_a, star_b = star_a & ~F.col("__single"), star_b & ~F.col("__single")
+    take = F.when(F.col("__single"), F.when(F.col("__walked"), F.lit(1))).when(plain | star_a | star_b, whole).when(heads, F.lit(1))
+    edges = edges.withColumn("__take", take.cast("long")).filter("__take is not null")
     edges = edges.withColumn("__arena", F.when(star_a, F.col("__fa")).otherwise(F.col("__fb")))
     left = edges.select(*keys, F.col("__fa").alias("__first"), "__arena", "__take", star_b.alias("__mixed"))
     right = edges.select(*keys, F.col("__fb").alias("__first"), "__arena", "__take", star_a.alias("__mixed"))
     return left.unionByName(right).distinct()
 
 
+def _chains(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks edges of chains of single rows (``__single``) and which of them the walk takes (``__walked``).
+
+    Edges of a chain have one distance, so the walk takes them by (left id, right
+    id). A smallest edge among its neighbours is taken; going up from it every second
+    one is, as each is free unless the one below it was taken; an edge above both its
+    neighbours needs both to be untaken. So an edge is taken if it stands an even
+    number of steps above the smallest edge on either side. A chain counts only if
+    all its positions have one row and no tie of theirs leads out of it.
+    """
+    lo, hi = F.least("__fa", "__fb"), F.greatest("__fa", "__fb")
+    per_a, per_b = Window.partitionBy(*keys, "__fa"), Window.partitionBy(*keys, "__fb")
+    closed = (~F.col("__ta") | (F.count(F.lit(1)).over(per_a) == 2)) & (~F.col("__tb") | (F.count(F.lit(1)).over(per_b) == 2))
+    marked = edges.withColumn("__ok", closed & (F.col("__ma") == 1) & (F.col("__mb") == 1)).withColumn("__lo", lo).withColumn("__hi", hi)
+    line = order_rows(marked, keys, ["__lo", "__hi"], idx="__e")
+    rank = F.struct("__h0", "__h1")
+    near = line.running(__ph=before(F.col("__hi")), __pr=before(rank), __nl=after(F.col("__lo")), __nr=after(rank))
+    joined = F.coalesce(F.col("__ph") == F.col("__lo"), F.lit(False))
+    up = joined & (rank > F.col("__pr"))
+    down = F.coalesce(F.col("__nl") == F.col("__hi"), F.lit(False)) & (rank > F.col("__nr"))
+    steps = near.running(__chain=total((~joined).cast("long")), __from=latest(F.when(~up, F.col("__e"))), __to=following(F.when(~down, F.col("__e"))))
+    rows = cut(steps.df)
+    whole = rows.groupBy(*keys, "__chain").agg(F.min("__ok").alias("__single"))
+    even = lambda n: F.pmod(n, F.lit(2)) == 0
+    out = rows.join(whole, [*keys, "__chain"]).withColumn("__walked", even(F.col("__e") - F.col("__from")) & even(F.col("__to") - F.col("__e")))
+    return out.select(*edges.columns, "__single", "__walked")
+
+
 def match_all(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_x: str, right_x: str, left_id: str, right_id: str,
     tolerance: float, payload: Sequence[str] = (),
