@@ -124,3 +124,28 @@ def test_a_repeated_run_replaces_its_report(spark, tmp_path, monkeypatch):
     jobs.full_run(spark, root, store, CFG, cfg)
     assert spark.read.parquet(f"{store}/dq_report").count() == report > 0
     assert spark.read.parquet(f"{store}/features").count() == 900 and spark.read.parquet(f"{store}/registry").count() == 1
+
+
+def test_predict_from_the_store(spark, tmp_path):
+    from tracewright.operators.guards import GuardError
+    from tracewright.operators.learn import IsolationForest
+    from tracewright.sources import surveys as io
+
+    root, store = str(tmp_path / "raw"), str(tmp_path / "store")
+    cfg = ft.FeatureConfig(windows_m=(2.0, 5.0), detrend_window_m=10.0)
+    write(root, walk(80, 0, "007", n=900))
+    bad = walk(81, 1, "007", n=900)
+    bad.loc[5, "b_lo_nt"] = 999999.0
+    write(root, bad)
+    jobs.full_run(spark, root, store, CFG, cfg)
+    rows = io.read_keyed(spark, f"{store}/features")
+    columns = ["r_lo_nt", "r_mid_nt", "r_hi_nt"]
+    forest = IsolationForest(tuple(columns), trees=10, contamination=0.02).fit(rows.withColumn("row", F.monotonically_increasing_id()), "row")
+    for names in (["007_R0", "007_R9"], ["007_R1"]):
+        with pytest.raises(GuardError):
+            jobs.predict_store(spark, store, names, forest, "v1", columns, cfg)
+    assert not (tmp_path / "store/indications").exists()
+    n = jobs.predict_store(spark, store, ["007_R0"], forest, "v1", columns, cfg)
+    assert n > 0 and jobs.predict_store(spark, store, ["007_R0"], forest, "v1", columns, cfg) == 0
+    assert spark.read.parquet(f"{store}/indications").count() == n
+    assert 0 < spark.read.text(f"{store}/geojson/v1").count() <= n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import consequence
 from ..operators import feedback, growth, quality
 from ..operators.features import FeatureConfig, feature_frame, pinned_columns
-from ..operators.guards import assert_columns
+from ..operators.guards import GuardError, assert_columns
 from ..operators.identity import content_hashes, register
 from ..operators.islands import cluster_indications
 from ..operators.learn import ClassModel, IsolationForestModel, SeverityModel, isotonic_value, risk
@@ -182,6 +183,28 @@ def predict(
     return found.withColumn("created_at", F.current_timestamp())
 
 
+def predict_store(
+    spark: SparkSession, store: str, surveys: Sequence[str], anomaly: IsolationForestModel, release: str, columns: list[str],
+    cfg: FeatureConfig = FeatureConfig(), severity: SeverityModel | None = None, classes: ClassModel | None = None, calibrator=None,
+) -> int:
+    """Predict stored surveys with a release; store new indications, export them, return how many were new.
+
+    A survey that is not registered, or whose newest status is not accepted, stops the job before anything is written.
+    """
+    asked = spark.createDataFrame([(s,) for s in surveys], "survey_id string").distinct()
+    status = io.latest_by(io.read_keyed(spark, f"{store}/registry").select("survey_id", "status", "surveyed_at"), ["survey_id"], "surveyed_at")
+    refused = asked.join(status.filter("status = 'accepted'"), "survey_id", "left_anti").orderBy("survey_id").limit(5).collect()
+    if refused:
+        raise GuardError(f"surveys that may not be predicted: {[r['survey_id'] for r in refused]}")
+    features = io.read_keyed(spark, f"{store}/features").filter(F.col("fv") == cfg.version).drop("fv").join(asked, "survey_id", "left_semi")
+    positions = io.read_keyed(spark, f"{store}/readings").join(asked, "survey_id", "left_semi")
+    found = cut(predict(features, positions, anomaly, release, columns, severity, classes, calibrator))
+    new = io.write_indications(spark, found, f"{store}/indications")
+    shown = io.geojson(found, ["indication_id", "survey_id", "anomaly_score", "chainage_peak_m"])
+    shown.write.mode("overwrite").text(f"{store}/geojson/{release}")
+    return new
+
+
 def match_surveys(indications: DataFrame, registry: DataFrame, surveys: DataFrame, tolerance: float = 15.0) -> DataFrame:
     """Indications of every survey against its own line's sources, each source once per survey."""
     sources = per_survey_sources(registry, surveys, "line_id", "survey_id").withColumnRenamed("kind", "matched_kind")
