@@ -40,14 +40,20 @@ def feature_summary(long: DataFrame, bins: int = 10, keys: Sequence[str] = ("fea
 def reference_sample(long: DataFrame, keys: Sequence[str], row_id: Column, size: int, seed: int) -> DataFrame:
     """The ``size`` rows per key with the smallest seeded hash.
 
-    A cut on the hash leaves little more than ``size`` rows per key for the ranking.
+    The hash is the start of a sha256, so any engine draws the same rows. A cut on
+    it leaves little more than ``size`` rows per key for the ranking; a key that the
+    cut leaves short, which is very rare, is ranked whole.
     """
     n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    h = (F.xxhash64(F.lit(seed), row_id) / F.lit(2.0**64)) + F.lit(0.5)
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), row_id), 256), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     hashed = long.withColumn("__u", h).join(n, list(keys))
     # six standard deviations above the wanted count: fewer than ``size`` rows pass with a chance of about 1e-9
     share = (F.lit(float(size)) + 6.0 * math.sqrt(size) + 40.0) / F.col("__n")
     near = hashed.filter(F.col("__u") <= share)
+    found = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__f"))
+    short = cut(n.join(found, list(keys), "left").filter(F.coalesce("__f", F.lit(0)) < F.least("__n", F.lit(size))).select(*keys))
+    if not short.isEmpty():
+        near = near.join(short, list(keys), "left_anti").unionByName(hashed.join(short, list(keys), "left_semi"))
     return top_per_key(near, list(keys), [F.col("__u"), F.col("x")], size).drop("__u", "__n", "rank")
 
 

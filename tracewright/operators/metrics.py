@@ -206,12 +206,12 @@ def line_halves(df: DataFrame, line: str) -> DataFrame:
 def calibration_split(groups: DataFrame, group: str, frac: float, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Marks whole groups as calibration: ``max(1, round(frac*n))`` of them, none if there is only one.
 
-    ``by`` repeats the choice inside each class. Groups are taken in hash order.
+    ``by`` repeats the choice inside each class. Groups are taken in the order of a sha256, which any engine repeats.
     """
     by = list(by)
     distinct = groups.select(*by, group).distinct().withColumn("__one", F.lit(1))
     keys = [*by, "__one"]
-    ordered = order_rows(distinct, keys, [F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.col(group)], idx="__i").df
+    ordered = order_rows(distinct, keys, [F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")), 256), F.col(group)], idx="__i").df
     sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     k = F.when(F.col("__n") > 1, F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(frac)).cast("long"))).otherwise(0)
     return ordered.join(sizes, keys).select(*by, group, (F.col("__i") < k).alias("calibration"))

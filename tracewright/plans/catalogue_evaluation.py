@@ -181,7 +181,8 @@ def feature_summary(spark, sf):
     return got.select("feature", rnd("mean", 4).alias("mean"), rnd("std", 4).alias("std"), "min", "max", "n", rnd(F.col("bin_edges")[3], 4).alias("edge_3"), rnd(F.col("bin_edges")[9], 4).alias("edge_9"))
 
 
-@query()
+@query("SELECT feature, x FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY substr(sha256(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey)), 1, 13), x) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, l_orderkey, l_linenumber, l_partkey FROM lineitem" for c in FEATURES) + ") AS long_rows) AS ranked WHERE n <= 2000")
 def reference_sample(spark, sf):
     l = v.table(spark, sf, "lineitem")
     long = drift.unpivot(l, FEATURES, ["l_orderkey", "l_linenumber", "l_partkey"])

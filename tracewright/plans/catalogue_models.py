@@ -112,7 +112,10 @@ def risk_scores(spark, sf):
     return learn.risk(r, consequence(F.col("event_type"), weights)).select("event_id", rnd("risk_score").alias("risk_score"))
 
 
-@query()
+@query("""
+WITH g AS (SELECT DISTINCT quality, doc_id FROM documents JOIN labels USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY sha256(concat('42|', doc_id)), doc_id) - 1 AS i, count(*) OVER (PARTITION BY quality) AS n FROM g)
+SELECT quality, doc_id, i < CASE WHEN n > 1 THEN greatest(1, CAST(round_even(n * 0.3, 0) AS BIGINT)) ELSE 0 END AS calibration FROM o""")
 def calibration_groups(spark, sf):
     d = v.scored_documents(spark, sf)
     return metrics.calibration_split(d, "doc_id", 0.3, 42, by=["quality"])
