@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tracewright.session import cut
 
+from .common import small_batches
 from .pieces import encoder, in_blocks
 
 MANIFEST = "part int, tokens_file string, docs_file string, n_docs long, n_tokens long, n_sequences long"
@@ -111,6 +112,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
         named = _publish(folder, f"docs-{part:06d}.arrow", write_index)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "tokens_file": [tokens], "docs_file": [named], "n_docs": [len(starts)], "n_tokens": [made[0]], "n_sequences": [made[1]]})
 
+    small_batches(docs)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(run, MANIFEST))

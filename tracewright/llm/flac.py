@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import in_blocks
 
 BLOCK = 1024
@@ -409,6 +410,7 @@ def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(block)) for c in ("doc_id", "n_bytes")] + [pa.array(encode(block), pa.binary())], names=["doc_id", "n_bytes", "media"])
                 at += len(block)
 
+    small_batches(docs)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), payload(F.col(text)).alias("payload"))
     return base.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, media binary")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import scratch, small_batches
 from .pieces import encoder, in_blocks
 
 #: Rows of one length that are ranked together; more are ranked in several groups.
@@ -45,6 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
                 )
                 at += len(block)
 
+    small_batches(docs)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return base.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids binary")

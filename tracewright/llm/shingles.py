@@ -20,15 +20,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 19
 
 
 def _powers(base: int, size: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64; the longest so far is kept."""
+    """1, base, base**2, ... modulo 2**64; the first are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < size:
-        steps = np.full(max(size, 1 << 21), base, np.uint64)
+        steps = np.full(max(size, 8), base, np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:size]
 
 

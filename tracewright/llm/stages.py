@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, ngram_join, packing, toxicity
-from .common import read, scratch, vocabulary
+from .common import read, scratch, small_batches, vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model doesn't take for toxic; it learns from the labels that aren't held out."""
+    small_batches(docs)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(F.col("text"), model) < 0.5)
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import in_blocks
 
 WORD = re.compile(r"[^\W_]+")
@@ -210,5 +211,6 @@ def score(text: Column, model: tuple[np.ndarray, np.ndarray, float]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
+    small_batches(docs)
     scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score(F.col("text"), fit(docs, labels)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
