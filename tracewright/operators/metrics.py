@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +61,8 @@ def bootstrap(
 ) -> DataFrame:
     """Percentile interval of a statistic of each value column, per key.
 
-    Every (replicate, unit) pair gets a Poisson(1) weight read from a hash of the
-    unit id, so replicates need no draw table and units may sit anywhere. The
+    Every (replicate, unit) pair gets a Poisson(1) weight read from a sha256 of the
+    unit id, which any engine repeats, so replicates need no draw table and units may sit anywhere. The
     copies of a unit meet the partial aggregate in their own task; only one sum
     per replicate is shuffled. ``statistic`` maps (value, weight) column names to
     an aggregate; the default is the weighted mean. Units are physical objects,
@@ -69,7 +70,8 @@ def bootstrap(
     """
     keys, values = list(keys), list(values)
     stat = statistic or (lambda v, w: safe_div(F.sum(F.col(v) * F.col(w)), F.sum(F.when(F.col(v).isNotNull(), F.col(w)))))
-    u = (F.xxhash64(F.lit(seed), F.col(unit).cast("string"), F.col("__b")) / F.lit(2.0**64)) + F.lit(0.5)
+    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(unit).cast("string"), F.col("__b").cast("string")), 256)
+    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     reps = units.select(*keys, unit, *values, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("__b"))
     reps = reps.withColumn("__w", poisson_one(u))
     per_rep = reps.groupBy(*keys, "__b").agg(*[stat(v, "__w").alias(v) for v in values])
@@ -82,11 +84,14 @@ def bootstrap(
     )
 
 
+#: P(count <= k) of Poisson(1) for k = 0, 1, 2, …
+POISSON_STEPS = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
 def poisson_one(u: Column) -> Column:
     """Poisson(1) count of a uniform number, by its cumulative probabilities."""
-    total, out = 0.0, F.lit(0.0)
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
+    out = F.lit(0.0)
+    for total in POISSON_STEPS:
         out = out + (u >= total).cast("double")
     return out
 

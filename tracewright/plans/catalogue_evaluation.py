@@ -38,18 +38,33 @@ def separability(spark, sf):
     return got.select("feature", "contrast", rnd("average_precision").alias("average_precision"), rnd("base_rate").alias("base_rate"))
 
 
-@query()
+def _resampled(units: str, value: str, keys: str = "") -> str:
+    """500 replicates of ``units`` (a table with line_id, v and the keys) and the ends of their interval."""
+    by, rows = (f"{keys}, ", f"{keys}, b") if keys else ("", "b")
+    weight = " + ".join(f"CAST(u >= {t!r} AS DOUBLE)" for t in metrics.POISSON_STEPS)
+    return f""", un AS ({units}),
+dr AS (SELECT un.*, b, CAST(concat('0x', substr(sha256(concat_ws('|', '42', line_id, b)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM un, range(1, 501) AS t(b)),
+wt AS (SELECT *, {weight} AS w FROM dr),
+pe AS (SELECT {rows}, sum(v * w) / sum(w) AS m FROM wt GROUP BY {rows}),
+pt AS (SELECT {by}{r6('avg(v)')} AS {value}_point FROM un{' GROUP BY ' + keys if keys else ''}),
+en AS (SELECT {by}{r6('quantile_cont(m, 0.025)')} AS {value}_lo, {r6('quantile_cont(m, 0.975)')} AS {value}_hi FROM pe{' GROUP BY ' + keys if keys else ''})
+SELECT * FROM pt {f'JOIN en USING ({keys})' if keys else 'CROSS JOIN en'}"""
+
+
+@query(q(R, _resampled("SELECT event_type, line_id, avg(value) AS v FROM r GROUP BY 1, 2", "mean_value", "event_type")))
 def bootstrap_ci(spark, sf):
     units = v.reading_rows(spark, sf).groupBy("event_type", "line_id").agg(F.avg("value").alias("mean_value"))
-    return metrics.bootstrap(units, ["event_type"], "line_id", ["mean_value"], 500, 0.95, 42)
+    got = metrics.bootstrap(units, ["event_type"], "line_id", ["mean_value"], 500, 0.95, 42)
+    return got.select("event_type", *[rnd(f"mean_value_{c}").alias(f"mean_value_{c}") for c in ("point", "lo", "hi")])
 
 
-@query()
+@query(q(R, _resampled("SELECT line_id, avg(value) FILTER (WHERE run_id = 0) - avg(value) FILTER (WHERE run_id > 0) AS v FROM r GROUP BY 1 HAVING v IS NOT NULL", "delta")))
 def paired_bootstrap(spark, sf):
     units = v.reading_rows(spark, sf).groupBy("line_id").agg(
         F.avg(F.when(F.col("run_id") == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("run_id") > 0, F.col("value"))).alias("b")
     )
-    return metrics.paired_bootstrap(units.dropna(), [], "line_id", "a", "b", 500, 0.95, 42)
+    got = metrics.paired_bootstrap(units.dropna(), [], "line_id", "a", "b", 500, 0.95, 42)
+    return got.select(*[rnd(f"delta_{c}").alias(f"delta_{c}") for c in ("point", "lo", "hi")])
 
 
 @query(q(R, f"""
