@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .pieces import in_blocks
+from .shingles import shingle_sets
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 21
 GRAMS = (3, 4, 5, 6)
+#: A long text is as toxic as its strongest part of about so many words: a mean over thousands hides a few.
+PART_WORDS = 250
 #: Distinct words whose scores a task keeps.
 TABLE_LIMIT = 200_000
 
@@ -139,6 +142,16 @@ def train(texts: list[str], toxic: np.ndarray, size: int = 8, epochs: int = 150,
     return chosen, vectors @ (out[:, 1] - out[:, 0]), float(bias)
 
 
+def _strongest(values: np.ndarray) -> float:
+    """The mean of a text's words, or that of the strongest of its even parts of at most PART_WORDS words."""
+    n = len(values)
+    if not n:
+        return 0.0
+    parts = -(-n // PART_WORDS)
+    start = np.arange(parts) * n // parts
+    return max(float(values.mean()), float((np.add.reduceat(values, start) / np.diff(start, append=n)).max()))
+
+
 class Scorer:
     """Scores texts; a distinct word is hashed once, and once per block of texts when the table is full."""
 
@@ -162,7 +175,7 @@ class Scorer:
         else:
             table = table | learnt
         get = table.__getitem__
-        odds = np.array([self.bias + (sum(map(get, words)) / len(words) if words else 0.0) for words in split])
+        odds = self.bias + np.array([_strongest(np.fromiter(map(get, words), np.float64, len(words))) for words in split])
         return (1 / (1 + np.exp(-np.clip(odds, -500, 500)))).tolist()
 
 
@@ -171,11 +184,25 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def unlike(texts: list[str], looks: int = 4) -> list[int]:
+    """Numbers of texts that share none of their smallest shingles, under `looks` orders, with a text before.
+
+    A sample with a text and its many near copies would take their chance words for a sign of the class.
+    """
+    seen, kept = set(), []
+    for i, tokens in enumerate(s for block in in_blocks(texts, 1 << 18) for s in shingle_sets(block)):
+        marks = {(k, int(_mix(tokens + np.uint64(k)).min())) for k in range(looks)} if len(tokens) else {(0, 0)}
+        if not marks & seen:
+            kept.append(i)
+        seen |= marks
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 200_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Train on at most `max_rows` labelled rows that aren't held out, half of them toxic where there are so many.
 
     The sample, which goes to the driver, takes the first ids by a hash, and whole
-    texts; rows with a text beyond `max_chars` are not drawn, nor a text twice. Null
+    texts; rows with a text beyond `max_chars` are not drawn, and of near copies one teaches. Null
     ids, texts and labels teach nothing; ids with two labels have the higher one.
     Without any row of one class the model is the prior alone.
     """
@@ -189,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     side = spark.createDataFrame(pa.table({"doc_id": pa.array([r["doc_id"] for r in ids]), "toxic": pa.array([r["toxic"] for r in ids], pa.int32())}))
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(side), "doc_id")
     rows = sorted({r["text"]: (r["doc_id"], r["text"], r["toxic"]) for r in sample.select("doc_id", "text", "toxic").toLocalIterator()}.values())
+    rows = [rows[i] for i in unlike([r[1] for r in rows])]
     return train([r[1] for r in rows], np.array([r[2] for r in rows]))
 
 
