@@ -45,5 +45,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for step in maps[1:]:
         label = label.join(step.select(F.col("u").alias("at"), "w"), "at", "left").select("node", F.coalesce("w", "at").alias("at"))
     label = scratch(label)
-    least = label.groupBy("at").agg(F.min("node").alias("component"))
+    # as a table, so that the join has only exchanges below it, which adaptive execution can split
+    least = scratch(label.groupBy("at").agg(F.min("node").alias("component")))
     return label.join(least, "at").select("node", "component")

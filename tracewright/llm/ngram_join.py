@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import scratch, small_batches
 from .components import components
 from .pieces import in_blocks
 from .shingles import set_id, shingle_sets
@@ -24,6 +24,8 @@ SALT_ROWS = 50_000
 #: Lists up to this length are compared all with all, longer ones with one central member a round.
 LIST_ROWS = 32
 ROUNDS = 3
+#: Characters whose shingles are made together.
+BLOCK_CHARS = 1 << 18
 #: Classes by hash whose counts the suffix filter compares.
 CLASSES = 32
 #: Keys of documents to verify up to which the list goes to every executor (8 bytes each).
@@ -35,6 +37,7 @@ def _key(doc_id: str) -> Column:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    small_batches(docs)
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
@@ -45,7 +48,7 @@ def _scan(docs: DataFrame, words: int, doc_id: str, text: str) -> tuple[DataFram
         counts, some = np.zeros(SKETCH, np.int64), False
         for batch in batches:
             at = 0
-            for block in in_blocks(t.as_py() for t in batch.column("text")):
+            for block in in_blocks((t.as_py() for t in batch.column("text")), BLOCK_CHARS):
                 names, sizes, classes, low = [], [], [], []
                 for tokens in shingle_sets(block, words):
                     low.append((tokens & np.uint64(SKETCH - 1)).astype(np.int64))
@@ -112,7 +115,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in in_blocks(t.as_py() for t in batch.column("text")):
+            for block in in_blocks((t.as_py() for t in batch.column("text")), BLOCK_CHARS):
                 token, salt, salts, names, pos, sizes = [], [], [], [], [], []
                 for tokens in shingle_sets(block, words):
                     n = len(tokens)
@@ -161,8 +164,8 @@ def _candidates(lists: DataFrame, percent: int, last: bool) -> tuple[DataFrame,
     # a member that no size in its list can match leaves it: (100 + percent) * room >= percent * (n + m)
     room = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("pos")) / F.lit(percent)) - F.col("n")
     centre = F.struct("pos", F.xxhash64("set_id").alias("h"), "set_id", "comp", "n")
-    stats = lists.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_ = lists.join(stats.where("low <> high"), "token").where((room >= F.col("least")) & (room >= F.ceil(F.lit(percent) * F.col("n") / 100))).select(*lists.columns)
+    stats = scratch(lists.groupBy("token").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"))
+    open_ = lists.join(stats, "token").where((room >= F.col("least")) & (room >= F.ceil(F.lit(percent) * F.col("n") / 100))).select(*lists.columns)
     stats = open_.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(centre).alias("c")).where("low <> high")
     marked = scratch(open_.join(stats.select("token", "rows", "c"), "token"))
     long = marked.where((F.col("rows") > LIST_ROWS) if not last else F.lit(False))
@@ -191,7 +194,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in in_blocks(t.as_py() for t in batch.column("text")):
+            for block in in_blocks((t.as_py() for t in batch.column("text")), BLOCK_CHARS):
                 found = [t for t in shingle_sets(block, words) if len(t)]
                 if found:
                     flat, offsets = np.concatenate(found).view(np.int64), np.cumsum([0, *map(len, found)])
@@ -241,5 +244,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         classed = classed.join(labels, "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))
     else:
         classed = classed.withColumn("comp", F.col("set_id"))
-    least = classed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")).withColumnRenamed("comp", "of")
+    # tables between an aggregate and its join leave a hot component to adaptive execution, which can't split an aggregate's rows
+    classed = scratch(classed)
+    least = scratch(classed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")).withColumnRenamed("comp", "of"))
     return classed.join(least, F.col("comp") == F.col("of"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
