@@ -69,7 +69,7 @@ class SequenceFile:
         self.writer.close()
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 2048, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents' ids in ascending `doc_id` order and return one manifest row per file pair.
 
     Each range of ids has a token file, whose batches hold fixed-size lists of ids
@@ -81,6 +81,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
     Each text's ids are followed by `end_id`; null text is empty. A null doc_id comes
     first, rows with the same id follow one another in order of their text. An empty
     table writes no file. `folder` must be one that executors share.
+    `files` is about the number of token files, by default the session's shuffle partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
 
     small_batches(docs)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = base.repartitionByRange(files, "doc_id") if files else base.repartitionByRange("doc_id")
+    ordered = ranges.sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(run, MANIFEST))
 
 
