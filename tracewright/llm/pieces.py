@@ -12,7 +12,7 @@ import numpy as np
 
 #: Entries kept per worker, some 200 bytes each. Frequent pieces come early; those that find the table full are encoded
 #: once per block of texts.
-TABLE_LIMIT = 120_000
+TABLE_LIMIT = 300_000
 
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -78,6 +78,14 @@ class PieceEncoder:
             learnt.update(zip(part, [buffer[a:b] for a, b in zip(starts, stops)]))
         return learnt
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Of distinct words: pieces of plain texts together, any other string by itself."""
+        piece = self.pattern.fullmatch if self.pattern else lambda _: None
+        known = self._learn([w for w in words if piece(w) and (not self.lower or w == w.lower())])
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self._ids(rest)))
+        return [known[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
             return self._ids(texts)
@@ -128,7 +136,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def in_blocks(texts: Iterable[str], max_chars: int = 1 << 20) -> Iterable[list[str]]:
+def in_blocks(texts: Iterable[str], max_chars: int = 1 << 21) -> Iterable[list[str]]:
     """Consecutive texts of about `max_chars` together; a longer one is alone."""
     block, size = [], 0
     for text in texts:
