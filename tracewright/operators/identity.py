@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +33,28 @@ def canonical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def content_hashes(df: DataFrame, survey: str, columns: Sequence[str]) -> DataFrame:
     """One hash per survey that ignores column order, row order and noise below the rounding.
 
-    Rows are hashed one by one, each hash is cut into 60-bit numbers, and the
+    A row's text has its values in column order, each with its length before it and
+    numbers with a fixed count of decimals, so any engine can repeat it. Rows are
+    hashed one by one, each hash is cut into 60-bit numbers, and the
     numbers are added up per survey. Sums do not depend on the row order and are
     built map-side, so no task holds the rows of a survey.
     """
     ordered = sorted(c for c in columns if c != survey)
     base = canonical(df.select(survey, *ordered), [survey, *ordered])
-    row = base.select(survey, F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256).alias("__h"))
+    row = base.select(survey, F.sha2(F.concat_ws("|", *[_told(c, base.schema[c].dataType) for c in ordered]), 256).alias("__h"))
     return multiset_hash(row, [survey], "__h", "content_sha256")
 
 
+def _told(column: str, kind: T.DataType) -> Column:
+    """A value as ``length:text``, or ``n`` for null."""
+    value = F.col(column)
+    if isinstance(kind, T.DoubleType):
+        text = F.coalesce(value.try_cast(f"decimal(38,{FLOAT_DECIMALS})").cast("string"), value.cast("string"))
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
 def multiset_hash(hashes: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     """One hash per key over its members' sha256 values, whatever their order."""
     pieces = [F.conv(F.substring(column, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]

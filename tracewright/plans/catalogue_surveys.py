@@ -357,7 +357,11 @@ def deterministic_id(spark, sf):
     return e.select("event_id", s.deterministic_id(F.col("user_id").cast("string"), F.lit("v1"), F.col("event_id"), F.col("value")).alias("id"))
 
 
-@query()
+@query(q(R, """
+, f AS (SELECT survey_id, CAST(round(chainage_m, 6) AS DECIMAL(38, 6))::VARCHAR AS c, event_type AS e, sample_idx::VARCHAR AS i, CAST(round(value, 6) AS DECIMAL(38, 6))::VARCHAR AS v FROM r),
+t AS (SELECT survey_id, sha256(concat_ws('|', coalesce(concat(length(c), ':', c), 'n'), coalesce(concat(length(e), ':', e), 'n'), coalesce(concat(length(i), ':', i), 'n'), coalesce(concat(length(v), ':', v), 'n'))) AS h FROM f)
+SELECT survey_id, sha256(concat_ws('|', CAST(sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)) AS VARCHAR), CAST(sum(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT)) AS VARCHAR),
+  CAST(sum(CAST(concat('0x', substr(h, 31, 15)) AS BIGINT)) AS VARCHAR), CAST(sum(CAST(concat('0x', substr(h, 46, 15)) AS BIGINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS content_sha256 FROM t GROUP BY 1"""))
 def content_hashes(spark, sf):
     rows = v.readings(spark, sf).df.select("survey_id", "sample_idx", "chainage_m", "value", "event_type")
     return identity.content_hashes(rows, "survey_id", ["sample_idx", "chainage_m", "value", "event_type"])
@@ -424,7 +428,14 @@ def published_slice(spark, sf):
     return io.published_slice(rows, "v1").select("indication_id", "survey_id")
 
 
-@query()
+@query(q(IND.replace(R, FIX), f"""
+SELECT 'Feature' AS kind, 'Point' AS geometry, {r6('f.lon')} AS lon, {r6('f.lat')} AS lat, i.indication_id, i.survey_id, {r6('i.anomaly_score')} AS anomaly_score
+FROM ind i JOIN f ON f.survey_id = i.survey_id AND f.sample_idx = i.peak_sample_idx WHERE f.lat IS NOT NULL AND f.lon IS NOT NULL"""))
 def geojson_features(spark, sf):
     rows = cut(v.found(spark, sf)).join(v.fixes(v.readings(spark, sf)).df.select("survey_id", F.col("sample_idx").alias("peak_sample_idx"), "lat", "lon"), ["survey_id", "peak_sample_idx"], "left")
-    return io.geojson(rows, ["indication_id", "survey_id", "anomaly_score"])
+    shape = "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<indication_id: string, survey_id: string, anomaly_score: double>"
+    g = io.geojson(rows, ["indication_id", "survey_id", "anomaly_score"]).select(F.from_json("value", shape).alias("g"))
+    return g.select(
+        F.col("g.type").alias("kind"), F.col("g.geometry.type").alias("geometry"), rnd(F.col("g.geometry.coordinates")[0]).alias("lon"), rnd(F.col("g.geometry.coordinates")[1]).alias("lat"),
+        "g.properties.indication_id", "g.properties.survey_id", rnd(F.col("g.properties.anomaly_score")).alias("anomaly_score"),
+    )
