@@ -2,53 +2,56 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import scratch, small_batches
 from .pieces import encoder, in_blocks
 
-#: Rows of one length that are ranked together; more are ranked in several groups.
-RANK_ROWS = 50_000
+#: Rows of one length that are ranked together, on average; a length with more has several groups.
+RANK_ROWS = 1000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, checksums: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, piece, start, length, ids): each text's ids with `end_id` after them, in pieces of at most `capacity`.
 
     Only a text of more ids than that is cut; then all pieces but the first are
     full. `ids` are little-endian unsigned 32-bit integers. `row` tells rows of
     `docs` apart, also those that repeat. Null text is empty: one piece with the
-    end id alone.
+    end id alone. With `checksums` the CRC-32 of those bytes, ids_crc32, stands in
+    place of them: several times the text that needn't leave the Python worker.
     """
+    last, made, kind_of = ("ids_crc32", zlib.crc32, pa.int64()) if checksums else ("ids", bytes, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
             ids, rows, at = batch.column("doc_id"), batch.column("row"), 0
             for block in in_blocks(t.as_py() for t in batch.column("text")):
-                src, piece, start, data = [], [], [], []
+                src, piece, start, size, data = [], [], [], [], []
                 for i, encoded in enumerate(enc.encode(block)):
                     tokens = np.append(np.frombuffer(encoded, enc.dtype).astype("<u4"), np.uint32(end_id))
                     head = (len(tokens) - 1) % capacity + 1
                     cuts = [0, *range(head, len(tokens) + 1, capacity)]
                     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        src.append(at + i), piece.append(n), start.append(a), data.append(tokens[a:b].tobytes())
+                        src.append(at + i), piece.append(n), start.append(a), size.append(b - a), data.append(made(tokens[a:b].tobytes()))
                 take = pa.array(src, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), rows.take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())],
-                    names=["doc_id", "row", "piece", "start", "length", "ids"],
+                    [ids.take(take), rows.take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, kind_of)],
+                    names=["doc_id", "row", "piece", "start", "length", last],
                 )
                 at += len(block)
 
     small_batches(docs)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids binary")
+    return base.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, {last} {'long' if checksums else 'binary'}")
 
 
 class OpenBins:
@@ -123,15 +126,15 @@ def assign(pieces: DataFrame, capacity: int, order: list[str], length: str = "le
     """`pieces` with `sequence_id` and `offset`, gapless from 0 in each sequence.
 
     The driver sees only the counts per length, at most `capacity` rows. Items of a
-    length are ranked in groups of about RANK_ROWS by a hash of `order`, which must
+    common length are ranked in groups of about RANK_ROWS by a hash of `order`, which must
     tell rows apart and gives the order within a group; the groups' counts, added
     up, make the ranks. Equal rows may change places with each other, nothing else.
     An empty table gives an empty result.
     """
     rows = pieces.groupBy(length).count().collect()
     runs = plan({r[0]: r[1] for r in rows}, capacity)
-    groups = max(1, sum(r[1] for r in rows) // RANK_ROWS)
-    salted = pieces.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    spread = pa.table({length: pa.array([r[0] for r in rows], pa.int64()), "_groups": pa.array([-(-r[1] // RANK_ROWS) for r in rows], pa.int64())})
+    salted = pieces.join(F.broadcast(pieces.sparkSession.createDataFrame(spread)), length).withColumn("_group", F.pmod(F.xxhash64(*order), F.col("_groups"))).drop("_groups")
     per = salted.groupBy(length, "_group").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(length, "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -165,16 +168,11 @@ def sequences(placed: DataFrame, ids: str = "ids") -> DataFrame:
     return grouped.select("sequence_id", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), joined.alias("ids"), F.transform("items", lambda x: x["doc_id"]).alias("doc_ids"))
 
 
-def crc(ids: Column) -> Column:
-    return F.crc32(ids)
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of `docs`.
 
     The ids are checked sums here: the texts are tokenised once, and only lengths
     and sums are kept for ranking and placing.
     """
-    pieces = token_pieces(docs, tokenizer, capacity, end_id)
-    kept = scratch(pieces.select("doc_id", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    kept = scratch(token_pieces(docs, tokenizer, capacity, end_id, checksums=True))
     return assign(kept, capacity, ["doc_id", "row", "piece"]).drop("row")

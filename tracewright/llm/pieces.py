@@ -136,7 +136,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def in_blocks(texts: Iterable[str], max_chars: int = 1 << 21) -> Iterable[list[str]]:
+def in_blocks(texts: Iterable[str], max_chars: int = 1 << 22) -> Iterable[list[str]]:
     """Consecutive texts of about `max_chars` together; a longer one is alone."""
     block, size = [], 0
     for text in texts:
