@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,21 +121,25 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
     return cut(ordered.mapInArrow(run, MANIFEST))
 
 
-def read_documents(spark: SparkSession, manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """(part, doc_id, start, n_tokens, ids) from the files: `start` within the part, `ids` little-endian unsigned 32-bit."""
+def read_documents(spark: SparkSession, manifest: DataFrame, id_type: str = "bigint", checksums: bool = False) -> DataFrame:
+    """(part, doc_id, start, n_tokens, ids) from the files: `start` within the part, `ids` little-endian unsigned 32-bit.
+
+    With `checksums` the CRC-32 of those bytes, ids_crc32, stands in place of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _documents(row["part"], row["tokens_file"], row["docs_file"])
+                yield from _documents(row["part"], row["tokens_file"], row["docs_file"], checksums)
 
     files = max(1, manifest.count())
     spread = manifest.select("part", "tokens_file", "docs_file").repartitionByRange(files, "part")
-    return spread.mapInArrow(run, f"part int, doc_id {id_type}, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(run, f"part int, doc_id {id_type}, start long, n_tokens long, {'ids_crc32 long' if checksums else 'ids binary'}")
 
 
-def _documents(part: int, tokens_file: str, docs_file: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _documents(part: int, tokens_file: str, docs_file: str, checksums: bool, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Documents in file order; of the token file only the batches under the present rows are in memory."""
+    last, made, kind = ("ids_crc32", zlib.crc32, pa.int64()) if checksums else ("ids", bytes, pa.binary())
     store, path = _open(docs_file)
     with store.open_input_file(path) as f:
         docs = pa.ipc.open_file(f).read_all()
@@ -152,10 +157,10 @@ def _documents(part: int, tokens_file: str, docs_file: str, rows: int = 512) ->
                 ids, mask = (batch.column(c).flatten() for c in ("ids", "mask"))
                 held = np.concatenate([held, ids.filter(mask).to_numpy()]) if len(held) else ids.filter(mask).to_numpy()
                 following += 1
-            data = [held[s - base : s - base + n].astype("<u4").tobytes() for s, n in zip(starts.tolist(), counts.tolist())]
+            data = [made(held[s - base : s - base + n].astype("<u4").tobytes()) for s, n in zip(starts.tolist(), counts.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * some.num_rows, pa.int32()), some.column("doc_id").combine_chunks(), pa.array(starts), pa.array(counts), pa.array(data, pa.binary())],
-                names=["part", "doc_id", "start", "n_tokens", "ids"],
+                [pa.array([part] * some.num_rows, pa.int32()), some.column("doc_id").combine_chunks(), pa.array(starts), pa.array(counts), pa.array(data, kind)],
+                names=["part", "doc_id", "start", "n_tokens", last],
             )
 
 

@@ -93,7 +93,7 @@ def op10_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read from the written files."""
     docs = read(spark, sf_dir, "documents")
     manifest = arrow_tokens.write_tokens(docs, shared_folder(spark), vocabulary("word_bpe_49k.json"), end_id=1)
-    found = arrow_tokens.read_documents(spark, manifest).select("part", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = arrow_tokens.read_documents(spark, manifest, checksums=True)
     before = arrow_tokens.part_starts(manifest)
     return found.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
