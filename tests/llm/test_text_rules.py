@@ -44,6 +44,43 @@ def test_repeated_pages_and_a_hot_target(spark):
     assert {r["verdict"] for r in judged(spark, rows).values()} == {"block"}
 
 
+@pytest.mark.parametrize("page, html", [
+    ("http://a.net/1", '<link rel="canonical" href="http://x.com/de/?page=2&amp;ref=x">'),
+    ("http://a.net/1", '<link rel="canonical" href="http://x.com/de/?page=2&#38;ref=x">'),
+    ("http://a.net/1", '<link rel="canonical" href="http://x.com/de/?page=2&#x26;ref=x">'),
+    ("http://a.net/1", '<meta http-equiv="refresh" content="0; url=http://x.com/de/?page=2&amp;ref=x">'),
+    ("http://a.net/1", '<link rel="alternate canonical" href="http://x.com/de/?page=2&ref=x">'),
+    ("http://a.net/1", "<link href='http://x.com/de/?page=2&ref=x' rel='alternate\tcanonical home'>"),
+    ("http://x.com/de/?page=1", '<link rel="canonical" href="?page=2&amp;ref=x">'),
+    ("http://x.com/de/a/b/c", '<link rel="canonical" href="../../?page=2&ref=x">'),
+    ("http://x.com/de/a", '<link rel="canonical" href="../../../de/./?page=2&ref=x">'),
+    ("http://x.com", '<link rel="canonical" href="de/?page=2&ref=x">'),
+    ("http://a.net/1", '<link rel="canonical" href="http://x.com/fr/../de/?page=2&ref=x">'),
+])
+def test_spellings_of_a_link_name_the_page(spark, page, html):
+    pages = spark.createDataFrame([(page, html)], "url string, html string")
+    node = "x.com/de/?page=2&ref=x"
+    assert [r["b"] for r in url_filter.page_edges(pages).collect()] == [node]
+    assert spark.createDataFrame([("https://X.com/de/?page=2&ref=x",)], "url string").select(url_filter.node_of(F.col("url"))).first()[0] == node
+
+
+def test_links_that_name_no_other_page(spark):
+    rows = [("http://a.net/p?q", '<link rel="canonical" href="#top">'), ("http://a.net/p", '<link rel="canonical" href="mailto:x?u=http://y.com/">'),
+            ("http://a.net/p", '<link rel="noncanonical" href="/z">'), ("http://a.net/p", '<link rel="canonical" href="/go?to=http://y.com/&nosuch;&#xD800;&eacute;">')]
+    got = url_filter.page_edges(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted(r["a"] + " " + r["b"] for r in got) == ["a.net/p a.net/go?to=http://y.com/&nosuch;\ufffd\u00e9", "a.net/p?q a.net/p?q"]
+
+
+def test_bare_host_and_slash_are_one_address(spark):
+    rules = [("block", "bad.net", "/")]
+    link = '<link rel="canonical" href="{}">'
+    rows = [("http://bad.net", None), ("http://c.net", link.format("https://d.net")), ("http://d.net/", link.format("http://bad.net/1")), ("http://c.net/", None), ("http://e.net", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
+    assert [got[i]["verdict"] for i in range(5)] == ["block", "block", "block", "block", "allow"]
+    assert got[0]["path"] == "" and got[0]["rule"] is None and got[4]["via"] == "default"
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1), (2, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)] + [(100, 101), (101, 100), (100, 101)], [(None, 3), (3, 4)]])
 def test_components(spark, edges):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

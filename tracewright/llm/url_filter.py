@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, rows_of
 from .components import components
 
-LINK_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+LINK_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?|'(?:[^'>]*\s)?)?canonical\b[^>]*>"
 META_TAG = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 LINK_TO = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 META_TO = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
+#: Character references by name, with their semicolon.
+NAMED = json.dumps({f"&{name}": to for name, to in html5.items() if name.endswith(";")})
 
 
 def host_of(url: Column) -> Column:
@@ -22,29 +28,65 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^?#]*)", 1)
 
 
+def unescape(value: Column) -> Column:
+    """`value` with its character references resolved; what is none stays."""
+    named = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def resolve(part: Column) -> Column:
+        hex_part = F.conv(F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
+        code = F.coalesce(F.nullif(F.regexp_extract(part, r"^&#([0-9]+);$", 1), F.lit("")), hex_part).cast("long")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(part.startswith("&#") & part.endswith(";"), char).when(part.startswith("&"), F.coalesce(F.try_element_at(named, part), part)).otherwise(part)
+
+    return F.when(value.contains("&"), F.array_join(F.transform(F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0)), resolve), "")).otherwise(value)
+
+
+def plain_path(path: Column) -> Column:
+    """`path` without . and .. steps; the empty path is /."""
+    steps = F.split(path, "/")
+    steps = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    # the first step is the empty one before the first slash and stays
+    walk = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    walked = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/")
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), walked).otherwise(path)
+
+
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^?#]*(\?[^#]*)", 1)
+
+
 def node_of(url: Column) -> Column:
-    """One string for addresses that differ in scheme, host case or fragment only; null if there is no host."""
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    """One string for addresses that differ in scheme, host case, fragment, . and .. steps or the slash after a bare host; null if there is no host."""
+    return F.when(host_of(url) != "", F.concat(host_of(url), plain_path(path_of(url)), query_of(url)))
+
+
+def path_of_node(node: Column) -> Column:
+    return F.regexp_extract(node, r"^[^/?]*([^?]*)", 1)
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): nodes of a page and of the address its canonical link or meta refresh names.
 
-    Addresses without a scheme are taken relative to the page. Pages without a
-    host, without html or without such tags give no edge.
+    Character references in the address are resolved, and addresses without a
+    scheme are taken relative to the page. Pages without a host, without html or
+    without such tags give no edge, nor do addresses of a scheme without a host.
     """
     base = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where("html is not null")
     base = base.where(F.col("html").rlike(f"{LINK_TAG}|{META_TAG}"))
     link = F.transform(F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(0)), lambda t: F.regexp_extract(t, LINK_TO, 1))
     meta = F.transform(F.regexp_extract_all("html", F.lit(META_TAG), F.lit(0)), lambda t: F.regexp_extract(t, META_TO, 1))
-    found = base.select("url", F.explode(F.concat(link, meta)).alias("to")).where("to <> ''")
+    found = base.select("url", F.explode(F.concat(link, meta)).alias("to")).where("to <> ''").select("url", unescape(F.col("to")).alias("to"))
     root = F.concat(F.lit("x://"), host_of(F.col("url")))
+    path = F.when(path_of(F.col("url")) == "", "/").otherwise(path_of(F.col("url")))
     to = (
-        F.when(F.col("to").contains("://"), F.col("to"))
+        F.when(F.col("to").rlike("(?i)^[a-z][a-z0-9+.-]*://"), F.col("to"))
+        .when(F.col("to").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
         .when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to"))
         .when(F.col("to").startswith("/"), F.concat(root, "to"))
-        .otherwise(F.concat(root, F.regexp_replace(path_of(F.col("url")), r"[^/]*$", ""), "to"))
+        .when(F.col("to").startswith("?"), F.concat(root, path, "to"))
+        .when(F.col("to").startswith("#"), F.concat(root, path, query_of(F.col("url"))))
+        .otherwise(F.concat(root, F.regexp_replace(path, r"[^/]*$", ""), "to"))
     )
     return found.select(node_of(F.col("url")).alias("a"), node_of(to).alias("b")).where("a is not null and b is not null")
 
@@ -56,7 +98,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     subdomains where the path starts with the rule's; the longest fitting rule
     decides, allow before block on equal length. `redirects` (from_url, to_url)
     adds edges, such as a crawler's log. Pages that no rule fits take the verdict
-    of their aliases, the connected component over all edges: block if a rule
+    of a rule for another spelling of their address, else that of their aliases, the connected component over all edges: block if a rule
     blocks one of them and no rule allows one, else allow. `via` is rule, alias
     or default.
 
@@ -72,21 +114,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
         edges = edges.unionByName(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).where("a is not null and b is not null"))
     alias = components(edges)
 
-    # nodes, those only linked to included, with their host and path
+    # nodes under the paths of their rows and under their own, those only linked to included
+    own_path = path_of_node(F.col("node"))
+    every = base.where("node is not null").select("node").unionByName(alias.select("node"))
     nodes = base.where("node is not null").select("node", "host", "path").unionByName(
-        alias.select("node").select("node", F.regexp_extract("node", r"^([^/?]*)", 1).alias("host"), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1).alias("path"))
+        every.select("node", F.regexp_extract("node", r"^([^/?]*)", 1).alias("host"), own_path.alias("path"))
     ).distinct()
     table = rows_of(spark, [(h + p, h, p, a) for a, h, p in rules], "rule string, rule_host string, rule_path string, action string")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     fits = nodes.select("node", "path", F.explode(suffixes).alias("rule_host")).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     best = F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allow"), "rule", "action"))
-    ruled = fits.groupBy("node").agg(best.alias("best")).select("node", "best.rule", "best.action")
+    ruled = fits.groupBy("node", "path").agg(best.alias("best")).select("node", "path", "best.rule", "best.action")
+    same = ruled.where(F.col("path") == own_path).select("node", F.col("action").alias("same"))
 
-    spread = alias.join(ruled, "node").groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
+    spread = alias.join(same, "node").groupBy("component").agg(F.max(F.col("same") == "allow").alias("allowed"), F.max(F.col("same") == "block").alias("blocked"))
     passed = alias.join(spread, "component").select("node", F.when(F.col("blocked") & ~F.col("allowed"), "block").otherwise("allow").alias("passed"))
-    known = ruled.join(passed, "node", "full_outer")
-    return base.join(known, "node", "left").select(
+    known = same.join(passed, "node", "full_outer").select("node", F.coalesce("same", "passed").alias("passed"))
+    return base.join(ruled, ["node", "path"], "left").join(known, "node", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("action", "passed", F.lit("allow")).alias("verdict"),
         F.when(F.col("action").isNotNull(), "rule").when(F.col("passed").isNotNull(), "alias").otherwise("default").alias("via"),
     )
