@@ -39,6 +39,23 @@ def test_each_row_is_scored_once_out_of_fold(blobs):
         np.testing.assert_allclose(g["score_mad"], (g["a"] - m) / (1.4826 * np.median(np.abs(rest - m))))
 
 
+def test_a_fold_beyond_the_number_is_scored_too(blobs):
+    late = blobs.withColumn("fold", F.when(F.col("id") >= 570, 3).otherwise(F.col("fold")))
+    got = learn.out_of_fold_forest(late, "fold", 3, "id", learn.IsolationForest(("a", "b"), trees=10, sample=64))
+    assert got.filter("score_if is not null").select("id").distinct().count() == got.count() == 600
+    mad = learn.out_of_fold_mad(late, "fold", 3, "a").toPandas()
+    rest = mad[mad["fold"] != 3]["a"]
+    m = np.median(rest)
+    assert len(mad) == 600
+    np.testing.assert_allclose(mad[mad["fold"] == 3]["score_mad"], (mad[mad["fold"] == 3]["a"] - m) / (1.4826 * np.median(np.abs(rest - m))))
+    alone = learn.out_of_fold_mad(late.filter("fold = 3"), "fold", 3, "a")
+    assert alone.count() == alone.filter("score_mad is null").count() == 30
+    none = late.withColumn("fold", F.when(F.col("id") > 0, F.col("fold")))
+    for run in (lambda: learn.out_of_fold_mad(none, "fold", 3, "a"), lambda: learn.out_of_fold_forest(none, "fold", 3, "id", learn.IsolationForest(("a",)))):
+        with pytest.raises(GuardError):
+            run()
+
+
 @pytest.mark.parametrize("n", [1, 5, 30])
 def test_conformal_margin(spark, n):
     v = np.random.default_rng(n).normal(size=n)

@@ -39,11 +39,22 @@ def mad_scores(df: DataFrame, keys: Sequence[str], x: str, out: str = "score_mad
     return joined.withColumn(out, robust_score(F.col(x), F.col("med"), F.col("mad"), absolute)).drop("med", "mad")
 
 
+def _fold_list(df: DataFrame, fold: str, folds: int) -> list[int]:
+    """``range(folds)`` and every other fold the table names; a row without a fold is an error."""
+    found = {r[0] for r in df.select(F.col(fold).cast("long")).distinct().collect()}
+    if None in found:
+        raise GuardError(f"rows without a fold in {fold}")
+    return sorted(found | set(range(folds)))
+
+
 def out_of_fold_mad(df: DataFrame, fold: str, folds: int, x: str, out: str = "score_mad", longest: int | None = None) -> DataFrame:
-    """Robust z of each row against the rows of all other folds, all folds in one pass."""
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")), lambda k: k != F.col(fold).cast("long"))
+    """Robust z of each row against the rows of all other folds, all folds in one pass.
+
+    Folds beyond ``range(folds)`` count as well. Where no other fold has a value the score is null.
+    """
+    others = F.filter(F.array(*[F.lit(k).cast("long") for k in _fold_list(df, fold, folds)]), lambda k: k != F.col(fold).cast("long"))
     stats = median_mad(df.select(F.col(x), F.explode(others).alias("__f")), ["__f"], x, longest).drop("n")
-    joined = df.withColumn("__f", F.col(fold).cast("long")).join(stats, "__f")
+    joined = df.withColumn("__f", F.col(fold).cast("long")).join(stats, "__f", "left")
     return joined.withColumn(out, robust_score(F.col(x), F.col("med"), F.col("mad"))).drop("__f", "med", "mad")
 
 
@@ -186,13 +197,13 @@ def _mean_path(n: int) -> float:
 
 
 def out_of_fold_forest(df: DataFrame, fold: str, folds: int, row_id: str, forest: IsolationForest, out: str = "score_if") -> DataFrame:
-    """Each row scored once by a forest grown on the other folds."""
-    parts = None
-    for k in range(folds):
-        held = df.filter(F.col(fold) == k)
+    """Each row scored once by a forest grown on the other folds, also where its fold is beyond ``range(folds)``."""
+    parts, at = None, F.col(fold).cast("long")
+    for k in _fold_list(df, fold, folds):
+        held = df.filter(at == k)
         if held.isEmpty():
             continue
-        rest = df.filter(F.col(fold) != k)
+        rest = df.filter(at != k)
         scored = forest.fit(rest, row_id).score(held, out)
         parts = scored if parts is None else parts.unionByName(scored)
     return parts if parts is not None else df.withColumn(out, F.lit(None).cast("double"))
