@@ -160,3 +160,17 @@ def test_pipeline_stages(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert [any(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [True] * 10
     assert len(hashlib.sha256(b"").hexdigest()) == 64
+
+
+def test_media_is_stored_and_read_back(spark, tmp_path, monkeypatch):
+    texts = ["stored and read", "", None, "é" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, decode_media = [], flac.decode_media
+    monkeypatch.setattr(flac, "decode_media", lambda media: seen.append(media) or decode_media(media))
+    got = {r["doc_id"]: r for r in queries.op4_flac_media(spark, str(tmp_path)).collect()}
+    files = seen[0].inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(*files).collect()}
+    assert len(got) == len(stored) == 4
+    for i, stream in stored.items():
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
