@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_tokens, bpe_words, flac, license_scan, line_dedup, ngram_join, packing, pq_dedup, toxicity, url_filter
+from . import arrow_tokens, bpe_words, fill_middle, flac, license_scan, line_dedup, ngram_join, packing, pq_dedup, resample, toxicity, url_filter
 from .common import read, scratch, shared_folder, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,22 @@ def op10_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@query
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, form and digests of every rearranged text and of the text rebuilt from it."""
+    found = fill_middle.rearrange(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", F.col("prefix_chars").cast("long"), F.col("middle_chars").cast("long"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, weight, score and rank of every document, drawn towards the benchmark's texts."""
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 SQL["op2_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, source, text FROM documents),
 p AS (SELECT DISTINCT source, text, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
@@ -153,3 +169,33 @@ per AS (SELECT r, count(*) FILTER (kind = 'phrase') AS n_base, min(first) FILTER
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN per USING (r)
 """
+
+SQL["op11_fill_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+SQL["op13_importance_resampling"] = r"""
+WITH rule AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+w AS (SELECT side, r, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (SELECT side, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+n AS (SELECT side, r, f, count(*) AS n FROM f GROUP BY side, r, f),
+kinds AS (SELECT f, hex(f) AS h FROM n GROUP BY f),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM kinds, rule),
+b AS (SELECT side, r, bucket, sum(n) AS n FROM n JOIN hashed USING (f) GROUP BY side, r, bucket),
+totals AS (SELECT coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s_all, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t_all FROM b),
+per AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM b GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM per, totals),
+weight AS (SELECT r, sum(n) AS n, sum(n * gain) AS total FROM b JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (SELECT w.r, w.doc_id, len(w.w) AS words, coalesce(n, 0)::BIGINT AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(w.doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM w LEFT JOIN weight ON weight.r = w.r WHERE side = 0),
+placed AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS FIRST, n_features, weight) AS place, count(*) OVER () AS docs FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= docs * 25 // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
