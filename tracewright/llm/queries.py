@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_tokens, bpe_words, fill_middle, flac, license_scan, line_dedup, ngram_join, packing, pq_dedup, resample, toxicity, url_filter
+from . import arrow_tokens, bpe_words, fill_middle, flac, license_scan, line_dedup, main_text, ngram_join, packing, pq_dedup, resample, toxicity, url_filter
 from .common import read, scratch, shared_folder, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page and its length."""
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, weight, score and rank of every document, drawn towards the benchmark's texts."""
