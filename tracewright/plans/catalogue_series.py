@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import baseline, features, registration, series as ts
+from ..operators import baseline, features, plugins, registration, series as ts
 from ..operators.matching import nearest_distance
 from ..operators.ordered import Series, by_position, highest, indexed
 from ..session import cut
@@ -250,3 +251,39 @@ def feature_frame(spark, sf):
     placed = registration.dead_reckon(walks).df.withColumnRenamed("dr_m", "chainage_m").withColumn("dist_to_weld_m", F.pmod("chainage_m", F.lit(12.0)))
     series = indexed(cut(placed), ["survey_id"], "sample_idx", walks.longest)
     return features.feature_frame(series)
+
+
+def _local_excess(rows, ctx):
+    """A user's transform: the reading above its neighbourhood of three rows at both sides, a km of the survey's extent."""
+    around = rows["value"].rolling(7, center=True, min_periods=1).mean()
+    out = rows[["sample_idx"]].copy()
+    out["excess"] = (rows["value"] - around) / (1.0 + (ctx["end_m"] - ctx["start_m"]) / 1000.0)
+    out["from_start_m"] = rows["chainage_m"] - ctx["start_m"]
+    return out
+
+
+@query(q(R, f"""
+, e AS (SELECT survey_id, min(chainage_m) AS a, max(chainage_m) AS b FROM r GROUP BY 1),
+z AS (SELECT survey_id, sample_idx, value - avg(value) OVER (PARTITION BY survey_id ORDER BY sample_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS d, chainage_m FROM r)
+SELECT survey_id, sample_idx, {r6('d / (1.0 + (b - a) / 1000.0)')} AS excess, {r6('chainage_m - a')} AS from_start_m FROM z JOIN e USING (survey_id)"""))
+def user_transform(spark, sf):
+    s = v.readings(spark, sf)
+    sized = replace(s, df=s.df.select("survey_id", "sample_idx", "value", "chainage_m"))
+    extent = s.df.groupBy("survey_id").agg(F.min("chainage_m").alias("start_m"), F.max("chainage_m").alias("end_m"))
+    got = plugins.user_transform(sized, _local_excess, "sample_idx long, excess double, from_start_m double", extent, reach=(3, 3))
+    return got.select("survey_id", "sample_idx", rnd("excess").alias("excess"), rnd("from_start_m").alias("from_start_m"))
+
+
+def _trend(rows, ctx):
+    """A user's transform of whole surveys: one row with the least-squares line of the readings."""
+    x, y = rows["chainage_m"].to_numpy(), rows["value"].to_numpy()
+    spread = ((x - x.mean()) ** 2).sum()
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / spread if spread > 0 else None
+    return pd.DataFrame({"n": [len(rows)], "slope": pd.Series([slope], dtype="float64"), "total": [y.sum()]})
+
+
+@query(q(R, f"""SELECT survey_id, count(*) AS n, {r6('regr_slope(value, chainage_m)')} AS slope, {r6('sum(value)', 4)} AS total FROM r GROUP BY 1"""))
+def user_transform_whole(spark, sf):
+    s = v.readings(spark, sf)
+    got = plugins.user_transform(replace(s, df=s.df.select("survey_id", "sample_idx", "value", "chainage_m")), _trend, "n long, slope double, total double")
+    return got.select("survey_id", "n", rnd("slope").alias("slope"), rnd("total", 4).alias("total"))
