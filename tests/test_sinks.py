@@ -3,8 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tracewright.operators.identity import file_hashes
 from tracewright.sources import surveys as io
+from tracewright.sources.files import file_hashes
 
 
 def test_indications_are_stored_once(spark, tmp_path):

@@ -1,22 +1,16 @@
-"""File and content hashes, registration of surveys, incremental selection."""
+"""Content hashes, registration of surveys, incremental selection."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FLOAT_DECIMALS = 6
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 of the raw bytes of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("file_sha256"))
-
-
 def canonical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The contract columns in their fixed order, floats rounded; other columns are dropped."""
     types = {f.name: f.dataType for f in df.schema.fields}

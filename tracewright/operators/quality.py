@@ -46,15 +46,6 @@ READING_SCHEMA = T.StructType([
 ])
 
 
-def schema_differences(schema: T.StructType, expected: T.StructType = READING_SCHEMA) -> dict[str, list[str]]:
-    """Missing columns and columns of another type; extra columns are allowed."""
-    have = {f.name: f.dataType for f in schema.fields}
-    return {
-        "missing": [f.name for f in expected.fields if f.name not in have],
-        "wrong_type": [f.name for f in expected.fields if f.name in have and have[f.name] != f.dataType],
-    }
-
-
 def reading_rules() -> dict[str, Column]:
     """Violation condition of each rule of a raw reading."""
     lo, hi = FIELD_RANGE_NT

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import quality as dq
 from ..operators.ordered import indexed
+from ..sources.files import schema_problems
 from . import views as v
 from .catalogue import query
 from .sql_views import FIX, HEADS, R, q, r6
@@ -16,6 +21,31 @@ def _out(df, key="survey_id", digits=6):
     return df.select(key, F.col("n_affected").cast("long").alias("n_affected"), rnd(F.col("value").cast("double"), digits).alias("value"), "failed")
 
 
+#: The columns and types that whoever reads these tables relies on; three differ from what the files hold.
+CONTRACTS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, session_id bigint",
+    "lineitem": "l_orderkey bigint, l_linenumber bigint, l_quantity double, l_shipdate timestamp_ntz, l_returnflag string",
+    "orders": "o_orderkey bigint, o_totalprice double, o_orderdate date, o_orderstatus string",
+}
+_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+_WANT = ", ".join(f"('{t}', '{c.split()[0]}', '{_DUCK[c.split()[1]]}')" for t, told in CONTRACTS.items() for c in told.split(", "))
+_HAVE = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type FROM (DESCRIBE {t})" for t in CONTRACTS)
+
+
+@query(f"""
+WITH want(table_name, column_name, kind) AS (VALUES {_WANT}), have AS ({_HAVE})
+SELECT w.table_name, w.column_name, CASE WHEN h.column_name IS NULL THEN 'missing' ELSE 'wrong_type' END AS problem
+FROM want w LEFT JOIN have h ON h.table_name = w.table_name AND h.column_name = w.column_name WHERE h.column_name IS NULL OR h.column_type <> w.kind""")
+def dq_schema_types(spark, sf):
+    found = []
+    for name, told in CONTRACTS.items():
+        wrong = schema_problems(spark, f"{sf}/{name}.parquet", T.StructType.fromDDL(told))
+        each = F.array(*[F.struct(F.col(p).alias("columns"), F.lit(p).alias("problem")) for p in ("missing", "wrong_type")])
+        rows = wrong.select(F.inline(each)).select(F.lit(name).alias("table_name"), F.explode("columns").alias("column_name"), "problem")
+        found.append(rows)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def _rules():
     return {
         "value_range": ~F.col("value").between(0.5, 150.0),

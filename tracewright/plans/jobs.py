@@ -91,20 +91,29 @@ def hash_columns() -> list[str]:
     return [f.name for f in quality.READING_SCHEMA.fields if f.name not in ("line_id", "run_id")]
 
 
-def ingest(rows: DataFrame, registry: DataFrame | None = None, limits: QualityLimits = QualityLimits(), history: DataFrame | None = None) -> Ingested:
+def ingest(
+    rows: DataFrame, registry: DataFrame | None = None, limits: QualityLimits = QualityLimits(), history: DataFrame | None = None, refused: DataFrame | None = None,
+) -> Ingested:
     """Hash, register and check a batch; conflicts and failed surveys get a status, the batch goes on.
 
-    ``history``: readings of accepted surveys of the registry.
+    ``history``: readings of accepted surveys of the registry. ``refused``: surveys
+    whose files could not be read as readings; each fails its schema check.
     """
     hashes = cut(content_hashes(rows, "survey_id", hash_columns()))
     meta = cut(io.survey_metadata(rows).join(hashes, "survey_id"))
-    outcome = meta.withColumn("outcome", F.lit("accepted")) if registry is None else register(meta, registry)
-    outcome = cut(outcome)
+    named = lambda df: df.withColumn("outcome", F.lit("accepted")) if registry is None else register(df, registry)
+    outcome = cut(named(meta))
     # nothing registered before is checked or loaded again
     fresh = rows.join(outcome.filter("outcome = 'accepted'").select("survey_id"), "survey_id", "left_semi")
     checked = cut(outcome.filter("outcome = 'accepted'").drop("outcome"))
     old = None if history is None else registry.filter("status = 'accepted'")
-    dq = cut(quality.report(quality_checks(fresh, checked, checked, limits, None, history, old), "survey_id"))
+    dq = quality.report(quality_checks(fresh, checked, checked, limits, None, history, old), "survey_id")
+    if refused is not None:
+        stopped = cut(named(refused))
+        new = stopped.filter("outcome = 'accepted'")
+        dq = dq.unionByName(new.select("survey_id", F.lit("schema").alias("check_name"), F.lit(quality.GATES["schema"]).alias("status"), "n_affected", "detail"))
+        outcome = outcome.unionByName(stopped.drop("n_affected", "detail"), allowMissingColumns=True)
+    dq = cut(dq)
     verdicts = quality.gate(dq, "survey_id")
     status = F.when(F.col("outcome") != "accepted", F.col("outcome")).otherwise(F.coalesce("verdict", F.lit("accepted")))
     out = outcome.join(verdicts.select("survey_id", "verdict"), "survey_id", "left").withColumn("status", status).drop("verdict")
@@ -121,15 +130,18 @@ def build_features(rows: DataFrame, reg_cfg: RegistrationConfig = RegistrationCo
     return frame, info
 
 
-def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationConfig = RegistrationConfig(), cfg: FeatureConfig = FeatureConfig(), limits: QualityLimits = QualityLimits(), rows: DataFrame | None = None) -> DataFrame:
-    """Raw files to feature store: register, check, quarantine, compute what is missing, write. Returns the registry rows."""
-    rows = io.read_surveys(spark, root) if rows is None else rows
+def full_run(spark: SparkSession, root: str, store: str, reg_cfg: RegistrationConfig = RegistrationConfig(), cfg: FeatureConfig = FeatureConfig(), limits: QualityLimits = QualityLimits(), paths: Sequence[str] | None = None) -> DataFrame:
+    """Raw files to feature store: register, check, quarantine, compute what is missing, write. Returns the registry rows.
+
+    ``paths``: files or folders below ``root`` to take in place of all of it.
+    """
+    rows, refused = io.scan_surveys(spark, root, paths=paths)
     known = _read_or_none(spark, f"{store}/registry")
     loaded = None if known is None else _read_or_none(spark, f"{store}/readings")
     if loaded is not None:
         lines = rows.select("line_id").distinct()
         loaded = loaded.join(lines, "line_id", "left_semi")
-    done = ingest(rows, known, limits, loaded)
+    done = ingest(rows, known, limits, loaded, refused)
     io.quarantine(rows, done.dq, done.verdicts, f"{store}/quarantine")
     new = done.registry.filter(F.col("outcome") == "accepted")
     todo = io.pending(

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import nan_to_null
 from ..operators.guards import assert_point_in_time
-from ..operators.identity import insert_new, todo
+from ..operators.identity import insert_new, multiset_hash, todo
 from ..operators.quality import READING_SCHEMA
+from ..session import cut
+from . import files
 
 
 def survey_id(line, run):
@@ -23,9 +25,9 @@ def split_survey_id(survey):
     return F.regexp_extract(survey, r"^(.*)_R(\d+)$", 1), F.regexp_extract(survey, r"^(.*)_R(\d+)$", 2).cast("long")
 
 
-def read_surveys(spark: SparkSession, root: str, schema: T.StructType = READING_SCHEMA) -> DataFrame:
-    """All ``line_id=*/run_id=*`` files with the survey id, the file and the row position in it."""
-    df = spark.read.schema(schema).parquet(root)
+def read_surveys(spark: SparkSession, root: str, schema: T.StructType = READING_SCHEMA, paths: Sequence[str] | None = None) -> DataFrame:
+    """All ``line_id=*/run_id=*`` files, or those at ``paths`` below ``root``, with the survey id, the file and the row position in it."""
+    df = spark.read.schema(schema).option("basePath", root).parquet(*([root] if paths is None else paths))
     df = df.select(
         "*", F.col("_metadata.row_index").alias("file_pos"), F.col("_metadata.file_path").alias("source_uri"),
         F.col("_metadata.file_modification_time").alias("file_time"),
@@ -33,6 +35,68 @@ def read_surveys(spark: SparkSession, root: str, schema: T.StructType = READING_
     return nan_to_null(df).withColumn("survey_id", survey_id(F.col("line_id"), F.col("run_id")))
 
 
+def path_keys(path: Column) -> list[Column]:
+    """line_id and run_id of a file's path; the run is null where the path has none."""
+    part = lambda name, kind: F.regexp_extract(path, f"/{name}=({kind})(?:/|$)", 1)
+    # a partition's folder has its value with % and two digits for what a folder's name can't hold
+    line = F.regexp_replace(F.replace(part("line_id", "[^/]*"), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    line = F.try_url_decode(line)
+    line = F.nullif(line, F.lit(""))
+    return [line.alias("line_id"), F.nullif(part("run_id", "[0-9]+"), F.lit("")).try_cast("long").alias("run_id")]
+
+
+def scan_surveys(spark: SparkSession, root: str, schema: T.StructType = READING_SCHEMA, paths: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the surveys whose files all have the columns and types of ``schema``, and one row per survey of the others.
+
+    Footers are read in the tasks before any row is, so a wrong file stops nothing.
+    A refused survey has its files' hash as its content, so that it is registered
+    once; the number of wrong columns, or 1 for each file without a readable footer
+    or a run in its path; and as ``detail`` what is wrong with each file. Where a file
+    is refused, the driver passes the names of the others on, as many as it lists
+    for any scan.
+    """
+    keys = {"line_id", "run_id"}
+    inside = T.StructType([f for f in schema.fields if f.name not in keys])
+    where = root if paths is None else list(paths)
+    found = cut(files.schema_problems(spark, where, inside).withColumns(dict(zip(["line_id", "run_id"], path_keys(F.col("path"))))))
+    found = found.filter(F.col("path").endswith(".parquet")).withColumn(
+        "unreadable", F.coalesce("unreadable", F.when(F.col("run_id").isNull() | F.col("line_id").isNull(), "no line and run in the path"))
+    )
+    broken = cut(files.broken(found))
+    if broken.isEmpty():
+        return read_surveys(spark, root, schema, paths), _refused(broken)
+    good = found.join(*_same_survey(broken), "left_anti")
+    names = [r["path"] for r in good.select("path").collect()]
+    rows = read_surveys(spark, root, schema, names) if names else read_surveys(spark, root, schema, paths).filter(F.lit(False))
+    # all files of a refused survey, hashed by streams
+    whole = cut(found.join(*_same_survey(broken), "left_semi"))
+    hashed = files.file_hashes(spark, [r["path"] for r in whole.select("path").collect()])
+    return rows, _refused(whole.join(hashed.select("path", "file_sha256"), "path"))
+
+
+def _same_survey(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The surveys of ``rows`` and the condition that joins other rows with them, also those without a line or run."""
+    named = rows.select(F.col("line_id").alias("__line"), F.col("run_id").alias("__run")).distinct()
+    return named, F.col("line_id").eqNullSafe(F.col("__line")) & F.col("run_id").eqNullSafe(F.col("__run"))
+
+
+def _refused(whole: DataFrame) -> DataFrame:
+    """One row per survey of files that have problems, with their hashes."""
+    if "file_sha256" not in whole.columns:
+        whole = whole.withColumn("file_sha256", F.lit(None).cast("string"))
+    wrong = F.size("missing") + F.size("wrong_type") + F.when(F.col("unreadable").isNotNull(), 1).otherwise(0)
+    placed = F.col("line_id").isNotNull() & F.col("run_id").isNotNull()
+    named = whole.withColumn("survey_id", F.when(placed, survey_id(F.col("line_id"), F.col("run_id"))).otherwise(F.col("path")))
+    keys = ["survey_id", "line_id", "run_id"]
+    hashes = multiset_hash(named, keys, "file_sha256", "content_sha256").withColumnsRenamed({k: f"__{k}" for k in keys})
+    told = F.struct("path", "missing", "wrong_type", "unreadable")
+    per = named.groupBy(*keys).agg(
+        F.min("path").alias("source_uri"), F.sum(wrong).cast("long").alias("n_affected"),
+        F.to_json(F.struct(F.sort_array(F.collect_list(F.when(wrong > 0, told))).alias("files"))).alias("detail"),
+    )
+    return per.join(hashes, per["survey_id"] == hashes["__survey_id"]).select(*keys, "source_uri", "content_sha256", "n_affected", "detail")
+
+
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """A table written by line and run, with the keys in their own types: line ids that look like numbers stay strings."""
     own = {"line_id": T.StringType(), "survey_id": T.StringType(), "run_id": T.LongType(), "fv": T.LongType()}
