@@ -29,12 +29,10 @@ def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), nam
 
 def feature_summary(long: DataFrame, bins: int = 10, keys: Sequence[str] = ("feature",), longest: int | None = None) -> DataFrame:
     """Mean, population deviation, range and quantile edges per feature."""
-    stats = long.groupBy(*keys).agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n")
-    )
-    edges = quantile_edges(long, keys, "x", bins, longest).drop("n").withColumnRenamed("edges", "bin_edges")
+    stats = {"mean": F.avg("x"), "std": F.stddev_pop("x"), "min": F.min("x"), "max": F.max("x")}
+    found = quantile_edges(long, keys, "x", bins, longest, also=stats)
     # the reference is read by every later comparison
-    return cut(stats.join(edges, list(keys)))
+    return cut(found.select(*keys, *stats, "n", F.col("edges").alias("bin_edges")))
 
 
 def reference_sample(long: DataFrame, keys: Sequence[str], row_id: Column, size: int, seed: int) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_fold, safe_div
+from ..session import cut
 from .ordered import cumulate, order_rows
-from .quantiles import quantile_edges, quantiles
+from .quantiles import quantiles
 
 
 def hit_rates(matches: DataFrame, registry: DataFrame, runs: DataFrame, line: str, run: str, source: str, kind: str = "defect") -> DataFrame:
@@ -61,20 +63,25 @@ def bootstrap(
 ) -> DataFrame:
     """Percentile interval of a statistic of each value column, per key.
 
-    Every (replicate, unit) pair gets a Poisson(1) weight read from a sha256 of the
-    unit id, which any engine repeats, so replicates need no draw table and units may sit anywhere. The
-    copies of a unit meet the partial aggregate in their own task; only one sum
-    per replicate is shuffled. ``statistic`` maps (value, weight) column names to
-    an aggregate; the default is the weighted mean. Units are physical objects,
-    not readings.
+    Every (replicate, unit) pair gets a Poisson(1) weight from a sha256 of the unit
+    id, which any engine repeats, so replicates need no draw table and units may sit
+    anywhere. A digest holds the draws of DRAWS replicates, 16 bits each (counts
+    beyond 8, one in a million, aren't drawn). The copies of a unit meet the partial
+    aggregate in their own task; only one sum per replicate is shuffled. Units are
+    dealt over all tasks first, since their size tells little of the work they make.
+    ``statistic`` maps (value, weight) column names to an aggregate; the default is
+    the weighted mean. Units are physical objects, not readings.
     """
     keys, values = list(keys), list(values)
     stat = statistic or (lambda v, w: safe_div(F.sum(F.col(v) * F.col(w)), F.sum(F.when(F.col(v).isNotNull(), F.col(w)))))
-    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(unit).cast("string"), F.col("__b").cast("string")), 256)
-    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    reps = units.select(*keys, unit, *values, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("__b"))
-    reps = reps.withColumn("__w", poisson_one(u))
-    per_rep = reps.groupBy(*keys, "__b").agg(*[stat(v, "__w").alias(v) for v in values])
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(unit).cast("string"), F.col("__j").cast("string")), 256)
+    dealt = units.select(*keys, unit, *values).repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS))).alias("__j")).withColumn("__d", digest)
+    three = [F.conv(F.substring("__d", 12 * i + 1, 12), 16, 10).cast("long").alias(f"__d{i}") for i in range(DRAWS // 3)]
+    each = F.array(*[F.shiftright(F.col(f"__d{i // 3}"), 16 * (i % 3)).bitwiseAND(F.lit(65535)) for i in range(DRAWS)])
+    reps = drawn.select(*keys, *values, "__j", *three).select(*keys, *values, "__j", F.posexplode(each).alias("__i", "__u"))
+    reps = reps.select(*keys, *values, (F.col("__j") * DRAWS + F.col("__i")).alias("__b"), poisson_one(F.col("__u")).alias("__w"))
+    per_rep = reps.filter(F.col("__b") < resamples).groupBy(*keys, "__b").agg(*[stat(v, "__w").alias(v) for v in values])
     point = units.withColumn("__w", F.lit(1.0)).groupBy(*keys).agg(*[stat(v, "__w").alias(f"{v}_point") for v in values])
     tail = (1 - level) / 2
     ends = per_rep.groupBy(*keys).agg(*[F.percentile(v, F.array(F.lit(tail), F.lit(1 - tail))).alias(f"__q_{v}") for v in values])
@@ -84,12 +91,14 @@ def bootstrap(
     )
 
 
-#: P(count <= k) of Poisson(1) for k = 0, 1, 2, …
-POISSON_STEPS = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+#: Draws of one digest: five numbers of 48 bits, three draws each.
+DRAWS = 15
+#: P(count <= k) of Poisson(1) for k = 0, 1, 2, … in units of 1/65536, rounded.
+POISSON_STEPS = [round(65536 * p) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(8))]
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson(1) count of a uniform number, by its cumulative probabilities."""
+    """Poisson(1) count of a uniform number below 65536, by its cumulative probabilities."""
     out = F.lit(0.0)
     for total in POISSON_STEPS:
         out = out + (u >= total).cast("double")
@@ -106,26 +115,30 @@ def bin_by_quantiles(df: DataFrame, keys: Sequence[str], value: str, bins: int,
     """Adds ``bin``: 0-based quantile bin, right-closed with the lowest value included, equal edges merged.
 
     With fewer distinct values than bins there are only as many bins as values.
+
+    The quantiles for every number of bins up to ``bins`` come from the same two
+    passes. The values at their ranks tell most keys that have at least as many values
+    as bins; only the others' values are counted.
     """
     keys = list(keys)
-    distinct = df.groupBy(*keys, value).agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
-    one_group = distinct.filter(F.col("__d") < bins)
-    edges = quantile_edges(df, keys, value, bins, longest).drop("n")
-    edges = edges.join(distinct, keys) if keys else edges.crossJoin(F.broadcast(distinct))
-    few = one_group.limit(1).collect()
-    if few:
-        # keys with few values need other edges; there are at most bins-1 such sizes
-        edges = edges.filter(F.col("__d") >= bins)
-        for d in range(1, bins):
-            part = df.join(distinct.filter(F.col("__d") == d), keys, "left_semi") if keys else df
-            if not keys and few[0]["__d"] != d:
-                continue
-            e = quantile_edges(part, keys, value, d, longest).drop("n").withColumn("__d", F.lit(d).cast("long"))
-            edges = edges.unionByName(e)
+    parts = sorted({Fraction(i, d) for d in range(1, bins + 1) for i in range(d + 1)})
+    names = {p: f"__e{i}" for i, p in enumerate(parts)}
+    q = cut(quantiles(df, keys, value, {names[p]: float(p) for p in parts}, longest, seen="__seen"))
+    unsure = q.filter(F.col("__seen") < bins)
+    if unsure.isEmpty():
+        sized = q.withColumn("__d", F.lit(bins))
+    else:
+        rows = df.join(unsure.select(*keys), keys, "left_semi") if keys else df
+        distinct = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.lit(1).alias("__1"))
+        distinct = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
+        sized = q.join(distinct, keys, "left") if keys else q.crossJoin(F.broadcast(distinct))
+        sized = sized.withColumn("__d", F.least(F.coalesce("__d", F.lit(bins)), F.lit(bins)).cast("int"))
+    options = F.array(*[F.array(*[F.col(names[Fraction(i, d)]) for i in range(d + 1)]) for d in range(1, bins + 1)])
+    edges = sized.select(*keys, F.element_at(options, F.col("__d")).alias("edges"))
     joined = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))
     cuts = F.array_distinct("edges")
     inner = F.slice(cuts, F.lit(2), F.greatest(F.lit(0), F.size(cuts) - 2))
-    return joined.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(value))).cast("long")).drop("edges", "__d")
+    return joined.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(value))).cast("long")).drop("edges")
 
 
 def error_by_quantile(df: DataFrame, truth: str, predicted: str, bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:

@@ -43,7 +43,8 @@ def _resampled(units: str, value: str, keys: str = "") -> str:
     by, rows = (f"{keys}, ", f"{keys}, b") if keys else ("", "b")
     weight = " + ".join(f"CAST(u >= {t!r} AS DOUBLE)" for t in metrics.POISSON_STEPS)
     return f""", un AS ({units}),
-dr AS (SELECT un.*, b, CAST(concat('0x', substr(sha256(concat_ws('|', '42', line_id, b)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM un, range(1, 501) AS t(b)),
+dr AS (SELECT un.*, 15 * d + i AS b, (CAST(concat('0x', substr(sha256(concat_ws('|', '42', line_id, d)), 12 * (i // 3) + 1, 12)) AS BIGINT) >> (16 * (i % 3))) & 65535 AS u
+  FROM un, range(0, 34) AS t(d), range(0, 15) AS s(i) WHERE 15 * d + i < 500),
 wt AS (SELECT *, {weight} AS w FROM dr),
 pe AS (SELECT {rows}, sum(v * w) / sum(w) AS m FROM wt GROUP BY {rows}),
 pt AS (SELECT {by}{r6('avg(v)')} AS {value}_point FROM un{' GROUP BY ' + keys if keys else ''}),
