@@ -1,11 +1,13 @@
 """URL rules, licence diagonals and boilerplate lines."""
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import license_scan, line_dedup, url_filter
 from tracewright.llm.components import components
-from tracewright.llm.queries import URL_RULES
+from tracewright.llm.queries import SQL, URL_RULES
 
 PAGES = "page_id long, url string, html string, node string, rule string"
 
@@ -64,6 +66,28 @@ def test_spellings_of_a_link_name_the_page(spark, page, html):
     assert spark.createDataFrame([("https://X.com/de/?page=2&ref=x",)], "url string").select(url_filter.node_of(F.col("url"))).first()[0] == node
 
 
+def test_sql_reads_the_same_spellings(spark):
+    marks = [m for m in test_spellings_of_a_link_name_the_page.pytestmark if m.name == "parametrize"]
+    rows = [("http://a.net/q" + str(i), h.replace("x.com/de/", f"x{i}.com/de/")) for i, (_, h) in enumerate(marks[0].args[1])]
+    rows += marks[0].args[1] + [
+        ("http://c.com", None), ("http://c.com/", None), ("http://example.org", '<link rel="canonical" href="./es/../es/1">'), ("http://d.net/2", '<link rel="canonical" href="http://example.org">'),
+        ("http://c.com/fr/7", '<link rel=canonical href="http://c.com/de/&eacute;&nosuch;&#xD800;">'), ("http://d.net/3", '<link rel=canonical href="http://c.com/de/\u00e9&nosuch;\ufffd">'),
+        ("http://e.net/4", '<link rel="canonical" href="#x">'), ("http://e.net/5", '<link rel="canonical" href="mailto:a@b">'), (None, "<link rel=canonical href=/x>"), ("nothing", None), ("http://f.com/de/1", ""),
+    ]
+    pages = pa.table({"page_id": range(len(rows)), "url": [r[0] for r in rows], "html": [r[1] for r in rows]})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = con.execute(SQL["op6_url_filter"]).to_arrow_table().select(["page_id", "host", "path", "rule", "verdict", "via"]).to_pylist()
+    got = url_filter.judge(spark.createDataFrame(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "via").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted((tuple(r.values()) for r in want), key=repr)
+    assert {r["via"] for r in got} == {"rule", "alias", "default"}
+
+
+def test_the_plan_of_the_edges_stays_short(spark):
+    edges = url_filter.page_edges(spark.createDataFrame([("http://a.net/1", "<link rel=canonical href=/2>")], "url string, html string"))
+    assert len(edges._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
 def test_links_that_name_no_other_page(spark):
     rows = [("http://a.net/p?q", '<link rel="canonical" href="#top">'), ("http://a.net/p", '<link rel="canonical" href="mailto:x?u=http://y.com/">'),
             ("http://a.net/p", '<link rel="noncanonical" href="/z">'), ("http://a.net/p", '<link rel="canonical" href="/go?to=http://y.com/&nosuch;&#xD800;&eacute;">')]

@@ -139,24 +139,42 @@ WITH RECURSIVE rules(rule, rule_host, rule_path, action) AS (VALUES ('org/', 'or
 p AS (SELECT page_id, coalesce(url, '') AS url, html,
   translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-q AS (SELECT *, CASE WHEN host <> '' THEN host || path || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) END AS node FROM p),
-tags AS (SELECT host, path, node, regexp_extract(unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM q
-  UNION ALL SELECT host, path, node, regexp_extract(unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM q),
-links AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN 'x://' || host || t
-  ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || t END AS t FROM tags WHERE t <> ''),
-split AS (SELECT node AS a, translate(regexp_extract(t, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(t, '://[^/?#]*([^?#]*)', 1) AS pt, regexp_extract(t, '://[^?#]*(\?[^#]*)', 1) AS qr FROM links),
-e AS (SELECT a, h || pt || qr AS b FROM split WHERE a IS NOT NULL AND h <> ''),
+q AS (SELECT *, CASE WHEN host <> '' THEN host || __PAGE_PATH__ || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) END AS node FROM p),
+tags AS (SELECT url, host, path, node, regexp_extract(unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?|''(?:[^''>]*\s)?)?canonical\b[^>]*>')), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM q
+  UNION ALL SELECT url, host, path, node, regexp_extract(unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM q),
+names AS (SELECT map_from_entries(list({'k': k, 'v': v})) AS named FROM (VALUES __NAMED__) AS n(k, v)),
+coded AS (SELECT url, host, path, node, named, list_transform(regexp_extract_all(t, '&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&'), lambda p: {'p': p,
+  'c': CASE WHEN regexp_matches(p, '^&#[0-9]+;$') THEN p[3:-2]::INT WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]+;$') THEN ('0x' || p[4:-2])::INT END}) AS ps FROM tags, names WHERE t <> ''),
+told AS (SELECT url, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, node, array_to_string(list_transform(ps, lambda x: CASE WHEN x.c IS NULL THEN coalesce(named[x.p], x.p)
+  WHEN x.c BETWEEN 1 AND 1114111 AND NOT x.c BETWEEN 55296 AND 57343 THEN chr(x.c) ELSE chr(65533) END), '') AS t FROM coded),
+links AS (SELECT node, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '//') THEN 'x:' || t
+  WHEN starts_with(t, '/') THEN 'x://' || host || t WHEN starts_with(t, '?') THEN 'x://' || host || path || t WHEN starts_with(t, '#') THEN 'x://' || host || path || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1)
+  ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || t END AS t FROM told),
+split AS (SELECT node AS a, translate(regexp_extract(t, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(t, '://[^/?#]*([^?#]*)', 1) AS pt, regexp_extract(t, '://[^?#]*(\?[^#]*)', 1) AS qr FROM links WHERE t IS NOT NULL),
+e AS (SELECT a, h || __SPLIT_PATH__ || qr AS b FROM split WHERE a IS NOT NULL AND h <> ''),
 both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
-nodes AS (SELECT node, host, path FROM q WHERE node IS NOT NULL UNION SELECT a, regexp_extract(a, '^([^/?]*)', 1), regexp_extract(a, '^[^/?]*([^?]*)', 1) FROM both_ways),
-fits AS (SELECT node, rule, action, row_number() OVER (PARTITION BY node ORDER BY length(rule) DESC, action = 'allow' DESC, rule DESC) AS n FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
-ruled AS (SELECT node, rule, action FROM fits WHERE n = 1),
-passed AS (SELECT r.a AS node, CASE WHEN bool_or(action = 'block') AND NOT bool_or(action = 'allow') THEN 'block' ELSE 'allow' END AS verdict FROM reach r JOIN ruled ON ruled.node = r.b GROUP BY r.a)
-SELECT page_id, q.host, q.path, rule, coalesce(action, passed.verdict, 'allow') AS verdict,
-  CASE WHEN action IS NOT NULL THEN 'rule' WHEN passed.verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS via
-FROM q LEFT JOIN ruled ON ruled.node = q.node LEFT JOIN passed ON passed.node = q.node
+every AS (SELECT node FROM q WHERE node IS NOT NULL UNION SELECT a FROM both_ways),
+own AS (SELECT node, regexp_extract(node, '^([^/?]*)', 1) AS host, regexp_extract(node, '^[^/?]*([^?]*)', 1) AS path FROM every),
+nodes AS (SELECT node, host, path FROM q WHERE node IS NOT NULL UNION SELECT node, host, path FROM own),
+fits AS (SELECT node, path, rule, action, row_number() OVER (PARTITION BY node, path ORDER BY length(rule) DESC, action = 'allow' DESC, rule DESC) AS n FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+ruled AS (SELECT node, path, rule, action FROM fits WHERE n = 1),
+same AS (SELECT node, action AS same FROM ruled JOIN own USING (node, path)),
+passed AS (SELECT r.a AS node, CASE WHEN bool_or(same = 'block') AND NOT bool_or(same = 'allow') THEN 'block' ELSE 'allow' END AS verdict FROM reach r JOIN same ON same.node = r.b GROUP BY r.a)
+SELECT page_id, q.host, q.path, rule, coalesce(action, same, passed.verdict, 'allow') AS verdict,
+  CASE WHEN action IS NOT NULL THEN 'rule' WHEN coalesce(same, passed.verdict) IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+FROM q LEFT JOIN ruled ON ruled.node = q.node AND ruled.path = q.path LEFT JOIN same ON same.node = q.node LEFT JOIN passed ON passed.node = q.node
 """
 
+def _plain_path(path: str) -> str:
+    """SQL for a path without . and .. steps; the empty path is /."""
+    steps = f"string_split({path}, '/') || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN [''] ELSE [] END"
+    return f"(CASE WHEN {path} = '' THEN '/' WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN array_to_string(list_reduce(list_prepend(['']::VARCHAR[], list_transform(({steps})[2:], lambda x: [x])), lambda a, b: CASE WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END), '/') ELSE {path} END)"
+
+
+_NAMES = ", ".join("('{}', '{}')".format(name, to.replace("'", "''")) for name, to in url_filter.NAMED.items())
+SQL["op6_url_filter"] = SQL["op6_url_filter"].replace("__NAMED__", _NAMES).replace("__SPLIT_PATH__", _plain_path("pt")).replace("__PAGE_PATH__", _plain_path("path"))
+
 _TEMPLATES = ", ".join(f"({i}, '{label}', '{kind}', {k}, '{words}')" for i, (label, words, kind, k) in enumerate([(*p, "phrase", license_scan.PHRASE_GRAM) for p in license_scan.PHRASES] + [(*t, "text", license_scan.TEXT_GRAM) for t in license_scan.TEXTS]))
 SQL["op7_license_scan"] = rf"""
 WITH t(template, label, kind, k, body) AS (VALUES {_TEMPLATES}),

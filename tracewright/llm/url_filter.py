@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, rows_of
+from .common import ascii_lower, rows_of, scratch
 from .components import components
 
 LINK_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?|'(?:[^'>]*\s)?)?canonical\b[^>]*>"
@@ -17,7 +17,7 @@ LINK_TO = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 META_TO = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
 #: Character references by name, with their semicolon.
-NAMED = json.dumps({f"&{name}": to for name, to in html5.items() if name.endswith(";")})
+NAMED = {f"&{name}": to for name, to in html5.items() if name.endswith(";")}
 
 
 def host_of(url: Column) -> Column:
@@ -28,18 +28,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^?#]*)", 1)
 
 
-def unescape(value: Column) -> Column:
-    """`value` with its character references resolved; what is none stays."""
-    named = F.from_json(F.lit(NAMED), "map<string,string>")
+def unescape(rows: DataFrame, column: str) -> DataFrame:
+    """`rows` with the character references in `column` resolved; what is none stays.
 
-    def resolve(part: Column) -> Column:
-        hex_part = F.conv(F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
-        code = F.coalesce(F.nullif(F.regexp_extract(part, r"^&#([0-9]+);$", 1), F.lit("")), hex_part).cast("long")
-        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        return F.when(part.startswith("&#") & part.endswith(";"), char).when(part.startswith("&"), F.coalesce(F.try_element_at(named, part), part)).otherwise(part)
-
-    return F.when(value.contains("&"), F.array_join(F.transform(F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0)), resolve), "")).otherwise(value)
+    Named references join the table of names, one row each; a plan that held the
+    table in every expression about the column would outgrow the driver.
+    """
+    spark, names = rows.sparkSession, rows.columns
+    numbered = rows.withColumn("_id", F.monotonically_increasing_id())
+    parts = numbered.where(F.contains(column, F.lit("&"))).select("_id", F.posexplode(F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(0))).alias("_at", "_part"))
+    known = F.broadcast(spark.createDataFrame(pa.table({"_part": list(NAMED), "_to": list(NAMED.values())})))
+    hex_part = F.conv(F.regexp_extract("_part", r"^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
+    code = F.coalesce(F.nullif(F.regexp_extract("_part", r"^&#([0-9]+);$", 1), F.lit("")), hex_part).cast("long")
+    parts = parts.join(known, "_part", "left").withColumn("_code", code)
+    real = F.col("_code").between(1, 0x10FFFF) & ~F.col("_code").between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, F.col("_code")).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    told = F.when(F.col("_part").startswith("&#") & F.col("_part").endswith(";"), char).otherwise(F.coalesce("_to", "_part"))
+    whole = parts.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", told.alias("_told")))), lambda p: p["_told"]), "").alias("_whole"))
+    return numbered.join(whole, "_id", "left").select(*[F.coalesce("_whole", column).alias(c) if c == column else F.col(c) for c in names])
 
 
 def plain_path(path: Column) -> Column:
@@ -76,19 +82,23 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     base = base.where(F.col("html").rlike(f"{LINK_TAG}|{META_TAG}"))
     link = F.transform(F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(0)), lambda t: F.regexp_extract(t, LINK_TO, 1))
     meta = F.transform(F.regexp_extract_all("html", F.lit(META_TAG), F.lit(0)), lambda t: F.regexp_extract(t, META_TO, 1))
-    found = base.select("url", F.explode(F.concat(link, meta)).alias("to")).where("to <> ''").select("url", unescape(F.col("to")).alias("to"))
-    root = F.concat(F.lit("x://"), host_of(F.col("url")))
-    path = F.when(path_of(F.col("url")) == "", "/").otherwise(path_of(F.col("url")))
+    # few rows are left; tables between the steps keep the next one's expressions as short as its own
+    found = scratch(base.select("url", F.explode(F.concat(link, meta)).alias("to")).where("to <> ''"))
+    from_page = [host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), query_of(F.col("url")).alias("query"), node_of(F.col("url")).alias("a")]
+    found = scratch(unescape(found, "to").select("to", *from_page))
+    root = F.concat(F.lit("x://"), F.col("host"))
+    path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
     to = (
         F.when(F.col("to").rlike("(?i)^[a-z][a-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
         .when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to"))
         .when(F.col("to").startswith("/"), F.concat(root, "to"))
         .when(F.col("to").startswith("?"), F.concat(root, path, "to"))
-        .when(F.col("to").startswith("#"), F.concat(root, path, query_of(F.col("url"))))
+        .when(F.col("to").startswith("#"), F.concat(root, path, F.col("query")))
         .otherwise(F.concat(root, F.regexp_replace(path, r"[^/]*$", ""), "to"))
     )
-    return found.select(node_of(F.col("url")).alias("a"), node_of(to).alias("b")).where("a is not null and b is not null")
+    found = scratch(found.where("a is not null").select("a", to.alias("to")).where("to is not null"))
+    return found.select("a", node_of(F.col("to")).alias("b")).where("b is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
