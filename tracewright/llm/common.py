@@ -23,14 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Write the rows as a Parquet table in the shared folder and go on from it.
+def scratch(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write the rows as a Parquet table in the shared folder and go on from it, compressed by `codec` or the session's.
 
     Used instead of cut() where rows are wide: the columns are compressed, later
     steps read only those they need, and Catalyst knows the size.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

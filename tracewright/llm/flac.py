@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .pieces import in_blocks
 
-BLOCK = 1024
+BLOCK = 2048
 RATE = 8000
 #: Order, coefficient bits and shift of the written linear predictors.
 ORDER, PRECISION, SHIFT = 4, 10, 8
@@ -397,7 +397,7 @@ def payload(text: Column) -> Column:
 def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text as 8-bit samples of a FLAC stream.
 
-    A frame of 1024 samples takes the smallest of a constant, plain samples, fixed
+    A frame of 2048 samples takes the smallest of a constant, plain samples, fixed
     predictors and a linear predictor with Rice residuals. Null and empty text are 64
     samples of byte 0. Equal texts have equal streams. Frames of many documents are
     coded together, a long text in several groups.

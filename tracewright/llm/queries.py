@@ -44,7 +44,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's samples, read back from its stored FLAC stream, and of the stream."""
-    found = flac.decode_media(scratch(flac.encode_media(read(spark, sf_dir, "documents"))))
+    found = flac.decode_media(scratch(flac.encode_media(read(spark, sf_dir, "documents")), "zstd"))
     return found.select(
         "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
