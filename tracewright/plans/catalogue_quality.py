@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality as dq
+from ..operators.identity import content_hashes
 from ..operators.ordered import indexed
+from ..session import cut
 from ..sources.files import schema_problems
 from . import views as v
-from .catalogue import query
+from .catalogue import SQL, query
 from .sql_views import FIX, HEADS, R, q, r6
 from .views import r6 as rnd
 
@@ -132,7 +134,10 @@ c AS (SELECT p.a, p.b, corr(m.value, t.value) AS r, count(*) AS n FROM p JOIN r
 
 
 def _overlaps(spark, sf):
-    s = v.readings(spark, sf)
+    return _overlaps_of(v.readings(spark, sf))
+
+
+def _overlaps_of(s):
     n = F.count(F.lit(1))
     ext = s.df.groupBy("line_id", "survey_id").agg(
         F.min("chainage_m").alias("start_m"), F.max("chainage_m").alias("end_m"),
@@ -205,25 +210,63 @@ def dq_outlier_density(spark, sf):
 SELECT survey_id, CAST(run_id > 0 AND value < 0.95 AS BIGINT) AS n_affected, CASE WHEN run_id > 0 THEN {r6('value')} END AS value, run_id > 0 AND value < 0.95 AS failed FROM e"""))
 def dq_coverage(spark, sf):
     rows = v.reading_rows(spark, sf)
-    expected = rows.groupBy("survey_id").agg(F.min("run_id").alias("run_id")).filter("run_id > 0").select("survey_id", F.lit(235.0).alias("expected_length_m"))
-    return _out(dq.coverage(rows, expected, "survey_id", "chainage_m"))
+    return _out(dq.coverage(rows, _expected(rows), "survey_id", "chainage_m"))
 
 
-@query(q(R, """
-, a AS (SELECT survey_id, 'range' AS check_name, CASE WHEN count(*) FILTER (WHERE value < 0.5 OR value > 150) > 0 THEN 'fail' ELSE 'pass' END AS status FROM r GROUP BY 1),
-b AS (SELECT survey_id, 'coverage' AS check_name, CASE WHEN (max(chainage_m) - min(chainage_m)) / 235.0 < 0.95 THEN 'warn' ELSE 'pass' END AS status FROM r GROUP BY 1),
-x AS (SELECT survey_id, value - lag(value) OVER (PARTITION BY survey_id ORDER BY sample_idx) AS d FROM r),
-n AS (SELECT survey_id, 'noise_floor' AS check_name, CASE WHEN stddev_pop(d) / sqrt(2.0) < 15 OR stddev_pop(d) / sqrt(2.0) > 60 THEN 'warn' ELSE 'pass' END AS status FROM x GROUP BY 1),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM n)
+def _expected(rows):
+    """The length of every survey but a line's first runs, of which none is stated."""
+    return rows.groupBy("survey_id").agg(F.min("run_id").alias("run_id")).filter("run_id > 0").select("survey_id", F.lit(235.0).alias("expected_length_m"))
+
+
+_OWN_CHECKS = {
+    "sample_idx_monotonic": q(R.replace("FROM events)", "FROM (SELECT *, row_number() OVER () AS file_pos FROM events))").replace("SELECT event_id,", "SELECT file_pos, event_id,", 1), """
+, o AS (SELECT survey_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY survey_id ORDER BY file_pos) AS step FROM r) SELECT survey_id, count(*) FILTER (WHERE step <= 0) > 0 AS failed FROM o GROUP BY 1"""),
+    "sample_idx_gap": q(R, """
+, k AS (SELECT DISTINCT survey_id, CAST(floor(chainage_m) AS BIGINT) AS hour FROM r), g AS (SELECT survey_id, hour - lag(hour) OVER (PARTITION BY survey_id ORDER BY hour) AS gap FROM k)
+SELECT survey_id, count(*) FILTER (WHERE gap > 24) > 0 AS failed FROM g GROUP BY 1"""),
+    "duplicate_sample_idx": q(R, """
+SELECT survey_id, sum(n - 1) > 0 AS failed FROM (SELECT survey_id, CAST(floor(chainage_m) AS BIGINT) AS hour, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1"""),
+    "duplicate_content": q(R, """
+, h AS (SELECT survey_id, string_agg(event_type || ' ' || value, ',' ORDER BY event_type, value) AS h FROM r GROUP BY 1) SELECT survey_id, count(*) OVER (PARTITION BY h) > 1 AS failed FROM h"""),
+}
+#: The registered query of every other check.
+_QUERY_OF = {
+    "schema": "dq_contract", "range": "dq_range", "saturation": "dq_saturation_runs", "survey_overlap": "dq_survey_overlap", "gps_jump": "dq_jump_distance",
+    "gps_chainage_consistency": "dq_path_vs_span", "noise_floor": "dq_noise_floor", "background_regime": "dq_regime_shift", "interference_density": "dq_outlier_density", "coverage": "dq_coverage",
+}
+_ALL_CHECKS = " UNION ALL ".join(
+    f"SELECT survey_id, CASE WHEN failed THEN '{dq.GATES[name]}' ELSE 'pass' END AS status FROM ({_OWN_CHECKS.get(name) or SQL[_QUERY_OF[name]]})" for name in dq.GATES
+)
+
+
+@query(f"""
 SELECT survey_id, count(*) FILTER (WHERE status = 'pass') AS n_pass, count(*) FILTER (WHERE status = 'warn') AS n_warn, count(*) FILTER (WHERE status = 'fail') AS n_fail,
-       CASE WHEN count(*) FILTER (WHERE status = 'fail') > 0 THEN 'quarantined' ELSE 'accepted' END AS verdict FROM u GROUP BY 1"""))
+       CASE WHEN count(*) FILTER (WHERE status = 'fail') > 0 THEN 'quarantined' ELSE 'accepted' END AS verdict FROM ({_ALL_CHECKS}) GROUP BY 1""")
 def dq_report_gate(spark, sf):
+    """All fourteen checks of every survey, as one report, and its gate."""
     s = v.readings(spark, sf)
-    expected = s.df.select("survey_id").distinct().withColumn("expected_length_m", F.lit(235.0))
+    s = s.with_df(cut(s.df))
+    hours = F.floor("chainage_m").cast("long")
+    in_file = v.reading_rows(spark, sf, F.col("_metadata.row_index").alias("file_pos"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    by_hour = s.df.select("survey_id", hours.alias("hour"))
+    corr, ext = _overlaps_of(s)
+    heads, fixed = s.with_df(v.heads(s.df)), v.fixes(s)
+    sets = s.with_df(s.df.withColumn("bucket", F.floor(F.col("value") / 25).cast("string")))
     checks = {
-        "range": dq.value_range(s.df, "survey_id", ["value"], 0.5, 150.0),
-        "coverage": dq.coverage(s.df, expected, "survey_id", "chainage_m"),
-        "noise_floor": dq.noise_floor(s, "survey_id", ["value"], 15.0, 60.0),
+        "schema": dq.contract(s.df, "survey_id", _rules()),
+        "range": dq.value_range(heads.df, "survey_id", ["b_lo", "b_hi"], 1.0, 150.0),
+        "saturation": dq.saturation(sets, "survey_id", ["bucket", "event_type"], 3),
+        "sample_idx_monotonic": dq.monotonic(indexed(in_file, ["survey_id"], "file_pos"), "survey_id", "at_us"),
+        "sample_idx_gap": dq.index_gaps(indexed(by_hour, ["survey_id"], "hour"), "survey_id", 1.0, 24.0),
+        "duplicate_sample_idx": dq.duplicate_index(by_hour, "survey_id", ["hour"]),
+        "duplicate_content": dq.duplicate_content(content_hashes(s.df, "survey_id", ["event_type", "value"]), "survey_id", "content_sha256"),
+        "survey_overlap": dq.overlap_check(corr, ext, "survey_id", 0.5),
+        "gps_jump": dq.jump_distance(fixed, "survey_id", "lat", "lon", 12.0),
+        "gps_chainage_consistency": dq.path_vs_span(fixed, "survey_id", "lat", "lon", "chainage_m"),
+        "noise_floor": dq.noise_floor(heads, "survey_id", ["b_lo", "b_hi"], 15.0, 60.0),
+        "background_regime": dq.regime_shift(heads.df, "line_id", "survey_id", ["b_lo", "b_hi"], longest=s.longest),
+        "interference_density": dq.outlier_density(s.df, "survey_id", "value", longest=s.longest),
+        "coverage": dq.coverage(s.df, _expected(s.df), "survey_id", "chainage_m"),
     }
     return dq.gate(dq.report(checks, "survey_id"), "survey_id")
 

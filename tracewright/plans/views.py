@@ -31,14 +31,15 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reading_rows(spark: SparkSession, sf_dir: str, *also: Column) -> DataFrame:
+    """The readings, and with them the columns ``also`` of their file."""
     e = table(spark, sf_dir, "events")
     run = ((F.dayofmonth("ts") - 1) / 10).cast("long")
     t = F.col("ts").cast("timestamp")
     hours = (F.unix_micros(t) - F.unix_micros(F.date_trunc("month", t))) / F.lit(3.6e9)
     e = e.select(
         "event_id", F.col("user_id").alias("line_id"), run.alias("run_id"), t.alias("ts"), "event_type", "value",
-        F.concat_ws("_R", F.col("user_id").cast("string"), run.cast("string")).alias("survey_id"), hours.alias("__h"),
+        F.concat_ws("_R", F.col("user_id").cast("string"), run.cast("string")).alias("survey_id"), hours.alias("__h"), *also,
     )
     return e.withColumn("chainage_m", F.col("__h") - F.col("run_id") * F.lit(240.0)).drop("__h")
 
