@@ -13,7 +13,7 @@ from ..functions.scalars import safe_div
 from ..session import cut
 from .ordered import Series
 from .quantiles import median_mad
-from .series import mean_step, odd_window, rolling_median, smooth_polynomial
+from .series import mean_step, odd_window, rolling_medians, smooth_polynomial
 
 EPS = float(np.finfo(np.float64).eps)
 SINGLE_FIT_ROWS = 1_000_000
@@ -152,7 +152,6 @@ def detrend(
     step = mean_step(series.df, keys, axis).select(*keys, odd_window(window_m, F.col("mean_step")).alias("__win"))
     reach = int(step.agg(F.max("__win")).first()[0] or 1)
     out = series.with_df(cut(df.join(step, keys)))
-    for dst in columns.values():
-        out = rolling_median(out, dst, "__win", reach, "__m")
-        out = out.with_df(out.df.withColumn(dst, F.col(dst) - F.col("__m")).drop("__m"))
-    return out.with_df(out.df.drop("__win"))
+    middles = {dst: f"__m_{dst}" for dst in columns.values()}
+    out = rolling_medians(out, middles, "__win", reach)
+    return out.with_df(out.df.select(*[(F.col(c) - F.col(middles[c])).alias(c) if c in middles else c for c in out.df.columns if c != "__win" and c not in middles.values()]))

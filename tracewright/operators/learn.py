@@ -263,33 +263,45 @@ class SeverityModel:
             featuresCol="__fv", labelCol=y, numTrees=self.trees, maxDepth=5, minInstancesPerNode=3, seed=self.seed, leafCol="__leaf"
         )
         self._model = forest.fit(known)
-        leaves = self._leaves(known.select("__fv", F.col(y).alias("__y")))
-        self._table = cut(quantiles(leaves, ["tree", "leaf"], "__y", {"lo": self.levels[0], "med": self.levels[1], "hi": self.levels[2]}).drop("n"))
+        leaves = known.select(F.col(y).alias("__y"), "__fv")
+        # a row's leaves stay one row; the quantiles, which read it twice, explode it in their tasks
+        leaves = cut(self._model.transform(leaves).select("__y", MF.vector_to_array("__leaf").alias("__l"))).select("__y", F.posexplode("__l").alias("tree", "leaf"))
+        table = quantiles(leaves, ["tree", "leaf"], "__y", {"lo": self.levels[0], "med": self.levels[1], "hi": self.levels[2]})
+        # at most trees times 2^depth rows
+        self._levels = _leaf_table(table.select("tree", "leaf", "lo", "med", "hi").collect(), self.trees)
         self._margin = 0.0
-        rows = calibration.filter(F.col(y).isNotNull()).withColumn("__row", F.monotonically_increasing_id())
-        raw = cut(self._raw(cut(rows), "__row"))
+        raw = cut(self._raw(calibration.filter(F.col(y).isNotNull()).select(y, *[c for c in self.columns if c != y])))
         scores = raw.select(F.greatest(F.col("sev_lo") - F.col(y), F.col(y) - F.col("sev_hi")).alias("e"))
         got = conformal_margin(scores, "e", self.alpha).first()
         self._margin = float(got["margin"]) if got and got["margin"] is not None else 0.0
         return self
 
-    def _leaves(self, df: DataFrame) -> DataFrame:
-        got = self._model.transform(df).withColumn("__l", MF.vector_to_array("__leaf"))
-        return got.select(*[c for c in df.columns if c != "__fv"], F.posexplode("__l").alias("tree", "leaf"))
+    def _raw(self, df: DataFrame) -> DataFrame:
+        """Each level's mean over the trees, looked up by leaf in the row's own task."""
+        levels = self._levels
 
-    def _raw(self, df: DataFrame, row: str) -> DataFrame:
-        leaves = self._leaves(_vectors(df, self.columns).select(row, "__fv"))
-        means = leaves.join(self._table, ["tree", "leaf"]).groupBy(row).agg(
-            F.avg("lo").alias("sev_lo"), F.avg("med").alias("sev_pred"), F.avg("hi").alias("sev_hi")
-        )
-        return df.join(means, row)
+        @F.pandas_udf("sev_lo double, sev_pred double, sev_hi double")
+        def looked_up(leaf: pd.Series) -> pd.DataFrame:
+            at = np.stack(leaf.to_numpy()).astype(np.int64) if len(leaf) else np.empty((0, levels.shape[0]), np.int64)
+            return pd.DataFrame(np.nanmean(levels[np.arange(levels.shape[0]), at], axis=1), columns=["sev_lo", "sev_pred", "sev_hi"])
+
+        got = self._model.transform(_vectors(df, self.columns)).select(*df.columns, looked_up(MF.vector_to_array("__leaf")).alias("__q"))
+        return got.select(*df.columns, "__q.*")
 
     def predict(self, df: DataFrame, row: str) -> DataFrame:
-        """Adds ``sev_pred``, ``sev_lo`` and ``sev_hi`` to rows identified by ``row``."""
-        out = self._raw(df, row)
+        """Adds ``sev_pred``, ``sev_lo`` and ``sev_hi`` to the rows, which ``row`` identifies."""
+        out = self._raw(df)
         return out.withColumn("sev_lo", F.col("sev_lo") - self._margin).withColumn("sev_hi", F.col("sev_hi") + self._margin)
 
 
+def _leaf_table(rows: list, trees: int) -> np.ndarray:
+    """Levels by tree and leaf."""
+    out = np.full((trees, 1 + max((int(r["leaf"]) for r in rows), default=0), 3), np.nan)
+    for r in rows:
+        out[r["tree"], int(r["leaf"])] = r["lo"], r["med"], r["hi"]
+    return out
+
+
 @dataclass
 class ClassModel:
     """Forest on balanced class weights, probabilities calibrated per class by isotonic regression."""

@@ -58,28 +58,48 @@ def nearest_distance(series: Series, x: str, is_reference: Column) -> DataFrame:
     return near.withColumn("distance", F.least(F.col(x) - F.col("__lo"), F.col("__hi") - F.col(x))).drop("__lo", "__hi")
 
 
-def band_pairs(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_x: str, right_x: str, tolerance: float, salts: int = 1
-) -> DataFrame:
+#: Rows of one side that a block may hold before it is split.
+CROWDED_ROWS = 20_000
+
+
+def band_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_x: str, right_x: str, tolerance: float, crowded_rows: int = CROWDED_ROWS) -> DataFrame:
     """All pairs of equal keys with ``abs(left_x - right_x) <= tolerance``.
 
     Positions fall into blocks of the tolerance; the right side is copied to the
     two blocks next to its own, which turns the range condition into an equi-join.
-    ``salts`` splits a crowded block: the left side is spread over that many
-    parts and the right side copied to each.
+    A count finds the blocks that hold more than ``crowded_rows`` of a side; these
+    are split into groups of that many rows of each side, and every group of one
+    side meets every group of the other in a task of its own.
     """
     keys = list(keys)
     l = left.withColumn("__b", F.floor(F.col(left_x) / tolerance).cast("long"))
     r = right.withColumn("__b0", F.floor(F.col(right_x) / tolerance).cast("long")).withColumn(
         "__b", F.explode(F.array(F.col("__b0") - 1, F.col("__b0"), F.col("__b0") + 1))
     ).drop("__b0")
-    on = [*keys, "__b"]
-    if salts > 1:
-        l = l.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-        r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append("__salt")
-    pairs = l.join(r, on).filter(F.abs(F.col(left_x) - F.col(right_x)) <= tolerance)
-    return pairs.drop("__b", "__salt")
+    l, r = _split_crowded(l, r, [*keys, "__b"], left.columns, right.columns, crowded_rows)
+    pairs = l.join(r, [*keys, "__b", "__lg", "__rg"]).filter(F.abs(F.col(left_x) - F.col(right_x)) <= tolerance)
+    return pairs.drop("__b", "__lg", "__rg")
+
+
+def _split_crowded(l: DataFrame, r: DataFrame, on: list[str], l_columns: Sequence[str], r_columns: Sequence[str], crowded_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their group numbers ``__lg`` and ``__rg``: 0 in common blocks, all pairs of groups in crowded ones."""
+    count = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    # one row per crowded block, at most one for each crowded_rows rows
+    sizes = cut(
+        count(l, "__ln").join(count(r, "__rn"), on).filter(F.greatest("__ln", "__rn") > crowded_rows)
+        .select(*on, F.ceil(F.col("__ln") / crowded_rows).cast("int").alias("__lm"), F.ceil(F.col("__rn") / crowded_rows).cast("int").alias("__rm"))
+    )
+    if sizes.isEmpty():
+        zero = {"__lg": F.lit(0), "__rg": F.lit(0)}
+        return l.withColumns(zero), r.withColumns(zero)
+
+    def grouped(df: DataFrame, columns: Sequence[str], own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        marked = df.join(sizes, on, "left")
+        hashed = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.coalesce(own_n, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other_n, F.lit(1)) - 1))
+        return marked.withColumn(own, hashed).withColumn(other, every).drop("__lm", "__rm")
+
+    return grouped(l, l_columns, "__lg", "__lm", "__rg", "__rm"), grouped(r, r_columns, "__rg", "__rm", "__lg", "__lm")
 
 
 def interval_rows(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], x: str, lo: str, hi: str, block: float) -> DataFrame:

@@ -131,21 +131,27 @@ def rolling_stats(series: Series, y: str, windows: dict[str, str], reach: int) -
 
 def rolling_median(series: Series, y: str, window: str, reach: int, out: str, repeat_ends: bool = False) -> Series:
     """Centred median over the key's odd window length; short at the ends, or with the end values repeated."""
+    return rolling_medians(series, {y: out}, window, reach, repeat_ends)
+
+
+def rolling_medians(series: Series, columns: dict[str, str], window: str, reach: int, repeat_ends: bool = False) -> Series:
+    """As ``rolling_median`` for several columns, input to output name, in one shuffle and one pass of the workers."""
     kept, idx = series.df.columns, series.idx
-    schema = T.StructType([*series.df.schema.fields, T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*series.df.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns.values()]])
 
     def one_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, ignore_index=True)
         w = int(pdf[window].iloc[0])
-        v = pdf[y].astype("float64")
-        if repeat_ends:
-            # chunk borders inside a series carry at least ``reach`` neighbours, so the repeats only count at its ends
-            v = pd.Series(np.concatenate([np.repeat(v.iloc[0], w // 2), v, np.repeat(v.iloc[-1], w // 2)]))
-            med = v.rolling(w, center=True, min_periods=1).median().to_numpy()[w // 2 : len(v) - w // 2]
-        else:
-            med = v.rolling(w, center=True, min_periods=1).median().to_numpy()
-        pdf[out] = med
-        return pdf.loc[pdf["__core"], [*kept, out]]
+        for y, out in columns.items():
+            v = pdf[y].astype("float64")
+            if repeat_ends:
+                # chunk borders inside a series carry at least ``reach`` neighbours, so the repeats only count at its ends
+                v = pd.Series(np.concatenate([np.repeat(v.iloc[0], w // 2), v, np.repeat(v.iloc[-1], w // 2)]))
+                med = v.rolling(w, center=True, min_periods=1).median().to_numpy()[w // 2 : len(v) - w // 2]
+            else:
+                med = v.rolling(w, center=True, min_periods=1).median().to_numpy()
+            pdf[out] = med
+        return pdf.loc[pdf["__core"], [*kept, *columns.values()]]
 
     return series.with_df(series.halo(reach, reach).groupBy(*series.chunk_keys()).applyInPandas(one_chunk, schema))
 

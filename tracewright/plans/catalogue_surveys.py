@@ -171,7 +171,7 @@ SELECT i.indication_id, s.source_id, {r6('abs(i.chainage_peak_m - s.chainage_m)'
 FROM ind i JOIN src s ON s.line_id = i.line_id WHERE abs(i.chainage_peak_m - s.chainage_m) <= 15"""))
 def band_match(spark, sf):
     src = v.sources(spark, sf).select("line_id", "source_id", F.col("chainage_m").alias("source_m"))
-    got = matching.band_pairs(v.found(spark, sf), src, ["line_id"], "chainage_peak_m", "source_m", v.TOLERANCE, salts=2)
+    got = matching.band_pairs(v.found(spark, sf), src, ["line_id"], "chainage_peak_m", "source_m", v.TOLERANCE, crowded_rows=20)
     return got.select("indication_id", "source_id", rnd(F.abs(F.col("chainage_peak_m") - F.col("source_m"))).alias("distance_m"))
 
 
