@@ -30,7 +30,7 @@ def corpus():
 
 
 def without_boilerplate(rows):
-    """Rows as (id, text, site); lines on more than a tenth of a site's distinct texts, and three at least, go."""
+    """Rows as (id, text, site); lines on more than a tenth of a site's distinct texts, and two at least, go."""
     sites = {}
     for _, text, site in rows:
         if text is not None:
@@ -41,12 +41,11 @@ def without_boilerplate(rows):
         for t in texts:
             for line in {x.strip(" \t\r") for x in t.split("\n")} - {""}:
                 count[line] = count.get(line, 0) + 1
-        bad[site] = {line for line, n in count.items() if n >= 3 and n > 0.1 * len(texts)}
+        bad[site] = {line for line, n in count.items() if n > 1 and n > 0.1 * len(texts)}
     out = {}
     for i, text, site in rows:
         cut = [x for x in (text or "").split("\n") if x.strip(" \t\r") in bad.get(site, ()) and x.strip(" \t\r")]
-        fits = cut and sum(map(len, cut)) <= 0.5 * len(text)
-        out[i] = "\n".join(x for x in text.split("\n") if x not in cut) if fits else text
+        out[i] = "\n".join(x for x in text.split("\n") if x not in cut) if cut else text
     return out
 
 

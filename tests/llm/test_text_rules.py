@@ -140,7 +140,8 @@ DOCS = "doc_id long, text string, source string, _bad string, doc string, _site
 
 def test_boilerplate_lines(spark):
     rows = [(i, f"own {i}\nand more of {i}\n  Menu  \n\nlast {i}", "a") for i in range(20)]
-    rows += [(100 + i, "Menu\nshort", "b") for i in range(2)]  # too few pages
+    rows += [(100 + i, f"Menu\nshort {i}", "b") for i in range(2)]  # a site of two pages
+    rows += [(110, "Menu\nalone", "c")]  # on one page nothing repeats
     rows += [(200 + i, "the same page\nwith two lines", "a") for i in range(30)]  # exact copies are one page
     rows += [(300, "Menu", "a"), (301, "", "a"), (302, None, None), (303, "Menu\n" + "x" * 200_000, None)]
     docs = spark.createDataFrame([(*r, "b", "d", 3) for r in rows], DOCS)
@@ -148,8 +149,8 @@ def test_boilerplate_lines(spark):
         got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(docs, broadcast_rows=limit).collect()}
         assert len(got) == len(rows) and set(docs.columns) < set(got[0].asDict())
         assert got[3]["text"] == "own 3\nand more of 3\n\nlast 3" and got[3]["_dropped"] == 1 and got[3]["_lines"] == 5
-        assert got[100]["_dropped"] == 0 and got[205]["text"] == "the same page\nwith two lines"
-        assert got[300]["text"] == "Menu"  # nothing else would be left
+        assert got[100]["text"] == "short 0" and got[110]["_dropped"] == 0 and got[205]["text"] == "the same page\nwith two lines"
+        assert got[300]["text"] == "" and got[300]["_dropped"] == 1  # nothing else was there
         assert (got[301]["text"], got[301]["_lines"]) == ("", 1) and (got[302]["text"], got[302]["_lines"]) == (None, 0)
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 

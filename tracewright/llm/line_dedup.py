@@ -16,8 +16,8 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line, F.lit(" \t\r"))))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """(site, line, pages, ratio): lines on more than `max_ratio` of their site's pages, and on `min_pages` at least.
+def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = 0.1) -> DataFrame:
+    """(site, line, pages, ratio): lines on more than `max_ratio` of their site's pages, and on more than one.
 
     Exact copies within a site count as one page, above and below the line: a page
     that was crawled often is no template. Empty lines don't count. A null site is a
@@ -29,23 +29,23 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_r
     lines = base.select("site", "page", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.where(F.trim("line", F.lit(" \t\r")) != "").select("site", "page", line_key(F.col("line")).alias("line"))
     # spread by line and page, so that a site's or a line's rows don't meet before they are counts
-    counts = lines.distinct().groupBy("site", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    counts = lines.distinct().groupBy("site", "line").agg(F.count("*").alias("pages")).where(F.col("pages") > 1)
     totals = base.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("total")).withColumnRenamed("site", "of")
     # a site's total goes to all its counts: few rows against many, split by adaptive execution
     found = counts.join(totals, counts["site"].eqNullSafe(totals["of"])).where(F.col("pages") > F.lit(max_ratio) * F.col("total"))
     return found.select("site", "line", "pages", (F.col("pages") / F.col("total")).alias("ratio"))
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 3, max_share: float = 0.5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = 0.1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`docs` with `text` less its boilerplate lines, and `_lines` and `_dropped`, their numbers.
 
-    A document of which such lines make up more than `max_share` of the characters
-    stays as it is: it is a copy for the near-duplicate step, not a page with a
-    template. Other lines keep their order and exact text. Null text stays null with
-    0 lines; empty text has one empty line, which stays. Other columns pass through;
-    own columns named _lines or _dropped are replaced.
+    A document of nothing else becomes empty. Other lines keep their order and exact
+    text. Null text stays null with 0 lines; empty text has one empty line, which
+    stays, as do all empty lines. Rows that repeat lose the same lines. An empty table
+    gives an empty result. Other columns pass through; own columns named _lines or
+    _dropped are replaced.
     """
-    bad = boilerplate(docs, site, text, max_ratio, min_pages)
+    bad = boilerplate(docs, site, text, max_ratio)
     per_site = scratch(bad.groupBy("site").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("site", "_site"))
     size = per_site.agg(F.sum(F.size("_bad"))).first()[0] or 0
     side = F.broadcast(per_site) if size <= broadcast_rows else per_site
@@ -56,8 +56,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     lines = F.split("text", "\n")
     is_bad = lambda x: (F.trim(x, F.lit(" \t\r")) != "") & F.array_contains("_bad", line_key(x))
     hit = joined.withColumn("cut", F.when(F.col("_bad").isNotNull() & F.col("text").isNotNull(), F.filter(lines, is_bad)))
-    chars = F.aggregate("cut", F.lit(0), lambda n, x: n + F.length(x))
-    hit = hit.withColumn("cuts", F.coalesce(F.size("cut") > 0, F.lit(False)) & F.coalesce(chars <= F.lit(max_share) * F.length("text"), F.lit(False)))
+    hit = hit.withColumn("cuts", F.coalesce(F.size("cut") > 0, F.lit(False)))
     kept = F.array_join(F.filter(lines, lambda x: ~is_bad(x)), "\n")
     out = [F.when(F.col("cuts"), kept).otherwise(F.col("text")).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in names]
     return hit.select(

@@ -126,12 +126,10 @@ p AS (SELECT DISTINCT source, text, string_split(text, chr(10)) AS lines FROM d
 t AS (SELECT source, count(*) AS total FROM p GROUP BY source),
 l AS (SELECT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM p),
 c AS (SELECT source, line, count(*) AS pages FROM l WHERE line <> '' GROUP BY source, line),
-b AS (SELECT c.source, list(c.line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 3 AND pages > 0.1 * total GROUP BY c.source),
+b AS (SELECT c.source, list(c.line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE pages > 1 AND pages > 0.1 * total GROUP BY c.source),
 j AS (SELECT d.*, string_split(d.text, chr(10)) AS lines, coalesce(b.bad, []) AS bad FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-k AS (SELECT *, list_filter(lines, lambda x: NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS kept, list_filter(lines, lambda x: list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS cut FROM j),
-s AS (SELECT *, coalesce(list_sum(list_transform(cut, lambda x: length(x))), 0) AS chars FROM k)
-SELECT doc_id, source, CASE WHEN len(cut) > 0 AND chars <= 0.5 * length(text) THEN array_to_string(kept, chr(10)) ELSE text END AS text,
-  coalesce(len(lines), 0)::BIGINT AS n_lines, (CASE WHEN len(cut) > 0 AND chars <= 0.5 * length(text) THEN len(cut) ELSE 0 END)::BIGINT AS n_dropped FROM s
+k AS (SELECT *, list_filter(lines, lambda x: NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS kept, list_filter(lines, lambda x: list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS cut FROM j)
+SELECT doc_id, source, CASE WHEN len(cut) > 0 THEN array_to_string(kept, chr(10)) ELSE text END AS text, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(cut), 0)::BIGINT AS n_dropped FROM k
 """
 
 SQL["op6_url_filter"] = r"""
