@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import ngram_join, pq_dedup, shingles, stages
@@ -92,18 +93,49 @@ def test_vectors_against_brute_force(spark, monkeypatch, sizes):
     rows = [None if v is None else [None if x is None else float(x) for x in v] for v in vectors()]
     table = spark.createDataFrame([(i, v, 1, "c") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, list int, class string")
     got = {r["vec_id"]: r for r in pq_dedup.near_vectors(table).collect()}
-    good = [i for i, v in enumerate(rows) if v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.array([rows[i] for i in good])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.95
-    np.fill_diagonal(near, False)
-    pairs = [(good[a], good[b]) for a, b in zip(*np.nonzero(np.triu(near)))]
-    least, links = united(range(len(rows)), pairs), dict(zip(good, near.sum(axis=1).tolist()))
+    good = [i for i, v in enumerate(rows) if v is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    pairs, links = [], {}
+    for width in {len(rows[i]) for i in good}:
+        own = [i for i in good if len(rows[i]) == width]
+        x = np.array([rows[i] for i in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        pairs += [(own[a], own[b]) for a, b in zip(*np.nonzero(np.triu(near)))]
+        links |= dict(zip(own, near.sum(axis=1).tolist()))
+    least = united(range(len(rows)), pairs)
     found = sum(got[i]["n_links"] for i in good) / max(1, sum(links.values()))
     assert len(got) == len(rows) and 0.99 <= found <= 1
     assert all(got[i]["n_links"] == links.get(i, 0) and got[i]["component_id"] == least[i] and got[i]["kept"] == (least[i] == i) for i in range(len(rows)))
 
 
+def test_every_length_links_among_itself(spark):
+    rows = [[1.0, 0.0, 0.0, float(i)] for i in range(6)] + [[1.0, 0.0], [1.0, 0.001], [-0.0, 2.0], [0.0, 1.0]]
+    table = spark.createDataFrame(list(enumerate(rows)) + [(9, rows[9])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in pq_dedup.near_vectors(table).collect() if r["vec_id"] >= 6)
+    assert got == [(6, 1, 6), (7, 1, 6), (8, 2, 8), (9, 2, 8), (9, 2, 8)]
+
+
+def planted_pairs(n, width=64):
+    """`n` random unit vectors and a partner of each at a cosine of 0.95 to 0.956."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.normal(size=(n, width))
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.956, size=(n, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * off])
+
+
+def test_recall_with_the_values_in_use(spark):
+    n = 20_000
+    x = planted_pairs(n)
+    table = pa.table({"vec_id": pa.array(range(2 * n), pa.int64()), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    got = pq_dedup.near_vectors(spark.createDataFrame(table)).where("component_id <> vec_id").count()
+    assert got / n >= 0.99
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq_dedup.near_vectors(empty).count() == 0

@@ -116,9 +116,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     split by members and by visitors, so a crowded one is many bounded groups, each
     of which returns counts and a spanning forest, not its pairs.
 
-    Null vectors, those of zeros only or with a null or non-finite component, and
-    those of another length than the most frequent, link with nothing. Repeated rows
-    are equal vectors. A null vec_id links too but is never the smallest id. An empty
+    Vectors of one length are indexed by themselves; lengths of up to LIST_SIZE
+    vectors, which would be one list, are compared whole, each in a group. Null
+    vectors and those of zeros only or with a null or non-finite component link with
+    nothing. Repeated rows are equal vectors. A null vec_id links too but is never the smallest id. An empty
     table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -127,12 +128,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     good = F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0)
     # -0.0 and 0.0 are equal numbers
     base = base.withColumn("v", F.when(F.coalesce(good, F.lit(False)), F.transform("v", lambda x: x + F.lit(0.0))))
-    length = base.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    width = length["n"] if length else 0
-    base = base.withColumn("v", F.when(F.size("v") == width, F.col("v"))).withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    classes = scratch(base.where("class is not null").groupBy("class").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("rows")))
-    total = classes.count()
-    sums, edges = _search(classes, total, cosine) if total else (spark.createDataFrame([], "class long, links long"), spark.createDataFrame([], "a long, b long"))
+    base = base.withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    classes = scratch(base.where("class is not null").groupBy("class").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("rows")).withColumn("width", F.size("v")))
+    widths = classes.groupBy("width").count()
+    # at most one row for each LIST_SIZE vectors
+    large = {r["width"]: r["count"] for r in widths.where(F.col("count") > LIST_SIZE).orderBy("width").collect()}
+    sums, edges = _compare_few(classes.where(~F.col("width").isin(list(large))), cosine)
+    for width, total in large.items():
+        more_sums, more_edges = _search(classes.where(F.col("width") == width), total, cosine)
+        sums, edges = sums.unionByName(more_sums), edges.unionByName(more_edges)
     label = components(edges).withColumnRenamed("node", "class")
     known = classes.select("class", "least", "rows").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -155,6 +159,24 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _compare_few(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """As _search, for lengths of few vectors: all those of a length in one group."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, rows, unit = table.column("class").to_numpy(), table.column("rows").to_numpy(), _unit(_matrix(table.column("v")))
+        a, b = np.nonzero(np.triu(np.einsum("ik,jk->ij", unit, unit) >= cosine, 1))
+        links = (np.bincount(a, rows[b], len(ids)) + np.bincount(b, rows[a], len(ids))).astype(np.int64)
+        span = _spanning(ids[a], ids[b])
+        none = [None] * len(span)
+        return pa.table({
+            "class": pa.array(ids.tolist() + ids[a][span].tolist(), pa.int64()), "links": pa.array(links.tolist() + none, pa.int64()),
+            "other": pa.array([None] * len(ids) + ids[b][span].tolist(), pa.int64()),
+        })
+
+    found = scratch(classes.select("width", "class", "rows", "v").groupBy("width").applyInArrow(compare, "class long, links long, other long"))
+    return found.where("links is not null").select("class", "links"), found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
+
+
 def _search(classes: DataFrame, total: int, cosine: float) -> tuple[DataFrame, DataFrame]:
     """((class, links), (a, b)): linked rows of other classes, and links that span the components."""
     index = fit(classes, total)
