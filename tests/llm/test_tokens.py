@@ -123,6 +123,42 @@ def test_packed_sequences(spark):
     assert all(len(r["ids"]) == 4 * r["length"] <= 64 for r in whole.values())
 
 
+@pytest.mark.parametrize("batch", [1000, 3])
+def test_stored_sequences_decode(spark, monkeypatch, batch):
+    monkeypatch.setattr(packing, "small_batches", lambda df: None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        # rows that repeat, an id on two texts, rows without an id or a text, and many of one token
+        rows = [(100 - i, t) for i, t in enumerate(TEXTS)] + [(7, "same"), (7, "same"), (7, "other"), (None, "no id"), (8, None), (None, None)] + [(9, "")] * 70
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        stored = packing.pack_sequences(docs, BYTES, capacity=64, end_id=0)
+        got, listed = stored.collect(), packing.pieces_of(stored).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len({r["sequence_id"] for r in got}) == len(got)
+    found = {}
+    for r in got:
+        own, at = np.frombuffer(bytes(r["ids"]), "<u2"), 0
+        assert len(own) == r["length"] <= 64
+        for p in r["parts"]:
+            assert p["offset"] == at
+            found.setdefault(p["doc_id"], []).append((p["start"], p["piece"], own[at : at + p["length"]].tolist()))
+            at += p["length"]
+        assert at == r["length"]
+    for doc in {d for d, _ in rows}:
+        pieces = sorted(found[doc])
+        want = [ids(BYTES, t or "") + [0] for d, t in rows if d == doc]
+        if len(want) == 1:
+            assert [x for _, _, p in pieces for x in p] == want[0]
+            assert LIBRARY[BYTES].decode([x for _, _, p in pieces for x in p][:-1], skip_special_tokens=False) == (next(t for d, t in rows if d == doc) or "")
+        else:
+            assert sorted(p for _, _, p in pieces) == sorted(want)
+    flat = sorted((r["sequence_id"], r["offset"], r["doc_id"] or -1, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in listed)
+    crc = lambda r, p: zlib.crc32(np.frombuffer(bytes(r["ids"]), "<u2")[p["offset"] : p["offset"] + p["length"]].astype("<u4").tobytes())
+    assert flat == sorted((r["sequence_id"], p["offset"], p["doc_id"] or -1, p["piece"], p["start"], p["length"], crc(r, p)) for r in got for p in r["parts"])
+
+
 def test_token_files(spark):
     docs = table(spark)
     manifest = arrow_tokens.write_tokens(docs, shared_folder(spark), WORDS, end_id=1, length=16)

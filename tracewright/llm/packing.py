@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,16 +19,15 @@ from .pieces import encoder, in_blocks
 RANK_ROWS = 1000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, checksums: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, narrow: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, piece, start, length, ids): each text's ids with `end_id` after them, in pieces of at most `capacity`.
 
     Only a text of more ids than that is cut; then all pieces but the first are
     full. `ids` are little-endian unsigned 32-bit integers. `row` tells rows of
     `docs` apart, also those that repeat. Null text is empty: one piece with the
-    end id alone. With `checksums` the CRC-32 of those bytes, ids_crc32, stands in
-    place of them: several times the text that needn't leave the Python worker.
+    end id alone. With `narrow` the ids are of the smallest unsigned type that fits
+    the vocabulary: half the bytes below 65,536 pieces.
     """
-    last, made, kind_of = ("ids_crc32", zlib.crc32, pa.int64()) if checksums else ("ids", bytes, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -36,22 +36,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ch
             for block in in_blocks(t.as_py() for t in batch.column("text")):
                 src, piece, start, size, data = [], [], [], [], []
                 for i, encoded in enumerate(enc.encode(block)):
-                    tokens = np.append(np.frombuffer(encoded, enc.dtype).astype("<u4"), np.uint32(end_id))
+                    tokens = np.append(np.frombuffer(encoded, enc.dtype), enc.dtype.type(end_id)).astype(enc.dtype if narrow else "<u4", copy=False)
                     head = (len(tokens) - 1) % capacity + 1
                     cuts = [0, *range(head, len(tokens) + 1, capacity)]
                     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        src.append(at + i), piece.append(n), start.append(a), size.append(b - a), data.append(made(tokens[a:b].tobytes()))
+                        src.append(at + i), piece.append(n), start.append(a), size.append(b - a), data.append(tokens[a:b].tobytes())
                 take = pa.array(src, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), rows.take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, kind_of)],
-                    names=["doc_id", "row", "piece", "start", "length", last],
+                    [ids.take(take), rows.take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())],
+                    names=["doc_id", "row", "piece", "start", "length", "ids"],
                 )
                 at += len(block)
 
     small_batches(docs)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, {last} {'long' if checksums else 'binary'}")
+    return base.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids binary")
 
 
 class OpenBins:
@@ -160,19 +160,76 @@ def assign(pieces: DataFrame, capacity: int, order: list[str], length: str = "le
     return ranked.select(*names, *([] if length in names else [length]), "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def sequences(placed: DataFrame, ids: str = "ids") -> DataFrame:
-    """(sequence_id, length, ids, doc_ids): the packed sequences, at most `capacity` ids in each group."""
-    item = F.struct("offset", F.col(ids).alias("ids"), "doc_id", "length")
-    grouped = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    joined = F.aggregate("items", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    return grouped.select("sequence_id", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), joined.alias("ids"), F.transform("items", lambda x: x["doc_id"]).alias("doc_ids"))
+def sequences(placed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, parts): the packed sequences of what assign() placed.
 
+    `ids` are those of all its pieces one after another, `parts` says whose they are:
+    (doc_id, piece, start, length, offset) in order of offset. The pieces of a
+    sequence meet in one partition, sorted, and are glued as they come by; at most one
+    unfinished sequence waits for the next batch.
+    """
+    named = ["doc_id", "piece", "start", "length", "offset"]
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of `docs`.
+    def glue(rows: pa.RecordBatch) -> pa.RecordBatch:
+        ids, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sequence_id", "length"))
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        edges = pa.array(np.r_[first, len(ids)], pa.int32())
+        parts = pa.StructArray.from_arrays([rows.column(c) for c in named], names=named)
+        joined = pc.binary_join(pa.ListArray.from_arrays(edges, rows.column("ids")), b"")
+        return pa.RecordBatch.from_pydict({"sequence_id": ids[first], "length": np.add.reduceat(size, first), "ids": joined, "parts": pa.ListArray.from_arrays(edges, parts)})
 
-    The ids are checked sums here: the texts are tokenised once, and only lengths
-    and sums are kept for ranking and placing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if waiting is None else pa.concat_batches([waiting, batch])
+            ids = rows.column("sequence_id").to_numpy()
+            done = int(np.searchsorted(ids, ids[-1]))
+            if done:
+                yield glue(rows.slice(0, done))
+            waiting = rows.slice(done)
+        if waiting is not None:
+            yield glue(waiting)
+
+    kinds = ", ".join(f"{c}: {placed.schema[c].dataType.simpleString()}" for c in named)
+    together = placed.select("sequence_id", *named, "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return together.mapInArrow(run, f"sequence_id long, length long, ids binary, parts array<struct<{kinds}>>")
+
+
+def pieces_of(stored: DataFrame) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of what lies in packed sequences, null doc_ids included.
+
+    Every piece's ids are cut out of its sequence; the checksum is that of the ids as
+    little-endian unsigned 32-bit integers, whatever the width they are stored in.
     """
-    kept = scratch(token_pieces(docs, tokenizer, capacity, end_id, checksums=True))
-    return assign(kept, capacity, ["doc_id", "row", "piece"]).drop("row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [zlib.crc32(np.frombuffer(b, f"<u{len(b) // n}").astype("<u4").tobytes()) for b, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids_crc32", pa.array(sums, pa.int64()))
+
+    width = (F.octet_length("ids") / F.col("whole")).cast("int")
+    each = stored.select("sequence_id", "ids", F.col("length").alias("whole"), F.inline("parts"))
+    cut = F.substring("ids", (F.col("offset") * width + 1).cast("int"), (F.col("length") * width).cast("int")).alias("ids")
+    names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    rows = each.select("doc_id", "piece", "start", "length", cut, "sequence_id", "offset")
+    schema = ", ".join(f"{'ids_crc32' if c == 'ids' else c} {'long' if c == 'ids' else rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, schema)
+
+
+def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """The packed sequences of all texts, as sequences() describes them, written to the shared folder.
+
+    The texts are tokenised once into a table of pieces; lengths alone decide the
+    places, the ids go with their pieces. Null text is empty and gives its end id; rows
+    that repeat, also with the same or a null doc_id, are packed one by one; a text
+    of any length is cut into pieces; an empty table gives no sequence.
+    """
+    kept = scratch(token_pieces(docs, tokenizer, capacity, end_id, narrow=True), "zstd")
+    return scratch(sequences(assign(kept, capacity, ["doc_id", "row", "piece"])), "zstd")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces, read back from the packed sequences."""
+    return pieces_of(pack_sequences(docs, tokenizer, capacity, end_id))
