@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewright.llm import arrow_tokens, bpe_words, packing, pieces
-from tracewright.llm.common import shared_folder
+from tracewright.llm.common import scratch, shared_folder
 
 BYTES, WORDS = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
@@ -93,10 +93,10 @@ def test_tightest_open_bin():
         assert tree.tightest(need) == min((r for r in have if r >= need), default=None)
 
 
-@pytest.mark.parametrize("rank_rows", [50_000, 2])
-def test_packed_pieces(spark, monkeypatch, rank_rows):
-    monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
-    docs = table(spark)
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_packed_pieces(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", broadcast_rows)
+    docs = table(spark).repartition(3)
     got = packing.pack(docs, BYTES, capacity=64, end_id=0).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -116,8 +116,7 @@ def test_packed_pieces(spark, monkeypatch, rank_rows):
 
 
 def test_packed_sequences(spark):
-    cut = packing.token_pieces(table(spark, TEXTS[:8]), BYTES, 16, 0)
-    placed = packing.assign(cut, 16, ["doc_id", "row", "piece"])
+    placed = packing.assign(scratch(packing.token_pieces(table(spark, TEXTS[:8]), BYTES, 16, 0)), 16)
     whole = {r["sequence_id"]: r for r in packing.sequences(placed).collect()}
     assert sum(r["length"] for r in whole.values()) == sum(len(ids(BYTES, t)) + 1 for t in TEXTS[:8])
     assert all(len(r["ids"]) == 4 * r["length"] <= 64 for r in whole.values())

@@ -8,50 +8,56 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewright.session import cut
+
 from .common import scratch, small_batches
 from .pieces import encoder, in_blocks
 
-#: Rows of one length that are ranked together, on average; a length with more has several groups.
-RANK_ROWS = 1000
+#: Counts of (length, part) up to which they are broadcast; beyond it they meet the pieces by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, narrow: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, piece, start, length, ids): each text's ids with `end_id` after them, in pieces of at most `capacity`.
+    """(doc_id, part, own, piece, start, length, ids): each text's ids with `end_id` after them, in pieces of at most `capacity`.
 
     Only a text of more ids than that is cut; then all pieces but the first are
-    full. `ids` are little-endian unsigned 32-bit integers. `row` tells rows of
-    `docs` apart, also those that repeat. Null text is empty: one piece with the
-    end id alone. With `narrow` the ids are of the smallest unsigned type that fits
+    full. `ids` are little-endian unsigned 32-bit integers. `part` is the task that
+    made a piece and `own` counts the pieces of its length before it there, so the
+    rows must be written before they are used twice. Null text is empty: one piece with
+    the end id alone. With `narrow` the ids are of the smallest unsigned type that fits
     the vocabulary: half the bytes below 65,536 pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, task, had = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        kind = enc.dtype if narrow else np.dtype("<u4")
+        end, wide = kind.type(end_id).tobytes(), kind.itemsize
         for batch in batches:
-            ids, rows, at = batch.column("doc_id"), batch.column("row"), 0
+            ids, at = batch.column("doc_id"), 0
             for block in in_blocks(t.as_py() for t in batch.column("text")):
-                src, piece, start, size, data = [], [], [], [], []
+                src, own, piece, start, size, data = [], [], [], [], [], []
                 for i, encoded in enumerate(enc.encode(block)):
-                    tokens = np.append(np.frombuffer(encoded, enc.dtype), enc.dtype.type(end_id)).astype(enc.dtype if narrow else "<u4", copy=False)
-                    head = (len(tokens) - 1) % capacity + 1
-                    cuts = [0, *range(head, len(tokens) + 1, capacity)]
+                    whole = (encoded if kind == enc.dtype else np.frombuffer(encoded, enc.dtype).astype(kind).tobytes()) + end
+                    count = len(whole) // wide
+                    cuts = [0, *range((count - 1) % capacity + 1, count + 1, capacity)]
                     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        src.append(at + i), piece.append(n), start.append(a), size.append(b - a), data.append(tokens[a:b].tobytes())
-                take = pa.array(src, pa.int64())
+                        src.append(at + i), own.append(had[b - a]), piece.append(n), start.append(a), size.append(b - a), data.append(whole[a * wide : b * wide])
+                        had[b - a] += 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), rows.take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())],
-                    names=["doc_id", "row", "piece", "start", "length", "ids"],
+                    [ids.take(pa.array(src, pa.int64())), pa.array([task] * len(src), pa.int32()), pa.array(own, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())],
+                    names=["doc_id", "part", "own", "piece", "start", "length", "ids"],
                 )
                 at += len(block)
 
     small_batches(docs)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids binary")
+    return base.mapInArrow(run, f"doc_id {kind}, part int, own long, piece int, start long, length long, ids binary")
 
 
 class OpenBins:
@@ -122,24 +128,21 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 5)
 
 
-def assign(pieces: DataFrame, capacity: int, order: list[str], length: str = "length") -> DataFrame:
-    """`pieces` with `sequence_id` and `offset`, gapless from 0 in each sequence.
+def assign(pieces: DataFrame, capacity: int) -> DataFrame:
+    """Written `pieces` of token_pieces() with `sequence_id` and `offset`, gapless from 0 in each sequence.
 
-    The driver sees only the counts per length, at most `capacity` rows. Items of a
-    common length are ranked in groups of about RANK_ROWS by a hash of `order`, which must
-    tell rows apart and gives the order within a group; the groups' counts, added
-    up, make the ranks. Equal rows may change places with each other, nothing else.
-    An empty table gives an empty result.
+    The driver sees only the counts per length, at most `capacity` rows. A piece's rank
+    within its length is `own` and what the parts before its own have of that length;
+    only these counts are shuffled, so a length that most pieces have is no
+    hot key. Equal lengths may change places with each other, nothing else. An empty
+    table gives an empty result.
     """
-    rows = pieces.groupBy(length).count().collect()
+    per = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("_n")))
+    rows = per.groupBy("length").agg(F.sum("_n")).collect()
     runs = plan({r[0]: r[1] for r in rows}, capacity)
-    spread = pa.table({length: pa.array([r[0] for r in rows], pa.int64()), "_groups": pa.array([-(-r[1] // RANK_ROWS) for r in rows], pa.int64())})
-    salted = pieces.join(F.broadcast(pieces.sparkSession.createDataFrame(spread)), length).withColumn("_group", F.pmod(F.xxhash64(*order), F.col("_groups"))).drop("_groups")
-    per = salted.groupBy(length, "_group").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(length).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(length, "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(length, "_group").orderBy(*order))
-    ranked = salted.withColumn("_own", own).join(per, [length, "_group"]).withColumn("_rank", F.col("_own") - 1 + F.col("_before"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = pieces.join(F.broadcast(per) if per.count() <= BROADCAST_ROWS else per, ["length", "part"]).withColumn("_rank", F.col("own") + F.col("_before"))
 
     # runs of a length lie together and in order of rank, so one search in length * scale + rank finds an item's run
     scale = int(max((r[1] for r in rows), default=0)) + 1
@@ -149,15 +152,15 @@ def assign(pieces: DataFrame, capacity: int, order: list[str], length: str = "le
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in (length, "_rank"))
+            size, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
             run = runs[np.searchsorted(keys, size * scale + rank, side="right") - 1]
             item = rank - run[:, 1]
             columns = {c: batch.column(c) for c in names} | {"sequence_id": pa.array(run[:, 3] + item // run[:, 2]), "offset": pa.array(run[:, 4] + item % run[:, 2] * size)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names)
-    return ranked.select(*names, *([] if length in names else [length]), "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    names = [c for c in pieces.columns if c not in ("part", "own")]
+    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names)
+    return ranked.select(*names, "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
@@ -211,9 +214,9 @@ def pieces_of(stored: DataFrame) -> DataFrame:
 
     width = (F.octet_length("ids") / F.col("whole")).cast("int")
     each = stored.select("sequence_id", "ids", F.col("length").alias("whole"), F.inline("parts"))
-    cut = F.substring("ids", (F.col("offset") * width + 1).cast("int"), (F.col("length") * width).cast("int")).alias("ids")
+    own = F.substring("ids", (F.col("offset") * width + 1).cast("int"), (F.col("length") * width).cast("int")).alias("ids")
     names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
-    rows = each.select("doc_id", "piece", "start", "length", cut, "sequence_id", "offset")
+    rows = each.select("doc_id", "piece", "start", "length", own, "sequence_id", "offset")
     schema = ", ".join(f"{'ids_crc32' if c == 'ids' else c} {'long' if c == 'ids' else rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(run, schema)
 
@@ -227,7 +230,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     of any length is cut into pieces; an empty table gives no sequence.
     """
     kept = scratch(token_pieces(docs, tokenizer, capacity, end_id, narrow=True), "zstd")
-    return scratch(sequences(assign(kept, capacity, ["doc_id", "row", "piece"])), "zstd")
+    return scratch(sequences(assign(kept, capacity)), "zstd")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
