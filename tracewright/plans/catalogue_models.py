@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import consequence, hash_fold
-from ..operators import learn, metrics
+from ..operators import isotonic, learn, metrics
 from ..operators.islands import cluster_indications
 from ..operators.ordered import indexed
 from ..session import cut
@@ -13,7 +13,7 @@ from . import evaluation as ev
 from . import views as v
 from .catalogue import query
 from .jobs import forecast, match_surveys
-from .sql_views import R, REV, q, r6
+from .sql_views import DOC, R, REV, q, r6
 from .views import r6 as rnd
 
 TEXT_FEATURES = ["n_chars", "n_words", "digit_share", "upper_share", "line_count"]
@@ -54,11 +54,17 @@ def oof_forest_scores(spark, sf):
     return learn.out_of_fold_forest(cut(rows), "fold", 3, "event_id", forest).select("event_id", "fold", "score_if")
 
 
-@query()
+@query(q(DOC, f"""
+, t AS (SELECT score AS x, count(*) AS w, sum(quality) AS s, row_number() OVER (ORDER BY score) AS i FROM d GROUP BY score),
+c AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(s) OVER (ORDER BY i) AS cs FROM t),
+a AS (SELECT j.i AS j, k.i AS k, CAST(k.cs - j.cs + j.s AS DOUBLE) / CAST(k.cw - j.cw + j.w AS DOUBLE) AS m FROM c AS j JOIN c AS k ON j.i <= k.i),
+l AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM a),
+f AS (SELECT k AS i, max(m) AS p FROM l GROUP BY k)
+SELECT d.doc_id, d.score, {r6('f.p')} AS p FROM d JOIN t ON t.x = d.score JOIN f USING (i)"""))
 def isotonic_calibration(spark, sf):
     d = cut(v.scored_documents(spark, sf))
-    model = learn.fit_isotonic(d, "score", "quality")
-    return d.select("doc_id", "score", learn.isotonic_value(model, F.col("score")).alias("p"))
+    got = isotonic.fit(d, "score", "quality").apply(d, "score", "p")
+    return got.select("doc_id", "score", rnd("p").alias("p"))
 
 
 @query()
