@@ -27,12 +27,13 @@ def test_new_object_and_revision(spark):
     assert to["v1"] == "D1" and rows[(to["v2"], 0)].defect_type == "unknown" and len(rows) == 3
 
 
-def test_batch_equals_one_after_another(spark):
+@pytest.mark.parametrize("walk_rows", [fb.WALK_ROWS, 6, 0])
+def test_batch_equals_one_after_another(spark, walk_rows):
     rng = np.random.default_rng(9)
     checks = [(f"v{i:02d}", str(rng.choice(["A", "B"])), float(rng.integers(0, 200)), "scc", day(int(d))) for i, d in enumerate(rng.permutation(30))]
     start = [("D0", "A", 0, 50.0), ("D1", "A", 0, 120.0), ("D2", "B", 0, 80.0)]
     truth = spark.createDataFrame([(*s, "scc", "survey", None, JAN, None) for s in start], TRUTH)
-    _, routed = fb.record_excavations(spark.createDataFrame(checks, CHECK), truth, 15.0)
+    table, routed = fb.record_excavations(spark.createDataFrame(checks, CHECK), truth, 15.0, walk_rows)
     got = {r.verification_id: (r.defect_id, r.closed_revision) for r in routed.collect()}
     current, want, new = {d: (l, r, c) for d, l, r, c in start}, {}, {}
     for vid, line, c, _, _ in sorted(checks, key=lambda x: x[4]):
@@ -48,6 +49,26 @@ def test_batch_equals_one_after_another(spark):
             current[vid] = (line, 0, c)
             assert got[vid][0].startswith("excavation_")
     assert got == want
+    # one present revision an object, each revision closed by the next one's time
+    rows = sorted(table.collect(), key=lambda r: (r.defect_id, r.revision))
+    assert len(rows) == len(start) + len(checks)
+    for a, b in zip(rows, rows[1:]):
+        if a.defect_id == b.defect_id:
+            assert b.revision == a.revision + 1 and a.valid_to == b.valid_from
+        else:
+            assert a.valid_to is None and b.revision == 0
+
+
+def test_batches_without_or_with_broken_rows(spark):
+    truth = spark.createDataFrame([("D1", "L", 0, 99.5, "scc", "survey", None, JAN, None, "mine")], TRUTH + ", note string")
+    none = spark.createDataFrame([], CHECK)
+    table, routed = fb.record_excavations(none, truth)
+    assert table.collect() == truth.collect() and routed.isEmpty()
+    for bad in ([("v", "L", None, "scc", JAN)], [("v", None, 1.0, "scc", JAN)], [("v", "L", 1.0, "scc", None)], [("v", "L", 1.0, "scc", JAN)] * 2):
+        with pytest.raises(GuardError, match="v"):
+            fb.record_excavations(spark.createDataFrame(bad, CHECK), truth)
+    empty, _ = fb.record_excavations(spark.createDataFrame([("v", "L", 1.0, None, JAN)], CHECK), truth.limit(0))
+    assert [(r.line_id, r.revision, r.note) for r in empty.collect()] == [("L", 0, None)]
 
 
 def test_unknown_indication_is_an_error(spark):
