@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +86,86 @@ def ks(reference: DataFrame, current: DataFrame, keys: Sequence[str] = ("feature
     totals = both.groupBy(*keys).agg(F.sum("__ref").alias("nr"), F.sum(1 - F.col("__ref")).alias("nc"))
     gap = F.abs(safe_div(F.col("cum_r"), F.col("nr")) - safe_div(F.col("cum_c"), F.col("nc")))
     out = steps.join(totals, keys).groupBy(*keys).agg(F.max(gap).alias("ks_stat"), F.max("nr").alias("nr"), F.max("nc").alias("nc"))
-    root = F.sqrt(F.col("nr") * F.col("nc") / (F.col("nr") + F.col("nc")).cast("double"))
-    lam = (root + 0.12 + safe_div(F.lit(0.11), root)) * F.col("ks_stat")
-    series = F.lit(0.0)
-    for j in range(1, KS_TERMS + 1):
-        series = series + (2.0 * (-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam)
+    return out.select(*keys, "ks_stat", _ks_pvalue(F.col("ks_stat"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
+
+
+def _ks_pvalue(stat: Column, n: Column, m: Column) -> Column:
+    """Asymptotic series of the two-sample test."""
+    root = F.sqrt(n * m / (n + m).cast("double"))
+    lam = (root + 0.12 + safe_div(F.lit(0.11), root)) * stat
+    # summed by a loop over the terms: written out, the column would outgrow a compiled method
+    sign = lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda acc, j: acc + sign(j) * F.exp(-2.0 * j * j * lam * lam))
     p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
-    return out.select(*keys, "ks_stat", F.when(F.col("ks_stat").isNotNull(), p).alias("ks_pvalue"))
+    return F.when(stat.isNotNull(), p)
+
+
+class StoredSample:
+    """A reference sample of bounded size, against which any number of groups is tested at once.
+
+    ``sample`` has (feature, x), as ``reference_sample`` draws it, so it holds at
+    most ``size`` values per feature and goes to the tasks; the groups' rows stay
+    where they are and are never paired with it.
+    """
+
+    def __init__(self, sample: DataFrame, edges: DataFrame):
+        got: dict[str, list[float]] = {}
+        for r in sample.select("feature", F.col("x").cast("double").alias("x")).collect():
+            got.setdefault(r["feature"], []).append(r["x"])
+        self.values = {f: np.sort(np.array(x)) for f, x in got.items()}
+        self.edges = edges
+        self.shares = cut(self._shares(sample, edges))
+
+    @staticmethod
+    def _shares(sample: DataFrame, edges: DataFrame) -> DataFrame:
+        """Share of the sample per bin, one array a feature."""
+        bins = edges.select("feature", "bin_edges", F.explode(F.sequence(F.lit(0), F.size("bin_edges") - 2)).alias("__bin"))
+        counts = sample.join(edges, "feature").groupBy("feature", bin_of(F.col("x"), F.col("bin_edges")).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
+        n = sample.groupBy("feature").agg(F.count(F.lit(1)).alias("nr"))
+        one = F.struct("__bin", F.greatest(F.coalesce("__c", F.lit(0)) / F.col("nr"), F.lit(PSI_FLOOR)).alias("p"))
+        full = bins.join(counts, ["feature", "__bin"], "left").join(n, "feature").groupBy("feature", "bin_edges", "nr").agg(F.sort_array(F.collect_list(one)).alias("__p"))
+        return full.select("feature", "bin_edges", "nr", F.col("__p.p").alias("shares"))
+
+    def _known(self, current: DataFrame) -> DataFrame:
+        return current.filter(F.col("feature").isin(list(self.values)))
+
+    def psi(self, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Population stability index per group and feature of ``current`` (keys, feature, x)."""
+        keys = [*keys, "feature"]
+        binned = self._known(current).join(self.shares, "feature").groupBy(*keys, "shares", bin_of(F.col("x"), F.col("bin_edges")).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
+        # at most one entry per bin
+        per = binned.groupBy(*keys, "shares").agg(F.map_from_entries(F.collect_list(F.struct("__bin", "__c"))).alias("__m"), F.sum("__c").alias("n"))
+
+        def part(acc: Column, i: Column) -> Column:
+            p = F.greatest(F.coalesce(F.try_element_at("__m", i), F.lit(0)) / F.col("n"), F.lit(PSI_FLOOR))
+            q = F.get("shares", i)
+            return acc + (p - q) * F.ln(p / q)
+
+        return per.select(*keys, F.aggregate(F.sequence(F.lit(0), F.size("shares") - 1), F.lit(0.0), part).alias("psi"), "n")
+
+    def ks(self, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Two-sample statistic per group and feature.
+
+        Between two values of the group its own curve is flat, so the gap to the
+        reference's curve is largest at or just before one of the group's values.
+        """
+        keys, values = [*keys, "feature"], self.values
+
+        @F.pandas_udf("below double, upto double")
+        def places(feature: pd.Series, x: pd.Series) -> pd.DataFrame:
+            out = pd.DataFrame({"below": np.nan, "upto": np.nan}, index=x.index)
+            for name, at in x.groupby(feature):
+                ref = values[name]
+                out.loc[at.index, "below"] = np.searchsorted(ref, at.to_numpy(), "left") / len(ref)
+                out.loc[at.index, "upto"] = np.searchsorted(ref, at.to_numpy(), "right") / len(ref)
+            return out
+
+        steps = cumulate(self._known(current), keys, "x", {"n": F.lit(1)}).df
+        total = steps.groupBy(*keys).agg(F.sum("n").alias("nc"))
+        steps = steps.withColumn("__r", places(F.col("feature"), F.col("x"))).join(total, keys)
+        gap = F.greatest(F.abs(F.col("cum_n") / F.col("nc") - F.col("__r.upto")), F.abs((F.col("cum_n") - F.col("n")) / F.col("nc") - F.col("__r.below")))
+        out = steps.groupBy(*keys, "nc").agg(F.max(gap).alias("ks_stat")).join(self.shares.select("feature", "nr"), "feature")
+        return out.select(*keys, "ks_stat", _ks_pvalue(F.col("ks_stat"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
 
 
 def feature_drift(

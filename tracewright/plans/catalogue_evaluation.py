@@ -8,9 +8,12 @@ from ..functions import scalars as s
 from ..operators import drift, growth, islands, learn, matching, metrics, profile
 from ..operators.guards import key_set_differences
 from ..operators.quantiles import median_mad
+from ..session import cut
 from . import evaluation
 from . import views as v
 from .catalogue import query
+from .monitoring import monitor_surveys as run_monitor
+from .monitoring import training_reference
 from .sql_views import DOC, HEADS, IND, L, R, REV, q, r6
 from .views import r6 as rnd
 
@@ -467,3 +470,46 @@ SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
 def key_set_difference(spark, sf):
     r = v.reading_rows(spark, sf).withColumn("block", F.floor(F.col("chainage_m") / 24).cast("long"))
     return key_set_differences(r.filter("run_id = 0"), r.filter("run_id = 1"), ["line_id", "block"])
+
+
+_MONITOR = IND + """,
+lg AS (SELECT event_id, survey_id, run_id, i.f AS feature, i.x AS x FROM (
+  SELECT event_id, survey_id, run_id, unnest([{'f': 'b_lo', 'x': value}, {'f': 'b_mid', 'x': value + chainage_m * 0.05}, {'f': 'b_hi', 'x': value * 0.5 + chainage_m * 0.1}]) AS i FROM r)),
+ed AS (SELECT feature, quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS es FROM lg WHERE run_id = 0 GROUP BY 1),
+sm AS (SELECT feature, x FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY substr(sha256(concat_ws('|', '42', event_id)), 1, 13), x) AS k FROM lg WHERE run_id = 0) WHERE k <= 2000),
+ps AS (SELECT x FROM (SELECT anomaly_score AS x, row_number() OVER (ORDER BY substr(sha256(concat_ws('|', '42', indication_id)), 1, 13), anomaly_score) AS k FROM ind WHERE run_id = 0) WHERE k <= 2000),
+sv AS (SELECT DISTINCT survey_id, feature FROM lg WHERE run_id > 0),
+bn AS (SELECT '' AS survey_id, feature, x FROM sm UNION ALL SELECT survey_id, feature, x FROM lg WHERE run_id > 0),
+bc AS (SELECT survey_id, feature, least(len(list_filter(es, lambda e: e <= least(greatest(x, es[1]), es[11]))) - 1, 9) AS bin, count(*) AS c FROM bn JOIN ed USING (feature) GROUP BY 1, 2, 3),
+al AS (SELECT k.survey_id, k.feature, b.bin, coalesce(c, 0) AS c FROM (SELECT * FROM sv UNION ALL SELECT '', feature FROM ed) k CROSS JOIN range(10) AS b(bin) LEFT JOIN bc ON bc.survey_id = k.survey_id AND bc.feature = k.feature AND bc.bin = b.bin),
+sh AS (SELECT survey_id, feature, bin, greatest(c / sum(c) OVER (PARTITION BY survey_id, feature), 1e-6) AS p FROM al),
+psi AS (SELECT a.survey_id, a.feature, sum((a.p - b.p) * ln(a.p / b.p)) AS psi FROM sh a JOIN sh b ON a.feature = b.feature AND a.bin = b.bin AND a.survey_id <> '' AND b.survey_id = '' GROUP BY 1, 2),
+kr AS (SELECT sv.survey_id, feature, x, 1 AS r, 0 AS c FROM sv JOIN sm USING (feature) UNION ALL SELECT survey_id, feature, x, 0, 1 FROM lg WHERE run_id > 0
+       UNION ALL SELECT k.survey_id, 'prediction', x, 1, 0 FROM (SELECT DISTINCT survey_id FROM ind WHERE run_id > 0) k, ps UNION ALL SELECT survey_id, 'prediction', anomaly_score, 0, 1 FROM ind WHERE run_id > 0),
+kt AS (SELECT survey_id, feature, x, sum(r) AS r, sum(c) AS c FROM kr GROUP BY 1, 2, 3),
+kc AS (SELECT survey_id, feature, sum(r) OVER w / sum(r) OVER (PARTITION BY survey_id, feature) AS fr, sum(c) OVER w / sum(c) OVER (PARTITION BY survey_id, feature) AS fc FROM kt WINDOW w AS (PARTITION BY survey_id, feature ORDER BY x)),
+ks AS (SELECT survey_id, feature, max(abs(fr - fc)) AS ks FROM kc GROUP BY 1, 2),
+ex AS (SELECT survey_id, min(run_id) AS run_id, max(chainage_m) - min(chainage_m) AS len FROM r GROUP BY 1),
+n0 AS (SELECT (SELECT count(*) FROM ind WHERE run_id = 0) / ((SELECT sum(len) FROM ex WHERE run_id = 0) / 1000.0) AS rate),
+rt AS (SELECT ex.survey_id, CASE WHEN len > 0 THEN coalesce(n, 0) * 1000.0 / len ELSE 0 END AS rate FROM ex LEFT JOIN (SELECT survey_id, count(*) AS n FROM ind GROUP BY 1) USING (survey_id) WHERE run_id > 0),
+me AS (SELECT split_part(survey_id, '_R', 1) AS line_id, survey_id, feature, median(x) AS med FROM lg GROUP BY 1, 2, 3),
+zz AS (SELECT a.survey_id, a.feature, abs(max(a.med) - avg(b.med)) / nullif(stddev_samp(b.med), 0) AS z, count(b.med) AS n FROM me a LEFT JOIN me b ON a.line_id = b.line_id AND a.feature = b.feature AND a.survey_id <> b.survey_id GROUP BY 1, 2),
+rg AS (SELECT survey_id, count(*) FILTER (WHERE n >= 2 AND z > 3) AS n_shifted FROM zz GROUP BY 1),
+ft AS (SELECT survey_id, max(psi) AS psi_max, max_by(feature, psi) AS psi_feature, count(*) FILTER (WHERE psi >= 0.3) AS n_blocking, count(*) FILTER (WHERE psi >= 0.2) AS n_drifted FROM psi GROUP BY 1),
+kf AS (SELECT survey_id, max(ks) FILTER (WHERE feature <> 'prediction') AS ks_max, max(ks) FILTER (WHERE feature = 'prediction') AS prediction_ks FROM ks GROUP BY 1),
+rp AS (SELECT ft.*, ks_max, prediction_ks, rt.rate, rt.rate / n0.rate AS ratio, n_shifted FROM ft JOIN kf USING (survey_id) JOIN rt USING (survey_id) JOIN rg USING (survey_id), n0)"""
+
+
+@query(q(_MONITOR, f"""
+SELECT survey_id, CASE WHEN n_blocking > 0 THEN 'block' WHEN n_drifted > 0 OR NOT ratio BETWEEN 1.0 / 3 AND 3 OR n_shifted > 0 THEN 'warn' ELSE 'ok' END AS status,
+       n_drifted + CAST(NOT ratio BETWEEN 1.0 / 3 AND 3 AS INT) + CAST(n_shifted > 0 AS INT) AS n_raised, {r6('psi_max')} AS psi_max, psi_feature, n_blocking, {r6('ks_max')} AS ks_max,
+       {r6('rate')} AS rate, {r6('ratio')} AS ratio, {r6('prediction_ks')} AS prediction_ks, n_shifted FROM rp"""))
+def monitor_surveys(spark, sf):
+    """Every survey after its line's first against what the first surveys showed."""
+    rows = cut(v.heads(v.readings(spark, sf).df))
+    found = cut(v.found(spark, sf))
+    heads = ["b_lo", "b_mid", "b_hi"]
+    reference = training_reference(rows.filter("run_id = 0"), "event_id", heads, found.filter("run_id = 0"), "anomaly_score")
+    registry = rows.select("survey_id", "line_id").distinct().withColumn("status", F.lit("accepted"))
+    got = run_monitor(rows.filter("run_id > 0").select("survey_id"), registry, rows, found, reference, heads).report
+    return got.select("survey_id", "status", "n_raised", "psi_feature", "n_blocking", "n_shifted", *[rnd(c).alias(c) for c in ("psi_max", "ks_max", "rate", "ratio", "prediction_ks")])
