@@ -62,6 +62,24 @@ def contamination_threshold(scores: DataFrame, score: str, contamination: float,
     return quantiles(scores, keys, score, {"threshold": 1.0 - contamination}, longest)
 
 
+class MadModel:
+    """Robust z of one column against the training rows; ``threshold`` is the score that a share ``contamination`` of them exceeds."""
+
+    def __init__(self, column: str, contamination: float = 0.05):
+        self.column, self.contamination = column, contamination
+
+    def fit(self, train: DataFrame) -> MadModel:
+        got = median_mad(train, [], self.column).first()
+        if got is None or got["med"] is None:
+            raise GuardError(f"no values of {self.column} to fit on")
+        self.med, self.mad = float(got["med"]), float(got["mad"])
+        self.threshold = float(contamination_threshold(self.score(train, "__s"), "__s", self.contamination).first()["threshold"])
+        return self
+
+    def score(self, df: DataFrame, out: str = "score_mad") -> DataFrame:
+        return df.withColumn(out, robust_score(F.col(self.column), F.lit(self.med), F.lit(self.mad)))
+
+
 class RobustScaler:
     """Median and interquartile scaling: fitted once, then applied to any frame."""
 
@@ -391,6 +409,45 @@ def risk(indications: DataFrame, weight: Column) -> DataFrame:
     return indications.withColumn("risk_score", F.col("p_defect_cal") * F.col("sev_pred") * weight)
 
 
+def fold_parts(df: DataFrame, fold: str, folds: int) -> list[tuple[int, DataFrame, DataFrame]]:
+    """Number, training rows and held-out rows of every fold that holds any."""
+    held = {r[0] for r in df.select(F.col(fold).cast("long")).distinct().collect()}
+    at = F.col(fold).cast("long")
+    return [(k, df.filter(at != k), df.filter(at == k)) for k in _fold_list(df, fold, folds) if k in held]
+
+
+def split_for_calibration(dev: DataFrame, group: str, frac: float, seed: int, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Training and calibration rows, whole groups on one side; where too few groups leave no training rows, all rows train."""
+    marked = cut(dev.join(calibration_split(dev, group, frac, seed, by=by), [*by, group]))
+    train = marked.filter("not calibration").drop("calibration")
+    if train.isEmpty():
+        return marked.drop("calibration"), marked.drop("calibration").limit(0)
+    return train, marked.filter("calibration").drop("calibration")
+
+
+def predict_severity(dev: DataFrame, test: DataFrame, group: str, y: str, row: str, model: SeverityModel, frac: float, seed: int) -> DataFrame:
+    """Intervals of the model and of the training mean for the rows of ``test``, one row per ``method``."""
+    train, calibration = split_for_calibration(dev, group, frac, seed)
+    fitted = SeverityModel(model.columns, model.alpha, model.trees, model.seed, model.levels).fit(train, calibration, y)
+    got = fitted.predict(test, row).withColumn("method", F.lit("model"))
+    margin = mean_baseline(train, calibration, y, model.alpha).select("margin")
+    half = F.coalesce("margin", F.lit(0.0))
+    # one row, also where nothing was left to calibrate with
+    mean = train.agg(F.avg(y).alias("sev_pred")).join(margin, F.lit(True), "left").select("sev_pred", (F.col("sev_pred") - half).alias("sev_lo"), (F.col("sev_pred") + half).alias("sev_hi"))
+    return got.unionByName(test.crossJoin(F.broadcast(mean)).withColumn("method", F.lit("baseline")))
+
+
+def predict_classes(dev: DataFrame, test: DataFrame, group: str, klass: str, model: ClassModel, frac: float, seed: int) -> DataFrame:
+    """Probabilities of the model and of the commonest class for the rows of ``test``, one row per ``method``."""
+    train, calibration = split_for_calibration(dev, group, frac, seed, by=[klass])
+    fitted = ClassModel(model.columns, model.classes, model.trees, model.seed).fit(train, calibration, klass)
+    got = fitted.predict(test).withColumn("method", F.lit("model"))
+    major = majority_baseline(train, klass, model.classes).select(
+        "probabilities", F.col("major").alias("pred_type"), F.array_max("probabilities").alias("pred_type_conf")
+    )
+    return got.unionByName(test.crossJoin(F.broadcast(major)).withColumn("method", F.lit("baseline")))
+
+
 def cross_validated_severity(df: DataFrame, fold: str, folds: int, group: str, y: str, row: str, model: SeverityModel, frac: float = 0.3) -> DataFrame:
     """Out-of-fold severity intervals; calibration groups are taken from the training side and share no object with it."""
     parts = None

@@ -209,3 +209,25 @@ def transfer_matrix(spark, sf):
     model = learn.SeverityModel(["n_chars", "digit_share", "upper_share", "line_count"], trees=20)
     languages = sorted(r["lang"] for r in d.select("lang").distinct().collect())
     return ev.transfer(d, "lang", "half", "source", "y", "doc_id", model, languages)
+
+
+def _evaluation_plan(spark, sf):
+    rows, registry = _evaluated(spark, sf)
+    rows = rows.withColumn("severity_smys", F.col("value"))
+    return rows, ev.EvaluationPlan(
+        registry, ("b_lo", "b_mid", "b_hi"), "value", ("error", "signup", "none"), "error", 20.0, v.TOLERANCE, row_id="event_id", trees=20, min_classes=2
+    )
+
+
+@query()
+def evaluation_gates(spark, sf):
+    """Detectors, severities and classes from block folds, with the gates a release depends on."""
+    rows, plan = _evaluation_plan(spark, sf)
+    return ev.evaluate(cut(ev.block_folds(rows, 24.0, 3)), 3, F.col("event_type") == "error", plan).report
+
+
+@query()
+def holdout_report(spark, sf):
+    """The same for the last third of each month, learnt from the first two."""
+    rows, plan = _evaluation_plan(spark, sf)
+    return ev.holdout(rows, "run_id", [0, 1], [2], F.col("event_type") == "error", plan).report
