@@ -13,7 +13,8 @@ from . import evaluation as ev
 from . import views as v
 from .catalogue import query
 from .jobs import forecast, match_surveys
-from .sql_views import DOC, R, REV, q, r6
+from .jobs import predict as run_predict
+from .sql_views import DOC, IND, R, REV, q, r6
 from .views import r6 as rnd
 
 TEXT_FEATURES = ["n_chars", "n_words", "digit_share", "upper_share", "line_count"]
@@ -142,6 +143,28 @@ def temporal_holdout(spark, sf):
     return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("y_true"), 1).alias("total"))
 
 
+_RELEASED = IND.replace(R, R + """,
+md AS (SELECT median(value) AS med, mad(value) AS mad FROM r WHERE run_id = 0),
+rs AS (SELECT r.*, (value - med) / greatest(1e-9, 1.4826 * mad) AS score FROM r, md),
+th AS (SELECT quantile_cont(score, 0.9) AS thr FROM rs WHERE run_id = 0),
+rt AS (SELECT * FROM rs, th WHERE run_id > 0)""").replace("value > 60", "score > thr").replace("max(value) AS score", "max(score) AS score").replace(
+    "isl.value = pk.score", "isl.score = pk.score").replace("AS grp FROM r)", "AS grp FROM rt)")
+
+
+@query(q(_RELEASED, f"""
+, sh AS (SELECT survey_id, score, cume_dist() OVER (PARTITION BY survey_id ORDER BY score) AS share FROM rt)
+SELECT i.survey_id, i.indication_id, {r6('i.anomaly_score')} AS anomaly_score, {r6('max(share)')} AS p_defect_cal, {r6('max(r.value)')} AS value, {r6('chainage_end_m - chainage_start_m')} AS extent_m, dq_flag
+FROM ind i JOIN r ON r.survey_id = i.survey_id AND r.sample_idx = i.peak_sample_idx JOIN sh ON sh.survey_id = i.survey_id AND sh.score = i.anomaly_score GROUP BY ALL"""))
+def predict_surveys(spark, sf):
+    """Every later survey by a scorer released on the first ones."""
+    rows = cut(v.readings(spark, sf).df)
+    model = learn.MadModel("value", 0.1).fit(rows.filter("run_id = 0"))
+    later = rows.filter("run_id > 0").withColumn("dq_flag", F.when(F.col("event_type") == "error", "edge").otherwise("clean"))
+    places = later.select("survey_id", "sample_idx", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    got = run_predict(later, places, model, v.VERSION, ["value"], threshold=model.threshold)
+    return got.select("survey_id", "indication_id", "dq_flag", *[rnd(c).alias(c) for c in ("anomaly_score", "p_defect_cal", "value", "extent_m")])
+
+
 @query()
 def survey_predictions(spark, sf):
     """Readings scored by a forest, clustered, matched to the sources and ranked by risk."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -394,8 +396,9 @@ def incremental_todo(spark, sf):
 SELECT r.survey_id, count(*) AS n_rows, {r6('max(r.chainage_m)')} AS end_m FROM r JOIN s USING (survey_id) WHERE s.surveyed_at <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1"""))
 def asof_corpus(spark, sf):
     r = v.reading_rows(spark, sf)
-    known = r.groupBy("survey_id").agg(F.max("ts").alias("surveyed_at")).filter(F.col("surveyed_at") <= F.lit("2024-01-20 12:00:00").cast("timestamp"))
-    return r.join(known, "survey_id").groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.max("chainage_m")).alias("end_m"))
+    surveys = r.groupBy("survey_id").agg(F.max("ts").alias("surveyed_at"))
+    known = io.known_rows(r, surveys, dt.datetime(2024, 1, 20, 12))
+    return known.groupBy("survey_id").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.max("chainage_m")).alias("end_m"))
 
 
 @query(q(R, f"""

@@ -14,7 +14,7 @@ from ..operators.features import FeatureConfig, feature_frame, pinned_columns
 from ..operators.guards import GuardError, assert_columns
 from ..operators.identity import content_hashes, register
 from ..operators.islands import cluster_indications
-from ..operators.learn import ClassModel, IsolationForestModel, SeverityModel, isotonic_value, risk
+from ..operators.learn import ClassModel, IsolationForestModel, MadModel, SeverityModel, isotonic_value, risk
 from ..operators.matching import attach_peak_rows, match_all, per_survey_sources
 from ..operators.ordered import indexed, order_rows
 from ..operators.registration import RegistrationConfig, register as register_positions
@@ -174,14 +174,14 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def predict(
-    features: DataFrame, positions: DataFrame, anomaly: IsolationForestModel, version: str, columns: list[str],
-    severity: SeverityModel | None = None, classes: ClassModel | None = None, calibrator=None, nominal: float = 0.9,
+    features: DataFrame, positions: DataFrame, anomaly: IsolationForestModel | MadModel, version: str, columns: list[str],
+    severity: SeverityModel | None = None, classes: ClassModel | None = None, calibrator=None, nominal: float = 0.9, threshold: float = 0.0,
 ) -> DataFrame:
-    """Indications of all surveys of a feature frame: score, cluster, severity, class, risk."""
+    """Indications of all surveys of a feature frame: score, cluster, severity, class, risk. ``anomaly``: any scorer with ``score(df, out)``."""
     rows = features.join(positions.select("survey_id", "sample_idx", "lat", "lon"), ["survey_id", "sample_idx"], "left")
     scored = cut(anomaly.score(rows, "score"))
     series = indexed(scored, ["survey_id"], "sample_idx")
-    found = cluster_indications(series, "score", 0.0, version, carry=("lat", "lon"), edge=F.col("dq_flag") == "edge")
+    found = cluster_indications(series, "score", threshold, version, carry=("lat", "lon"), edge=F.col("dq_flag") == "edge")
     found = cut(attach_peak_rows(found, features, columns))
     if severity is not None:
         found = severity.predict(found, "indication_id").withColumn("interval_nominal", F.lit(nominal))
@@ -195,17 +195,41 @@ def predict(
     return found.withColumn("created_at", F.current_timestamp())
 
 
+def add_release(spark: SparkSession, store: str, release: str, released_at, **models: str) -> None:
+    """Registers a release and the names of its models; one that is there stays as it is."""
+    row = spark.createDataFrame([(release, released_at, models)], "release string, released_at timestamp, models map<string, string>")
+    known = _read_or_none(spark, f"{store}/releases")
+    new = row if known is None else row.join(cut(known), "release", "left_anti")
+    if not new.isEmpty():
+        new.write.mode("append").parquet(f"{store}/releases")
+
+
+def latest_release(spark: SparkSession, store: str):
+    """The newest release, of two at one time the one named last; a store without any is an error."""
+    known = _read_or_none(spark, f"{store}/releases")
+    row = None if known is None else io.latest_by(known.select("release", "released_at", F.to_json("models").alias("models")), [], "released_at").first()
+    if row is None or row["release"] is None:
+        raise GuardError("the store has no release")
+    return row
+
+
+def accepted_surveys(spark: SparkSession, store: str) -> DataFrame:
+    """Registry rows of the surveys whose newest status is accepted."""
+    known = io.read_keyed(spark, f"{store}/registry").select("survey_id", "line_id", "run_id", "status", "surveyed_at")
+    return io.latest_by(known, ["survey_id"], "surveyed_at").filter("status = 'accepted'")
+
+
 def predict_store(
-    spark: SparkSession, store: str, surveys: Sequence[str], anomaly: IsolationForestModel, release: str, columns: list[str],
+    spark: SparkSession, store: str, surveys: Sequence[str], anomaly: IsolationForestModel, release: str | None, columns: list[str],
     cfg: FeatureConfig = FeatureConfig(), severity: SeverityModel | None = None, classes: ClassModel | None = None, calibrator=None,
 ) -> int:
-    """Predict stored surveys with a release; store new indications, export them, return how many were new.
+    """Predict stored surveys with a release, the newest if none is named; store new indications, export them, return how many were new.
 
     A survey that is not registered, or whose newest status is not accepted, stops the job before anything is written.
     """
+    release = release or latest_release(spark, store)["release"]
     asked = spark.createDataFrame([(s,) for s in surveys], "survey_id string").distinct()
-    status = io.latest_by(io.read_keyed(spark, f"{store}/registry").select("survey_id", "status", "surveyed_at"), ["survey_id"], "surveyed_at")
-    refused = asked.join(status.filter("status = 'accepted'"), "survey_id", "left_anti").orderBy("survey_id").limit(5).collect()
+    refused = asked.join(accepted_surveys(spark, store), "survey_id", "left_anti").orderBy("survey_id").limit(5).collect()
     if refused:
         raise GuardError(f"surveys that may not be predicted: {[r['survey_id'] for r in refused]}")
     features = io.read_keyed(spark, f"{store}/features").filter(F.col("fv") == cfg.version).drop("fv").join(asked, "survey_id", "left_semi")
@@ -232,9 +256,73 @@ def forecast(matched: DataFrame, rows: DataFrame, runs: DataFrame, latest: DataF
     return growth.remaining_life(present.join(rates, "matched_source_id"), "sev_lo", "sev_pred", "sev_hi", "shrunk_rate", limit)
 
 
+def forecast_store(
+    spark: SparkSession, store: str, sources: DataFrame, limit: float, release: str | None = None, as_of=None, cfg: FeatureConfig = FeatureConfig(), min_obs: int = 2,
+) -> DataFrame:
+    """Remaining life from the stored indications of a release, as it was known at ``as_of`` (inclusive; all surveys without it).
+
+    Only surveys with features of the configured version count. ``sources``: the truth registry.
+    """
+    release = release or latest_release(spark, store)["release"]
+    surveys = cut(accepted_surveys(spark, store))
+    as_of = as_of or surveys.agg(F.max("surveyed_at")).first()[0]
+    corpus = io.read_features(spark, store, cfg.version, surveys.select("survey_id", "surveyed_at"), as_of)
+    known = surveys.join(corpus.select("survey_id").distinct(), "survey_id", "left_semi").select("survey_id", "line_id", "run_id")
+    known = cut(known)
+    found = spark.read.parquet(f"{store}/indications").filter(F.col("pipeline_version") == release)
+    found = found.select("indication_id", "survey_id", "peak_sample_idx", "chainage_peak_m", "sev_lo", "sev_pred", "sev_hi").join(known, "survey_id", "left_semi")
+    matched = cut(match_surveys(found, sources, known.select("line_id", "survey_id")))
+    rows = io.read_keyed(spark, f"{store}/readings").select("survey_id", "sample_idx", "severity_smys").join(known, "survey_id", "left_semi")
+    latest = matched.filter("matched_kind = 'defect'").join(known.select("survey_id", "run_id"), "survey_id")
+    return forecast(matched, rows, known.select("survey_id", "run_id"), latest, limit, min_obs)
+
+
 def verify(verifications: DataFrame, indications: DataFrame, surveys: DataFrame, truth: DataFrame, tolerance: float = feedback.TOLERANCE_M):
     """Excavation results into a new version of the truth table, and the observation of each."""
     placed = feedback.locate(verifications, indications, surveys)
     table, routed = feedback.record_excavations(placed, truth, tolerance)
     observed = placed.join(routed, "verification_id").select("defect_id", "survey_id", "severity_smys")
     return table, observed
+
+
+def verify_store(spark: SparkSession, store: str, verifications: DataFrame, tolerance: float = feedback.TOLERANCE_M) -> DataFrame:
+    """Excavation results into the stored truth and observations; returns the observations of this batch.
+
+    ``verifications``: (verification_id, indication_id, defect_type, severity_smys,
+    verified_at). Both tables are kept by line, and only the folders of the batch's
+    lines are read and written. The truth is written last and names the verification
+    of each revision, so a batch that was killed can be given again: what is there is left out.
+    """
+    surveys = io.read_keyed(spark, f"{store}/registry").select("survey_id", "line_id").distinct()
+    indications = spark.read.parquet(f"{store}/indications")
+    placed = cut(feedback.locate(verifications, indications, surveys))
+    lines = [r["line_id"] for r in placed.select("line_id").distinct().collect()]  # those of one batch of excavations
+    truth = _lines_of(spark, f"{store}/truth", lines, STORED_TRUTH)
+    fresh = placed.join(truth.select("verification_id"), "verification_id", "left_anti")
+    table, routed = feedback.record_excavations(fresh, truth, tolerance)
+    new = fresh.join(routed, "verification_id")
+    # of several verifications of an object in one survey the last one counts
+    told = io.latest_by(new.select("defect_id", "survey_id", "line_id", "severity_smys", "verified_at", "verification_id"), ["defect_id", "survey_id"], "verified_at")
+    told = cut(told.select("defect_id", "survey_id", "severity_smys", "line_id"))
+    observed = feedback.upsert_observations(_lines_of(spark, f"{store}/observations", lines, STORED_OBSERVATIONS), told)
+    _replace_lines(observed, f"{store}/observations")
+    _replace_lines(table, f"{store}/truth")
+    return told
+
+
+# columns of the stored tables, the line last as it is the folder
+STORED_TRUTH = (
+    "defect_id string, revision int, chainage_m double, defect_type string, source string, verified_at timestamp, "
+    "valid_from timestamp, valid_to timestamp, verification_id string, line_id string"
+)
+STORED_OBSERVATIONS = "defect_id string, survey_id string, severity_smys double, line_id string"
+
+
+def _lines_of(spark: SparkSession, path: str, lines: Sequence[str], schema: str) -> DataFrame:
+    known = _read_or_none(spark, path)
+    return spark.createDataFrame([], schema) if known is None else cut(known.filter(F.col("line_id").isin(list(lines))))
+
+
+def _replace_lines(rows: DataFrame, path: str) -> None:
+    # the rows are cut off the folder they replace
+    cut(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("line_id").parquet(path)

@@ -156,6 +156,15 @@ def latest_by(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     return top.select(*keys, "__r.*")
 
 
+def known_rows(rows: DataFrame, surveys: DataFrame, as_of, lines: Sequence[str] | None = None, time: str = "surveyed_at") -> DataFrame:
+    """Rows of the surveys made up to ``as_of`` (inclusive), with their time; a survey without a time is not known."""
+    known = surveys.filter(F.col(time) <= F.lit(as_of)).select("survey_id", time)
+    if lines is not None:
+        rows = rows.filter(F.col("line_id").isin(list(lines)))
+    assert_point_in_time(known, as_of, time, "survey_id", "feature corpus")
+    return rows.join(known, "survey_id")
+
+
 def read_features(
     spark: SparkSession, root: str, version: int, surveys: DataFrame, as_of, lines: Sequence[str] | None = None, time: str = "surveyed_at"
 ) -> DataFrame:
@@ -163,13 +172,8 @@ def read_features(
 
     Version and lines are partition columns, so other directories are not opened.
     """
-    known = surveys.filter(F.col(time) <= F.lit(as_of)).select("survey_id", time)
     df = read_keyed(spark, f"{root}/features").filter(F.col("fv") == version).drop("fv")
-    if lines is not None:
-        df = df.filter(F.col("line_id").isin(list(lines)))
-    out = df.join(known, "survey_id")
-    assert_point_in_time(known, as_of, time, "survey_id", "feature corpus")
-    return out
+    return known_rows(df, surveys, as_of, lines, time)
 
 
 def pending(surveys: DataFrame, spark: SparkSession, root: str, force: bool = False) -> DataFrame:
