@@ -173,10 +173,34 @@ def test_token_files(spark):
             file = pa.ipc.open_file(source)
             batches = [file.get_batch(i) for i in range(file.num_record_batches)]
             assert {b.schema.field("ids").type for b in batches} == {pa.list_(pa.uint16(), 16)}
-            assert pa.total_allocated_bytes() >= 0 and sum(b.num_rows for b in batches) == row["n_sequences"] == -(-row["n_tokens"] // 16)
+            assert sum(b.num_rows for b in batches) == row["n_sequences"] == -(-row["n_tokens"] // 16)
             assert sum(sum(b.column("mask").flatten().to_pylist()) for b in batches) == row["n_tokens"]
 
 
+def test_sequences_are_views_of_the_mapped_file(tmp_path):
+    stream = np.arange(5 * 4096 * 3 + 100, dtype="<u2")
+    path = tmp_path / "tokens.arrow"
+    with open(path, "wb") as out:
+        file = arrow_tokens.SequenceFile(out, 4096, np.dtype("<u2"), rows=3)
+        for part in np.array_split(stream, 7):
+            file.add(part)
+        file.close()
+    mapped = arrow_tokens.MappedSequences(f"file:{path}")
+    assert len(mapped) == file.sequences == 16
+    before, held = pa.total_allocated_bytes(), []
+    for k in (15, 0, 7, 3):
+        ids, mask = mapped[k]
+        own = stream[k * 4096 : (k + 1) * 4096]
+        assert not ids.flags.owndata and not ids.flags.writeable
+        assert ids[: len(own)].tolist() == own.tolist() and mask.tolist() == [i < len(own) for i in range(4096)]
+        held.append(ids)
+    # the ids of four sequences are held, and none of their bytes was allocated
+    del mask
+    assert len(held) == 4 and pa.total_allocated_bytes() == before
+    with pytest.raises(IndexError):
+        mapped[16]
+
+
 def test_token_files_of_nothing_and_of_ties(spark):
     empty = arrow_tokens.write_tokens(table(spark).limit(0), shared_folder(spark), WORDS, end_id=1)
     assert empty.count() == 0 and arrow_tokens.read_documents(spark, empty).count() == 0
@@ -194,3 +218,13 @@ def test_word_table(spark, max_words):
         own = ids(WORDS, text)
         assert got[100 - i] == (len(own), sha(" ".join(map(str, own))), sha(LIBRARY[WORDS].decode(own, skip_special_tokens=False)))
     assert len(got) == len(TEXTS) and bpe_words.word_round_trip(docs.limit(0), WORDS).count() == 0
+
+
+def test_blocks_beyond_their_numbers_are_an_error(monkeypatch):
+    monkeypatch.setattr(bpe_words, "BLOCKS_OF_PART", 2)
+    monkeypatch.setattr(bpe_words.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    batch = lambda n: [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["a b c"]}) for i in range(n)]
+    read = lambda n: [(number, [len(p[0]) for p in parts]) for number, parts in bpe_words._blocks(iter(batch(n)), bpe_words.encoder(WORDS), 1)]
+    assert read(2) == [(6, [1]), (7, [1])]
+    with pytest.raises(ValueError, match="more than 2 blocks"):
+        read(3)

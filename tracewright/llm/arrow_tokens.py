@@ -70,6 +70,37 @@ class SequenceFile:
         self.writer.close()
 
 
+class MappedSequences:
+    """Random access to the sequences of a token file that is mapped into memory.
+
+    `len(file)` sequences; `file[k]` gives the ids as a view of the mapped file,
+    nothing of which is copied or read beyond the touched pages, and the mask, whose
+    bits become one byte each. A number outside the file is an IndexError. Only for
+    files of a local or mounted folder.
+    """
+
+    def __init__(self, path: str):
+        store, path = _open(path)
+        if not isinstance(store, fs.LocalFileSystem):
+            raise ValueError(f"{path} can't be mapped")
+        self._source = pa.memory_map(path)
+        self._file = pa.ipc.open_file(self._source)
+        self.length = self._file.schema.field("ids").type.list_size
+        # all batches but the last have as many rows
+        self._rows = self._file.get_batch(0).num_rows
+        self._size = (self._file.num_record_batches - 1) * self._rows + self._file.get_batch(self._file.num_record_batches - 1).num_rows
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= k < self._size:
+            raise IndexError(k)
+        batch, at = self._file.get_batch(k // self._rows), k % self._rows * self.length
+        ids, mask = (batch.column(c).values.slice(at, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 2048, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents' ids in ascending `doc_id` order and return one manifest row per file pair.
 

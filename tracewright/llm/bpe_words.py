@@ -44,9 +44,15 @@ def _split(texts: list[str], enc) -> list[list[str]]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], enc, max_words: int) -> Iterator[tuple[int, Iterator[tuple[list, list[list[str]]]]]]:
-    """(block, its parts of doc ids and words): the same for the same input partition, so both passes agree."""
+    """(block, its parts of doc ids and words): the same for the same input partition, so both passes agree.
+
+    A partition with more blocks than it has numbers for is an error; smaller partitions or larger blocks avoid it.
+    """
     number, source = TaskContext.get().partitionId() * BLOCKS_OF_PART, _parts(batches, enc)
+    last = number + BLOCKS_OF_PART
     for first in source:
+        if number == last:
+            raise ValueError(f"more than {BLOCKS_OF_PART} blocks of {max_words} words in one input partition")
 
         def own() -> Iterator[tuple[list, list[list[str]]]]:
             part, size = first, 0
