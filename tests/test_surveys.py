@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import features as ft
 from tracewright.operators import quality as dq
 from tracewright.operators import registration as reg
-from tracewright.operators.identity import content_hashes
+from tracewright.operators.identity import canonical, content_hashes
 from tracewright.operators.ordered import indexed
 from tracewright.plans import jobs
 from tracewright.sources import surveys as io
@@ -201,6 +202,13 @@ def test_content_hash_invariants(spark):
     assert h(d.assign(b_mid_nt=d["b_mid_nt"].round(5))) == h(d.assign(b_mid_nt=d["b_mid_nt"].round(5) + 1e-9))
 
 
+def test_halves_are_rounded_as_other_engines_do(spark):
+    x = [128.0787825, 4.1937085, 216.9121995, -128.0787825, 1e305, float("inf"), None]
+    got = canonical(spark.createDataFrame([(v,) for v in x], "x double"), ["x"])
+    want = duckdb.connect().execute("SELECT round(x, 6) + 0.0 FROM (SELECT unnest($1::DOUBLE[]) AS x)", [x]).fetchall()
+    assert [tuple(r) for r in got.collect()] == want and want[0][0] == 128.078782
+
+
 def test_stream_resumes_and_repeats_nothing(spark, tmp_path):
     root, store, ck = (str(tmp_path / n) for n in ("raw", "store", "ck"))
     cfg = ft.FeatureConfig(windows_m=(2.0, 5.0), detrend_window_m=10.0)

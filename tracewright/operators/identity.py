@@ -19,11 +19,22 @@ def canonical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         col = F.col(c)
         if isinstance(types[c], (T.DoubleType, T.FloatType)):
             # adding zero turns -0.0 into 0.0
-            col = F.round(col.cast("double"), FLOAT_DECIMALS) + F.lit(0.0)
+            col = _rounded(col.cast("double")) + F.lit(0.0)
         out.append(col.alias(c))
     return df.select(*out)
 
 
+def _rounded(x: Column) -> Column:
+    """A double at FLOAT_DECIMALS decimals by multiplying, rounding to a whole number and dividing.
+
+    Any engine repeats these steps bit by bit. Spark's own ``round`` goes by the
+    shortest text of the number instead, which tells halves apart differently.
+    """
+    scale = F.lit(float(10**FLOAT_DECIMALS))
+    there = F.round(x * scale, 0) / scale
+    return F.when(F.isnan(there) | (F.abs(there) == float("inf")), x).otherwise(there)
+
+
 def content_hashes(df: DataFrame, survey: str, columns: Sequence[str]) -> DataFrame:
     """One hash per survey that ignores column order, row order and noise below the rounding.
 
