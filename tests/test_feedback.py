@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import feedback as fb
 from tracewright.operators.guards import GuardError
+from tracewright.plans.catalogue_surveys import _digs
 
 TRUTH = "defect_id string, line_id string, revision int, chainage_m double, defect_type string, source string, verified_at timestamp, valid_from timestamp, valid_to timestamp"
 CHECK = "verification_id string, line_id string, chainage_m double, defect_type string, verified_at timestamp"
@@ -94,3 +95,12 @@ def test_verified_coverage(spark):
     r = fb.verified_coverage(obs, truth, ind, "v1", 0.9).first()
     assert (r.empirical, r.n, r.below_nominal) == (0.5, 2, True)
     assert fb.verified_coverage(obs, truth, ind, "v9", 0.9).first().n == 0
+
+
+def test_the_earliest_of_equal_peaks_is_dug(spark, tmp_path):
+    start, values = dt.datetime(2024, 1, 22), [10.0, 80.0, 10.0, 80.0, 10.0, 80.0, 10.0]
+    rows = [(100 * u + i, start + dt.timedelta(days=i), u, "view", x) for u in range(40) for i, x in enumerate(values)]
+    e = spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    e.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    _, truth = _digs(spark, str(tmp_path))
+    assert [r.verified_at for r in truth.select("verified_at").collect()] == [start + dt.timedelta(days=2)] * 40

@@ -269,7 +269,9 @@ def days_to_verification(spark, sf):
 
 def _digs(spark, sf):
     ind = cut(v.found(spark, sf))
-    best = ind.filter("run_id = 2").groupBy("line_id").agg(F.max_by(F.struct("indication_id", "chainage_peak_m", "ts"), "anomaly_score").alias("b"))
+    # of equal scores the earliest peak, whatever order the rows come in
+    rank = F.struct(F.col("anomaly_score"), -F.col("peak_sample_idx"))
+    best = ind.filter("run_id = 2").groupBy("line_id").agg(F.max_by(F.struct("indication_id", "chainage_peak_m", "ts"), rank).alias("b"))
     truth = best.select(
         F.col("b.indication_id").alias("defect_id"), "line_id", F.lit(0).alias("revision"), F.col("b.chainage_peak_m").alias("chainage_m"),
         F.lit("excavation").alias("source"), (F.col("b.ts") + F.expr("interval 1 day")).alias("verified_at"), F.lit(None).cast("timestamp").alias("valid_to"),
