@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -195,3 +196,14 @@ def test_skew_matches_pandas(spark):
     v = np.random.default_rng(5).gamma(2, 1, 80)
     r = spark.createDataFrame(pd.DataFrame({"x": v})).agg(profile.sample_skew("x").alias("s"), profile.sample_kurtosis("x").alias("k")).first()
     assert r.s == pytest.approx(pd.Series(v).skew()) and r.k == pytest.approx(pd.Series(v).kurt())
+
+
+def test_bootstrap_draws_large_counts_and_one_digest_a_draw(spark):
+    counts = spark.createDataFrame([(0.3,), (0.5,), (1 - 1e-6,), (1 - 1e-9,)], "u double").select(metrics.poisson_one(F.col("u")).alias("n"))
+    assert [r.n for r in counts.collect()] == [0.0, 1.0, 9.0, 11.0]
+    # the weighted mean of one replicate follows from a digest for each unit
+    units = spark.createDataFrame([(i, float(i)) for i in range(40)], "u long, x double")
+    r = metrics.bootstrap(units, [], "u", ["x"], 1, 0.95, 7).first()
+    draws = [int(hashlib.sha256(f"7|{i}|1".encode()).hexdigest()[:13], 16) / 2**52 for i in range(40)]
+    weights = [sum(u >= t for t in metrics.POISSON_STEPS) for u in draws]
+    assert r.x_lo == pytest.approx(sum(i * w for i, w in enumerate(weights)) / sum(weights))
