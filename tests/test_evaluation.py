@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tracewright.operators import baseline, drift, growth, metrics, profile
 from tracewright.operators.islands import block_heatmap, cluster_indications, select_budget, truth_registry
 from tracewright.operators.guards import GuardError, assert_no_forbidden, assert_point_in_time, join_one_to_one
+from tracewright.operators import quantiles
 from tracewright.operators.ordered import indexed
+from tracewright.operators.quantiles import quantile_edges
 
 
 def scored(spark, edits, edge=(), n=200):
@@ -207,3 +209,21 @@ def test_bootstrap_draws_large_counts_and_one_digest_a_draw(spark):
     draws = [int(hashlib.sha256(f"7|{i}|1".encode()).hexdigest()[:13], 16) / 2**52 for i in range(40)]
     weights = [sum(u >= t for t in metrics.POISSON_STEPS) for u in draws]
     assert r.x_lo == pytest.approx(sum(i * w for i, w in enumerate(weights)) / sum(weights))
+
+
+def test_rows_of_a_few_keys_stay_where_they_are(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).select((F.col("id") % 3).cast("string").alias("feature"), F.col("id").cast("double").alias("x"))
+        edges = quantile_edges(rows, ["feature"], "x", 4).withColumnRenamed("edges", "bin_edges")
+        plans = [quantiles._cells(rows.withColumnRenamed("x", "__v"), ["feature"], [0.5], 1000), drift.reference_sample(rows, ["feature"], F.col("x").cast("string"), 20, 1),
+                 drift.psi(rows, rows, edges)]
+        for plan in plans:
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            # what the sides tell comes by broadcast; small tables of bins may still meet by key
+            assert text.count("BroadcastHashJoin") >= 1
+        assert "SortMergeJoin" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+        assert {r.feature: r.psi for r in plans[2].collect()} == {"0": 0.0, "1": 0.0, "2": 0.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

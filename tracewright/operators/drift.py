@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
-from ..session import cut
+from ..session import cut, join_keyed
 from .islands import top_per_key
 from .ordered import cumulate
 from .quantiles import quantile_edges
@@ -46,7 +46,7 @@ def reference_sample(long: DataFrame, keys: Sequence[str], row_id: Column, size:
     """
     n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), row_id), 256), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    hashed = long.withColumn("__u", h).join(n, list(keys))
+    hashed = join_keyed(long.withColumn("__u", h), n, keys)
     # six standard deviations above the wanted count: fewer than ``size`` rows pass with a chance of about 1e-9
     share = (F.lit(float(size)) + 6.0 * math.sqrt(size) + 40.0) / F.col("__n")
     near = hashed.filter(F.col("__u") <= share)
@@ -67,7 +67,7 @@ def psi(reference: DataFrame, current: DataFrame, edges: DataFrame, keys: Sequen
     """Population stability index on the reference's edges; empty bins count with a small share, an empty side gives 0."""
     keys = list(keys)
     both = reference.select(*keys, "x", F.lit(1).alias("__ref")).unionByName(current.select(*keys, "x", F.lit(0).alias("__ref")))
-    binned = both.join(edges.select(*keys, edge_col), keys).withColumn("__bin", bin_of(F.col("x"), F.col(edge_col)))
+    binned = join_keyed(both, edges.select(*keys, edge_col), keys).withColumn("__bin", bin_of(F.col("x"), F.col(edge_col)))
     counts = binned.groupBy(*keys, "__bin").agg(F.sum("__ref").alias("r"), F.sum(1 - F.col("__ref")).alias("c"))
     bins = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size(edge_col) - 2)).alias("__bin"))
     full = bins.join(counts, [*keys, "__bin"], "left").fillna(0, ["r", "c"])
@@ -173,7 +173,7 @@ def feature_drift(
 ) -> DataFrame:
     """PSI, KS and status per feature; features without a reference are left out."""
     keys = list(keys)
-    cur = current.join(edges.select(*keys), keys, "left_semi")
+    cur = join_keyed(current, edges.select(*keys), keys, "left_semi")
     out = psi(reference, cur, edges, keys).join(ks(reference, cur, keys), keys, "left")
     return out.withColumn("status", F.when(F.col("psi") >= block, "block").when(F.col("psi") >= warn, "warn").otherwise("ok"))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, join_keyed
 
 ACCURACY = 100_000
 SMALL_GROUP_ROWS = 200_000
@@ -80,7 +80,7 @@ def _cells(vals: DataFrame, keys: list[str], wanted: list[float], accuracy: int,
     halves = [F.slice("__ends", 1, len(ranks)).alias("__lows"), F.slice("__ends", len(ranks) + 1, len(ranks)).alias("__highs")]
     told = _told(sketch)
     side = sketch.select(*keys, *told, *halves)
-    marked = vals.select(*keys, "__v").join(side, keys) if keys else vals.select("__v").crossJoin(F.broadcast(side))
+    marked = join_keyed(vals.select(*keys, "__v"), side, keys)
     # how many brackets start at or below the value, by halving: compiled code, which a function of arrays is not
     marked = marked.withColumn("__b", F.lit(0))
     for k in reversed(range(len(ranks).bit_length())):
@@ -146,7 +146,7 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: Column | str, longest:
     keys = list(keys)
     vals = df.select(*keys, value.cast("double").alias("__x"))
     med = quantiles(vals, keys, "__x", {"med": 0.5}, longest)
-    joined = vals.join(med, keys) if keys else vals.crossJoin(F.broadcast(med))
+    joined = join_keyed(vals, med, keys)
     mad = quantiles(joined, [*keys, "med"], F.abs(F.col("__x") - F.col("med")), {"mad": 0.5}, longest)
     return mad
 
