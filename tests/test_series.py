@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.operators import ordered
 from tracewright.operators import series as s
 from tracewright.operators.ordered import indexed
 from tracewright.operators.quantiles import median_mad
@@ -180,3 +181,38 @@ def test_peak_table_and_flanks(spark, chunk):
             assert spread["d"][i] == abs(near - i) and spread["prominence"][i] == pytest.approx(want[near][0])
         else:
             assert np.isnan(spread["d"][i])
+
+
+def test_windows_of_many_short_groups_in_one_call(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes, wins = [1, 2, 3, 40, 7, 300, 12, 5], [3, 3, 5, 7, 7, 9, 13, 3]
+    parts = []
+    for k, (n, w) in enumerate(zip(sizes, wins)):
+        v = rng.normal(50 * k, 3, n)
+        v[rng.random(n) < 0.05] = np.nan
+        parts.append(pd.DataFrame({"k": k, "i": np.arange(n), "v": v, "w": w}))
+    rows = pd.concat(parts, ignore_index=True)
+    for at_once in (1, 50, 1 << 15):
+        monkeypatch.setattr(ordered, "CALL_ROWS", at_once)
+        made = ordered.indexed(spark.createDataFrame(rows).withColumn("v", F.when(~F.isnan("v"), F.col("v"))), ["k"], "i", longest=300)
+        got = s.rolling_stats(made, "v", {"w": "w"}, 13).df.toPandas().sort_values(["k", "i"], ignore_index=True)
+        for part in parts:
+            r = part.v.rolling(int(part.w[0]), center=True, min_periods=int(part.w[0]))
+            mine = got[got.k == part.k[0]].reset_index(drop=True)
+            want = {"w_mean": r.mean(), "w_std": r.std(), "w_max": r.max(), "w_ptp": r.max() - r.min(), "w_energy": (part.v**2).rolling(int(part.w[0]), center=True, min_periods=int(part.w[0])).sum()}
+            want |= {"w_kurt": r.kurt()} if part.w[0] >= 4 else {}
+            for c, x in want.items():
+                np.testing.assert_array_equal(mine[c].to_numpy(), x.to_numpy(), c)
+
+
+def test_groups_are_never_cut_between_calls(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CALL_ROWS", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.range(400).select(F.when(F.col("id") >= 10, F.col("id") % 17).alias("k"), F.col("id").alias("i"))
+        call = lambda pdf, at: pd.DataFrame({"k": pdf.k.to_numpy()[at], "n": np.diff([*at, len(pdf)]), "calls": len(at)})
+        got = ordered.map_groups(rows, ["k"], "i", call, "k long, n long, calls long").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = rows.groupBy("k").count().toPandas()
+    assert sorted(zip(got.k.fillna(-1), got.n)) == sorted(zip(want.k.fillna(-1), want["count"]))

@@ -13,15 +13,19 @@ chunk the chunk column, the carry and the copies drop out of the plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 CHUNK_ROWS = 1 << 16
+#: Rows of whole groups that a call of ``map_groups`` sees at least, if there are so many.
+CALL_ROWS = 1 << 15
 SINGLE_TASK_ROWS = 2_000_000
 _CHUNK = "__chunk"
 
@@ -318,3 +322,41 @@ def cumulate(
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     series = order_rows(steps, keys, [order], idx="step", single_task_rows=single_task_rows, chunk_rows=chunk_rows)
     return series.running(**{f"cum_{m}": total(F.col(m)) for m in measures})
+
+
+def map_groups(df: DataFrame, by: Sequence[str], order: str, call: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+    """What ``call`` makes of whole groups, many short ones at once.
+
+    A call gets rows sorted by ``by`` and ``order`` and the place of every group's
+    first row. A group never falls into two calls. One call for each group would
+    cost more than the work on it where groups have some hundred rows.
+    """
+    by = list(by)
+
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), dtype=bool)
+        new[:1] = True
+        for k in by:
+            v, none = rows[k].to_numpy(), rows[k].isna().to_numpy()
+            new[1:] |= ~((v[1:] == v[:-1]) | (none[1:] & none[:-1]))
+        return np.flatnonzero(new)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, enough = [], 0, CALL_ROWS
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < enough:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            at = starts(rows)
+            if at[-1]:
+                yield call(rows.iloc[: at[-1]].reset_index(drop=True), at[:-1])
+            # the last group may go on in the next batch
+            held, n = [rows.iloc[at[-1] :]], len(rows) - int(at[-1])
+            enough = max(CALL_ROWS, 2 * n)
+        if n:
+            rows = pd.concat(held, ignore_index=True)
+            yield call(rows, starts(rows))
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import safe_div
 from ..session import cut
-from .ordered import Series, after, before, by_position, earlier, following, highest, later, latest, order_rows, total
+from .ordered import Series, after, before, by_position, earlier, following, highest, later, latest, map_groups, order_rows, total
 from .quantiles import median_mad
 
 ROLLING = ("mean", "std", "max", "ptp", "kurt", "zcr", "energy")
@@ -111,24 +112,47 @@ def rolling_stats(series: Series, y: str, windows: dict[str, str], reach: int) -
     ])
     idx = series.idx
 
-    def one_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
-        v = pdf[y].astype("float64")
+    def chunks(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v, n = pdf[y].astype("float64"), len(pdf)
+        first = np.repeat(starts, np.diff([*starts, n]))
+        end = np.repeat([*starts[1:], n], np.diff([*starts, n]))
+        centred, known = _centred(v, starts), np.concatenate([[0], v.notna().cumsum()])
         for prefix, column in windows.items():
-            w = int(pdf[column].iloc[0])
-            roll = v.rolling(w, center=True, min_periods=w)
-            pdf[f"{prefix}_mean"], pdf[f"{prefix}_std"], pdf[f"{prefix}_max"] = roll.mean(), roll.std(), roll.max()
-            pdf[f"{prefix}_ptp"] = roll.max() - roll.min()
-            pdf[f"{prefix}_kurt"] = roll.kurt() if w >= 4 else np.nan
-            pdf[f"{prefix}_zcr"] = pdf["__zc"].rolling(w, center=True, min_periods=w).mean()
-            pdf[f"{prefix}_energy"] = (v * v).rolling(w, center=True, min_periods=w).sum()
+            w = pdf[column].to_numpy()[first].astype("int64")
+            at = np.arange(n)
+            lo, hi = np.maximum(first, at - w // 2), np.minimum(end, at + w // 2 + 1)
+            spans = _Spans(start=lo, end=hi)
+            # as with ``min_periods=w``: a frame without w known values has no statistic
+            full, all_zc = known[hi] - known[lo] >= w, hi - lo >= w
+            roll = v.rolling(spans, min_periods=1)
+            top = roll.max()
+            pdf[f"{prefix}_mean"], pdf[f"{prefix}_std"], pdf[f"{prefix}_max"] = roll.mean().where(full), roll.std().where(full), top.where(full)
+            pdf[f"{prefix}_ptp"] = (top - roll.min()).where(full)
+            pdf[f"{prefix}_kurt"] = centred.rolling(spans, min_periods=1).kurt().where(full & (w >= 4))
+            pdf[f"{prefix}_zcr"] = pdf["__zc"].rolling(spans, min_periods=1).mean().where(all_zc)
+            pdf[f"{prefix}_energy"] = (v * v).rolling(spans, min_periods=1).sum().where(full)
         return pdf.loc[pdf["__core"], [f.name for f in schema.fields]]
 
     tagged = crossed.halo(reach, reach)
-    out = tagged.groupBy(*crossed.chunk_keys()).applyInPandas(one_chunk, schema)
+    out = map_groups(tagged, crossed.chunk_keys(), idx, chunks, schema)
     return series.with_df(_no_nan(out, [f"{p}_{s}" for p in windows for s in ROLLING]))
 
 
+class _Spans(BaseIndexer):
+    """Frames from ``start`` to before ``end``; one that begins behind the last one's end is added up afresh."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.start.astype("int64"), self.end.astype("int64")
+
+
+def _centred(v: pd.Series, starts: np.ndarray) -> pd.Series:
+    """Values less the whole part of their group's mean, which moments of fourth order need to stay exact."""
+    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(v)]))
+    parts = v.replace([np.inf, -np.inf], np.nan).groupby(group)
+    mean = parts.transform("mean")
+    return v - mean.round().where(parts.transform("min") - mean > -1e5, 0.0)
+
+
 def rolling_median(series: Series, y: str, window: str, reach: int, out: str, repeat_ends: bool = False) -> Series:
     """Centred median over the key's odd window length; short at the ends, or with the end values repeated."""
     return rolling_medians(series, {y: out}, window, reach, repeat_ends)
