@@ -99,3 +99,17 @@ def test_what_stops_the_job(spark):
             user_transform(series, broken, "sample_idx long, value double", reach=(1, 1)).collect()
     with pytest.raises(Exception, match="left out"):
         user_transform(series, lambda r, c: r[["sample_idx"]], "sample_idx long, y double", reach=(1, 1)).collect()
+
+
+def test_short_surveys_share_a_batch_but_no_call(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 500).alias("k"), F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    seen = lambda rows, ctx: pd.DataFrame({"n": [len(rows)], "total": [rows["v"].sum()], "own": [ctx["k"]]})
+    got = user_transform(indexed(rows, ["k"], "i"), seen, "n long, total double, own string")
+    assert "MapInPandas" in got._jdf.queryExecution().executedPlan().toString()
+    want = {f"s{j}": (6, float(sum(range(j, 3000, 500))), f"s{j}") for j in range(500)}
+    assert {r.k: (r.n, r.total, r.own) for r in got.collect()} == want
+    # whole numbers with nulls elsewhere keep their type: every survey has its own frame
+    mixed = rows.withColumn("q", F.when(F.col("k") != "s1", F.col("i")))
+    kind = lambda rows, ctx: pd.DataFrame({"kind": [str(rows["q"].dtype)]})
+    kinds = {r.k: r.kind for r in user_transform(indexed(mixed, ["k"], "i"), kind, "kind string").collect()}
+    assert kinds["s0"] == "int64" and kinds["s1"] != "int64"
