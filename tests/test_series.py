@@ -216,3 +216,52 @@ def test_groups_are_never_cut_between_calls(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = rows.groupBy("k").count().toPandas()
     assert sorted(zip(got.k.fillna(-1), got.n)) == sorted(zip(want.k.fillna(-1), want["count"]))
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 5])
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 15])
+def test_medians_and_peaks_of_many_short_groups_in_one_call(spark, monkeypatch, chunk, at_once):
+    monkeypatch.setattr(ordered, "CALL_ROWS", at_once)
+    rng = np.random.default_rng(8)
+    parts = [
+        pd.DataFrame({"k": k, "i": np.arange(n), "v": rng.integers(0, 30, n) + 0.5, "w": w})
+        for k, (n, w) in enumerate(zip([1, 2, 3, 40, 7, 90, 12, 5], [1, 3, 5, 7, 7, 9, 13, 3]))
+    ]
+    made = indexed(spark.createDataFrame(pd.concat(parts)), ["k"], "i", 90 if chunk > 90 else None, chunk)
+    for ends in (False, True):
+        plan = s.rolling_median(made, "v", "w", 13, "m", repeat_ends=ends)
+        assert "FlatMapGroupsInPandas" not in plan.df._jdf.queryExecution().executedPlan().toString()
+        got = plan.df.toPandas().sort_values(["k", "i"], ignore_index=True)
+        for part in parts:
+            w, v = int(part.w[0]), part.v
+            if ends:
+                v = pd.Series(np.r_[np.repeat(v.iloc[0], w // 2), v, np.repeat(v.iloc[-1], w // 2)])
+            want = v.rolling(w, center=True, min_periods=1).median().to_numpy()
+            want = want[w // 2 : len(v) - w // 2] if ends else want
+            np.testing.assert_array_equal(got[got.k == part.k[0]].m.to_numpy(), want)
+    tops = s.local_maxima(made, "v")
+    found = s.prominences(made, "v", tops)
+    if chunk > 90:
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["k"], r["i"]): r["prominence"] for r in found.collect()}
+    want = {}
+    for r in tops.collect():
+        v = parts[r["k"]].v.to_numpy()
+        left = [j for j in range(r["i"]) if v[j] > r["value"]]
+        right = [j for j in range(r["i"] + 1, len(v)) if v[j] > r["value"]]
+        a, b = max(left, default=-1), min(right, default=len(v))
+        want[r["k"], r["i"]] = r["value"] - max(v[a + 1 : r["i"] + 1].min(), v[r["i"] : b].min())
+    assert got == want
+
+
+def test_small_fits_of_many_groups_in_one_call(spark, monkeypatch):
+    from tracewright.operators import baseline
+
+    by, grouped = [], baseline.map_groups
+    monkeypatch.setattr(baseline, "map_groups", lambda df, keys, *rest: by.append(keys) or grouped(df, keys, *rest))
+    x, k = np.tile(np.arange(30.0), 6), np.repeat(np.arange(6), 30)
+    rows = spark.createDataFrame(pd.DataFrame({"k": k, "x": x, "y": k + 2 * x}))
+    fits = baseline.robust_polynomial(rows, ["k"], "x", "y", degree=1, longest=30).collect()
+    for r in fits:
+        np.testing.assert_allclose(r["coef"], [r["k"] + 29.0, 29.0], atol=1e-6)
+    assert len(fits) == 6 and by == [["k"]]

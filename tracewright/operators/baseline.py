@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
 from ..session import cut
-from .ordered import Series
+from .ordered import Series, map_groups
 from .quantiles import median_mad
 from .series import mean_step, odd_window, rolling_medians, smooth_polynomial
 
@@ -97,8 +97,7 @@ def _fit_small(rows: DataFrame, keys: list[str], axis: str, degree: int, rounds:
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", coef array<double>"
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, y = pdf[axis].to_numpy(dtype=float), pdf["__y"].to_numpy(dtype=float)
+    def fit(pos: np.ndarray, y: np.ndarray) -> list[float]:
         span = pos.max() - pos.min()
         powers = np.vander(2 * (pos - pos.min()) / span - 1 if span > 0 else np.zeros(len(pos)), degree + 1, increasing=True)
         weighted = lambda w: np.linalg.lstsq((powers * w[:, None]).T @ powers, powers.T @ (w * y), rcond=None)[0]
@@ -112,9 +111,15 @@ def _fit_small(rows: DataFrame, keys: list[str], axis: str, degree: int, rounds:
             if w.sum() <= degree + 1:
                 break
             coef = weighted(w)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "coef": [coef.tolist()]})
+        return coef.tolist()
+
+    def groups(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        pos, y = pdf[axis].to_numpy(dtype=float), pdf["__y"].to_numpy(dtype=float)
+        out = pdf.loc[starts, keys]
+        out["coef"] = [fit(pos[a:b], y[a:b]) for a, b in zip(starts, [*starts[1:], len(pdf)])]
+        return out
 
-    return cut(rows.groupBy(*keys).applyInPandas(fit, schema))
+    return cut(map_groups(rows, keys, axis, groups, schema))
 
 
 def remove_polynomial(df: DataFrame, keys: Sequence[str], axis: str, y: str, coefs: DataFrame, out: str) -> DataFrame:

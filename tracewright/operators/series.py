@@ -163,21 +163,25 @@ def rolling_medians(series: Series, columns: dict[str, str], window: str, reach:
     kept, idx = series.df.columns, series.idx
     schema = T.StructType([*series.df.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns.values()]])
 
-    def one_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
-        w = int(pdf[window].iloc[0])
+    def chunks(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        rows = np.diff([*starts, len(pdf)])
+        w = pdf[window].to_numpy()[starts].astype("int64")
+        # chunk borders inside a series carry at least ``reach`` neighbours, so the repeats only count at its ends
+        pad = w // 2 if repeat_ends else np.zeros_like(w)
+        size = rows + 2 * pad
+        first = np.repeat(np.cumsum(size) - size, size)
+        at = np.arange(len(first))
+        source = np.clip(at - first - np.repeat(pad, size), 0, np.repeat(rows - 1, size)) + np.repeat(starts, size)
+        own = (at - first >= np.repeat(pad, size)) & (at - first < np.repeat(pad + rows, size))
+        # the frames of a centred window, none beyond its group
+        end = at + 1 + np.repeat((w - 1) // 2, size)
+        spans = _Spans(start=np.maximum(first, end - np.repeat(w, size)), end=np.minimum(first + np.repeat(size, size), end))
         for y, out in columns.items():
-            v = pdf[y].astype("float64")
-            if repeat_ends:
-                # chunk borders inside a series carry at least ``reach`` neighbours, so the repeats only count at its ends
-                v = pd.Series(np.concatenate([np.repeat(v.iloc[0], w // 2), v, np.repeat(v.iloc[-1], w // 2)]))
-                med = v.rolling(w, center=True, min_periods=1).median().to_numpy()[w // 2 : len(v) - w // 2]
-            else:
-                med = v.rolling(w, center=True, min_periods=1).median().to_numpy()
-            pdf[out] = med
+            v = pd.Series(pdf[y].to_numpy(dtype="float64", na_value=np.nan)[source])
+            pdf[out] = v.rolling(spans, min_periods=1).median().to_numpy()[own]
         return pdf.loc[pdf["__core"], [*kept, *columns.values()]]
 
-    return series.with_df(series.halo(reach, reach).groupBy(*series.chunk_keys()).applyInPandas(one_chunk, schema))
+    return series.with_df(map_groups(series.halo(reach, reach), series.chunk_keys(), idx, chunks, schema))
 
 
 def smooth_polynomial(series: Series, y: str, window: int, degree: int, out: str) -> Series:
@@ -263,7 +267,7 @@ def reach(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*keys).schema.fields)
     schema = f"{fields}, " + ", ".join(f"{c} {t}" for c, t in _REACH_FIELDS)
     whole = series.one_chunk
-    got = items.groupBy(*keys, "__c").applyInPandas(_first_level(keys, strict, whole), schema)
+    got = map_groups(items, [*keys, "__c"], "__pos", _first_level(keys, strict, whole), schema)
     done: list[DataFrame] = []
     while not whole:
         got = cut(got)
@@ -275,7 +279,7 @@ def reach(
         sign = F.when(F.col("__side") == 0, 1).otherwise(-1)
         place = F.col("__c") * sign * F.lit(1 << 32) + F.when(F.col("__kind") == 2, F.lit(0)).otherwise(F.col("__o") + 1)
         items = got.filter("__kind in (0, 2)").withColumn("__o", place).withColumn("__c", F.expr(f"__c div {LEVEL_FANOUT}"))
-        got = items.groupBy(*keys, "__side", "__c").applyInPandas(_next_level(keys, strict), schema)
+        got = map_groups(items, [*keys, "__side", "__c"], "__o", _next_level(keys, strict), schema)
     done.append(got.filter("__kind in (1, 2)"))
     out = done[0]
     for d in done[1:]:
@@ -333,41 +337,46 @@ def _walk(pos, v, g, t, b, a, strict: bool):
 
 
 def _reach_frame(pdf: pd.DataFrame, keys: list[str], parts: list) -> pd.DataFrame:
-    """Rows of one group; kind 0 is a stack entry, 1 an answered query, 2 one that left the chunk."""
-    rows, chunk, inf = [], int(pdf["__c"].iloc[0]), float("inf")
-    for side, entries, queries in parts:
-        rows += [(side, chunk, o, p, v, g, np.nan, inf, a, 0, None) for o, (p, v, g, a) in enumerate(entries)]
+    """Rows of groups, each with its first row; kind 0 is a stack entry, 1 an answered query, 2 one that left the chunk."""
+    rows, owner, chunk, inf = [], [], pdf["__c"].to_numpy(), float("inf")
+    for start, side, entries, queries in parts:
+        c = int(chunk[start])
+        rows += [(side, c, o, p, v, g, np.nan, inf, a, 0, None) for o, (p, v, g, a) in enumerate(entries)]
         for p, t, low, stop, at, near in queries:
             kind = 2 if stop is None else 1
-            rows.append((side, chunk, 0, p, np.nan if at is None else at, inf, t, low, np.nan if near is None else near, kind, stop))
+            rows.append((side, c, 0, p, np.nan if at is None else at, inf, t, low, np.nan if near is None else near, kind, stop))
+        owner.append((start, len(entries) + len(queries)))
     out = pd.DataFrame(rows, columns=[c for c, _ in _REACH_FIELDS])
     out["__stop"] = out["__stop"].astype("Int64")
+    source = np.repeat([s for s, _ in owner], [n for _, n in owner])
     for i, k in enumerate(keys):
-        out.insert(i, k, pdf[k].iloc[0])
+        out.insert(i, k, pdf[k].take(source).reset_index(drop=True))
     return out
 
 
 def _first_level(keys: list[str], strict: bool, whole: bool):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        inf, parts = [float("inf")] * len(pdf), []
+    def solve(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        parts = []
         cols = {c: pdf[c].tolist() for c in ("__pos", "__v", "__t", "__a0", "__a1")}
-        for side in (0, 1):
-            turn = slice(None, None, -1 if side else 1)
-            entries, queries = _walk(
-                cols["__pos"][turn], cols["__v"][turn], inf, cols["__t"][turn], inf, cols[f"__a{side}"][turn], strict
-            )
-            parts.append((side, [] if whole else entries, queries))
+        bounds = [*starts.tolist(), len(pdf)]
+        for a, b in zip(bounds, bounds[1:]):
+            inf, own = [float("inf")] * (b - a), {c: v[a:b] for c, v in cols.items()}
+            for side in (0, 1):
+                turn = slice(None, None, -1 if side else 1)
+                entries, queries = _walk(
+                    own["__pos"][turn], own["__v"][turn], inf, own["__t"][turn], inf, own[f"__a{side}"][turn], strict
+                )
+                parts.append((a, side, [] if whole else entries, queries))
         return _reach_frame(pdf, keys, parts)
 
     return solve
 
 
 def _next_level(keys: list[str], strict: bool):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__o", kind="stable")
-        entries, queries = _walk(*[pdf[c].tolist() for c in ("__pos", "__v", "__g", "__t", "__b", "__a")], strict)
-        return _reach_frame(pdf, keys, [(int(pdf["__side"].iloc[0]), entries, queries)])
+    def solve(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        cols = [pdf[c].tolist() for c in ("__pos", "__v", "__g", "__t", "__b", "__a")]
+        side, bounds = pdf["__side"].tolist(), [*starts.tolist(), len(pdf)]
+        return _reach_frame(pdf, keys, [(a, int(side[a]), *_walk(*[v[a:b] for v in cols], strict)) for a, b in zip(bounds, bounds[1:])])
 
     return solve
 
