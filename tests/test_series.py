@@ -265,3 +265,33 @@ def test_small_fits_of_many_groups_in_one_call(spark, monkeypatch):
     for r in fits:
         np.testing.assert_allclose(r["coef"], [r["k"] + 29.0, 29.0], atol=1e-6)
     assert len(fits) == 6 and by == [["k"]]
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+@pytest.mark.parametrize("block", [1 << 16, 16])
+def test_resampling_orders_rows_and_no_points(spark, chunk, block):
+    rng = np.random.default_rng(10)
+    x = np.r_[np.sort(rng.integers(0, 40, 25)) * 0.3, 90.0, 90.0, 91.0]
+    y = rng.normal(size=len(x))
+    y[[0, 5, 6, 26]] = np.nan
+    made = frame(spark, {"x": x, "y": y}, chunk=chunk)
+    made = made.with_df(made.df.withColumn("y", F.when(~F.isnan("y"), F.col("y"))))
+    made = made.with_df(made.df.unionByName(made.df.withColumns({"k": F.lit("none"), "y": F.lit(None).cast("double")})))
+    got = s.resample(made, "x", "y", 0.1, block)
+    assert "Sort [k#" not in got._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    got = got.toPandas().sort_values(["k", "grid_i"])
+    grid = x[0] + np.arange(int(np.ceil((x[-1] - x[0]) / 0.1))) * 0.1
+    known = ~np.isnan(y)
+    kx, ky = x[known], y[known]
+    want = []
+    for g in grid:
+        at = int(np.searchsorted(kx, g, side="right"))
+        if at in (0, len(kx)):
+            want.append(ky[min(at, len(kx) - 1)])
+        else:
+            want.append(ky[at - 1] + (ky[at] - ky[at - 1]) / (kx[at] - kx[at - 1]) * (g - kx[at - 1]))
+    mine = got[got.k == "a"]
+    assert mine.grid_i.tolist() == list(range(len(grid))) and mine.grid_x.tolist() == grid.tolist()
+    np.testing.assert_allclose(mine.y, want, rtol=1e-12)
+    empty = got[got.k == "none"]
+    assert len(empty) == len(grid) and empty.y.isna().all()

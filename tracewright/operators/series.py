@@ -59,29 +59,42 @@ def monotone(series: Series, x: str, out: str) -> Series:
     return series.running(**{out: highest(F.col(x))})
 
 
-def uniform_grid(bounds: DataFrame, keys: Sequence[str], lo: str, hi: str, step: float, block: int = 1 << 16) -> DataFrame:
-    """Positions ``lo, lo+step, …`` below ``hi`` with their number ``grid_i``.
+def resample(series: Series, x: str, y: str, step: float, block: int = 1 << 16) -> DataFrame:
+    """The series on a uniform grid, by linear interpolation.
 
-    Blocks are laid out first and spread, so a long line is not unrolled in one task.
+    A row makes the grid's points from its own place to before the next row's, so
+    only rows are ordered, not the points, of which there may be many times more.
+    A gap of more than ``block`` points is cut into blocks, which are spread.
     """
-    n = F.ceil((F.col(hi) - F.col(lo)) / step).cast("long")
-    blocks = bounds.withColumn("__n", n).filter("__n > 0").withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {block}"))))
-    blocks = blocks.repartition(*keys, "__b")
-    first, last = F.col("__b") * block, F.least((F.col("__b") + 1) * block, F.col("__n")) - 1
-    points = blocks.withColumn("grid_i", F.explode(F.sequence(first, last)))
-    return points.withColumn("grid_x", F.col(lo) + F.col("grid_i") * step).drop("__n", "__b")
-
-
-def resample(series: Series, x: str, y: str, step: float) -> DataFrame:
-    """The series on a uniform grid, by linear interpolation."""
     keys = list(series.keys)
-    bounds = series.df.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    grid = uniform_grid(bounds, keys, "__lo", "__hi", step).drop("__lo", "__hi")
-    rows = series.df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(series.idx).alias("__o"))
-    both = rows.unionByName(grid.withColumnRenamed("grid_x", "__x"), allowMissingColumns=True)
-    merged = order_rows(both, keys, ["__x", F.col("grid_i").isNotNull(), F.coalesce("__o", "grid_i")], idx="__i")
-    out = interpolate(merged, "__x", {"__v": F.col("__y")}).df.filter("grid_i is not null")
-    return out.select(*keys, "grid_i", F.col("__x").alias("grid_x"), F.col("__v").alias(y))
+    rows = series.df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(series.idx).alias("__o")).filter("__x is not null")
+    bounds = rows.groupBy(*keys).agg(F.min("__x").alias("__first"), F.max("__x").alias("__end"))
+    knot = F.when(F.col("__y").isNotNull(), F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
+    placed = order_rows(rows, keys, ["__x", "__o"], idx="__i", longest=series.longest, chunk_rows=series.chunk_rows)
+    placed = placed.running(__lo=latest(knot), __hi=later(knot), __next=after(F.col("__x"))).df.join(bounds, keys)
+    at = lambda i: F.col("__first") + i * step
+
+    def begin(place: Column) -> Column:
+        """Number of the first point that is not below ``place``, as the points themselves are rounded."""
+        i = F.ceil((place - F.col("__first")) / step).cast("long")
+        return F.when(at(i - 1) >= place, i - 1).when(at(i) >= place, i).otherwise(i + 1)
+
+    n = F.ceil((F.col("__end") - F.col("__first")) / step).cast("long")
+    most = bounds.agg(F.max(n)).first()[0] or 0
+    parts = placed.withColumn("__n", n).filter("__n > 0").withColumn(
+        "__a", F.when(F.col("__i") == 0, F.lit(0)).otherwise(begin(F.col("__x")))
+    ).withColumn("__b", F.least("__n", F.coalesce(begin(F.col("__next")), "__n")) - 1).filter("__a <= __b")
+    parts = parts.select(*keys, "__first", "__lo", "__hi", "__a", "__b")
+    if most > block:
+        long = F.col("__b") - F.col("__a") >= block
+        blocks = parts.filter(long).withColumn("__c", F.explode(F.sequence(F.col("__a"), F.col("__b"), F.lit(block).cast("long"))))
+        blocks = blocks.repartition(*keys, "__c").withColumn("__a", F.col("__c")).withColumn("__b", F.least("__b", F.col("__c") + block - 1)).drop("__c")
+        parts = parts.filter(~long).unionByName(blocks)
+    points = parts.withColumn("grid_i", F.explode(F.sequence("__a", "__b"))).withColumn("grid_x", at(F.col("grid_i")))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    slope = F.coalesce(safe_div(hi["y"] - lo["y"], hi["x"] - lo["x"]), F.lit(0.0))
+    value = F.when(lo.isNull(), hi["y"]).when(hi.isNull(), lo["y"]).otherwise(lo["y"] + slope * (F.col("grid_x") - lo["x"]))
+    return points.select(*keys, "grid_i", "grid_x", value.alias(y))
 
 
 def odd_window(width: float, step: Column, minimum: int = 3) -> Column:
