@@ -92,6 +92,18 @@ def test_dead_reckoning_equals_the_array_version(series, chunk):
         np.testing.assert_allclose(d["dr_m"], numpy_dead_reckoning(d), atol=1e-6)
 
 
+def test_the_grid_is_written_once(spark, monkeypatch):
+    written, cut = [], reg.cut
+    monkeypatch.setattr(reg, "cut", lambda df: written.append(df.columns) or cut(df))
+    n = 400
+    rows = spark.createDataFrame(pd.DataFrame({
+        "survey_id": "a", "sample_idx": np.arange(n), "t_s": np.arange(n, dtype=float), "lat": CFG.lat0, "lon": CFG.lon0,
+        "b_mid_nt": 48000.0 + 50.0 * (np.arange(n) % 10 == 0),
+    }))
+    reg.register(indexed(rows.withColumn("lat", F.when(F.col("sample_idx") == 0, F.col("lat"))), ["survey_id"], "sample_idx", n), CFG)
+    assert [c for c in written if "grid_i" in c] == [["survey_id", "grid_i", "grid_x", "env"]]
+
+
 def test_registration_finds_the_comb(placed):
     rows, info = placed
     pdf = rows.toPandas().sort_values(["survey_id", "sample_idx"])

@@ -110,13 +110,13 @@ def lag_products(series: Series, y: str, max_lag: int) -> DataFrame:
 
 
 def envelope(grid: Series, y: str, window_rows: int, out: str = "env") -> Series:
-    """|y - rolling median| around its mean."""
+    """|y - rolling median| around its mean, in place of ``y``."""
     keys = list(grid.keys)
     n = grid.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     w = F.greatest(F.lit(3), F.least(F.lit(window_rows), F.col("__n") - 1)).cast("int")
     sized = grid.with_df(grid.df.join(n, keys).withColumn("__win", F.when(w % 2 == 0, w + 1).otherwise(w)))
     smooth = rolling_median(sized, y, "__win", window_rows + 1, "__m", repeat_ends=True)
-    raw = smooth.df.withColumn(out, F.abs(F.col(y) - F.col("__m"))).drop("__m", "__win", "__n")
+    raw = smooth.df.withColumn(out, F.abs(F.col(y) - F.col("__m"))).drop(y, "__m", "__win", "__n")
     raw = cut(raw)
     mean = raw.groupBy(*keys).agg(F.avg(out).alias("__mean"))
     return grid.with_df(raw.join(mean, keys).withColumn(out, F.col(out) - F.col("__mean")).drop("__mean"))
@@ -214,9 +214,10 @@ def register(series: Series, cfg: RegistrationConfig = RegistrationConfig(), sig
 
     window = round(max(5.0 * cfg.pitch_m, 10 * GRID_M) / GRID_M)
     points = resample(dr.with_df(dr.df.join(usable, keys, "left_semi")), "dr_m", signal, GRID_M)
-    grid = indexed(cut(points), keys, "grid_i", None, dr.chunk_rows)
+    # points are several times the rows: made anew where they are read, and written once, with their envelope
+    last = points.agg(F.max("grid_i")).first()[0]
+    grid = Series(points, tuple(keys), "grid_i", int(last or 0) + 1, dr.chunk_rows, dense=True)
     env = envelope(grid, signal, window)
-    env = env.with_df(cut(env.df))
     lo, hi = int(np.ceil(max(3 * GRID_M, 0.5 * cfg.pitch_m) / GRID_M - 1e-9)), int(np.floor(1.5 * cfg.pitch_m / GRID_M + 1e-9))
     lags = best_lag(lag_products(env, "env", hi), keys, lo, hi)
     lags = lags.join(span, keys).filter(F.floor(F.col("__span") / (F.col("lag") * GRID_M)) >= 2).select(*keys, "lag")
