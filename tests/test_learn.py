@@ -1,8 +1,11 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import hash_fold
 from tracewright.operators import learn
 from tracewright.operators.guards import GuardError
 from tracewright.plans import jobs
@@ -56,6 +59,32 @@ def test_a_fold_beyond_the_number_is_scored_too(blobs):
             run()
 
 
+def test_all_folds_share_their_passes(spark, blobs):
+    forest = learn.IsolationForest(("a", "b"), trees=10, sample=64)
+
+    def jobs_of(folds):
+        rows, group = blobs.withColumn("fold", F.col("id") % folds), f"folds-{folds}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = learn.out_of_fold_forest(rows, "fold", folds, "id", forest)
+        spark.sparkContext.setJobGroup("", "")
+        return rows, got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    rows, got, few = jobs_of(2)
+    assert jobs_of(6)[2] <= few + 2
+    by_id = got.toPandas().set_index("id")["score_if"]
+    for k in range(2):
+        one = forest.fit(rows.filter(F.col("fold") != k), "id").score(rows.filter(F.col("fold") == k)).toPandas().set_index("id")["score_if"]
+        assert (by_id.loc[one.index] == one).all()
+
+
+def test_fold_of_a_hash_is_compiled(spark):
+    keys = spark.range(200).select(F.concat(F.lit("k::"), F.col("id").cast("string")).alias("k"))
+    for folds in (1, 3, 7, 1_000_003):
+        got = keys.select("k", hash_fold(F.col("k"), folds).alias("f"))
+        assert all(r.f == int(hashlib.sha256(r.k.encode()).hexdigest(), 16) % folds for r in got.collect())
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [1, 5, 30])
 def test_conformal_margin(spark, n):
     v = np.random.default_rng(n).normal(size=n)

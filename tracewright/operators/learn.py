@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,12 +39,17 @@ def mad_scores(df: DataFrame, keys: Sequence[str], x: str, out: str = "score_mad
     return joined.withColumn(out, robust_score(F.col(x), F.col("med"), F.col("mad"), absolute)).drop("med", "mad")
 
 
+def _fold_sizes(df: DataFrame, fold: str) -> dict[int, int]:
+    """Rows of every fold that holds any; a row without a fold is an error."""
+    sizes = {r[0]: r[1] for r in df.groupBy(F.col(fold).cast("long")).count().collect()}
+    if None in sizes:
+        raise GuardError(f"rows without a fold in {fold}")
+    return dict(sorted(sizes.items()))
+
+
 def _fold_list(df: DataFrame, fold: str, folds: int) -> list[int]:
     """``range(folds)`` and every other fold the table names; a row without a fold is an error."""
-    found = {r[0] for r in df.select(F.col(fold).cast("long")).distinct().collect()}
-    if None in found:
-        raise GuardError(f"rows without a fold in {fold}")
-    return sorted(found | set(range(folds)))
+    return sorted({*_fold_sizes(df, fold), *range(folds)})
 
 
 def out_of_fold_mad(df: DataFrame, fold: str, folds: int, x: str, out: str = "score_mad", longest: int | None = None) -> DataFrame:
@@ -125,21 +130,38 @@ class IsolationForest:
 
         The sample has ``trees * sample`` rows however large the table is.
         """
-        rows = df.select(F.col(row_id).cast("string").alias("__id"), self._matrix(df).alias("x"))
+        rows = df.select(F.col(row_id).cast("string").alias("__id"), self._matrix(df).alias("x"), F.array(F.lit(0)).alias("__for"))
         n = rows.count()
+        model = self._grown(rows, {0: n})[0]
+        scores = cut(model.score(df, "__s").select("__s"))  # read twice below
+        offset = contamination_threshold(scores, "__s", self.contamination).first()["threshold"]
+        return replace(model, offset=offset)
+
+    def _grown(self, rows: DataFrame, sizes: dict[int, int]) -> dict[int, IsolationForestModel]:
+        """Forests by number, without their offset, all in one pass.
+
+        ``rows``: __id, x and ``__for``, the forests whose training rows include the
+        row; ``sizes``: how many training rows a forest has. A row's draws are the
+        same for every forest.
+        """
         wanted = self.trees * self.sample
-        slots = max(1, -(-wanted // max(1, n)))
-        share = min(1.0, wanted / max(1, n) / slots)
+        slots = {k: max(1, -(-wanted // max(1, n))) for k, n in sizes.items()}
+        share = {k: min(1.0, wanted / max(1, n) / slots[k]) for k, n in sizes.items()}
         u = lambda tag: F.xxhash64(F.lit(self.seed), F.lit(tag), F.col("__id"), F.col("__slot"))
-        drawn = rows.withColumn("__slot", F.explode(F.sequence(F.lit(1), F.lit(slots)))).filter(
-            u("pick") / F.lit(2.0**64) + 0.5 < share
-        ).withColumn("tree", F.pmod(u("tree"), F.lit(self.trees)).cast("int")).dropDuplicates(["tree", "__id"])
+        picked = rows.withColumn("__slot", F.explode(F.sequence(F.lit(1), F.lit(max(slots.values()))))).withColumn(
+            "__pick", u("pick") / F.lit(2.0**64) + 0.5
+        ).filter(F.col("__pick") < max(share.values()))
+        forests = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(slots[k]).alias("slots"), F.lit(share[k]).alias("share")) for k in sizes])
+        mine = F.filter(forests, lambda f: F.array_contains("__for", f["k"]) & (F.col("__slot") <= f["slots"]) & (F.col("__pick") < f["share"]))
+        drawn = picked.select("__id", "x", F.pmod(u("tree"), F.lit(self.trees)).cast("int").alias("tree"), F.explode(mine).alias("__f"))
+        drawn = drawn.select("__id", "x", "tree", F.col("__f.k").alias("forest")).dropDuplicates(["forest", "tree", "__id"])
         weights = [self.repeats if c in self.emphasised else 1 for c in self.columns]
         odds = np.array(weights, dtype=float) / sum(weights)
-        depth, seed = max(1, math.ceil(math.log2(max(2, min(self.sample, n))))), self.seed
+        depths, seed = {k: max(1, math.ceil(math.log2(max(2, min(self.sample, n))))) for k, n in sizes.items()}, self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            tree = int(pdf["tree"].iloc[0])
+            tree, forest = int(pdf["tree"].iloc[0]), int(pdf["forest"].iloc[0])
+            depth = depths[forest]
             rng = np.random.default_rng([seed, tree])
             data = np.stack(pdf.sort_values("__id")["x"].to_numpy())
             nodes: list[list[float]] = []
@@ -160,15 +182,14 @@ class IsolationForest:
                 nodes.append([f, at, -1, -1])
                 right = sub[:, f] > at
                 todo += [(members[~right], level + 1, me, 0), (members[right], level + 1, me, 1)]
-            return pd.DataFrame({"tree": [tree], "nodes": [np.array(nodes).ravel().tolist()]})
+            return pd.DataFrame({"forest": [forest], "tree": [tree], "nodes": [np.array(nodes).ravel().tolist()]})
 
-        grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>")
-        # at most trees * 2 * sample nodes of four numbers
-        forest = [np.array(r["nodes"]).reshape(-1, 4) for r in grown.orderBy("tree").collect()]
-        model = IsolationForestModel(self, forest, _mean_path(min(self.sample, n)), 0.0)
-        scores = cut(model.score(df, "__s").select("__s"))  # read twice below
-        offset = contamination_threshold(scores, "__s", self.contamination).first()["threshold"]
-        return IsolationForestModel(self, forest, model.norm, offset)
+        grown = drawn.groupBy("forest", "tree").applyInPandas(grow, "forest int, tree int, nodes array<double>")
+        trees: dict[int, list] = {k: [] for k in sizes}
+        # for each forest at most trees * 2 * sample nodes of four numbers
+        for r in grown.orderBy("forest", "tree").collect():
+            trees[r["forest"]].append(np.array(r["nodes"]).reshape(-1, 4))
+        return {k: IsolationForestModel(self, trees[k], _mean_path(min(self.sample, n)), 0.0) for k, n in sizes.items()}
 
 
 @dataclass(frozen=True)
@@ -180,7 +201,7 @@ class IsolationForestModel:
 
     def score(self, df: DataFrame, out: str = "score_if") -> DataFrame:
         """Adds the score less the contamination quantile: rows above 0 are the flagged share."""
-        shared = df.sparkSession.sparkContext.broadcast(self.forest)
+        shared = df.sparkSession.sparkContext.broadcast([_walkable(nodes) for nodes in self.forest])
         norm, offset = self.norm, self.offset
         rows = df.withColumn("__x", self.config._matrix(df))
 
@@ -188,23 +209,37 @@ class IsolationForestModel:
         def scored(xs: pd.Series) -> pd.Series:
             if not len(xs):
                 return pd.Series([], dtype=float)
-            data = np.stack(xs.to_numpy())
-            total = np.zeros(len(data))
-            for nodes in shared.value:
-                at = np.zeros(len(data), dtype=int)
-                while True:
-                    f = nodes[at, 0].astype(int)
-                    live = f >= 0
-                    if not live.any():
-                        break
-                    right = data[np.arange(len(data)), np.maximum(f, 0)] > nodes[at, 1]
-                    at = np.where(live, np.where(right, nodes[at, 3], nodes[at, 2]).astype(int), at)
-                total += nodes[at, 1]
-            return pd.Series(np.power(2.0, -(total / len(shared.value)) / norm) - offset)
+            return pd.Series(np.power(2.0, -_mean_depth(shared.value, np.stack(xs.to_numpy())) / norm) - offset)
 
         return rows.withColumn(out, scored("__x")).drop("__x")
 
 
+def _walkable(nodes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Steps to the deepest leaf, and per node its feature, its limit, both children side by side and a leaf's depth.
+
+    A leaf is its own left child and no value is above its limit, so rows that have arrived stay.
+    """
+    feature, leaf = nodes[:, 0].astype(np.intp), nodes[:, 0] < 0
+    own = np.arange(len(nodes))
+    children = np.stack([np.where(leaf, own, nodes[:, 2]), np.where(leaf, own, nodes[:, 3])], axis=1).astype(np.intp)
+    steps, level = 0, np.array([0])
+    while not leaf[level].all():
+        steps, level = steps + 1, children[level[~leaf[level]]].ravel()
+    return steps, np.maximum(feature, 0), np.where(leaf, np.inf, nodes[:, 1]), children.ravel(), nodes[:, 1].copy()
+
+
+def _mean_depth(forest: Sequence[tuple], data: np.ndarray) -> np.ndarray:
+    """Mean over the trees of the depth of each row's leaf."""
+    total, flat, first = np.zeros(len(data)), data.ravel(), np.arange(len(data)) * data.shape[1]
+    for steps, feature, limit, children, depth in forest:
+        at = np.zeros(len(data), dtype=np.intp)
+        for _ in range(steps):
+            right = flat.take(first + feature.take(at)) > limit.take(at)
+            at = children.take(2 * at + right)
+        total += depth.take(at)
+    return total / len(forest)
+
+
 def _mean_path(n: int) -> float:
     """Mean depth of an unsuccessful search among ``n`` rows."""
     if n <= 1:
@@ -215,16 +250,37 @@ def _mean_path(n: int) -> float:
 
 
 def out_of_fold_forest(df: DataFrame, fold: str, folds: int, row_id: str, forest: IsolationForest, out: str = "score_if") -> DataFrame:
-    """Each row scored once by a forest grown on the other folds, also where its fold is beyond ``range(folds)``."""
-    parts, at = None, F.col(fold).cast("long")
-    for k in _fold_list(df, fold, folds):
-        held = df.filter(at == k)
-        if held.isEmpty():
-            continue
-        rest = df.filter(at != k)
-        scored = forest.fit(rest, row_id).score(held, out)
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts if parts is not None else df.withColumn(out, F.lit(None).cast("double"))
+    """Each row scored once by a forest grown on the other folds, also where its fold is beyond ``range(folds)``.
+
+    One pass draws the samples of all forests and one scores every row by each of
+    them: by its own fold's for the result, by the others for their offsets. Where no
+    other fold has a row the score is null.
+    """
+    held = _fold_sizes(df, fold)
+    if len(held) < 2:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    sizes = {i: sum(held.values()) - n for i, n in enumerate(held.values())}
+    number = F.array_position(F.array(*[F.lit(k).cast("long") for k in held]), F.col(fold).cast("long")).cast("int") - 1
+    others = F.filter(F.array(*[F.lit(i) for i in sizes]), lambda i: i != number)
+    rows = df.select(F.col(row_id).cast("string").alias("__id"), forest._matrix(df).alias("x"), others.alias("__for"))
+    models = list(forest._grown(rows, sizes).values())
+    shared = df.sparkSession.sparkContext.broadcast([([_walkable(nodes) for nodes in m.forest], m.norm) for m in models])
+
+    @F.pandas_udf("array<double>")
+    def scores(xs: pd.Series) -> pd.Series:
+        if not len(xs):
+            return pd.Series([], dtype=object)
+        data = np.stack(xs.to_numpy())
+        return pd.Series(list(np.stack([np.power(2.0, -_mean_depth(trees, data) / norm) for trees, norm in shared.value], axis=1)))
+
+    # the result and the offsets read them
+    marked = cut(df.withColumn("__x", forest._matrix(df)).withColumn("__scores", scores("__x")).withColumn("__own", number).drop("__x"))
+    every = marked.select("__own", F.posexplode("__scores").alias("__forest", "__s")).filter("__forest <> __own")
+    found = contamination_threshold(every, "__s", forest.contamination, ["__forest"])
+    offset = {r["__forest"]: r["threshold"] for r in found.select("__forest", "threshold").collect()}
+    # none where a forest had a single row
+    offsets = F.array(*[F.lit(offset.get(i)).cast("double") for i in sizes])
+    return marked.withColumn(out, F.get("__scores", F.col("__own")) - F.get(offsets, F.col("__own"))).drop("__scores", "__own")
 
 
 def conformal_margin(scores: DataFrame, score: str, alpha: float, keys: Sequence[str] = (), longest: int | None = None) -> DataFrame:

@@ -97,18 +97,27 @@ def held_out_scores(rows: DataFrame, folds: int, row_id: str, forest: IsolationF
 
 
 def ablation(rows: DataFrame, arms: dict[str, Sequence[str]], folds: int, row_id: str, make: Callable[[Sequence[str]], IsolationForest], registry: DataFrame, digs_per_km: float, tolerance: float, seed: int = 42) -> DataFrame:
-    """Recall of each column set and its paired difference to the first one."""
-    units = {}
+    """Recall of each column set and its paired difference to the first one.
+
+    All arms are resampled in one pass, by the same draws of a source.
+    """
+    seen = dict.fromkeys(c for columns in arms.values() for c in columns)
+    needed = dict.fromkeys(["survey_id", "line_id", "sample_idx", "chainage_m", "fold", row_id, *seen])
+    rows = cut(rows.select(*needed))  # every fold of every arm reads them
+    recalls = {}
     for name, columns in arms.items():
-        scored = cut(held_out_scores(rows, folds, row_id, make(columns)))
+        scored = held_out_scores(rows, folds, row_id, make(columns)).select("survey_id", "line_id", "sample_idx", "chainage_m", "score")
         dug = detect(scored, Scoring(name, "score", 0.0), registry, digs_per_km, tolerance)
-        units[name] = cut(recall_units(dug, registry, rows).select("source_id", F.col("hit_rate").alias("value")))
-    base, parts = next(iter(arms)), []
-    for name in arms:
-        pairs = pair_values(units[name], units[base], "source_id")
-        delta = metrics.paired_bootstrap(pairs, [], "source_id", "a", "b", 500, 0.95, seed)
-        recall = units[name].agg(F.avg("value").alias("recall"))
-        parts.append(recall.crossJoin(delta).withColumn("arm", F.lit(name)))
+        recalls[name] = cut(recall_units(dug, registry, rows).select("source_id", F.col("hit_rate").alias("value")))
+    base = recalls[next(iter(arms))]
+    sides = [F.when(F.col("arm") == i, F.col("a") - F.col("b")) for i in range(len(arms))]
+    pairs = reduce(DataFrame.unionByName, [pair_values(units, base, "source_id").withColumn("arm", F.lit(i)) for i, units in enumerate(recalls.values())])
+    wide = cut(pairs.groupBy("source_id").agg(*[F.max(side).alias(f"d{i}") for i, side in enumerate(sides)]))
+    got = cut(metrics.bootstrap(wide, [], "source_id", [f"d{i}" for i in range(len(arms))], 500, 0.95, seed))
+    parts = []
+    for i, (name, units) in enumerate(recalls.items()):
+        delta = got.select(*[F.col(f"d{i}_{end}").alias(f"delta_{end}") for end in ("point", "lo", "hi")])
+        parts.append(units.agg(F.avg("value").alias("recall")).crossJoin(delta).withColumn("arm", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
