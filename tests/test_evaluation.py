@@ -1,5 +1,6 @@
 import hashlib
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -227,3 +228,20 @@ def test_rows_of_a_few_keys_stay_where_they_are(spark):
         assert {r.feature: r.psi for r in plans[2].collect()} == {"0": 0.0, "1": 0.0, "2": 0.0}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rows_of_a_unit_share_its_draws(spark, monkeypatch):
+    draws = [hashlib.sha256(f"42|{k}".encode()).hexdigest() for k in range(500)] + ["0" * 64, "f" * 64]
+    for step in metrics.POISSON_STEPS[:10]:
+        at = math.ceil(Fraction(step) * (1 << 52))
+        draws += [f"{n:013x}" + end * 51 for n in (at - 1, at) for end in "0f"]
+    got = spark.createDataFrame([(d,) for d in draws], "d string").select("d", metrics.poisson_of_digest(F.col("d")).alias("n")).collect()
+    assert all(r.n == sum(int(r.d[:13], 16) / 2**52 >= p for p in metrics.POISSON_STEPS) for r in got)
+    units = spark.range(300).select((F.col("id") % 50).alias("u"), (F.col("id") % 3).alias("k"), (F.col("id") * 7 % 11).cast("double").alias("x"))
+    want = metrics.bootstrap(units, ["k"], "u", ["x"], 60, 0.9, 42).orderBy("k").collect()
+    monkeypatch.setattr(metrics, "UNIT_ROWS", 2)
+    split = metrics.bootstrap(units, ["k"], "u", ["x"], 60, 0.9, 42).orderBy("k").collect()
+    for a, b in zip(want, split):
+        one = metrics.bootstrap(units.filter(F.col("k") == a.k), [], "u", ["x"], 60, 0.9, 42).first()
+        for c in ("x_point", "x_lo", "x_hi"):
+            assert a[c] == pytest.approx(b[c]) and a[c] == pytest.approx(one[c])
