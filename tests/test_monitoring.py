@@ -79,3 +79,14 @@ def test_stored_sample_equals_the_pairwise_tests(spark):
         want = drift.psi(ref, mine, edges).join(drift.ks(ref, mine), "feature").first()
         assert got.loc[f"g{n}"][["psi", "ks_stat", "ks_pvalue"]].tolist() == pytest.approx([want.psi, want.ks_stat, want.ks_pvalue])
     assert sample.psi(cur.limit(0), ["g"]).isEmpty() and sample.ks(cur.withColumn("feature", F.lit("new")), ["g"]).isEmpty()
+
+
+def test_rows_of_a_feature_are_not_dealt_out_by_it(spark):
+    sample = spark.range(200).select(F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("feature"), F.col("id").cast("double").alias("x"))
+    edges = spark.createDataFrame([(f, [0.0, 50.0, 100.0, 200.0]) for f in ("f0", "f1")], "feature string, bin_edges array<double>")
+    stored = drift.StoredSample(sample, edges)
+    current = sample.withColumn("survey_id", F.col("x") % 5)
+    for got in (stored.psi(current, ["survey_id"]), stored.ks(current, ["survey_id"])):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(feature#" not in plan
+        assert got.count() == 10

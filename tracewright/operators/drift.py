@@ -132,7 +132,8 @@ class StoredSample:
     def psi(self, current: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Population stability index per group and feature of ``current`` (keys, feature, x)."""
         keys = [*keys, "feature"]
-        binned = self._known(current).join(self.shares, "feature").groupBy(*keys, "shares", bin_of(F.col("x"), F.col("bin_edges")).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
+        # a row a feature goes to the tasks: dealt out by feature, all rows of one would meet in a task
+        binned = self._known(current).join(F.broadcast(self.shares), "feature").groupBy(*keys, "shares", bin_of(F.col("x"), F.col("bin_edges")).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
         # at most one entry per bin
         per = binned.groupBy(*keys, "shares").agg(F.map_from_entries(F.collect_list(F.struct("__bin", "__c"))).alias("__m"), F.sum("__c").alias("n"))
 
@@ -164,7 +165,7 @@ class StoredSample:
         total = steps.groupBy(*keys).agg(F.sum("n").alias("nc"))
         steps = steps.withColumn("__r", places(F.col("feature"), F.col("x"))).join(total, keys)
         gap = F.greatest(F.abs(F.col("cum_n") / F.col("nc") - F.col("__r.upto")), F.abs((F.col("cum_n") - F.col("n")) / F.col("nc") - F.col("__r.below")))
-        out = steps.groupBy(*keys, "nc").agg(F.max(gap).alias("ks_stat")).join(self.shares.select("feature", "nr"), "feature")
+        out = steps.groupBy(*keys, "nc").agg(F.max(gap).alias("ks_stat")).join(F.broadcast(self.shares.select("feature", "nr")), "feature")
         return out.select(*keys, "ks_stat", _ks_pvalue(F.col("ks_stat"), F.col("nr"), F.col("nc")).alias("ks_pvalue"))
 
 
