@@ -18,8 +18,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
 
@@ -360,3 +364,58 @@ def map_groups(df: DataFrame, by: Sequence[str], order: str, call: Callable[[pd.
             yield call(rows, starts(rows))
 
     return df.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+
+
+def map_short(
+    series: Series, needed: Sequence[str], call: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], made: Sequence[T.StructField], grouped: bool = False
+) -> DataFrame:
+    """The rows of short series with the columns that ``call`` makes of whole ones, many at once.
+
+    A call gets the columns ``needed`` (NULL as NaN) of rows sorted by key and index,
+    and the place of every key's first row. What it returns under "keep" tells which
+    rows stay, the rest are the columns ``made`` (NaN becomes NULL). The other columns
+    stay as they are. Rows without a key are left out.
+
+    ``grouped``: the rows are what this function returned for the same keys, selected
+    at most, so that a key's rows lie together and in order. They aren't moved again.
+    """
+    keys, idx = list(series.keys), series.idx
+    df = series.df if grouped else series.df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, idx)
+    schema = T.StructType([*df.schema.fields, *made])
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(len(rows), dtype=bool)
+        new[:1] = True
+        for k in keys:
+            v = rows[k]
+            new[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy()
+        return np.flatnonzero(new)
+
+    def done(rows: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        got = call({c: rows[c].cast(pa.float64()).to_numpy() for c in needed}, at)
+        keep = got.pop("keep", None)
+        for f in made:
+            v = got[f.name]
+            rows = rows.append_column(f.name, pa.array(v, type=to_arrow_type(f.dataType), mask=np.isnan(v) if v.dtype.kind == "f" else None))
+        yield from (rows if keep is None else rows.filter(pa.array(keep))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, CALL_ROWS
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < enough:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            at = starts(rows)
+            if at[-1]:
+                yield from done(rows.slice(0, at[-1]), at[:-1])
+            # the last key may go on in the next batch
+            held = rows.slice(at[-1]).to_batches()
+            n = len(rows) - int(at[-1])
+            enough = max(CALL_ROWS, 2 * n)
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from done(rows, starts(rows))
+
+    return df.mapInArrow(run, schema)

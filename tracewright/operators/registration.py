@@ -9,12 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import along_bearing_m, safe_div
 from ..session import cut
+from . import short
 from .islands import bridged_gaps
 from .matching import nearest
-from .ordered import Series, after, before, following, highest, indexed, latest, order_rows, position, total
+from .ordered import Series, after, before, following, highest, indexed, latest, map_short, order_rows, position, total
 from .quantiles import median_mad, quantiles
 from .series import gradient, interpolate, resample, rolling_median
 
@@ -42,6 +44,11 @@ def dead_reckon(series: Series, cfg: RegistrationConfig = RegistrationConfig(),
     keys, idx, cols = list(series.keys), series.idx, series.df.columns
     gps = along_bearing_m(F.col("lat"), F.col("lon"), cfg.lat0, cfg.lon0, cfg.bearing_deg)
     rows = series.with_df(series.df.withColumn("__gps", gps))
+    if series.one_chunk:
+        def reckon(c: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+            return {"dr_m": short.dead_reckoned(c[time], c["__gps"], starts, cfg, GPS_SMOOTH_M)}
+
+        return series.with_df(map_short(rows, [time, "__gps"], reckon, [T.StructField("dr_m", T.DoubleType())]).drop("__gps"))
     is_fix = F.col("__gps").isNotNull()
 
     dt = rows.running(__t0=before(F.col(time)))
@@ -212,13 +219,12 @@ def register(series: Series, cfg: RegistrationConfig = RegistrationConfig(), sig
     span = dr.df.groupBy(*keys).agg((F.max("dr_m") - F.min("dr_m")).alias("__span"), F.count(F.lit(1)).alias("__n"))
     usable = span.filter((F.col("__span") >= 1.5 * cfg.pitch_m) & (F.col("__n") >= 20)).select(*keys)
 
-    window = round(max(5.0 * cfg.pitch_m, 10 * GRID_M) / GRID_M)
+    window, lo, hi = _comb_rows(cfg)
     points = resample(dr.with_df(dr.df.join(usable, keys, "left_semi")), "dr_m", signal, GRID_M)
     # points are several times the rows: made anew where they are read, and written once, with their envelope
     last = points.agg(F.max("grid_i")).first()[0]
     grid = Series(points, tuple(keys), "grid_i", int(last or 0) + 1, dr.chunk_rows, dense=True)
     env = envelope(grid, signal, window)
-    lo, hi = int(np.ceil(max(3 * GRID_M, 0.5 * cfg.pitch_m) / GRID_M - 1e-9)), int(np.floor(1.5 * cfg.pitch_m / GRID_M + 1e-9))
     lags = best_lag(lag_products(env, "env", hi), keys, lo, hi)
     lags = lags.join(span, keys).filter(F.floor(F.col("__span") / (F.col("lag") * GRID_M)) >= 2).select(*keys, "lag")
     welds = cut(fit_lattice(comb_teeth(env, "env", cut(lags), window / 2.0), keys))
@@ -236,3 +242,38 @@ def register(series: Series, cfg: RegistrationConfig = RegistrationConfig(), sig
     )
     return out, quality
 
+
+def _comb_rows(cfg: RegistrationConfig) -> tuple[int, int, int]:
+    """Grid points of the envelope's window, of the shortest and of the longest period."""
+    window = round(max(5.0 * cfg.pitch_m, 10 * GRID_M) / GRID_M)
+    return window, int(np.ceil(max(3 * GRID_M, 0.5 * cfg.pitch_m) / GRID_M - 1e-9)), int(np.floor(1.5 * cfg.pitch_m / GRID_M + 1e-9))
+
+
+QUALITY = ("n_welds_detected long", "pitch_estimate_m double", "gps_locked_fraction double", "max_interpolated_gap_m double", "note string")
+
+
+def registered(series: Series, cfg: RegistrationConfig = RegistrationConfig(), signal: str = "b_mid_nt") -> DataFrame:
+    """What ``register`` gives, as one table: every row with its key's quality.
+
+    Keys that fit in a chunk are dealt out once and worked on whole; neither their
+    rows nor their grids are written.
+    """
+    keys, cols = list(series.keys), series.df.columns
+    if not series.one_chunk:
+        rows, quality = register(series, cfg, signal)
+        return rows.join(quality, keys)
+    window, lo, hi = _comb_rows(cfg)
+    made = T.StructType.fromDDL(", ".join(("dr_m double", "chainage_m double", "dist_to_weld_m double", *QUALITY))).fields
+
+    def place(c: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        dr = short.dead_reckoned(c["t_s"], c["__gps"], starts, cfg, GPS_SMOOTH_M)
+        parts = []
+        for a, b in short.bounds(starts, len(dr)):
+            got = short.registered(dr[a:b], c[signal][a:b], c["__fix"][a:b] > 0, cfg, GRID_M, window, (lo, hi))
+            parts.append({k: v if np.ndim(v) else np.full(b - a, v, dtype=object if k == "note" else None) for k, v in got.items()})
+        return {"dr_m": dr, **{k: np.concatenate([p[k] for p in parts]) for k in parts[0]}}
+
+    gps = along_bearing_m(F.col("lat"), F.col("lon"), cfg.lat0, cfg.lon0, cfg.bearing_deg)
+    rows = series.df.withColumn("__gps", gps).withColumn("__fix", (F.col("lat").isNotNull() & F.col("lon").isNotNull()).cast("double"))
+    out = map_short(series.with_df(rows), ["t_s", "__gps", "__fix", signal], place, made)
+    return out.select(*cols, *[f.name for f in made])

@@ -177,26 +177,31 @@ def rolling_medians(series: Series, columns: dict[str, str], window: str, reach:
     schema = T.StructType([*series.df.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns.values()]])
 
     def chunks(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        rows = np.diff([*starts, len(pdf)])
-        w = pdf[window].to_numpy()[starts].astype("int64")
         # chunk borders inside a series carry at least ``reach`` neighbours, so the repeats only count at its ends
-        pad = w // 2 if repeat_ends else np.zeros_like(w)
-        size = rows + 2 * pad
-        first = np.repeat(np.cumsum(size) - size, size)
-        at = np.arange(len(first))
-        source = np.clip(at - first - np.repeat(pad, size), 0, np.repeat(rows - 1, size)) + np.repeat(starts, size)
-        own = (at - first >= np.repeat(pad, size)) & (at - first < np.repeat(pad + rows, size))
-        # the frames of a centred window, none beyond its group
-        end = at + 1 + np.repeat((w - 1) // 2, size)
-        spans = _Spans(start=np.maximum(first, end - np.repeat(w, size)), end=np.minimum(first + np.repeat(size, size), end))
-        for y, out in columns.items():
-            v = pd.Series(pdf[y].to_numpy(dtype="float64", na_value=np.nan)[source])
-            pdf[out] = v.rolling(spans, min_periods=1).median().to_numpy()[own]
+        values = [pdf[y].to_numpy(dtype="float64", na_value=np.nan) for y in columns]
+        for out, v in zip(columns.values(), centred_medians(values, starts, pdf[window].to_numpy()[starts], repeat_ends)):
+            pdf[out] = v
         return pdf.loc[pdf["__core"], [*kept, *columns.values()]]
 
     return series.with_df(map_groups(series.halo(reach, reach), series.chunk_keys(), idx, chunks, schema))
 
 
+def centred_medians(values: Sequence[np.ndarray], starts: np.ndarray, window: np.ndarray, repeat_ends: bool = False) -> list[np.ndarray]:
+    """Centred medians of groups that begin at ``starts``, each over its odd ``window``; NaN counts as missing."""
+    rows = np.diff([*starts, len(values[0])])
+    w = np.asarray(window).astype("int64")
+    pad = w // 2 if repeat_ends else np.zeros_like(w)
+    size = rows + 2 * pad
+    first = np.repeat(np.cumsum(size) - size, size)
+    at = np.arange(len(first))
+    source = np.clip(at - first - np.repeat(pad, size), 0, np.repeat(rows - 1, size)) + np.repeat(starts, size)
+    own = (at - first >= np.repeat(pad, size)) & (at - first < np.repeat(pad + rows, size))
+    # the frames of a centred window, none beyond its group
+    end = at + 1 + np.repeat((w - 1) // 2, size)
+    spans = _Spans(start=np.maximum(first, end - np.repeat(w, size)), end=np.minimum(first + np.repeat(size, size), end))
+    return [pd.Series(v[source]).rolling(spans, min_periods=1).median().to_numpy()[own] for v in values]
+
+
 def smooth_polynomial(series: Series, y: str, window: int, degree: int, out: str) -> Series:
     """Local polynomial smoothing of fixed width: one weighted sum per row, a polynomial fit at both ends."""
     half, kept, idx = window // 2, series.df.columns, series.idx

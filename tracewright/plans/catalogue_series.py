@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baseline, features, plugins, registration, series as ts
 from ..operators.matching import nearest_distance
-from ..operators.ordered import Series, by_position, highest, indexed
+from ..operators.ordered import Series, by_position, highest, indexed, order_rows
 from ..session import cut
 from . import views as v
 from .catalogue import SQL, query
@@ -220,18 +220,23 @@ def nearest_mark_distance(spark, sf):
 
 def _walks(spark, sf) -> Series:
     """Items as walks: one second per row along a bearing, a fix unless the item was returned."""
-    s = v.items(spark, sf)
+    rows = v.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("survey_id"), *v.ITEM_ORDER, "l_quantity", "l_discount", (F.col("l_returnflag") != "R").alias("fix")
+    )
+    # by survey from the start, so that the steps on whole surveys needn't deal the rows out again
+    s = order_rows(rows, ["survey_id"], v.ITEM_ORDER)
     cfg = registration.RegistrationConfig()
     along = F.col("sample_idx") * F.lit(cfg.speed) + (F.col("l_discount") - 0.05) * 4
     brg = F.radians(F.lit(cfg.bearing_deg))
-    fix = F.col("l_returnflag") != "R"
+    y = F.col("l_extendedprice") / 1000.0
     df = s.df.select(
-        F.col("l_suppkey").cast("string").alias("survey_id"), F.col("l_suppkey").cast("string").alias("line_id"), F.lit(0).cast("long").alias("run_id"), "sample_idx",
-        F.col("sample_idx").cast("double").alias("t_s"), F.when(fix, cfg.lat0 + along * F.cos(brg) / 111320.0).alias("lat"),
-        F.when(fix, cfg.lon0 + along * F.sin(brg) / (111320.0 * F.cos(F.radians(F.lit(cfg.lat0))))).alias("lon"),
-        (F.col("y") + 45000).alias("b_lo_nt"), (F.col("y") * 1.1 + 45000 + F.col("l_quantity") * 0.2).alias("b_mid_nt"), (F.col("y") * 1.2 + 45000).alias("b_hi_nt"),
+        "survey_id", F.col("survey_id").alias("line_id"), F.lit(0).cast("long").alias("run_id"), "sample_idx",
+        F.col("sample_idx").cast("double").alias("t_s"), F.when(F.col("fix"), cfg.lat0 + along * F.cos(brg) / 111320.0).alias("lat"),
+        F.when(F.col("fix"), cfg.lon0 + along * F.sin(brg) / (111320.0 * F.cos(F.radians(F.lit(cfg.lat0))))).alias("lon"),
+        (y + 45000).alias("b_lo_nt"), (y * 1.1 + 45000 + F.col("l_quantity") * 0.2).alias("b_mid_nt"), (y * 1.2 + 45000).alias("b_hi_nt"),
     )
-    return indexed(cut(df), ["survey_id"], "sample_idx", s.longest)
+    # larger surveys go by chunks, whose steps read the rows several times
+    return indexed(df if s.one_chunk else cut(df), ["survey_id"], "sample_idx", s.longest)
 
 
 @query()
@@ -241,8 +246,9 @@ def dead_reckoning(spark, sf):
 
 @query()
 def survey_registration(spark, sf):
-    rows, quality = registration.register(_walks(spark, sf))
-    return rows.select("survey_id", "sample_idx", "chainage_m", "dist_to_weld_m").join(quality.select("survey_id", "n_welds_detected", "note"), "survey_id")
+    walks = _walks(spark, sf)
+    needed = walks.with_df(walks.df.select("survey_id", "sample_idx", "t_s", "lat", "lon", "b_mid_nt"))
+    return registration.registered(needed).select("survey_id", "sample_idx", "chainage_m", "dist_to_weld_m", "n_welds_detected", "note")
 
 
 @query()
