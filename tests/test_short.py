@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_surveys import CFG, walk
-from tracewright.operators import ordered, short
+from tracewright.operators import baseline, ordered, series, short
+from tracewright.operators import features as ft
 from tracewright.operators import registration as reg
 from tracewright.operators.ordered import indexed
 from tracewright.plans import catalogue_series
@@ -81,6 +82,41 @@ def test_short_surveys_are_dealt_out_once_and_not_written(spark, tmp_path, monke
     assert got.filter("dist_to_weld_m is not null").count() > 300 and seen == []
 
 
+def test_the_features_of_short_surveys_are_not_written(spark, tmp_path, monkeypatch):
+    seen = written(monkeypatch, reg, catalogue_series, ordered, baseline, series, ft)
+    got = catalogue_series.feature_frame(spark, lineitems(spark, tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    pdf = got.toPandas()
+    assert seen == [] and pdf["survey_id"].nunique() == 5 and pdf["r_mid_nt"].isna().any() and pdf["w25m_std_nt"].notna().any()
+
+
+@pytest.mark.parametrize("window,policy", [(40.0, "flag"), (0.0, "drop")])
+def test_features_of_whole_surveys_are_those_by_chunks(spark, window, policy):
+    kinds = [walk(31, 0, n=1500), walk(32, 1, n=1200), walk(33, 2, n=300), walk(34, 3, n=100)[:2], walk(35, 4, n=300), walk(36, 5, n=800)]
+    kinds[1].loc[200:260, "b_mid_nt"] = np.nan
+    kinds[1].loc[900, ["b_lo_nt", "b_hi_nt"]] = np.nan
+    kinds[2]["b_hi_nt"] = np.nan
+    kinds[4][["b_lo_nt", "b_mid_nt", "b_hi_nt"]] = np.nan
+    kinds[5].loc[300:420, "b_mid_nt"] = 49500.0  # flat tops
+    df = pd.concat(kinds).rename(columns={"chainage_true_m": "chainage_m"})
+    df["survey_id"], df["dist_to_weld_m"] = df["line_id"] + "_R" + df["run_id"].astype(str), 1.0
+    rows = spark.createDataFrame(df[[*KEYS, "line_id", "run_id", "chainage_m", "dist_to_weld_m", "lat", "lon", "b_lo_nt", "b_mid_nt", "b_hi_nt"]])
+    for c in ("lat", "lon", "b_lo_nt", "b_mid_nt", "b_hi_nt"):
+        rows = rows.withColumn(c, F.when(~F.isnan(c), F.col(c)))
+    rows = rows.withColumn("sample_idx", F.col("sample_idx") * 3 + F.col("sample_idx") % 2).persist()
+    cfg = ft.FeatureConfig(detrend_window_m=window, edge_policy=policy, windows_m=(1.0, 2.0, 5.0))
+    whole, by_chunks = (ft.feature_frame(indexed(rows, ["survey_id"], "sample_idx", 1500, chunk_rows=n), cfg) for n in (1 << 16, 700))
+    assert whole.dtypes == by_chunks.dtypes
+    got = whole.toPandas()
+    assert got["fwhm_m"].notna().any() and got["decay_exponent"].notna().any() and not (got["run_id"] == 4).any()
+    want = by_chunks.toPandas()
+    for x in (got, want):
+        for w in ft.window_prefixes(cfg):
+            # the kurtosis of a flat stretch is rounding
+            x.loc[x[f"{w}_std_nt"] < 1, f"{w}_kurt"] = np.nan
+    pd.testing.assert_frame_equal(*(x.sort_values(KEYS, ignore_index=True) for x in (got, want)), rtol=1e-4, atol=1e-4)
+
+
 def test_a_long_grid_is_made_in_blocks():
     d = walk(21, n=1500, dropout=0.0)
     x = np.maximum.accumulate(d["chainage_true_m"].to_numpy())

@@ -93,30 +93,32 @@ def robust_polynomial(
     return fit.select(*keys, "coef")
 
 
+def fit_polynomial(pos: np.ndarray, y: np.ndarray, degree: int = 3, rounds: int = 4, tukey: float = 4.685) -> list[float]:
+    """The fit of ``robust_polynomial`` to the known rows of one key, over their positions mapped to [-1, 1]."""
+    span = pos.max() - pos.min()
+    powers = np.vander(2 * (pos - pos.min()) / span - 1 if span > 0 else np.zeros(len(pos)), degree + 1, increasing=True)
+    weighted = lambda w: np.linalg.lstsq((powers * w[:, None]).T @ powers, powers.T @ (w * y), rcond=None)[0]
+    coef = weighted(np.ones(len(y)))
+    for _ in range(rounds):
+        left = y - powers @ coef
+        sigma = MAD_SIGMA * np.median(np.abs(left - np.median(left)))
+        if sigma <= EPS * max(1.0, np.abs(y).max()):
+            break
+        w = np.clip(1 - (left / (tukey * sigma)) ** 2, 0, None) ** 2
+        if w.sum() <= degree + 1:
+            break
+        coef = weighted(w)
+    return coef.tolist()
+
+
 def _fit_small(rows: DataFrame, keys: list[str], axis: str, degree: int, rounds: int, tukey: float) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", coef array<double>"
 
-    def fit(pos: np.ndarray, y: np.ndarray) -> list[float]:
-        span = pos.max() - pos.min()
-        powers = np.vander(2 * (pos - pos.min()) / span - 1 if span > 0 else np.zeros(len(pos)), degree + 1, increasing=True)
-        weighted = lambda w: np.linalg.lstsq((powers * w[:, None]).T @ powers, powers.T @ (w * y), rcond=None)[0]
-        coef = weighted(np.ones(len(y)))
-        for _ in range(rounds):
-            left = y - powers @ coef
-            sigma = MAD_SIGMA * np.median(np.abs(left - np.median(left)))
-            if sigma <= EPS * max(1.0, np.abs(y).max()):
-                break
-            w = np.clip(1 - (left / (tukey * sigma)) ** 2, 0, None) ** 2
-            if w.sum() <= degree + 1:
-                break
-            coef = weighted(w)
-        return coef.tolist()
-
     def groups(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         pos, y = pdf[axis].to_numpy(dtype=float), pdf["__y"].to_numpy(dtype=float)
         out = pdf.loc[starts, keys]
-        out["coef"] = [fit(pos[a:b], y[a:b]) for a, b in zip(starts, [*starts[1:], len(pdf)])]
+        out["coef"] = [fit_polynomial(pos[a:b], y[a:b], degree, rounds, tukey) for a, b in zip(starts, [*starts[1:], len(pdf)])]
         return out
 
     return cut(map_groups(rows, keys, axis, groups, schema))

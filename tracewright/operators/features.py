@@ -6,15 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as s
 from ..session import cut
+from . import short
 from .baseline import detrend
 from .guards import assert_no_forbidden, flag_edges
-from .ordered import Series, by_position
+from .ordered import Series, by_position, map_short
 from .quality import HEADS, READING_SCHEMA
 from .series import (
-    assign_to_peaks, decay_exponents, gradient, mean_step, odd_window, peak_shapes, rolling_stats,
+    ROLLING, assign_to_peaks, decay_exponents, gradient, mean_step, odd_window, peak_shapes, rolling_stats,
 )
 
 # fixed values: the pinned feature columns in their order, their unit and the operator that makes them; in a window's
@@ -87,24 +89,26 @@ def pinned_columns(cfg: FeatureConfig = FeatureConfig()) -> list[str]:
     return out
 
 
-def feature_frame(series: Series, cfg: FeatureConfig = FeatureConfig(), chainage: str = "chainage_m", label: str | None = None) -> DataFrame:
+def feature_frame(series: Series, cfg: FeatureConfig = FeatureConfig(), chainage: str = "chainage_m", label: str | None = None, grouped: bool = False) -> DataFrame:
     """Features of every row.
 
     The input needs the keys, survey_id, line_id, run_id, the position, the
     registered chainage, dist_to_weld_m, lat, lon and the three heads. Windows and
     peaks count rows. With ``label`` the rows come out under that column in place of
     the position. Stages that are read several times are cut from the plan.
+
+    Surveys that fit in a chunk are worked on whole and nothing is written; ``grouped``
+    as in ``map_short``.
     """
+    if series.one_chunk:
+        return _of_short(series, cfg, chainage, label, grouped)
     if not series.dense:
         return feature_frame(by_position(series, "__label"), cfg, chainage, "__label")
     keys, idx = list(series.keys), series.idx
     rows = series.df
     heads = {"b_lo_nt": "r_lo_nt", "b_mid_nt": "r_mid_nt", "b_hi_nt": "r_hi_nt"}
     flat = detrend(series, chainage, heads, cfg.detrend_window_m, cfg.detrend_degree)
-    lo, mid, hi = F.col("r_lo_nt"), F.col("r_mid_nt"), F.col("r_hi_nt")
-    df = flat.df.withColumn("g1_nt_per_m", s.first_difference(lo, hi, cfg.head_spacing_m)).withColumn(
-        "g2_nt_per_m2", s.second_difference(lo, mid, hi, cfg.head_spacing_m)
-    ).withColumn("standoff_est_m", s.standoff_m(mid, F.col("g2_nt_per_m2"), cfg.nominal_standoff_m))
+    df = _across_heads(flat.df, cfg)
 
     # equal neighbouring positions would divide by zero; the nudge is far below the position's accuracy
     work = flat.with_df(df.withColumn("__s", F.col(chainage) + F.col(idx) * F.lit(TIE_BREAK_M)))
@@ -131,17 +135,46 @@ def feature_frame(series: Series, cfg: FeatureConfig = FeatureConfig(), chainage
     shaped = assign_to_peaks(work, peaks, ["fwhm_m", "peak_asymmetry", "decay_exponent", "peak_prominence_nt"], cfg.peak_radius, "__dist")
     rolled = rolling_stats(shaped, "r_mid_nt", wins, reach)
 
+    out = rolled.df.withColumn("peak_distance_m", F.col("__dist") * F.col("mean_step"))
+    out = out.withColumn("__half", F.floor(widest / 2).cast("long"))
+    flagged = flag_edges(work.with_df(out), F.col("__half"), drop=cfg.edge_policy == "drop")
+    return _pinned(flagged, cfg, idx, chainage, label)
+
+
+def _across_heads(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    lo, mid, hi = F.col("r_lo_nt"), F.col("r_mid_nt"), F.col("r_hi_nt")
+    return df.withColumn("g1_nt_per_m", s.first_difference(lo, hi, cfg.head_spacing_m)).withColumn(
+        "g2_nt_per_m2", s.second_difference(lo, mid, hi, cfg.head_spacing_m)
+    ).withColumn("standoff_est_m", s.standoff_m(mid, F.col("g2_nt_per_m2"), cfg.nominal_standoff_m))
+
+
+def _pinned(df: DataFrame, cfg: FeatureConfig, idx: str, chainage: str, label: str | None) -> DataFrame:
+    """The frame's columns, with the features that a row's others give."""
     cube = F.pow(F.col("standoff_est_m"), F.lit(3.0))
-    out = rolled.df.withColumn("peak_distance_m", F.col("__dist") * F.col("mean_step")).withColumn(
-        "r_mag_norm_nt_m3", mid * cube
-    ).withColumn("peak_prominence_norm_nt_m3", F.col("peak_prominence_nt") * cube).withColumn("gps_locked", s.locked(F.col("lat"), F.col("lon")))
+    out = df.withColumn("r_mag_norm_nt_m3", F.col("r_mid_nt") * cube).withColumn(
+        "peak_prominence_norm_nt_m3", F.col("peak_prominence_nt") * cube
+    ).withColumn("gps_locked", s.locked(F.col("lat"), F.col("lon")))
     out = out.select("*", *[
-        F.col(f"{p}_{stat}").alias(f"{p}_{suffix}") for p in wins for stat, suffix in STAT_SUFFIX.items() if stat != suffix
+        F.col(f"{p}_{stat}").alias(f"{p}_{suffix}") for p in window_prefixes(cfg) for stat, suffix in STAT_SUFFIX.items() if stat != suffix
     ])
-    out = out.withColumn("__half", F.floor(widest / 2).cast("long"))
-    flagged = flag_edges(work.with_df(out), F.col("__half"), drop=cfg.edge_policy == "drop")
     key_cols = ["survey_id", "line_id", "run_id", F.col(label or idx).alias(idx), chainage]
-    return flagged.select(
+    return out.select(
         *key_cols, F.lit(cfg.version).cast("long").alias("feature_version"), "dq_flag",
         *[F.col(c).cast("float").alias(c) for c in pinned_columns(cfg)],
     )
+
+
+def _of_short(series: Series, cfg: FeatureConfig, chainage: str, label: str | None, grouped: bool) -> DataFrame:
+    prefixes, heads = window_prefixes(cfg), {"r_lo_nt": "b_lo_nt", "r_mid_nt": "b_mid_nt", "r_hi_nt": "b_hi_nt"}
+    made = [*heads, *short.PEAK_COLUMNS, *[f"{p}_{stat}" for p in prefixes for stat in ROLLING]]
+
+    def call(c: dict, starts) -> dict:
+        return short.features(c[chainage], {r: c[b] for r, b in heads.items()}, starts, prefixes, cfg, TIE_BREAK_M)
+
+    cols = [c for c in series.df.columns if c in {*series.keys, "survey_id", "line_id", "run_id", series.idx, label, chainage, "dist_to_weld_m", "lat", "lon", *heads.values()}]
+    fields = [*[T.StructField(c, T.DoubleType()) for c in made], T.StructField("edge", T.BooleanType())]
+    df = map_short(series.with_df(series.df.select(*cols)), [chainage, *heads.values()], call, fields, grouped)
+    df = df.withColumn("dq_flag", F.when(F.col("edge"), "edge").otherwise("clean"))
+    if cfg.edge_policy == "drop":
+        df = df.filter("dq_flag = 'clean'")
+    return _pinned(_across_heads(df, cfg), cfg, series.idx, chainage, label)

@@ -126,31 +126,38 @@ def rolling_stats(series: Series, y: str, windows: dict[str, str], reach: int) -
     idx = series.idx
 
     def chunks(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        v, n = pdf[y].astype("float64"), len(pdf)
-        first = np.repeat(starts, np.diff([*starts, n]))
-        end = np.repeat([*starts[1:], n], np.diff([*starts, n]))
-        centred, known = _centred(v, starts), np.concatenate([[0], v.notna().cumsum()])
-        for prefix, column in windows.items():
-            w = pdf[column].to_numpy()[first].astype("int64")
-            at = np.arange(n)
-            lo, hi = np.maximum(first, at - w // 2), np.minimum(end, at + w // 2 + 1)
-            spans = _Spans(start=lo, end=hi)
-            # as with ``min_periods=w``: a frame without w known values has no statistic
-            full, all_zc = known[hi] - known[lo] >= w, hi - lo >= w
-            roll = v.rolling(spans, min_periods=1)
-            top = roll.max()
-            pdf[f"{prefix}_mean"], pdf[f"{prefix}_std"], pdf[f"{prefix}_max"] = roll.mean().where(full), roll.std().where(full), top.where(full)
-            pdf[f"{prefix}_ptp"] = (top - roll.min()).where(full)
-            pdf[f"{prefix}_kurt"] = centred.rolling(spans, min_periods=1).kurt().where(full & (w >= 4))
-            pdf[f"{prefix}_zcr"] = pdf["__zc"].rolling(spans, min_periods=1).mean().where(all_zc)
-            pdf[f"{prefix}_energy"] = (v * v).rolling(spans, min_periods=1).sum().where(full)
-        return pdf.loc[pdf["__core"], [f.name for f in schema.fields]]
+        got = window_stats(pdf[y].astype("float64"), pdf["__zc"], starts, {p: pdf[c].to_numpy()[starts] for p, c in windows.items()})
+        return pdf.assign(**got).loc[pdf["__core"], [f.name for f in schema.fields]]
 
     tagged = crossed.halo(reach, reach)
     out = map_groups(tagged, crossed.chunk_keys(), idx, chunks, schema)
     return series.with_df(_no_nan(out, [f"{p}_{s}" for p in windows for s in ROLLING]))
 
 
+def window_stats(v: pd.Series, crossings: pd.Series, starts: np.ndarray, windows: dict[str, np.ndarray]) -> dict[str, pd.Series]:
+    """Statistics of groups that begin at ``starts``, each over its odd windows; NaN counts as missing."""
+    n, out = len(v), {}
+    first = np.repeat(starts, np.diff([*starts, n]))
+    end = np.repeat([*starts[1:], n], np.diff([*starts, n]))
+    centred, known = _centred(v, starts), np.concatenate([[0], v.notna().cumsum()])
+    at = np.arange(n)
+    for prefix, sizes in windows.items():
+        w = np.repeat(np.asarray(sizes).astype("int64"), np.diff([*starts, n]))
+        lo, hi = np.maximum(first, at - w // 2), np.minimum(end, at + w // 2 + 1)
+        spans = _Spans(start=lo, end=hi)
+        # as with ``min_periods=w``: a frame without w known values has no statistic
+        full, all_zc = known[hi] - known[lo] >= w, hi - lo >= w
+        roll = v.rolling(spans, min_periods=1)
+        top = roll.max()
+        out |= {
+            f"{prefix}_mean": roll.mean().where(full), f"{prefix}_std": roll.std().where(full), f"{prefix}_max": top.where(full),
+            f"{prefix}_ptp": (top - roll.min()).where(full), f"{prefix}_kurt": centred.rolling(spans, min_periods=1).kurt().where(full & (w >= 4)),
+            f"{prefix}_zcr": crossings.rolling(spans, min_periods=1).mean().where(all_zc),
+            f"{prefix}_energy": (v * v).rolling(spans, min_periods=1).sum().where(full),
+        }
+    return out
+
+
 class _Spans(BaseIndexer):
     """Frames from ``start`` to before ``end``; one that begins behind the last one's end is added up afresh."""
 

@@ -1,6 +1,6 @@
-"""Positions of short series, each worked on whole: the arrays of a survey in, arrays of the same rows out.
+"""Short series, each worked on whole: the arrays of a survey in, arrays of the same rows out.
 
-The same steps as in ``registration``, for surveys that fit in a chunk. There every
+The same steps as in ``registration`` and ``features``, for surveys that fit in a chunk. There every
 step deals the rows out again or writes them; here rows are dealt out once, and the
 0.1 m grid, which has some twelve points a row, exists for one survey at a time.
 NaN stands for NULL.
@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
-from .series import centred_medians
+from .baseline import fit_polynomial
+from .series import ROLLING, _walk, centred_medians, window_stats
 
 #: Points of a survey's grid that are held at once.
 GRID_POINTS = 1 << 20
@@ -225,3 +227,151 @@ def registered(dr: np.ndarray, signal: np.ndarray, fix: np.ndarray, cfg, step: f
         out = {"chainage_m": chainage, "dist_to_weld_m": nearest_distance(chainage, lattice), "n_welds_detected": len(lattice), "pitch_estimate_m": pitch}
     note = "survey shorter than the comb search" if span < 1.5 * cfg.pitch_m else "no reliable comb found" if found is None else "ok"
     return out | {"gps_locked_fraction": float(fix.mean()), "max_interpolated_gap_m": longest_gap(fix, dr), "note": note}
+
+
+def odd_window(width: float, step: float, minimum: int = 3) -> int:
+    """As ``series.odd_window``."""
+    n = max(minimum, int(np.round(width / step)))
+    return n + (n % 2 == 0)
+
+
+def without_polynomial(axis: np.ndarray, y: np.ndarray, degree: int) -> np.ndarray | None:
+    """Values less their robust polynomial, None without any known row."""
+    known = ~np.isnan(axis) & ~np.isnan(y)
+    if not known.any():
+        return None
+    coef = fit_polynomial(axis[known], y[known], degree)
+    lo = np.nanmin(axis)
+    x = np.nan_to_num(2.0 * ratio(axis - lo, np.nanmax(axis) - lo) - 1.0, nan=0.0)
+    fit = np.zeros(len(y))
+    for c in reversed(coef):
+        fit = fit * x + c
+    return y - fit
+
+
+def _stops(y: np.ndarray, at: np.ndarray, limit: np.ndarray, strict: bool) -> list[list[tuple]]:
+    """Per side what ``series.reach`` finds for the rows ``at``: (row, limit, minimum passed, stop, its value, value next to it)."""
+    asked, out = np.full(len(y), np.nan), []
+    asked[at] = limit
+    v, t, rows = y.tolist(), asked.tolist(), list(range(len(y)))
+    none, inf = float("nan"), [float("inf")] * len(v)
+    for turn, near in ((slice(None), [*v[1:], none]), (slice(None, None, -1), [none, *v[:-1]])):
+        out.append(sorted(_walk(rows[turn], v[turn], inf, t[turn], inf, near[turn], strict)[1]))
+    return out
+
+
+def peak_shapes(y: np.ndarray, min_sigmas: float) -> dict[str, np.ndarray]:
+    """As ``series.peak_shapes``: rows of the peaks, prominence, width and asymmetry."""
+    names = ("p", "prominence", "width", "asymmetry")
+    none = dict(zip(names, (np.empty(0, dtype="int64"), *[np.empty(0)] * 3)))
+    known = y[~np.isnan(y)]
+    sigma = 1.4826 * np.median(np.abs(known - np.median(known))) if len(known) >= 8 else 0.0
+    if not sigma > 0:
+        return none
+    first = np.flatnonzero(np.append(True, ~(y[1:] == y[:-1])))
+    last = np.append(first[1:], len(y)) - 1
+    value = y[first]
+    tops = 1 + np.flatnonzero((value[1:-1] > value[:-2]) & (value[1:-1] > value[2:]))
+    tops = tops[value[tops] - known.min() >= min_sigmas * sigma]
+    if not len(tops):
+        return none
+    at, top = (first[tops] + last[tops]) // 2, value[tops]
+    bases = [np.array([q[2] if q[2] < float("inf") else q[1] for q in side]) for side in _stops(y, at, top, True)]
+    prominence = top - np.maximum(*bases)
+    strong = prominence >= min_sigmas * sigma
+    at, top, prominence = at[strong], top[strong], prominence[strong]
+    if not len(at):
+        return none
+    level, ends = top - prominence * 0.5, []
+    for toward, side in zip((1, -1), _stops(-y, at, -level, False)):
+        stop, here, near = (np.array([np.nan if q[k] is None else q[k] for q in side], dtype=float) for k in (3, 4, 5))
+        here, near = -here, -near
+        ends.append(stop + toward * np.where(here < level, ratio(level - here, near - here), 0.0))
+    left, right = ends
+    width = np.fmax(1.0, right - left)
+    return dict(zip(names, (at, prominence, width, ((right - at) - (at - left)) / width)))
+
+
+def decay_exponents(y: np.ndarray, p: np.ndarray, width: np.ndarray, span: tuple[float, float], step: float) -> np.ndarray:
+    """As ``series.decay_exponents``."""
+    out = np.full(len(p), np.nan)
+    mids = (p[1:] + p[:-1]) // 2
+    begin = np.append(0, np.maximum(mids, p[:-1] + 1)) if len(p) else p
+    end = np.append(np.minimum(mids, p[1:] - 1), len(y) - 1) if len(p) else p
+    for i, at in enumerate(p):
+        lo = max(1, int(np.floor(span[0] * width[i])))
+        hi = max(lo + 2, int(np.floor(span[1] * width[i])))
+        rows = np.arange(max(begin[i], at - hi), min(end[i], at + hi) + 1)
+        d = np.abs(rows - at)
+        ok = (d >= lo) & (y[rows] > 0)
+        if ok.sum() >= 4:
+            x, v = np.log(d[ok] * step), np.log(y[rows][ok])
+            far = x - x.mean()
+            out[i] = ratio((far * (v - v.mean())).sum(), (far * far).sum())
+    return out
+
+
+def near_peaks(n: int, p: np.ndarray, width: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The peak of each row within ``radius`` widths of one (-1 else) and the distance in rows, as ``series.assign_to_peaks``."""
+    if not len(p):
+        return np.full(n, -1), np.full(n, np.nan)
+    rows = np.arange(n)
+    a, b = np.searchsorted(p, rows, side="right") - 1, np.searchsorted(p, rows)
+    da = np.where(a >= 0, rows - p[np.maximum(a, 0)], np.inf)
+    db = np.where(b < len(p), p[np.minimum(b, len(p) - 1)] - rows, np.inf)
+    k, d = np.where(da <= db, a, b), np.minimum(da, db)
+    within = d <= radius * width[k]
+    return np.where(within, k, -1), np.where(within, d, np.nan)
+
+
+def features(axis: np.ndarray, heads: dict[str, np.ndarray], starts: np.ndarray, prefixes: list[str], cfg, tie_break: float) -> dict[str, np.ndarray]:
+    """What ``features.feature_frame`` makes of more than a row, for all groups; ``heads`` by their residual's name, ``r_mid_nt`` among them.
+
+    A group without a known row of any head isn't kept.
+    """
+    n, groups = len(axis), bounds(starts, len(axis))
+    keep, left = np.ones(n, dtype=bool), {name: np.full(n, np.nan) for name in heads}
+    steps, sizes, detrend = np.ones(len(groups)), {p: np.full(len(groups), 3) for p in prefixes}, np.full(len(groups), 3)
+    for i, (a, b) in enumerate(groups):
+        got = {name: without_polynomial(axis[a:b], y[a:b], cfg.detrend_degree) for name, y in heads.items()}
+        if all(v is None for v in got.values()):
+            keep[a:b] = False
+            continue
+        for name, v in got.items():
+            if v is not None:
+                left[name][a:b] = v
+        if b - a > 1:
+            steps[i] = float(np.nanmax(axis[a:b]) - np.nanmin(axis[a:b])) / (b - a - 1)
+        for p, width in zip(prefixes, cfg.windows_m):
+            sizes[p][i] = odd_window(width, float(steps[i]))
+        detrend[i] = odd_window(cfg.detrend_window_m, float(steps[i])) if cfg.detrend_window_m > 0 else 3
+    if cfg.detrend_window_m > 0:
+        for name, middle in zip(left, centred_medians(list(left.values()), starts, detrend)):
+            left[name] = left[name] - middle
+
+    mid = left["r_mid_nt"]
+    crossed = np.zeros(n)
+    crossed[1:] = ((mid[1:] < 0) != (mid[:-1] < 0)) & ~np.isnan(mid[1:]) & ~np.isnan(mid[:-1])
+    crossed[starts] = 0.0
+    out = {name: np.full(n, np.nan) for name in PEAK_COLUMNS} | {"edge": np.zeros(n, dtype=bool)}
+    half = np.maximum.reduce([detrend, *sizes.values()]) // 2
+    for i, (a, b) in enumerate(groups):
+        y, rows = mid[a:b], np.arange(b - a)
+        s = axis[a:b] + rows * tie_break
+        out["dr_ds_nt_per_m"][a:b] = first = gradient(y, s)
+        out["d2r_ds2_nt_per_m2"][a:b] = gradient(first, s)
+        out["edge"][a:b] = (rows < half[i]) | (rows >= b - a - half[i])
+        top = peak_shapes(np.abs(y), cfg.peak_sigmas)
+        if not len(top["p"]):
+            continue
+        decay = decay_exponents(np.abs(y), top["p"], top["width"], cfg.flank_span, steps[i])
+        k, d = near_peaks(b - a, top["p"], top["width"], cfg.peak_radius)
+        values = {"fwhm_m": top["width"] * steps[i], "peak_asymmetry": top["asymmetry"], "decay_exponent": decay, "peak_prominence_nt": top["prominence"]}
+        for name, v in values.items():
+            out[name][a:b] = np.where(k >= 0, v[k], np.nan)
+        out["peak_distance_m"][a:b] = d * steps[i]
+    rolled = window_stats(pd.Series(mid), pd.Series(crossed), starts, sizes)
+    return left | out | {c: rolled[c].to_numpy() for c in (f"{p}_{stat}" for p in prefixes for stat in ROLLING)} | {"keep": keep}
+
+
+PEAK_COLUMNS = ("dr_ds_nt_per_m", "d2r_ds2_nt_per_m2", "fwhm_m", "peak_asymmetry", "decay_exponent", "peak_prominence_nt", "peak_distance_m")

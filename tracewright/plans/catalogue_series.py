@@ -255,8 +255,8 @@ def survey_registration(spark, sf):
 def feature_frame(spark, sf):
     walks = _walks(spark, sf)
     placed = registration.dead_reckon(walks).df.withColumnRenamed("dr_m", "chainage_m").withColumn("dist_to_weld_m", F.pmod("chainage_m", F.lit(12.0)))
-    series = indexed(cut(placed), ["survey_id"], "sample_idx", walks.longest)
-    return features.feature_frame(series)
+    series = indexed(placed if walks.one_chunk else cut(placed), ["survey_id"], "sample_idx", walks.longest)
+    return features.feature_frame(series, grouped=walks.one_chunk)
 
 
 def _local_excess(rows, ctx):
