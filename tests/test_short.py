@@ -141,3 +141,35 @@ def test_no_key_falls_into_two_calls(spark, monkeypatch, rows):
     got = ordered.map_short(indexed(df.repartition(7), ["k"], "i", 97), ["v"], call, made).toPandas()
     assert got["k"].notna().all() and (got["total"] == got["i"] % 97 + 1).all()
     assert rows == 50 or len(got) == n - 97
+
+
+def test_windows_of_short_keys_are_dealt_out_once(spark, tmp_path):
+    path = lineitems(spark, tmp_path)
+    dense, gapped = (f(spark, path) for f in (catalogue_series.rolling_stats, catalogue_series.rolling_stats_gapped))
+    for df in (dense, gapped):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    a, b = dense.toPandas(), gapped.toPandas()
+    assert len(a) > 1400 and a["kurt"].notna().any() and a["mean"].isna().any()
+    same(a.assign(sample_idx=a["sample_idx"] * 3 + a["sample_idx"] % 2), b, ["l_suppkey", "sample_idx"])
+
+
+@pytest.mark.parametrize("chunk,most", [(1 << 16, 1 << 16), (16, 1 << 16), (16, 100), (3, 100)])
+@pytest.mark.parametrize("own", [False, True])
+def test_crossings_at_the_borders_of_chunks(spark, monkeypatch, chunk, most, own):
+    """Keys that may lie in one task, and keys that may not."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", most)
+    rng = np.random.default_rng(5)
+    n = 400
+    df = pd.DataFrame({"k": np.repeat(["a", "b"], n), "i": np.tile(np.cumsum(rng.integers(1, 9, n)), 2), "y": rng.normal(size=2 * n), "w": np.repeat([5, 21], n)})
+    df["none"] = rng.random(2 * n) < 0.1
+    rows = spark.createDataFrame(df).withColumn("y", F.when(F.col("i") % 17 == 0, float("nan")).when(~F.col("none"), F.col("y")))
+    reach = F.expr("w div 2") if own else 10
+    got = series.rolling_stats(indexed(rows, ["k"], "i", chunk_rows=chunk), "y", {"w": "w"}, reach).df.orderBy("k", "i").toPandas()
+    sign = np.where(df["i"] % 17 == 0, 0.0, np.where(df["none"], np.nan, df["y"] < 0))
+    flip = np.append(0.0, (sign[1:] != sign[:-1]) & ~np.isnan(sign[1:]) & ~np.isnan(sign[:-1]))
+    flip[n] = 0.0
+    value = df["y"].where(~df["none"] & (df["i"] % 17 != 0))
+    for k, (a, b, w) in enumerate(((0, n, 5), (n, 2 * n, 21))):
+        part = got[a:b]
+        np.testing.assert_allclose(part["w_zcr"].to_numpy(float), pd.Series(flip[a:b]).rolling(w, center=True, min_periods=w).mean(), atol=1e-12)
+        np.testing.assert_allclose(part["w_max"].to_numpy(float), value[a:b].rolling(w, center=True, min_periods=w).max())

@@ -105,6 +105,18 @@ class Series:
     def one_chunk(self) -> bool:
         return self.longest is not None and self.longest <= self.chunk_rows
 
+    @property
+    def by_key(self) -> bool:
+        """A key's rows may meet in one task: they are no more than any chunk may have."""
+        return self.longest is not None and self.longest <= max(self.chunk_rows, CHUNK_ROWS)
+
+    def measured(self) -> Series:
+        """The series with ``longest``, counted if it isn't known."""
+        if self.longest is not None:
+            return self
+        most = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        return replace(self, longest=int(most or 0))
+
     def with_df(self, df: DataFrame) -> Series:
         return replace(self, df=df)
 
@@ -147,15 +159,21 @@ class Series:
         out = joined.select(*kept, *[_combine(n, s).alias(n) for n, s in steps.items()])
         return self.with_df(out)
 
-    def halo(self, before_rows: int, after_rows: int) -> DataFrame:
+    def halo(self, before_rows: int | Column, after_rows: int | Column) -> DataFrame:
         """Rows tagged with a chunk, plus copies of border rows (``__core`` false).
 
         Reaches count rows, so chunks are cut by row position, whatever holes
         ``idx`` has. A row goes to every chunk that a frame with it may start in.
+        Where a key may lie in one task, its rows are numbered there.
         """
         if self.one_chunk:
             return self.df.select("*", F.lit(0).cast("long").alias(_CHUNK), F.lit(True).alias("__core"))
-        df = self.df.withColumn("__at", F.col(self.idx)) if self.dense else self.running(__at=position()).df
+        if self.dense:
+            df = self.df.withColumn("__at", F.col(self.idx))
+        elif self.by_key:
+            df = replace(self, chunk_rows=CHUNK_ROWS).running(__at=position()).df
+        else:
+            df = self.running(__at=position()).df
         chunk_of = lambda row: F.floor(row / F.lit(self.chunk_rows)).cast("long")
         first = chunk_of(F.greatest(F.col("__at") - after_rows, F.lit(0)))
         tagged = df.withColumn(_CHUNK, F.explode(F.sequence(first, chunk_of(F.col("__at") + before_rows))))
@@ -328,12 +346,20 @@ def cumulate(
     return series.running(**{f"cum_{m}": total(F.col(m)) for m in measures})
 
 
-def map_groups(df: DataFrame, by: Sequence[str], order: str, call: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys are all known."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
+def map_groups(df: DataFrame, by: Sequence[str], order: str, call: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema, deal: Sequence[str] | None = None) -> DataFrame:
     """What ``call`` makes of whole groups, many short ones at once.
 
     A call gets rows sorted by ``by`` and ``order`` and the place of every group's
     first row. A group never falls into two calls. One call for each group would
-    cost more than the work on it where groups have some hundred rows.
+    cost more than the work on it where groups have some hundred rows. The rows are
+    dealt out by ``deal``, some of ``by``, so that those that lie so already aren't moved.
     """
     by = list(by)
 
@@ -363,7 +389,7 @@ def map_groups(df: DataFrame, by: Sequence[str], order: str, call: Callable[[pd.
             rows = pd.concat(held, ignore_index=True)
             yield call(rows, starts(rows))
 
-    return df.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+    return df.repartition(*(deal or by)).sortWithinPartitions(*by, order).mapInPandas(run, schema)
 
 
 def map_short(
@@ -380,7 +406,7 @@ def map_short(
     at most, so that a key's rows lie together and in order. They aren't moved again.
     """
     keys, idx = list(series.keys), series.idx
-    df = series.df if grouped else series.df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, idx)
+    df = series.df if grouped else with_keys(series.df, keys).repartition(*keys).sortWithinPartitions(*keys, idx)
     schema = T.StructType([*df.schema.fields, *made])
 
     def starts(rows: pa.Table) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import safe_div
 from ..session import cut
-from .ordered import Series, after, before, by_position, earlier, following, highest, later, latest, map_groups, order_rows, total
+from .ordered import SINGLE_TASK_ROWS, Series, after, before, by_position, earlier, following, highest, later, latest, map_groups, order_rows, total, with_keys
 from .quantiles import median_mad
 
 ROLLING = ("mean", "std", "max", "ptp", "kurt", "zcr", "energy")
@@ -104,33 +104,51 @@ def odd_window(width: float, step: Column, minimum: int = 3) -> Column:
 
 
 def mean_step(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    return df.groupBy(*keys).agg(
-        F.when(n < 2, F.lit(1.0)).otherwise((F.max(axis) - F.min(axis)) / F.greatest(F.lit(1), n - 1)).alias("mean_step"), n.alias("n_rows")
-    )
+    return df.groupBy(*keys).agg(_mean_step(axis, lambda c: c).alias("mean_step"), F.count(F.lit(1)).alias("n_rows"))
+
 
+def _mean_step(axis: str, over: Callable[[Column], Column]) -> Column:
+    n = over(F.count(F.lit(1)))
+    return F.when(n < 2, F.lit(1.0)).otherwise((over(F.max(axis)) - over(F.min(axis))) / F.greatest(F.lit(1), n - 1))
 
-def rolling_stats(series: Series, y: str, windows: dict[str, str], reach: int) -> Series:
+
+def beside_mean_step(series: Series, axis: str) -> DataFrame:
+    """The rows that have a key with its ``mean_step``, which is taken where a key's rows lie if they fit in a task."""
+    keys = list(series.keys)
+    if series.longest is None or series.longest > SINGLE_TASK_ROWS:
+        return series.df.join(mean_step(series.df, keys, axis).drop("n_rows"), keys)
+    w = Window.partitionBy(*keys)
+    return with_keys(series.df, keys).withColumn("mean_step", _mean_step(axis, lambda c: c.over(w)))
+
+
+def rolling_stats(series: Series, y: str, windows: dict[str, str], reach: int | Column) -> Series:
     """Centred full-window statistics of ``y`` for each window.
 
     ``windows`` maps a prefix to the column holding that key's odd window length;
-    ``reach`` bounds half of the longest one. Each task sees one chunk and the
-    rows that reach into it. Sliding frames in the engine add up every frame
-    again, which costs the window length per row; pandas slides them.
+    ``reach`` bounds half of the longest one, of all keys or of the row's own. Each
+    task sees one chunk and the rows that reach into it, or the chunks of whole keys
+    where these are short. Sliding frames in the engine add up every frame again,
+    which costs the window length per row; pandas slides them.
     """
-    crossed = zero_crossing(series, y, "__zc")
-    kept = series.df.columns
-    schema = T.StructType([crossed.df.schema[c] for c in kept] + [
+    series = series.measured()
+    kept, idx = series.df.columns, series.idx
+    # 1 below zero, 0 not, -1 unknown: the call sees no difference between NaN and NULL
+    signed = series.with_df(series.df.withColumn("__neg", F.coalesce((F.col(y) < 0).cast("byte"), F.lit(-1).cast("byte"))))
+    schema = T.StructType([signed.df.schema[c] for c in kept] + [
         T.StructField(f"{p}_{s}", T.DoubleType()) for p in windows for s in ROLLING
     ])
-    idx = series.idx
 
     def chunks(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        got = window_stats(pdf[y].astype("float64"), pdf["__zc"], starts, {p: pdf[c].to_numpy()[starts] for p, c in windows.items()})
+        neg = pdf["__neg"].to_numpy()
+        crossed = np.zeros(len(pdf))
+        crossed[1:] = (neg[1:] != neg[:-1]) & (neg[1:] >= 0) & (neg[:-1] >= 0)
+        crossed[starts] = 0.0
+        got = window_stats(pdf[y].astype("float64"), pd.Series(crossed), starts, {p: pdf[c].to_numpy()[starts] for p, c in windows.items()})
         return pdf.assign(**got).loc[pdf["__core"], [f.name for f in schema.fields]]
 
-    tagged = crossed.halo(reach, reach)
-    out = map_groups(tagged, crossed.chunk_keys(), idx, chunks, schema)
+    # one row more before a frame: the first of a frame may cross from it
+    tagged = signed.halo(reach + 1, reach)
+    out = map_groups(tagged, series.chunk_keys(), idx, chunks, schema, deal=series.keys if series.by_key else None)
     return series.with_df(_no_nan(out, [f"{p}_{s}" for p in windows for s in ROLLING]))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import baseline, features, plugins, registration, series as ts
@@ -23,11 +24,11 @@ w AS (SELECT l_suppkey, CASE WHEN n0 % 2 = 1 THEN n0 ELSE n0 + 1 END AS win FROM
 lw AS (SELECT l.*, win, win // 2 AS h, CASE WHEN (y < 40) <> (lag(y) OVER (PARTITION BY l_suppkey ORDER BY sample_idx) < 40) THEN 1.0 ELSE 0.0 END AS zc FROM l JOIN w USING (l_suppkey))"""
 
 
-def _sized(spark, sf, metres: float) -> tuple[Series, int]:
+def _sized(spark, sf, metres: float) -> tuple[Series, Column]:
     s = v.items(spark, sf)
-    step = cut(ts.mean_step(s.df, ["l_suppkey"], "x").select("l_suppkey", ts.odd_window(metres, F.col("mean_step")).alias("win")))
-    reach = int(step.agg(F.max("win")).first()[0])
-    return s.with_df(s.df.join(step, "l_suppkey")), reach
+    win = ts.odd_window(metres, F.col("mean_step")).alias("win")
+    # no more columns than are read: Python steps move all they get
+    return s.with_df(ts.beside_mean_step(s, "x").select("l_suppkey", "sample_idx", "y", win)), F.col("win")
 
 
 @query(q(_WIN.format(m=60.0), """
