@@ -170,9 +170,18 @@ def _teeth(grid: _Grid, span: float, lo: int, hi: int, margin: float) -> tuple[n
 
 
 def _line(k: np.ndarray, at: np.ndarray) -> tuple[float, float]:
-    far = k - k.mean()
-    pitch = float((far * (at - at.mean())).sum() / (far * far).sum())
-    return pitch, float(at.mean() - pitch * k.mean())
+    """Slope and intercept, summed as the engine's ``regr_slope`` and ``regr_intercept`` do it, to the last digit."""
+    n = ck = m2 = x_mean = y_mean = 0.0
+    for x, y in zip(k.tolist(), at.tolist()):
+        n += 1
+        dx = x - x_mean
+        step = dx / n
+        x_mean += step
+        y_mean += (y - y_mean) / n
+        ck += dx * (y - y_mean)
+        m2 += dx * (dx - step)
+    pitch = ck / m2
+    return pitch, y_mean / n * n - pitch * (x_mean / n * n)
 
 
 def _lattice(k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
