@@ -1,5 +1,7 @@
 """Short series are worked on whole, with the results of the steps by chunks, and without writing them."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -117,6 +119,22 @@ def test_features_of_whole_surveys_are_those_by_chunks(spark, window, policy):
     pd.testing.assert_frame_equal(*(x.sort_values(KEYS, ignore_index=True) for x in (got, want)), rtol=1e-4, atol=1e-4)
 
 
+@pytest.mark.parametrize("query", ["survey_registration", "feature_frame", "dead_reckoning"])
+def test_one_long_survey_leaves_the_short_ones_whole(spark, tmp_path, monkeypatch, query):
+    path, made = lineitems(spark, tmp_path, n=1200, suppliers=4), catalogue_series._walks
+    run = getattr(catalogue_series, query)
+    want = run(spark, path).toPandas()
+    largest = int(want["survey_id"].value_counts().max())
+    assert (want["survey_id"].value_counts() == largest).sum() == 1
+    monkeypatch.setattr(catalogue_series, "_walks", lambda *a: replace(made(*a), chunk_rows=largest - 1))
+    seen = []
+    for m in (reg, series, ft):
+        monkeypatch.setattr(m, "cut", lambda df, cut=m.cut: (seen.append({r[0] for r in df.select("survey_id").distinct().collect()}) if "survey_id" in df.columns else None) or cut(df))
+    got = run(spark, path).toPandas()
+    assert all(len(s) <= 1 for s in seen)
+    same(got, want)
+
+
 def test_a_long_grid_is_made_in_blocks():
     d = walk(21, n=1500, dropout=0.0)
     x = np.maximum.accumulate(d["chainage_true_m"].to_numpy())

@@ -191,6 +191,17 @@ class Series:
         return self.with_df(out.filter("__core").select(*kept, *aggregates))
 
 
+def by_length(series: Series) -> list[Series]:
+    """The keys that fit in a chunk, and the longer ones if there are any, whose rows are written for the many steps that read them."""
+    if series.one_chunk:
+        return [series]
+    keys = list(series.keys)
+    # at most one key for each chunk of rows
+    long = cut(series.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > series.chunk_rows).select(*keys))
+    rest = series.df.join(F.broadcast(long), keys, "left_anti")
+    return [replace(series, df=rest, longest=series.chunk_rows), series.with_df(cut(series.df.join(F.broadcast(long), keys, "left_semi")))]
+
+
 def by_position(series: Series, label: str) -> Series:
     """The same rows with their 0-based row position as ``idx`` and the old ``idx`` as ``label``."""
     if series.dense:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baseline, features, plugins, registration, series as ts
 from ..operators.matching import nearest_distance
-from ..operators.ordered import Series, by_position, highest, indexed, order_rows
+from ..operators.ordered import Series, by_length, by_position, highest, indexed, order_rows
 from ..session import cut
 from . import views as v
 from .catalogue import SQL, query
@@ -236,28 +238,35 @@ def _walks(spark, sf) -> Series:
         F.when(F.col("fix"), cfg.lon0 + along * F.sin(brg) / (111320.0 * F.cos(F.radians(F.lit(cfg.lat0))))).alias("lon"),
         (y + 45000).alias("b_lo_nt"), (y * 1.1 + 45000 + F.col("l_quantity") * 0.2).alias("b_mid_nt"), (y * 1.2 + 45000).alias("b_hi_nt"),
     )
-    # larger surveys go by chunks, whose steps read the rows several times
-    return indexed(df if s.one_chunk else cut(df), ["survey_id"], "sample_idx", s.longest)
+    return indexed(df, ["survey_id"], "sample_idx", s.longest)
+
+
+def _of_walks(spark, sf, columns: list[str], made: Callable[[Series], DataFrame]) -> DataFrame:
+    """What ``made`` gives for the walks that fit in a chunk and for the longer ones."""
+    walks = _walks(spark, sf)
+    return reduce(DataFrame.unionByName, [made(part) for part in by_length(walks.with_df(walks.df.select("survey_id", "sample_idx", *columns)))])
 
 
 @query()
 def dead_reckoning(spark, sf):
-    return registration.dead_reckon(_walks(spark, sf)).df.select("survey_id", "sample_idx", rnd("dr_m", 4).alias("dr_m"))
+    placed = lambda walks: registration.dead_reckon(walks).df
+    return _of_walks(spark, sf, ["t_s", "lat", "lon"], placed).select("survey_id", "sample_idx", rnd("dr_m", 4).alias("dr_m"))
 
 
 @query()
 def survey_registration(spark, sf):
-    walks = _walks(spark, sf)
-    needed = walks.with_df(walks.df.select("survey_id", "sample_idx", "t_s", "lat", "lon", "b_mid_nt"))
-    return registration.registered(needed).select("survey_id", "sample_idx", "chainage_m", "dist_to_weld_m", "n_welds_detected", "note")
+    rows = _of_walks(spark, sf, ["t_s", "lat", "lon", "b_mid_nt"], registration.registered)
+    return rows.select("survey_id", "sample_idx", "chainage_m", "dist_to_weld_m", "n_welds_detected", "note")
 
 
 @query()
 def feature_frame(spark, sf):
-    walks = _walks(spark, sf)
-    placed = registration.dead_reckon(walks).df.withColumnRenamed("dr_m", "chainage_m").withColumn("dist_to_weld_m", F.pmod("chainage_m", F.lit(12.0)))
-    series = indexed(placed if walks.one_chunk else cut(placed), ["survey_id"], "sample_idx", walks.longest)
-    return features.feature_frame(series, grouped=walks.one_chunk)
+    def frame(walks: Series) -> DataFrame:
+        placed = registration.dead_reckon(walks).df.withColumnRenamed("dr_m", "chainage_m").withColumn("dist_to_weld_m", F.pmod("chainage_m", F.lit(12.0)))
+        series = walks.with_df(placed if walks.one_chunk else cut(placed))
+        return features.feature_frame(series, grouped=walks.one_chunk)
+
+    return _of_walks(spark, sf, ["line_id", "run_id", "t_s", "lat", "lon", "b_lo_nt", "b_mid_nt", "b_hi_nt"], frame)
 
 
 def _local_excess(rows, ctx):
